@@ -71,7 +71,7 @@ def lists(parts: pa.Array) -> tuple[np.ndarray, pa.Array]:
 def coded(words: pa.Array) -> tuple[np.ndarray, list[str]]:
     """Each word's code, and the distinct words."""
     found = words.dictionary_encode()
-    return np.asarray(found.indices), found.dictionary.to_pylist()
+    return np.asarray(found.indices), found.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -81,6 +81,56 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - before, lengths)
 
 
+class Memo:
+    """Numbers of each word (ids), laid end to end; a word is computed once while there is room.
+
+    ``compute`` gives the numbers of a list of new words. Words beyond ``size`` are computed again when
+    they come again, so the bound costs time only.
+    """
+
+    def __init__(self, compute, size: int):
+        self.compute, self.size, self.slots = compute, size, {}
+        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
+        self.starts, self.lengths = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+
+    def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat, starts, lengths): the numbers of words[k] are flat[starts[k] : starts[k] + lengths[k]]."""
+        slots = np.fromiter((-1 if s is None else s for s in map(self.slots.get, words)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(slots < 0)
+        starts, lengths, flat = self.starts[slots], self.lengths[slots], self.flat
+        if len(new):
+            found = self.compute([words[k] for k in new.tolist()])
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            extra = np.fromiter((x for ids in found for x in ids), dtype=np.uint32, count=int(sizes.sum()))
+            at = np.cumsum(sizes) - sizes
+            if len(self.slots) + len(new) <= self.size:
+                self._keep([words[k] for k in new.tolist()], extra, at, sizes)
+                starts[new], flat = at + self.used - len(extra), self.flat
+            else:
+                starts[new], flat = at + self.used, np.concatenate((self.flat[: self.used], extra))
+            lengths[new] = sizes
+        return flat, starts, lengths
+
+    def _keep(self, words: list[str], extra: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.slots), len(words)
+        while self.used + len(extra) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while n + m > len(self.starts):
+            self.starts, self.lengths = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lengths))
+        self.flat[self.used : self.used + len(extra)] = extra
+        self.starts[n : n + m], self.lengths[n : n + m] = at + self.used, sizes
+        self.slots.update(zip(words, range(n, n + m)))
+        self.used += len(extra)
+
+
+def laid_out(found: tuple[np.ndarray, np.ndarray, np.ndarray], codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all words by code, and where each text's numbers end (with a leading 0)."""
+    flat, starts, lengths = found
+    sizes = lengths[codes]
+    ends = np.concatenate(([0], np.cumsum(sizes)))[offsets]
+    return flat[ragged(starts[codes], sizes)], ends
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b), both long, as (node, component = least node).
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import coded, lists, partitions, ragged, shared_dir, text_slices
+from .common import Memo, coded, laid_out, lists, partitions, shared_dir, text_slices
 
 BLOCK = 1024
 MAGIC = b"PFOR"
@@ -95,38 +95,31 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids of texts by their distinct words. The memo stops growing at ``memo`` words."""
+    """Ids of texts by their distinct words, in a memo of ``memo`` words.
 
-    def __init__(self, path: str, memo: int = 500_000):
+    Words are cut at blanks and line feeds, and between an ASCII letter and a full stop or comma: the
+    tokenizer splits there itself, whatever stands around.
+    """
+
+    def __init__(self, path: str, memo: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.size = Tokenizer.from_file(path), {}, memo
+        self.tokenizer = Tokenizer.from_file(path)
+        self.memo = Memo(self.ids, memo)
 
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        memo = self.memo
-        new = [w for w in words if w not in memo]
-        found = {}
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            found.update(zip(part, (np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(part, add_special_tokens=False))))
-        if len(memo) + len(found) <= self.size:
-            memo.update(found)
-        return [memo[w] if w in memo else found[w] for w in words]
+    def ids(self, words: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for i in range(0, len(words), 20_000):
+            out += [e.ids for e in self.tokenizer.encode_batch(words[i : i + 20_000], add_special_tokens=False)]
+        return out
 
     def texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, the end id after each text, and the number of each text's ids."""
         spaced = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
-        offsets, words = lists(pc.split_pattern(spaced, " "))
+        offsets, words = lists(pc.split_pattern(pc.replace_substring_regex(spaced, "([A-Za-z])([.,])", r"\1 \2"), " "))
         codes, distinct = coded(words)
-        ids = self.words(distinct)
-        flat = np.frombuffer(b"".join(ids), dtype="<u4")
-        lengths = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
-        starts = np.cumsum(lengths) - lengths
-        sizes = lengths[codes]
-        ends = np.concatenate(([0], np.cumsum(sizes)))[offsets[1:]]
-        laid = flat[ragged(starts[codes], sizes)]
-        counts = np.diff(ends, prepend=0) + 1
-        return np.insert(laid, ends, end_id), counts
+        laid, ends = laid_out(self.memo.lookup(distinct), codes, offsets)
+        return np.insert(laid, ends[1:], end_id), np.diff(ends) + 1
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -144,7 +137,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int, target:
         return pa.record_batch([pa.array(v, t) for v, t in zip(row, [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()])], names=["shard", "segment", "start", "n_tokens", "doc_ids", "counts", "data"])
 
     for batch in batches:
-        for i, j in text_slices(batch.column(1)):
+        for i, j in text_slices(batch.column(1), 3_000_000):
             laid, n = encoder.texts(batch.column(1)[i:j], end_id)
             doc_ids += batch.column(0)[i:j].to_pylist()
             counts += n.tolist()
