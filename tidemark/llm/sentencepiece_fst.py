@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded, lists, ragged, text_slices
+from .common import Memo, coded, laid_out, lists, text_slices
 
 SPACE = "▁"
 
@@ -58,8 +58,9 @@ class Transducer:
                 lengths.setdefault(p[-3:], set()).add(len(p))
         self.tails = {t: sorted(n, reverse=True) for t, n in lengths.items()}  # lengths of pieces by their last three characters
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.memo: dict[str, bytes] = {}
-        self.size = memo
+        self.memo = Memo(lambda units: [self.unit_ids(u) for u in units], memo)
+        # a unit may also end between an ASCII letter and a stop or comma, if no piece holds such a pair
+        self.cut = not any(re.search("[A-Za-z][.,]", p) for p in self.ids)
         self.output = [b""] * len(model.pieces)
         for p, i in self.ids.items():
             self.output[i] = p.replace(SPACE, " ").encode()
@@ -114,12 +115,12 @@ class Transducer:
             end -= len(last[end])
         return out[::-1]
 
-    def unit_ids(self, unit: str) -> bytes:
+    def unit_ids(self, unit: str) -> list[int]:
         pieces = self.merged(unit) if unit.count(SPACE) > 1 and len(unit) <= 64 else self.path(unit) if unit.count(SPACE) <= 1 else self._run(unit)
         ids: list[int] = []
         for p in pieces:
             ids += [self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()]
-        return np.array(ids, dtype="<u4").tobytes()
+        return ids
 
     def _run(self, unit: str) -> list[str]:
         """A long unit after a run of blanks: the last blank goes with the word if they merge."""
@@ -139,17 +140,6 @@ class Transducer:
             n -= size
         return out
 
-    def known(self, units: list[str]) -> list[bytes]:
-        memo, out = self.memo, []
-        for u in units:
-            found = memo.get(u)
-            if found is None:
-                found = self.unit_ids(u)
-                if len(memo) < self.size:
-                    memo[u] = found
-            out.append(found)
-        return out
-
     _UNITS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
     def encode(self, text: str) -> np.ndarray:
@@ -157,21 +147,19 @@ class Transducer:
         if not text:
             return np.zeros(0, dtype="<u4")
         marked = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        return np.frombuffer(b"".join(self.known(self._UNITS.findall(marked))), dtype="<u4")
+        return np.array([i for unit in self._UNITS.findall(marked) for i in self.unit_ids(unit)], dtype="<u4")
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the number of each text's ids; equal units are looked up once."""
         plain = pc.replace_substring(pc.replace_substring(pc.fill_null(texts, ""), SPACE, " "), "\n", " \n")
+        if self.cut:  # the mark of a cut is a line feed after the blank, twice
+            plain = pc.replace_substring_regex(plain, "([A-Za-z])([.,])", "\\1 \n\n\\2")
         offsets, words = lists(pc.split_pattern(plain, " "))
         codes, distinct = coded(words)
-        found = self.known([("\n" if w[:1] == "\n" else "") or SPACE + w if w[:1] != "\n" else w for w in distinct])
+        units = [w[2:] if w[:2] == "\n\n" else w if w[:1] == "\n" else SPACE + w for w in distinct]
         empty = np.array([not w for w in distinct], dtype=bool)[codes]
-        flat = np.frombuffer(b"".join(found), dtype="<u4")
-        lengths = np.fromiter((len(x) // 4 for x in found), dtype=np.int64, count=len(found))
-        starts = np.cumsum(lengths) - lengths
-        sizes = lengths[codes]
-        ends = np.concatenate(([0], np.cumsum(sizes)))[offsets]
-        ids, counts = flat[ragged(starts[codes], sizes)], np.diff(ends)
+        ids, ends = laid_out(self.memo.lookup(units), codes, offsets)
+        counts = np.diff(ends)
         odd = np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(empty)))[offsets]))  # texts with runs of blanks
         first = np.flatnonzero(np.asarray(pc.starts_with(plain, " ")))  # or that begin with one
         odd = np.union1d(odd, first)
@@ -205,7 +193,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = machine(model)
         for batch in batches:
-            for i, j in text_slices(batch.column(at)):
+            for i, j in text_slices(batch.column(at), 3_000_000):
                 ids, counts = own.encode_batch(batch.column(at)[i:j])
                 offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
                 yield pa.record_batch([*[c[i:j] for c in batch.columns], pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))], names=[*batch.schema.names, "piece_ids"])
