@@ -1,4 +1,370 @@
-"""The registered queries of the library and their SQL twins."""
+"""The registered queries of the library, each with its SQL twin where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import text as T
+from tidemark.operators import chunk, graph, index, ingest, retrieve, session, synthesis
+from tidemark.sources import tables as S
+
+from . import oracle as O
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers the function under its name, with its SQL twin."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---- text
+
+@query(f"SELECT doc_id, CAST(len({O.tokens('text')}) AS BIGINT) AS n_tokens, CAST(len({O.tokens('text', True)}) AS BIGINT) AS n_content FROM documents")
+def tokenize_counts(spark, d):
+    return S.table(spark, d, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"), F.size(T.tokens(F.col("text"), True)).cast("long").alias("n_content"))
+
+
+@query(f"SELECT DISTINCT w AS word, {O.stem('w')} AS stem FROM (SELECT unnest({O.words('text')}) AS w FROM documents)")
+def stem_terms(spark, d):
+    rows = S.table(spark, d, "documents").select(F.explode(T.words(F.col("text"))).alias("word")).distinct()
+    return rows.select("word", T.stem(F.col("word")).alias("stem"))
+
+
+@query(f"WITH q AS (SELECT o_orderkey, (o_orderkey % 12) || CASE o_orderkey % 3 WHEN 0 THEN 'th' ELSE 'nd' END || ' order of the third quarter' AS query FROM orders) SELECT o_orderkey, {O.EXPANDED} AS expanded FROM q")
+def ordinal_expand(spark, d):
+    q = F.concat((F.col("o_orderkey") % 12).cast("string"), F.when(F.col("o_orderkey") % 3 == 0, "th").otherwise("nd"), F.lit(" order of the third quarter"))
+    return S.table(spark, d, "orders").select("o_orderkey", T.expanded(q).alias("expanded"))
+
+
+@query("SELECT event_id, CASE WHEN s >= 3600 THEN lpad((s // 3600)::VARCHAR, 2, '0') || ':' ELSE '' END || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS stamp FROM (SELECT event_id, event_id * 7 % 9000 AS s FROM events)")
+def media_time_format(spark, d):
+    return S.table(spark, d, "events").select("event_id", T.media_time(F.col("event_id") * 7 % 9000).alias("stamp"))
+
+
+@query("SELECT p_partkey, 'ENTITY_' || upper(replace(p_name, ' ', '_')) AS entity_id, 'ENTITY_' || upper(replace(p_name, ' ', '_')) AS titled FROM part")
+def canonical_entity_id(spark, d):
+    return S.table(spark, d, "part").select("p_partkey", T.canonical_id(F.col("p_name")).alias("entity_id"), T.canonical_id(F.concat(F.lit("Dr. "), "p_name", F.lit(" ,"))).alias("titled"))
+
+
+@query("""WITH f AS (SELECT doc_id, 'doc_' || doc_id || (['.txt','.png','.mp3','.mkv','.exe'])[doc_id % 5 + 1] AS filename, n_chars * 2000 AS bytes FROM documents),
+k AS (SELECT *, CASE WHEN suffix(filename, '.txt') THEN 'document' WHEN suffix(filename, '.png') THEN 'image' WHEN suffix(filename, '.mp3') THEN 'audio' WHEN suffix(filename, '.mkv') THEN 'video' END AS file_type FROM f)
+SELECT doc_id AS file_id, file_type, file_type IS NOT NULL AND bytes <= 52428800 AS valid, CASE WHEN file_type IS NULL THEN 'unsupported extension' WHEN bytes > 52428800 THEN 'file too large' END AS error FROM k""")
+def validate_file_type(spark, d):
+    rows = S.files(spark, d).withColumn("file_size_bytes", F.col("file_size_bytes") * 2000)
+    return session.validated(rows).select("file_id", "file_type", "valid", "error")
+
+
+@query(r"SELECT page_id, length(html) AS n_chars, length(trim(regexp_replace(regexp_replace(html, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13))) AS n_clean FROM pages")
+def clean_text(spark, d):
+    return S.table(spark, d, "pages").select("page_id", F.length("html").cast("long").alias("n_chars"), F.length(ingest.clean_text(F.col("html"))).cast("long").alias("n_clean"))
+
+
+@query("SELECT o_orderkey, CASE WHEN len(t) = 0 THEN '0.5' ELSE array_to_string(t, ',') END AS times FROM (SELECT o_orderkey, list_filter([2.0, 14.0, 26.0, 38.0, 50.0, 62.0], lambda x: x < o_totalprice / 1000) AS t FROM orders)")
+def keyframe_times(spark, d):
+    return S.table(spark, d, "orders").select("o_orderkey", F.array_join(F.transform(ingest.keyframes(F.col("o_totalprice") / 1000), lambda x: x.cast("decimal(10,1)").cast("string")), ",").alias("times"))
+
+
+@query("""SELECT user_id AS key, string_agg('[' || lpad((s // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') || '] ' || event_type, chr(10) ORDER BY s, kind, event_type) AS text
+FROM (SELECT user_id, event_id % 3600 AS s, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS kind, event_type FROM events) GROUP BY user_id""")
+def timeline_merge(spark, d):
+    rows = S.table(spark, d, "events").select(F.col("user_id").alias("key"), (F.col("event_id") % 3600).alias("second"), F.col("event_type").alias("text"))
+    return ingest.timeline(rows.where("text <> 'click'"), rows.where("text = 'click'"))
+
+
+# ---- chunks
+
+_PARAGRAPHS = r"replace(coalesce(text, ''), chr(10), chr(10) || chr(10))"
+
+
+def _packed_sql(blocks: str, target: int, glue: str) -> str:
+    """A recursive fold over the blocks of each document."""
+    return f"""WITH RECURSIVE b AS (SELECT doc_id, list_filter(list_transform({blocks}, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS parts FROM documents),
+p AS (SELECT doc_id, i, parts[i] AS t FROM b, unnest(range(1, len(parts) + 1)) AS r(i)),
+g AS (SELECT doc_id, i, 0 AS c, length(t) AS n FROM p WHERE i = 1
+  UNION ALL SELECT p.doc_id, p.i, CASE WHEN g.n + length(p.t) + 2 <= {target} THEN g.c ELSE g.c + 1 END, CASE WHEN g.n + length(p.t) + 2 <= {target} THEN g.n + {len(glue)} + length(p.t) ELSE length(p.t) END
+  FROM g JOIN p ON p.doc_id = g.doc_id AND p.i = g.i + 1)
+SELECT doc_id AS file_id, CAST(c AS BIGINT) AS chunk_index, doc_id || '_chunk_' || c AS chunk_id, CAST(sum(length(t)) + (count(*) - 1) * {len(glue)} AS BIGINT) AS n_chars, count(*) AS n_blocks FROM g JOIN p USING (doc_id, i) GROUP BY doc_id, c"""
+
+
+@query(_packed_sql(rf"string_split_regex({_PARAGRAPHS}, '\n\s*\n')", 1800, "\n").replace("count(*) AS n_blocks", "CAST(count(*) AS BIGINT) AS n_blocks"))
+def chunk_blocks(spark, d):
+    rows = S.files(spark, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    found = chunk.by_blocks(rows)
+    body = F.regexp_replace("text", r"^\[[^\n]*\]\n", "")
+    return found.select("file_id", "chunk_index", "chunk_id", F.length(body).cast("long").alias("n_chars"), F.size(F.split(body, "\n")).cast("long").alias("n_blocks"))
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+p AS (SELECT doc_id, i, trim(lines[i], ' ' || chr(9) || chr(10) || chr(13)) AS body FROM l, unnest(range(1, len(lines) + 1)) AS t(i))
+SELECT doc_id AS file_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS BIGINT) AS chunk_index, CAST(i AS INT) AS page_number, CAST(length(body) AS BIGINT) AS n_chars FROM p WHERE body <> ''""")
+def chunk_pages(spark, d):
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("[Page "), (i + 1).cast("string"), F.lit("]\n"), x))
+    rows = S.files(spark, d).withColumn("text", F.array_join(lines, "\n\n"))
+    body = F.regexp_replace("text", r"^\[[^\n]*\]\n", "")
+    # a line without paragraphs inside is never divided
+    return chunk.by_pages(rows).select("file_id", "chunk_index", "page_number", F.length(body).cast("long").alias("n_chars"))
+
+
+@query("""WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(0, length(text) - 401) + 1, 3100)) AS start FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id AS file_id, CAST(start AS BIGINT) AS start, trim(substr(text, CAST(start AS INT) + 1, 3500), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM s)
+SELECT file_id, start, CAST(length(t) AS BIGINT) AS n_chars FROM w WHERE length(t) >= 20""")
+def graph_windows_plain(spark, d):
+    return chunk.sliding(S.files(spark, d)).select("file_id", "start", F.length("text").cast("long").alias("n_chars"))
+
+
+# ---- index and retrieval
+
+@query(f"WITH {O.INDEX} SELECT conversation_id, chunk_id, dl FROM stats")
+def doc_stats(spark, d):
+    return index.doc_stats(S.chunks(spark, d))
+
+
+@query(f"WITH {O.INDEX} SELECT conversation_id, term, df, round(idf, 6) AS idf FROM idf")
+def idf_table(spark, d):
+    post = index.postings(S.chunks(spark, d))
+    found = index.idf(post, index.corpus_stats(index.doc_stats(S.chunks(spark, d))))
+    return found.select("conversation_id", "term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {O.BM25} SELECT * FROM sparse")
+def bm25_batch(spark, d):
+    return retrieve.bm25_topk(S.queries(spark, d), S.chunks(spark, d))
+
+
+@query(f"WITH {O.CHUNKS}, {O.QUERIES}, {O.DENSE} SELECT * FROM dense")
+def dense_topk(spark, d):
+    return retrieve.dense_topk(S.query_vectors(spark, d), S.vectors(spark, d))
+
+
+def _hits(spark, d):
+    dense, sparse = dense_topk(spark, d), bm25_batch(spark, d)
+    return dense, sparse, dense.select("query_id", "chunk_id").union(sparse.select("query_id", "chunk_id")).distinct()
+
+
+@query(f"WITH {O.FUSED} SELECT query_id, chunk_id, ratio FROM r")
+def coordination_ratio(spark, d):
+    return retrieve.coordination(S.queries(spark, d), _hits(spark, d)[2], S.chunks(spark, d))
+
+
+@query(f"WITH {O.FUSED} SELECT * FROM fused")
+def hybrid_retrieve(spark, d):
+    dense, sparse, hits = _hits(spark, d)
+    chunks = S.chunks(spark, d)
+    return retrieve.fuse(dense, sparse, retrieve.coordination(S.queries(spark, d), hits, chunks), chunks)
+
+
+@query(f"""WITH {O.FUSED}, good AS (SELECT DISTINCT query_id, file_type AS modality FROM fused WHERE final_score_pct >= 8),
+routed AS (SELECT query_id, conversation_id, unnest(['document','image','audio','video']) AS modality FROM q),
+up AS (SELECT DISTINCT conversation_id, file_type AS modality FROM chunks)
+SELECT query_id, modality, CASE WHEN up.modality IS NULL THEN 'not_uploaded' ELSE 'no_match' END AS status FROM routed ANTI JOIN good USING (query_id, modality) LEFT JOIN up USING (conversation_id, modality)""")
+def modality_gaps(spark, d):
+    routed = S.queries(spark, d).select("query_id", "conversation_id", F.explode(F.array(*[F.lit(m) for m in retrieve.MODALITIES])).alias("modality"))
+    return retrieve.modality_gaps(routed, hybrid_retrieve(spark, d), S.chunks(spark, d))
+
+
+@query("SELECT source AS conversation_id, (['document','image','audio','video'])[doc_id % 4 + 1] AS file_type, count(*) AS n FROM documents GROUP BY ALL")
+def modality_census(spark, d):
+    return S.chunks(spark, d).groupBy("conversation_id", "file_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id AS chunk_id, source AS conversation_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def active_file_semi_join(spark, d):
+    active = S.table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("chunk_id"))
+    return S.chunks(spark, d).join(active, "chunk_id", "left_semi").select("chunk_id", "conversation_id")
+
+
+# ---- graph
+
+@query(f"WITH {O.EDGES} SELECT min(seq) AS seq, source, relation, target, min_by(file_id, seq) AS file_id, count(*) AS sightings FROM e WHERE source <> target GROUP BY source, relation, target")
+def build_edges_dedup(spark, d):
+    return graph.dedup_edges(S.edges(spark, d))
+
+
+@query(f"WITH {O.EDGES}, u AS (SELECT DISTINCT source, relation, target FROM e) SELECT node, count(*) AS degree FROM (SELECT source AS node FROM u UNION ALL SELECT target FROM u) GROUP BY node")
+def node_degree(spark, d):
+    return graph.degrees(graph.dedup_edges(S.edges(spark, d)))
+
+
+@query(f"WITH {O.EDGES} SELECT relation, count(*) AS n_edges, count(DISTINCT source) AS n_sources, count(DISTINCT target) AS n_targets FROM e GROUP BY relation")
+def graph_stats(spark, d):
+    return S.edges(spark, d).groupBy("relation").agg(F.count("*").alias("n_edges"), F.countDistinct("source").alias("n_sources"), F.countDistinct("target").alias("n_targets"))
+
+
+@query(f"WITH {O.EDGES} SELECT seq, source, target FROM e WHERE file_id = '' OR file_id IN ('nation', 'customer')")
+def prune_inactive(spark, d):
+    active = spark.createDataFrame([("nation",), ("customer",)], "file_id string")
+    return graph.prune(S.edges(spark, d), active).select("seq", "source", "target")
+
+
+@query(f"WITH {O.EDGES} SELECT seq, source, target FROM e WHERE file_id <> 'lineitem'")
+def remove_file_edges(spark, d):
+    return graph.without_file(S.edges(spark, d), "lineitem").select("seq", "source", "target")
+
+
+@query(f"WITH {O.BOTH}, {O.levels('SELECT DISTINCT ' + chr(39) + 'N:' + chr(39) + ' || n_nationkey AS node FROM nation WHERE n_regionkey = 1', 3)} SELECT * FROM reached")
+def bfs_hops(spark, d):
+    seeds = S.table(spark, d, "nation").where("n_regionkey = 1").select(F.concat(F.lit("N:"), F.col("n_nationkey").cast("string")).alias("node"))
+    return graph.bfs(S.edges(spark, d), seeds, 3)
+
+
+@query(f"WITH {O.BOTH}, {O.levels('SELECT ' + chr(39) + 'S:1' + chr(39) + ' AS node', 2)} SELECT source, relation, target, min(seq) AS seq, CAST(min(depth) AS INT) AS depth FROM (SELECT e.*, depth FROM e JOIN reached ON node = source WHERE depth < 2 UNION ALL SELECT e.*, depth FROM e JOIN reached ON node = target WHERE depth < 2) GROUP BY ALL")
+def neighborhood(spark, d):
+    edges = graph.dedup_edges(S.edges(spark, d))
+    seeds = spark.createDataFrame([("S:1",)], "node string")
+    return graph.hops(edges, graph.bfs(edges, seeds, 2), 2).select("source", "relation", "target", "seq", "depth")
+
+
+@query(f"""WITH {O.BOTH}, p1 AS (SELECT other AS node, ['S:1', other] AS path FROM b WHERE node = 'S:1'),
+p2 AS (SELECT b.other AS node, list_append(path, b.other) AS path FROM p1 JOIN b USING (node) WHERE b.other <> 'S:1'),
+a AS (SELECT path FROM p1 WHERE node = 'S:2' UNION ALL SELECT path FROM p2 WHERE node = 'S:2')
+SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INT) AS length FROM (SELECT path FROM a ORDER BY len(path), path LIMIT 1)""")
+def shortest_path(spark, d):
+    found = graph.shortest_paths(S.edges(spark, d), "S:1", "S:2", 2)
+    return found.select(F.array_join("path", ">").alias("path"), "length")
+
+
+@query("SELECT file_type, count(*) AS n FROM (SELECT (['document','image','audio','video'])[doc_id % 4 + 1] AS file_type FROM documents) GROUP BY ALL")
+def node_type_histogram(spark, d):
+    return S.chunks(spark, d).groupBy("file_type").agg(F.count("*").alias("n"))
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part)
+SELECT a.name AS mention, b.name AS node, round(1 - levenshtein(lower(a.name), lower(b.name)) / greatest(length(a.name), length(b.name)), 6) AS score FROM n a JOIN n b ON a.name <> b.name
+WHERE 1 - levenshtein(lower(a.name), lower(b.name)) / greatest(length(a.name), length(b.name)) >= 0.75""")
+def fuzzy_match_nodes(spark, d):
+    """Pairs of distinct names at 0.75 or more. Both sides share a trigram at that similarity if the names have
+    eight letters or more, so trigrams are the join key and the pair is then verified."""
+    names = S.table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    n = F.length("name")
+    grams = names.select("name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: F.lower(F.substring("name", i, F.lit(2)))))).alias("gram"))
+    pairs = grams.join(grams.withColumnRenamed("name", "node"), "gram").where("name <> node and abs(length(name) - length(node)) <= 0.25 * greatest(length(name), length(node))").select("name", "node").distinct()
+    score = T.similarity(F.col("name"), F.col("node"))
+    return pairs.withColumn("score", F.round(score, 6)).where(score >= 0.75).select(F.col("name").alias("mention"), "node", "score")
+
+
+# ---- synthesis
+
+@query(r"""WITH m AS (SELECT conv_id, turn, lower(trim(text)) AS q FROM conversations),
+k AS (SELECT *, regexp_matches(q, '^(hi|hello|hey|greetings|howdy|sup|yo|hi\s+there|hello\s+there)\b|^(good\s+(morning|afternoon|evening|day|night))\b|^(how\s+are\s+you|how\s+are\s+you\s+doing|how''s\s+it\s+going|hows\s+it\s+going|what''s\s+up|whats\s+up)\b|^(who\s+are\s+you|what\s+is\s+your\s+name|what\s+can\s+you\s+do|introduce\s+yourself|help\s+me)\b|^(thanks|thank\s+you|thank\s+you\s+very\s+much|thanks\s+a\s+lot|bye|goodbye|see\s+you)\b') AS greet,
+regexp_matches(q, '\b(pdf|docx?|txt|markdown|document|documents|file|files|upload|uploaded|schematic|diagram|blueprint)\b|\b(video|audio|recording|transcript|presentation|keyframe|slide|slides|page\s+\d+|table\s+\d+)\b|\b(in\s+the\s+file|in\s+the\s+document|in\s+the\s+pdf|from\s+the\s+data|according\s+to\s+the|based\s+on\s+the\s+file)\b') AS f FROM m)
+SELECT conv_id::VARCHAR AS conversation_id, turn, CASE WHEN greet AND NOT f THEN 'CASUAL' WHEN f THEN 'CORPUS_QUERY' ELSE 'GENERAL_KNOWLEDGE' END AS intent FROM k""")
+def intent_classify(spark, d):
+    return S.messages(spark, d).select("conversation_id", "turn", synthesis.intent(F.col("text")).alias("intent"))
+
+
+@query()
+def followup_detect(spark, d):
+    return S.messages(spark, d).select("conversation_id", "turn", synthesis.is_followup(F.col("text")).alias("followup"))
+
+
+@query()
+def contextualize(spark, d):
+    return synthesis.contextualized(S.messages(spark, d))
+
+
+@query()
+def critic_grade(spark, d):
+    """Each query graded on its three best passages."""
+    top = hybrid_retrieve(spark, d).where("position <= 3").join(S.chunks(spark, d).select("chunk_id", "text"), "chunk_id")
+    per = top.groupBy("query_id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"])).alias("passages"), F.max_by("final_score", -F.col("position")).alias("top_score"))
+    return synthesis.graded(S.queries(spark, d).join(per, "query_id"))
+
+
+def _answers(spark, d):
+    """Answers made of the first line of each document with a marker, then an unsupported claim."""
+    first = F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))
+    docs = S.table(spark, d, "documents")
+    answers = docs.select(F.col("doc_id").alias("answer_id"), F.concat(F.left(first, F.lit(120)), F.lit(" [1]. Zyxwv qponm lkjih [2]")).alias("answer"))
+    passages = docs.select(F.col("doc_id").alias("answer_id"), F.lit(1).alias("passage_number"), "text")
+    return answers, passages
+
+
+@query("SELECT doc_id AS answer_id, n AS claim_no, n + 1 AS passage_number FROM documents, range(2) AS t(n)")
+def claim_extract(spark, d):
+    return synthesis.claims(_answers(spark, d)[0]).select("answer_id", F.col("claim_no").cast("long").alias("claim_no"), F.col("passage_number").cast("long").alias("passage_number"))
+
+
+@query()
+def claim_verify(spark, d):
+    answers, passages = _answers(spark, d)
+    return synthesis.verified(synthesis.claims(answers), passages).select("answer_id", "claim_no", "is_grounded", "status")
+
+
+@query("SELECT doc_id AS answer_id, 0.5::DOUBLE AS groundedness, 2::BIGINT AS n_claims FROM documents")
+def groundedness(spark, d):
+    answers, passages = _answers(spark, d)
+    return synthesis.groundedness(synthesis.verified(synthesis.claims(answers), passages))
+
+
+@query("SELECT conversation_id, turn, role FROM (SELECT conv_id::VARCHAR AS conversation_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 4")
+def history_last_n(spark, d):
+    return session.last_turns(S.messages(spark, d), 4).select("conversation_id", "turn", "role")
+
+
+# ---- sessions
+
+@query("""SELECT doc_id AS file_id, source AS conversation_id, coalesce(CASE WHEN quality = 1 THEN 'done' WHEN quality = 0 THEN 'failed' END, CASE WHEN length(text) > 0 THEN 'done' ELSE 'pending' END) AS status FROM documents LEFT JOIN labels USING (doc_id)""")
+def file_status_normalize(spark, d):
+    return session.with_status(S.files(spark, d)).select("file_id", "conversation_id", "status")
+
+
+@query("SELECT source AS conversation_id, count(*) FILTER (doc_id % 4 = 0) AS n_document, count(*) FILTER (doc_id % 4 = 1) AS n_image, count(*) FILTER (doc_id % 4 = 2) AS n_audio, count(*) FILTER (doc_id % 4 = 3) AS n_video FROM documents GROUP BY source")
+def files_by_type(spark, d):
+    return session.by_type(S.files(spark, d))
+
+
+@query("""WITH f AS (SELECT source AS conversation_id, count(*) AS n_files FROM documents GROUP BY ALL), m AS (SELECT 'src' || (conv_id % 30) AS conversation_id, count(*) AS n_messages FROM conversations GROUP BY ALL),
+c AS (SELECT DISTINCT 'src' || (conv_id % 30) AS conversation_id, 'Title ' || (conv_id % 30) AS title FROM conversations WHERE conv_id % 30 >= 10)
+SELECT conversation_id, coalesce(title, 'Session ' || left(conversation_id, 8)) AS title, coalesce(n_files, 0) AS n_files, coalesce(n_messages, 0) AS n_messages FROM c FULL JOIN f USING (conversation_id) LEFT JOIN m USING (conversation_id)""")
+def conversation_summary(spark, d):
+    rows = S.table(spark, d, "conversations").withColumn("k", F.col("conv_id") % 30)
+    messages = rows.select(F.concat(F.lit("src"), F.col("k").cast("string")).alias("conversation_id"), "k")
+    known = messages.where("k >= 10").select("conversation_id", F.concat(F.lit("Title "), F.col("k").cast("string")).alias("title")).distinct()
+    return session.summary(known, S.files(spark, d), messages)
+
+
+@query("SELECT role, max(conv_id * 100 + turn) AS newest FROM conversations GROUP BY role")
+def message_upsert_dedup(spark, d):
+    rows = S.table(spark, d, "conversations").withColumn("newest", F.col("conv_id") * 100 + F.col("turn"))
+    return session.upserted(rows, ["role"], "newest").select("role", "newest")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN trim(substr(text, 1, 40)) || CASE WHEN length(text) > 40 THEN '...' ELSE '' END ELSE 'Kept' END AS title FROM conversations")
+def auto_title(spark, d):
+    title = F.when(F.col("turn") % 2 == 0, "New Conversation").otherwise("Kept")
+    return S.table(spark, d, "conversations").select("conv_id", "turn", session.auto_title(title, F.col("text")).alias("title"))
+
+
+@query("WITH e AS (SELECT source, count(*) FILTER (doc_id % 2 = 0) AS held, count(*) FILTER (doc_id % 2 = 1) AS more FROM documents GROUP BY source) SELECT doc_id AS file_id FROM documents JOIN e USING (source) WHERE doc_id % 2 = 1 AND held + more <= 50")
+def quota_check(spark, d):
+    files = S.files(spark, d)
+    return session.within_quota(files.where("file_id % 2 = 0"), files.where("file_id % 2 = 1"), 50).select("file_id")
+
+
+@query("SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def delete_file_cascade(spark, d):
+    gone = S.table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("chunk_id"))
+    return session.deleted(S.chunks(spark, d), gone, "chunk_id").select("chunk_id")
+
+
+@query("SELECT doc_id AS file_id, sha256('u1:' || doc_id) AS new_file_id, sha256('u1:' || source) AS new_conversation_id FROM documents")
+def clone_remap_ids(spark, d):
+    return session.cloned(S.files(spark, d), "u1").select("file_id", "new_file_id", "new_conversation_id")
+
+
+@query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations")
+def message_history(spark, d):
+    rows = S.table(spark, d, "conversations")
+    return rows.select("conv_id", "turn", "role", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("n"))
