@@ -19,7 +19,9 @@ library, so such a text does not come back unchanged; decoding drops the blank i
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ SPACE = "▁"
 class Transducer:
     """Pieces, byte fallback and the weights of piece pairs of a byte-pair model."""
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 500_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -58,7 +60,7 @@ class Transducer:
                 lengths.setdefault(p[-3:], set()).add(len(p))
         self.tails = {t: sorted(n, reverse=True) for t, n in lengths.items()}  # lengths of pieces by their last three characters
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.memo = Memo(lambda units: [self.unit_ids(u) for u in units], memo)
+        self.memo = Memo(self.units, memo)
         # a unit may also end between an ASCII letter and a stop or comma, if no piece holds such a pair
         self.cut = not any(re.search("[A-Za-z][.,]", p) for p in self.ids)
         self.output = [b""] * len(model.pieces)
@@ -66,6 +68,7 @@ class Transducer:
             self.output[i] = p.replace(SPACE, " ").encode()
         for b, i in self.bytes.items():
             self.output[i] = bytes([b])
+        self.table = pa.array(self.output, pa.large_binary())
 
     def merged(self, text: str) -> list[str]:
         """The merge procedure: join the best-scored neighbours, leftmost first, while any pair is a piece."""
@@ -89,11 +92,14 @@ class Transducer:
                 self.pairs[left, right] = found
         return found
 
-    def path(self, unit: str) -> list[str]:
-        """The pieces of the shortest path; characters outside the pieces stand for themselves."""
-        last: list[str] = [""]
+    def path(self, unit: str, last: list[str] | None = None) -> list[str]:
+        """The pieces of the shortest path; characters outside the pieces stand for themselves.
+
+        last: the live states of a prefix of the unit, one a position; it is extended to the whole unit.
+        """
+        last = [""] if last is None else last
         whole, tails, pairs, none = self.whole.get, self.tails.get, self.pairs.get, ()
-        for end in range(1, len(unit) + 1):
+        for end in range(len(last), len(unit) + 1):
             for size in (*tails(unit[end - 3 : end], none), 2, 1) if end > 2 else (2, 1):
                 if size > end:
                     continue
@@ -115,13 +121,36 @@ class Transducer:
             end -= len(last[end])
         return out[::-1]
 
-    def unit_ids(self, unit: str) -> list[int]:
-        pieces = self.merged(unit) if unit.count(SPACE) > 1 and len(unit) <= 64 else self.path(unit) if unit.count(SPACE) <= 1 else self._run(unit)
+    def unit_ids(self, unit: str, last: list[str] | None = None) -> list[int]:
+        if unit.count(SPACE) <= 1:
+            pieces = self.path(unit, last)
+        else:
+            pieces = self.merged(unit) if len(unit) <= 64 else self._run(unit)
         ids: list[int] = []
         for p in pieces:
-            ids += [self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()]
+            if p in self.ids:
+                ids.append(self.ids[p])
+            else:
+                ids += [self.bytes[b] for b in p.encode()]
         return ids
 
+    def units(self, units: list[str]) -> list[list[int]]:
+        """Ids of many units. In sorted order, a unit starts from the states of the prefix it shares."""
+        out: list[list[int]] = [[]] * len(units)
+        last, before = [""], ""
+        for k in sorted(range(len(units)), key=units.__getitem__):
+            unit = units[k]
+            if unit.count(SPACE) > 1:
+                out[k] = self.unit_ids(unit)
+                continue
+            n, most = 0, min(len(unit), len(before))
+            while n < most and unit[n] == before[n]:
+                n += 1
+            del last[n + 1 :]
+            out[k] = self.unit_ids(unit, last)
+            before = unit
+        return out
+
     def _run(self, unit: str) -> list[str]:
         """A long unit after a run of blanks: the last blank goes with the word if they merge."""
         word = unit.lstrip(SPACE)
@@ -171,9 +200,15 @@ class Transducer:
             ids = np.concatenate(parts)
         return ids, counts
 
-    def decode(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.output.__getitem__, ids))
-        return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
+    def decode_batch(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The bytes that each text's ids write, less the blank in front."""
+        if not len(ids):
+            return [b""] * len(counts)
+        written = self.table.take(pa.array(ids))
+        ends = np.frombuffer(written.buffers()[1], dtype="<i8")[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        raw = memoryview(written.buffers()[2])
+        skip = 1 if self.prefix else 0
+        return [bytes(raw[a + skip if raw[a : a + 1] == b" " else a : b]) for a, b in zip(ends, ends[1:])]
 
 
 _MACHINES: dict[str, Transducer] = {}
@@ -213,8 +248,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 offsets, flat = lists(part.column(at))
-                raw, ids = offsets.tolist(), flat.to_pylist()
-                texts = [own.decode(ids[a:b]) for a, b in zip(raw, raw[1:])]
+                texts = [x.decode("utf-8", "replace") for x in own.decode_batch(np.asarray(flat), np.diff(offsets))]
                 yield pa.record_batch([*part.columns, pa.array(texts)], names=[*part.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
@@ -222,14 +256,26 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
-    """Per document: doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit), n_byte_pieces, decoded_sha256, lossless."""
-    both = decode(encode(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), model), model)
-    little = F.transform("piece_ids", lambda i: F.reverse(F.unhex(F.lpad(F.hex(i), 8, "0"))))
-    return both.select(
-        "doc_id",
-        F.size("piece_ids").cast("long").alias("n_pieces"),
-        F.crc32(F.unhex(F.array_join(F.transform(little, lambda b: F.hex(b)), ""))).alias("ids_crc32"),
-        F.size(F.filter("piece_ids", lambda i: i.between(3, 258))).cast("long").alias("n_byte_pieces"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.col("text")).alias("lossless"),
-    )
+    """Per document: doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit), n_byte_pieces, decoded_sha256, lossless.
+
+    Encodes and decodes a batch in one pass, so ids do not leave the task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = machine(model)
+        low, high = min(own.bytes.values()), max(own.bytes.values())
+        for batch in batches:
+            for i, j in text_slices(batch.column(1), 3_000_000):
+                ids, counts = own.encode_batch(batch.column(1)[i:j])
+                ends = np.concatenate(([0], np.cumsum(counts)))
+                raw = memoryview(ids.astype("<u4").tobytes())
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends.tolist(), ends[1:].tolist())]
+                in_bytes = np.concatenate(([0], np.cumsum((ids >= low) & (ids <= high))))[ends]
+                back = own.decode_batch(ids, counts)
+                plain = batch.column(1)[i:j].cast(pa.binary()).to_numpy(zero_copy_only=False)
+                same = [x == y for x, y in zip(back, plain)]
+                sha = [hashlib.sha256(x).hexdigest() for x in back]
+                yield pa.record_batch([batch.column(0)[i:j], pa.array(counts, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.diff(in_bytes), pa.int64()), pa.array(sha), pa.array(same)], names=["doc_id", "n_pieces", "ids_crc32", "n_byte_pieces", "decoded_sha256", "lossless"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, n_byte_pieces long, decoded_sha256 string, lossless boolean")
