@@ -36,9 +36,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = tokenizer_file("piece_bpe_32k.model")
-    both = sentencepiece_fst.decode(sentencepiece_fst.encode(docs, model), model)
-    return both.select("doc_id", "lang", "source", F.size("piece_ids").alias("n_pieces"), "piece_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+    found = sentencepiece_fst.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_file("piece_bpe_32k.model"), check=True)
+    return found.select("doc_id", "lang", "source", F.size("piece_ids").alias("n_pieces"), "piece_ids", "lossless")
 
 
 STAGES = [("language", language), ("lines", lines), ("near", near), ("mixing", mixed), ("pieces", pieces)]

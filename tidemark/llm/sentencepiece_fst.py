@@ -38,7 +38,7 @@ SPACE = "▁"
 class Transducer:
     """Pieces, byte fallback and the weights of piece pairs of a byte-pair model."""
 
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str, memo: int = 100_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -88,7 +88,7 @@ class Transducer:
         found = self.pairs.get((left, right))
         if found is None:
             found = left not in self.whole or self.merged(left + right) == [left, right]
-            if len(self.pairs) < 400_000:
+            if len(self.pairs) < 200_000:
                 self.pairs[left, right] = found
         return found
 
@@ -220,21 +220,28 @@ def machine(path: str) -> Transducer:
     return _MACHINES[path]
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
-    """The documents with piece_ids; rows are independent and keep their other columns."""
-    docs = docs.drop("piece_ids")
+def encode(docs: DataFrame, model: str, check: bool = False) -> DataFrame:
+    """The documents with piece_ids; rows are independent and keep their other columns.
+
+    check: adds lossless, whether the ids decode to the text (null: empty), in the same pass.
+    """
+    docs = docs.drop("piece_ids", "lossless") if check else docs.drop("piece_ids")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = machine(model)
         for batch in batches:
-            for i, j in text_slices(batch.column(at), 3_000_000):
+            for i, j in text_slices(batch.column(at), 2_000_000):
                 ids, counts = own.encode_batch(batch.column(at)[i:j])
                 offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
-                yield pa.record_batch([*[c[i:j] for c in batch.columns], pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))], names=[*batch.schema.names, "piece_ids"])
+                added = {"piece_ids": pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))}
+                if check:
+                    plain = pc.fill_null(batch.column(at)[i:j], "").cast(pa.binary()).to_numpy(zero_copy_only=False)
+                    added["lossless"] = pa.array([x == y for x, y in zip(own.decode_batch(ids, counts), plain)], pa.bool_())
+                yield pa.record_batch([*[c[i:j] for c in batch.columns], *added.values()], names=[*batch.schema.names, *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, piece_ids array<int>")
+    return docs.mapInArrow(run, f"{schema}, piece_ids array<int>" + ", lossless boolean" * check)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -265,7 +272,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
         own = machine(model)
         low, high = min(own.bytes.values()), max(own.bytes.values())
         for batch in batches:
-            for i, j in text_slices(batch.column(1), 3_000_000):
+            for i, j in text_slices(batch.column(1), 2_000_000):
                 ids, counts = own.encode_batch(batch.column(1)[i:j])
                 ends = np.concatenate(([0], np.cumsum(counts)))
                 raw = memoryview(ids.astype("<u4").tobytes())
