@@ -89,7 +89,9 @@ def canonical_id(name: Column) -> Column:
     x = F.regexp_replace(strip_title(name), r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")
     x = F.regexp_replace(F.regexp_replace(x, r"[\s\-_/\\|:,.]+", "_"), r"[^A-Za-z0-9_]", "")
     x = F.upper(F.btrim(F.regexp_replace(x, "_+", "_"), F.lit("_")))
-    return F.when(x == "", F.lit("ENTITY_UNKNOWN")).when(x.rlike("^[0-9]+$"), F.concat(F.lit("ENTITY_VAL_"), x)).otherwise(F.concat(F.lit("ENTITY_"), x))
+    # one chain without branches, so that the expression stays small where filters on it are pushed down
+    x = F.regexp_replace(F.regexp_replace(x, "^$", "UNKNOWN"), "^([0-9]+)$", "VAL_$1")
+    return F.concat(F.lit("ENTITY_"), x)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -97,3 +99,21 @@ def similarity(a: Column, b: Column) -> Column:
     x, y = F.lower(F.btrim(a)), F.lower(F.btrim(b))
     longest = F.greatest(F.length(x), F.length(y))
     return F.when(x == y, 1.0).when((x == "") | (y == ""), 0.0).otherwise(1 - F.levenshtein(x, y) / longest)
+
+
+def snippet(text: Column, term: Column, before: int = 100, after: int = 240, whole: int = 320) -> Column:
+    """The text around the term's first place, with dots where it is cut; without the term, the first 300 characters."""
+    at = F.instr(F.lower(text), F.lower(term))
+    start = F.greatest(F.lit(1), at - before)
+    end = F.least(F.length(text), at - 1 + after)
+    around = F.concat(F.when(start > 1, "...").otherwise(""), F.substr(text, start, end - start + 1), F.when(end < F.length(text), "...").otherwise(""))
+    head = F.when(F.length(text) > whole, F.concat(F.left(text, F.lit(300)), F.lit("..."))).otherwise(text)
+    return F.when((at > 0) & (F.length(term) > 0), around).otherwise(head)
+
+
+def page_text(text: Column, number: Column) -> Column:
+    """The text between a page's tag, ``[Page n]`` or ``--- Page n ---``, and the next tag; null without that page."""
+    tag = r"(?i)(?:\[Page\s*\d+(?:\s*\(OCR\))?\]|---\s*Page\s*\d+\s*---)"
+    bodies = F.split(text, tag, -1)
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(f"({tag})"), F.lit(1)), lambda t: F.regexp_extract(t, r"\d+", 0).cast("int"))
+    return F.btrim(F.get(bodies, F.nullif(F.array_position(numbers, number), F.lit(0)).cast("int")), F.lit(" \n\t\r"))

@@ -80,3 +80,14 @@ def sliding(files: DataFrame, size: int = 3500, overlap: int = 400, least: int =
     rows = files.where("text is not null").select("file_id", "text", F.explode(starts).alias("start"))
     rows = rows.select("file_id", F.col("start").cast("long").alias("start"), F.btrim(F.substring("text", F.col("start") + 1, F.lit(size)), F.lit(" \n\t\r")).alias("text"))
     return rows.where(F.length("text") >= least)
+
+
+def windows(files: DataFrame, before: str, size: int, least: int, glue: str = "\n\n") -> DataFrame:
+    """Windows for triple extraction of texts with tags: (file_id, window_no, text, timestamp, page_number).
+
+    The text is split in front of each tag (4,200 characters and parts of 20 for pages; 3,000 and 15 for
+    stamps), and short parts go; a window has the first page or stamp in it.
+    """
+    parts = F.filter(filled(F.split(F.coalesce("text", F.lit("")), before)), lambda x: F.length(x) >= least)
+    rows = files.select("file_id", F.posexplode(packed(parts, size, glue)).alias("window_no", "text"))
+    return rows.select("file_id", "window_no", "text", first_stamp(F.col("text")).alias("timestamp"), page_number(F.col("text")).alias("page_number"))

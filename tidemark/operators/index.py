@@ -37,3 +37,11 @@ def add_new(old: DataFrame, new: DataFrame) -> DataFrame:
 def without_files(index: DataFrame, files: DataFrame) -> DataFrame:
     """The index without the given files."""
     return index.join(files.select("file_id").distinct(), "file_id", "left_anti")
+
+
+def stub_vectors(chunks: DataFrame, size: int = 384) -> DataFrame:
+    """(chunk_id, slot, value): unit vectors of hashed words in sparse form, in place of an embedding model."""
+    slot = (F.conv(F.left(F.md5("word"), F.lit(8)), 16, 10).cast("long") % size).cast("int")
+    counts = chunks.select("chunk_id", F.explode(T.tokens(F.col("text"))).alias("word")).groupBy("chunk_id", slot.alias("slot")).agg(F.count("*").alias("n"))
+    norms = counts.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    return counts.join(norms, "chunk_id").select("chunk_id", "slot", (F.col("n") / F.col("norm")).alias("value"))

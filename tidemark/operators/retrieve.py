@@ -116,3 +116,9 @@ def modality_gaps(routed: DataFrame, found: DataFrame, uploaded: DataFrame, leas
     open_ = routed.join(good, ["query_id", "modality"], "left_anti")
     there = uploaded.select("conversation_id", F.col("file_type").alias("modality")).distinct().withColumn("there", F.lit(True))
     return open_.join(there, ["conversation_id", "modality"], "left").select("query_id", "modality", F.when(F.col("there"), "no_match").otherwise("not_uploaded").alias("status"))
+
+
+def default_weights(queries: DataFrame) -> DataFrame:
+    """(query_id, file_type, weight) without a routing model: documents weigh 1, other modalities 0.5."""
+    weights = F.array(*[F.struct(F.lit(m).alias("file_type"), F.lit(1.0 if m == "document" else 0.5).alias("weight")) for m in MODALITIES])
+    return queries.select("query_id", F.explode(weights).alias("w")).select("query_id", "w.*")

@@ -79,3 +79,18 @@ def cloned(files: DataFrame, user: str) -> DataFrame:
     """Copies with new ids that depend on the old id and the user alone."""
     new = lambda c: F.sha2(F.concat_ws(":", F.lit(user), F.col(c).cast("string")), 256)
     return files.withColumns({"new_file_id": new("file_id"), "new_conversation_id": new("conversation_id")})
+
+
+def listed(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """The rows with their position within the key."""
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
+
+
+def deleted_conversations(conversations: DataFrame, dependents: dict[str, DataFrame], gone: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Conversations, and each table that hangs on them, without those in ``gone``."""
+    return deleted(conversations, gone, "conversation_id"), {name: deleted(t, gone, "conversation_id") for name, t in dependents.items()}
+
+
+def visible(rows: DataFrame, owned: DataFrame, user: str) -> DataFrame:
+    """Rows of the conversations that belong to the user, by (conversation_id, user_id)."""
+    return rows.join(owned.where(F.col("user_id") == user).select("conversation_id").distinct(), "conversation_id", "left_semi")

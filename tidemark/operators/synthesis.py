@@ -133,3 +133,39 @@ def groundedness(checked: DataFrame) -> DataFrame:
 
 def final_confidence(score: Column, n_claims: Column, critic: Column) -> Column:
     return F.when((score >= 0.75) & (n_claims > 0), "high").when(score >= 0.40, "medium").otherwise(critic)
+
+
+def windows(hits: DataFrame, size: int = 4) -> DataFrame:
+    """Adds start, score and excerpt to (query, text, ...): the ``size`` lines that hold most of the query's words.
+
+    Lines of up to three characters do not count; the first best window wins; texts without lines go. Each line
+    is tokenised once and reduced to the query's words.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(" \t\n\r"))), lambda x: F.length(x) > 3)
+    rows = hits.withColumns({"_asked": F.array_distinct(T.tokens(F.col("query"), drop_stopwords=True)), "_lines": lines}).where(F.size("_lines") > 0)
+    rows = rows.withColumn("_held", F.transform("_lines", lambda x: F.array_intersect("_asked", T.tokens(x, drop_stopwords=True))))
+    score = lambda i: F.size(F.array_distinct(F.flatten(F.slice("_held", i + 1, size))))
+    scored = F.transform("_held", lambda _, i: F.struct(score(i).alias("score"), (-i).alias("back")))
+    rows = rows.withColumn("_best", F.array_max(scored)).withColumn("start", -F.col("_best")["back"])
+    return rows.withColumns({"score": F.col("_best")["score"], "excerpt": F.array_join(F.slice("_lines", F.col("start") + 1, F.lit(size)), "\n")}).drop("_asked", "_lines", "_held", "_best")
+
+
+def names_entity(text: Column, entity: Column) -> Column:
+    """The text holds the entity, as it is or without punctuation, or holds its digits if there are four or more."""
+    t, e = F.lower(F.btrim(text)), F.lower(F.btrim(entity))
+    bare = lambda c: F.btrim(F.regexp_replace(c, r"[^\p{L}\p{N}_\s]", ""))
+    digits = lambda c: F.regexp_replace(c, r"[^0-9]", "")
+    return (e != "") & (F.contains(t, e) | ((F.length(bare(e)) >= 2) & F.contains(bare(t), bare(e))) | ((F.length(digits(e)) >= 4) & F.contains(digits(t), digits(e))))
+
+
+def relevant_hops(hops: DataFrame, texts: DataFrame) -> DataFrame:
+    """Hops (answer_id, seq, from_node, relation, to_node) that the answer of (answer_id, query, answer) tells of.
+
+    The source is in the query or the answer and the target in the answer; mirrors go; the first of a pair of nodes stays.
+    """
+    rows = hops.where("from_node <> '' and to_node <> '' and relation <> ''").where(~F.startswith("relation", F.lit("INVERSE_"))).join(texts, "answer_id")
+    both = F.concat_ws(" \n ", "query", "answer")
+    rows = rows.where(names_entity(both, F.col("from_node")) & names_entity(F.col("answer"), F.col("to_node")))
+    pair = F.array_sort(F.array(F.lower(F.btrim("from_node")), F.lower(F.btrim("to_node"))))
+    first = rows.groupBy("answer_id", pair.alias("_pair")).agg(F.min_by(F.struct("seq", "from_node", "relation", "to_node"), "seq").alias("h"))
+    return first.select("answer_id", "h.*")

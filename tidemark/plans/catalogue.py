@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import chunk, graph, index, ingest, retrieve, session, synthesis
+from tidemark.operators import chunk, graph, index, ingest, resolve, retrieve, session, synthesis
 from tidemark.sources import tables as S
 
-from . import oracle as O
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers the function under its name, with its SQL twin."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
+from . import knowledge, oracle as O, passages  # noqa: F401 - the two modules register their queries
+from .lineage import cut
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 
 # ---- text
@@ -149,7 +134,8 @@ def dense_topk(spark, d):
 
 
 def _hits(spark, d):
-    dense, sparse = dense_topk(spark, d), bm25_batch(spark, d)
+    # a few rows a query, each read several times by what follows
+    dense, sparse = cut(dense_topk(spark, d)), cut(bm25_batch(spark, d))
     return dense, sparse, dense.select("query_id", "chunk_id").union(sparse.select("query_id", "chunk_id")).distinct()
 
 
@@ -165,6 +151,19 @@ def hybrid_retrieve(spark, d):
     return retrieve.fuse(dense, sparse, retrieve.coordination(S.queries(spark, d), hits, chunks), chunks)
 
 
+@query(f"WITH {O.FUSED} SELECT query_id, chunk_id, round(coalesce(0.5 / (40 + dense_rank), 0.0) + coalesce(0.5 / (40 + bm25_rank), 0.0), 6)::DOUBLE AS rrf FROM hits")
+def rrf_fuse(spark, d):
+    dense, sparse, _ = _hits(spark, d)
+    part = lambda c: F.coalesce(F.lit(0.5) / (retrieve.RRF_K + F.col(c)), F.lit(0.0))
+    both = dense.join(sparse, ["query_id", "chunk_id"], "full_outer")
+    return both.select("query_id", "chunk_id", F.round(part("dense_rank") + part("bm25_rank"), 6).alias("rrf"))
+
+
+@query(f"WITH {O.FUSED} SELECT query_id, confidence_tier, count(*) AS n FROM fused GROUP BY ALL")
+def confidence_tiers(spark, d):
+    return hybrid_retrieve(spark, d).groupBy("query_id", "confidence_tier").agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH {O.FUSED}, good AS (SELECT DISTINCT query_id, file_type AS modality FROM fused WHERE final_score_pct >= 8),
 routed AS (SELECT query_id, conversation_id, unnest(['document','image','audio','video']) AS modality FROM q),
 up AS (SELECT DISTINCT conversation_id, file_type AS modality FROM chunks)
@@ -244,14 +243,10 @@ def node_type_histogram(spark, d):
 SELECT a.name AS mention, b.name AS node, round(1 - levenshtein(lower(a.name), lower(b.name)) / greatest(length(a.name), length(b.name)), 6) AS score FROM n a JOIN n b ON a.name <> b.name
 WHERE 1 - levenshtein(lower(a.name), lower(b.name)) / greatest(length(a.name), length(b.name)) >= 0.75""")
 def fuzzy_match_nodes(spark, d):
-    """Pairs of distinct names at 0.75 or more. Both sides share a trigram at that similarity if the names have
-    eight letters or more, so trigrams are the join key and the pair is then verified."""
+    """Pairs of distinct names at 0.75 or more."""
     names = S.table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    n = F.length("name")
-    grams = names.select("name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: F.lower(F.substring("name", i, F.lit(2)))))).alias("gram"))
-    pairs = grams.join(grams.withColumnRenamed("name", "node"), "gram").where("name <> node and abs(length(name) - length(node)) <= 0.25 * greatest(length(name), length(node))").select("name", "node").distinct()
-    score = T.similarity(F.col("name"), F.col("node"))
-    return pairs.withColumn("score", F.round(score, 6)).where(score >= 0.75).select(F.col("name").alias("mention"), "node", "score")
+    found = resolve.similar_names(names.withColumnRenamed("name", "mention"), names, 0.75).where("mention <> name")
+    return found.select("mention", F.col("name").alias("node"), F.round("score", 6).alias("score"))
 
 
 # ---- synthesis
@@ -282,6 +277,25 @@ def critic_grade(spark, d):
     return synthesis.graded(S.queries(spark, d).join(per, "query_id"))
 
 
+@query()
+def reformulate(spark, d):
+    """The retry text of each query the critic sends back."""
+    low = critic_grade(spark, d).where("should_retry").join(S.queries(spark, d), "query_id")
+    return low.select("query_id", synthesis.reformulated(F.col("query"), F.col("missing")).alias("retry_query"))
+
+
+_LINES = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: length(x) > 3)"
+
+
+@query(f"""WITH {O.FUSED}, top AS (SELECT query_id, position, list_distinct({O.tokens('query', True)}) AS asked, {_LINES} AS lines FROM fused JOIN chunks USING (chunk_id) JOIN q USING (query_id) WHERE position <= 3),
+l AS (SELECT query_id, position, i, lines, asked, len(list_intersect(asked, {O.tokens("array_to_string(lines[i:i + 3], ' ')", True)})) AS score FROM top, unnest(range(1, len(lines) + 1)) AS t(i))
+SELECT query_id, position, CAST(arg_max(i, score * 100000 - i) - 1 AS INT) AS start, CAST(max(score) AS INT) AS score FROM l GROUP BY ALL""")
+def extractive_window(spark, d):
+    top = hybrid_retrieve(spark, d).where("position <= 3").select("query_id", "chunk_id", "position")
+    rows = top.join(S.chunks(spark, d).select("chunk_id", "text"), "chunk_id").join(S.queries(spark, d).select("query_id", "query"), "query_id")
+    return synthesis.windows(rows).select("query_id", "position", "start", "score")
+
+
 def _answers(spark, d):
     """Answers made of the first line of each document with a marker, then an unsupported claim."""
     first = F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))
@@ -308,6 +322,27 @@ def groundedness(spark, d):
     return synthesis.groundedness(synthesis.verified(synthesis.claims(answers), passages))
 
 
+@query("SELECT doc_id AS answer_id, CASE doc_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence FROM documents")
+def final_confidence(spark, d):
+    """Groundedness is 0.5 everywhere here; a third of the scores is raised, a third lowered."""
+    shift = F.when(F.col("answer_id") % 3 == 0, -0.25).when(F.col("answer_id") % 3 == 2, 0.25).otherwise(0.0)
+    return groundedness(spark, d).select("answer_id", synthesis.final_confidence(F.col("groundedness") + shift, F.col("n_claims"), F.lit("low")).alias("confidence"))
+
+
+@query("""WITH h AS (SELECT o_orderkey AS answer_id, 'order ' || o_orderkey AS a, 'customer ' || o_custkey AS b, o_orderkey % 4 AS k FROM orders)
+SELECT answer_id, 1::BIGINT AS seq, a AS from_node, 'PLACED_BY' AS relation, b AS to_node FROM h WHERE k <> 3
+UNION ALL SELECT answer_id, 2, b, 'PLACED', a FROM h WHERE k = 3""")
+def hop_filter(spark, d):
+    """Per order a hop, its reverse (the same pair) and an inverse mirror; the answer names the first hop's target but in every fourth."""
+    o, c = F.concat(F.lit("order "), F.col("o_orderkey").cast("string")), F.concat(F.lit("customer "), F.col("o_custkey").cast("string"))
+    rows = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("answer_id"), o.alias("o"), c.alias("c"))
+    hop = lambda seq, a, r, b: F.struct(F.lit(seq).cast("long").alias("seq"), a.alias("from_node"), F.lit(r).alias("relation"), b.alias("to_node"))
+    hops = rows.select("answer_id", F.explode(F.array(hop(0, F.col("c"), "INVERSE_PLACED_BY", F.col("o")), hop(1, F.col("o"), "PLACED_BY", F.col("c")), hop(2, F.col("c"), "PLACED", F.col("o")))).alias("h")).select("answer_id", "h.*")
+    named = F.col("answer_id") % 4 == 3
+    texts = rows.select("answer_id", F.concat(F.lit("who has "), F.when(named, F.col("c")).otherwise(F.col("o")), F.lit("?")).alias("query"), F.concat(F.lit("It is "), F.when(named, F.col("o")).otherwise(F.col("c")), F.lit(" .")).alias("answer"))
+    return synthesis.relevant_hops(hops, texts)
+
+
 @query("SELECT conversation_id, turn, role FROM (SELECT conv_id::VARCHAR AS conversation_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 4")
 def history_last_n(spark, d):
     return session.last_turns(S.messages(spark, d), 4).select("conversation_id", "turn", "role")
