@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.plans.lineage import cut
 
 from .extract import relation_name
 
@@ -83,19 +84,19 @@ def lookup(mentions: DataFrame, known: DataFrame) -> DataFrame:
     """
     m = mentions.select("mention").where(F.btrim("mention") != "").distinct()
     aliases = known.select("node", "at", F.explode(F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), F.array("name"))).alias("alias")).where("alias is not null")
-    first = lambda rows, tier: rows.groupBy("mention").agg(F.min_by("node", "at").alias("node")).withColumn("tier", F.lit(tier))
-    left = lambda done: m.join(done.select("mention"), "mention", "left_anti")
-
-    out = first(m.join(known.select("node", "at"), F.btrim("mention") == F.col("node")), 1)
-    canonical = m.withColumn("node", T.canonical_id(F.col("mention"))).join(known.select("node", "at"), "node")
-    named = m.withColumn("k", F.lower(F.btrim("mention"))).join(aliases.withColumn("k", F.lower("alias")), "k")
-    for tier, rows in ((2, canonical), (3, named)):
-        out = out.unionByName(first(rows.join(out.select("mention"), "mention", "left_anti"), tier))
-    near = similar_names(left(out), aliases.select(F.col("alias").alias("name")).distinct()).join(aliases.withColumnRenamed("alias", "name"), "name")
-    best = near.groupBy("mention").agg(F.min_by("node", F.struct(-F.col("score"), "at")).alias("node")).withColumn("tier", F.lit(4))
-    out = out.unionByName(best)
-
-    rest = left(out).withColumn("low", F.lower(F.btrim("mention"))).where(~F.col("low").isin(GENERIC))
+    tiered = lambda rows, tier, score=F.lit(0.0): rows.select("mention", "node", F.lit(tier).alias("tier"), score.alias("score"), "at")
+    best = lambda rows: rows.groupBy("mention").agg(F.min_by(F.struct("node", "tier"), F.struct("tier", "score", "at")).alias("x")).select("mention", "x.*")
+
+    by_id = tiered(m.join(known.select("node", "at"), F.btrim("mention") == F.col("node")), 1)
+    canonical = tiered(m.withColumn("node", T.canonical_id(F.col("mention"))).join(known.select("node", "at"), "node"), 2)
+    named = tiered(m.withColumn("k", F.lower(F.btrim("mention"))).join(aliases.withColumn("k", F.lower("alias")), "k"), 3)
+    # what the equi-joins found is kept, since the later tiers need it more than once
+    exact = cut(best(by_id.unionByName(canonical).unionByName(named)))
+    open_ = m.join(exact.select("mention"), "mention", "left_anti")
+    near = similar_names(open_, aliases.select(F.col("alias").alias("name")).distinct()).join(aliases.withColumnRenamed("alias", "name"), "name")
+    near = cut(best(tiered(near, 4, -F.col("score"))))
+
+    rest = open_.join(near.select("mention"), "mention", "left_anti").withColumn("low", F.lower(F.btrim("mention"))).where(~F.col("low").isin(GENERIC))
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: (w != "") & ~w.isin(GENERIC)))
     held = known.select("node", "at", F.lower("name").alias("text"), F.explode(words(F.col("name"))).alias("word"))
     short = F.create_map(*[F.lit(x) for kv in ACRONYMS.items() for x in kv])[F.col("low")]
@@ -107,10 +108,8 @@ def lookup(mentions: DataFrame, known: DataFrame) -> DataFrame:
     sixth = meets.where((F.length("low") >= 4) & F.contains(F.concat(F.lit(" "), F.regexp_replace("text", r"[^\p{L}\p{N}_]+", " "), F.lit(" ")), F.concat(F.lit(" "), F.regexp_replace("low", r"[^\p{L}\p{N}_]+", " "), F.lit(" "))))
     share = F.size("common") / F.size("ws")
     seventh = meets.where((share >= OVERLAP) & ((F.size(own) == 0) | F.arrays_overlap(own, F.col("common"))))
-    seventh = seventh.groupBy("mention").agg(F.min_by("node", F.struct(-share, "at")).alias("node")).withColumn("tier", F.lit(7))
-    late = first(fifth, 5).unionByName(first(sixth, 6)).unionByName(seventh)
-    late = late.groupBy("mention").agg(F.min_by(F.struct("node", "tier"), "tier").alias("x")).select("mention", "x.*")
-    return out.unionByName(late)
+    late = best(tiered(fifth, 5).unionByName(tiered(sixth, 6)).unionByName(tiered(seventh, 7, -share)))
+    return exact.unionByName(near).unionByName(late)
 
 
 def resolved(triples: DataFrame, least: float = SIMILAR) -> DataFrame:
