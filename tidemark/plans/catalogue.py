@@ -259,12 +259,18 @@ def intent_classify(spark, d):
     return S.messages(spark, d).select("conversation_id", "turn", synthesis.intent(F.col("text")).alias("intent"))
 
 
-@query()
+_FOLLOWUP = "({any} OR {n} <= 4)".format(any=" OR ".join("regexp_matches(lower(text), '" + p.replace("'", "''") + "')" for p in synthesis.FOLLOWUPS), n=O.n_words("text"))
+
+
+@query(f"SELECT conv_id::VARCHAR AS conversation_id, turn, {_FOLLOWUP} AS followup FROM conversations")
 def followup_detect(spark, d):
     return S.messages(spark, d).select("conversation_id", "turn", synthesis.is_followup(F.col("text")).alias("followup"))
 
 
-@query()
+@query(rf"""WITH l AS (SELECT conv_id, turn, role, text, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations),
+u AS (SELECT *, trim(regexp_extract(lower(text), '(?:what|how)\s+about\s+([a-zA-Z\s]+)', 1)) AS subject FROM l WHERE role = 'user')
+SELECT conv_id::VARCHAR AS conversation_id, turn, CASE WHEN coalesce(before, '') = '' OR ({O.n_words('text')} > 10 AND NOT {_FOLLOWUP}) THEN text
+ELSE trim(regexp_replace(before, '[^\w\s]', '', 'g')) || ' ' || CASE WHEN subject <> '' THEN subject ELSE text END END AS standalone FROM u""")
 def contextualize(spark, d):
     return synthesis.contextualized(S.messages(spark, d))
 

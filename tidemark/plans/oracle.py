@@ -20,6 +20,11 @@ def stem(w: str) -> str:
     WHEN suffix({w}, 'ed') AND length({w}) > 4 THEN left({w}, length({w}) - 2) ELSE {w} END"""
 
 
+def n_words(text: str) -> str:
+    trimmed = rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
+    return rf"CASE WHEN {trimmed} = '' THEN 0 ELSE len(string_split_regex({trimmed}, '\s+')) END"
+
+
 def tokens(text: str, drop: bool = False) -> str:
     base = words(text)
     if drop:
