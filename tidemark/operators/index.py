@@ -34,6 +34,11 @@ def add_new(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new.join(old.select("chunk_id"), "chunk_id", "left_anti"))
 
 
+def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Upsert by chunk_id: a new row takes the place of the old one."""
+    return old.join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new)
+
+
 def without_files(index: DataFrame, files: DataFrame) -> DataFrame:
     """The index without the given files."""
     return index.join(files.select("file_id").distinct(), "file_id", "left_anti")

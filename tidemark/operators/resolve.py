@@ -5,12 +5,13 @@ Named edges: (seq, source, source_name, source_type, relation, target, target_na
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.plans.lineage import cut
 
+from . import graph
 from .extract import relation_name
 
 # Relations whose target is a role of their source.
@@ -165,6 +166,21 @@ def path_hops(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return connecting(pairs, edges)
 
 
+def traversed(edges: DataFrame, source: str, target: str, depth: int = 3, most: int = 20) -> DataFrame:
+    """(hop_no, source, relation, target, part): hops of the shortest path, then the first ``most`` of the search around both
+    ends by (depth, seq), the first of each (source, relation, target)."""
+    spark = edges.sparkSession
+    path = cut(graph.shortest_paths(edges, source, target).select(F.lit(1).alias("chain_id"), "path"))
+    own = path_hops(path, edges).select(F.lit("path").alias("part"), F.col("hop_no").cast("long").alias("at"), F.col("seq"), "source", "relation", "target")
+    seeds = spark.createDataFrame([(source,), (target,)], "node string")
+    around = graph.hops(edges, graph.bfs(edges, seeds, depth), depth).orderBy("depth", "seq").limit(most)
+    around = around.select(F.lit("search").alias("part"), F.col("depth").cast("long").alias("at"), "seq", "source", "relation", "target")
+    order = F.struct("part", "at", "seq")
+    first = own.unionByName(around).groupBy("source", "relation", "target").agg(F.min(order).alias("o"))
+    n = F.row_number().over(Window.orderBy("o"))  # the path and ``most`` hops at the most
+    return first.select(n.alias("hop_no"), "source", "relation", "target", F.col("o.part").alias("part"))
+
+
 def search(known: DataFrame, degree: DataFrame, text: str) -> DataFrame:
     """Connected nodes (node, name, type, degree) whose name or type holds the text without regard to case."""
     hit = F.contains(F.lower("name"), F.lit(text.lower())) | F.contains(F.lower("type"), F.lit(text.lower()))

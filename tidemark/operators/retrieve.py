@@ -6,7 +6,7 @@ in a full outer join; reciprocal ranks, weighted term coverage and a modality we
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
@@ -100,16 +100,18 @@ def fuse(dense: DataFrame, sparse: DataFrame, ratios: DataFrame, chunks: DataFra
     scored = both.select("query_id", "chunk_id", "file_type", F.coalesce("dense_score", F.lit(0.0)).alias("dense_score"), F.coalesce("bm25_score", F.lit(0.0)).alias("bm25_score"), "dense_rank", "bm25_rank", F.round(ratio, 4).alias("coordination_ratio"), F.round(boost, 4).alias("modality_boost"), F.round(final, 4).alias("final_score"))
     whole = Window.partitionBy("query_id")
 
-    def pct(c: str):
-        low, high = F.min(c).over(whole), F.max(c).over(whole)
-        return F.round(F.when(high == low, F.when(high > 0, 100.0).otherwise(0.0)).otherwise((F.col(c) - low) / (high - low) * 100), 1)
-
-    scored = scored.select("*", *[pct(c).alias(f"{c}_pct") for c in ("final_score", "dense_score", "bm25_score")])
+    scored = scored.select("*", *[F.round(minmax(F.col(c), whole) * 100, 1).alias(f"{c}_pct") for c in ("final_score", "dense_score", "bm25_score")])
     order = whole.orderBy(F.desc("final_score_pct"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("bm25_rank"), "chunk_id")
     tier = F.when(F.col("final_score_pct") >= 70, "HIGH").when(F.col("final_score_pct") >= 40, "MEDIUM").otherwise("LOW")
     return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k).withColumn("confidence_tier", tier)
 
 
+def minmax(score: Column, whole: WindowSpec) -> Column:
+    """The score's place between the least and the greatest of its window; if all are equal 1, or 0 where they are not above 0."""
+    low, high = F.min(score).over(whole), F.max(score).over(whole)
+    return F.when(high == low, F.when(high > 0, 1.0).otherwise(0.0)).otherwise((score - low) / (high - low))
+
+
 def modality_gaps(routed: DataFrame, found: DataFrame, uploaded: DataFrame, least: float = 8.0) -> DataFrame:
     """(query_id, modality, status): routed modalities without a file, or without a result of ``least`` percent."""
     good = found.where(F.col("final_score_pct") >= least).select("query_id", F.col("file_type").alias("modality")).distinct()

@@ -409,3 +409,6 @@ def clone_remap_ids(spark, d):
 def message_history(spark, d):
     rows = S.table(spark, d, "conversations")
     return rows.select("conv_id", "turn", "role", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("n"))
+
+
+from . import answers  # noqa: E402,F401 - builds on the queries above

@@ -1,15 +1,23 @@
-"""Cutting a plan's lineage in loops."""
+"""Cutting a plan's lineage in loops, and the folder for tables between steps."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return base.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The frame, checkpointed to spark.checkpoint.dir; a temporary folder only where the session names none."""
+    """The frame, checkpointed to the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
+        context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()
