@@ -78,6 +78,19 @@ def test_join_cells_of_a_large_group(spark):
     assert [r.n_links for r in got] == want
 
 
+def test_join_cells_of_texts_of_many_lengths(spark):
+    """Texts grow by a few words each, so size steps are crossed by pairs just above and just below the threshold."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base[: 30 + 5 * i] + ([f"x{rng.randrange(99)}"] if i % 3 == 0 else [])) for i in range(70)] + [" ".join(base[:104]), " ".join(base[:129])]
+    sets = [grams(t) for t in texts]
+    assert any(5 * len(a & b) == 4 * len(a | b) for a in sets for b in sets)
+    want = [sum(i != j and len(a & b) >= 0.8 * len(a | b) - 1e-9 for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    for block in (6, 20, 1000):
+        got = ngram_join.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=block).orderBy("doc_id").collect()
+        assert [r.n_links for r in got] == want
+
+
 def test_plan_reaches_recall():
     bands, rows_ = ngram_join.plan(0.8)
     assert 1 - (1 - 0.8**rows_) ** bands >= 0.9999 and bands * rows_ <= 128

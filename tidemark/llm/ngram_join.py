@@ -6,8 +6,9 @@ sets form one class and are represented once. Band and row counts follow from th
 threshold. Band hashes are shuffled; a bucket with several classes links each to its least member, a
 linear number of edges, and connected components of these edges are the candidate groups. Each group's
 texts meet once, and every pair of classes in it is verified on the full gram sets by counting shared
-grams with matrix products. Groups larger than ``block`` classes are dealt over a grid of cells, so no
-task holds more than two blocks, and no pair ever becomes a row.
+grams with matrix products. Groups larger than ``block`` classes are first split by set size on a
+logarithmic scale, where only equal or neighbouring steps can hold a pair at the threshold, then dealt
+over a grid of cells, so no task holds more than two blocks, and no pair ever becomes a row.
 
 Result: one row per document with class_id (least doc_id among the documents it is linked to, directly or
 through others), n_links (documents at the threshold or above, equal ones included) and gram_key (equal
@@ -87,7 +88,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int
         texts = batch.column(2)
         for i, j in text_slices(texts):
             sets = gram_sets(texts[i:j], n)
-            keys, links = [], []
+            keys, links, sizes = [], [], [len(g) for g in sets]
             for grams in sets:
                 keys.append(None if not len(grams) else int(np.frombuffer(xxhash.xxh3_64_digest(grams.tobytes()), "<i8")[0]))
                 least = np.full(bands * rows, np.iinfo(np.uint32).max, dtype=np.uint32)
@@ -98,14 +99,16 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int
                 for r in range(rows):
                     code = _mixed(code + least.reshape(bands, rows)[:, r].astype(np.uint64) * _MIX)
                 links.append(code.view(np.int64).tolist() if len(grams) else [])
-            yield pa.record_batch([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(keys, pa.int64()), pa.array(links, pa.list_(pa.int64()))], names=["doc_id", "row_key", "gram_key", "bands"])
+            yield pa.record_batch([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(links, pa.list_(pa.int64()))], names=["doc_id", "row_key", "gram_key", "n_grams", "bands"])
 
 
-def _links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, times: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def _links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, times: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Number of linked documents of each set, and the least node reachable through links.
 
-    side: 0 and 1 in a cell of two blocks, where only pairs across count; all 0 otherwise.
+    side: 0 and 1 in a cell of two blocks, where only pairs across count; None in a cell of one block.
     """
+    if side is not None and (side == side[0]).all():
+        return np.zeros(len(nodes), dtype=np.int64), nodes
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
@@ -126,7 +129,7 @@ def _links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, times: n
         shared += part @ part.T
     linked = shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-6
     np.fill_diagonal(linked, False)
-    if side.any():
+    if side is not None:
         linked &= side[:, None] != side[None, :]
     label = nodes.copy()
     while True:
@@ -147,7 +150,8 @@ def _verified(batches: Iterator[pa.RecordBatch], n: int, threshold: float) -> It
         for i, j in text_slices(texts):
             sets += gram_sets(texts[i:j], n)
         nodes = np.array([r["node"] for r in held])
-        links, root = _links(nodes, sets, np.array([r["side"] for r in held]), np.array([r["times"] for r in held]), threshold)
+        side = np.array([r["side"] for r in held]) if held[0]["i"] != held[0]["j"] else None
+        links, root = _links(nodes, sets, side, np.array([r["times"] for r in held]), threshold)
         return pa.record_batch([pa.array(nodes), pa.array(links.astype(np.int64)), pa.array(root)], names=["node", "links", "root"])
 
     for batch in batches:
@@ -165,25 +169,34 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
     spark = docs.sparkSession
     bands, rows = plan(threshold, recall)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("row_key"), "text")
-    sigs = written(texts.mapInArrow(lambda b: _signatures(b, n, bands, rows), "doc_id long, row_key long, gram_key long, bands array<long>"))
+    sigs = written(texts.mapInArrow(lambda b: _signatures(b, n, bands, rows), "doc_id long, row_key long, gram_key long, n_grams long, bands array<long>"))
 
     # classes of equal gram sets
     counted = sigs.where("doc_id is not null and gram_key is not null").groupBy(F.col("gram_key").alias("node")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("times"))
     counted = written(counted)
 
     # candidate groups: one representative per class brings its bands
-    named = sigs.select("doc_id", "row_key", "bands", F.col("gram_key").alias("node")).join(counted.select("node", F.col("rep").alias("doc_id"), "times"), ["node", "doc_id"])
+    named = sigs.select("doc_id", "row_key", "n_grams", "bands", F.col("gram_key").alias("node")).join(counted.select("node", F.col("rep").alias("doc_id"), "times"), ["node", "doc_id"])
     banded = named.select("node", F.posexplode("bands").alias("band", "code")).distinct()
     buckets = banded.groupBy("band", "code").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last")
     edges = banded.join(buckets, ["band", "code"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     groups = components(edges)
 
-    # cells of the groups, with the texts
-    sized = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    heads = named.groupBy("node", "doc_id", "times").agg(F.min("row_key").alias("row_key"))
-    members = groups.join(sized, "component").join(heads, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # cells of the groups, with the texts: blocks of one size step meet those of the same and the neighbouring steps
+    heads = named.groupBy("node", "doc_id", "times", "n_grams").agg(F.min("row_key").alias("row_key"))
+    whole = groups.groupBy("component").agg(F.count("*").alias("classes"))
+    step = F.when(F.col("classes") > block, F.floor(F.log("n_grams") / F.lit(-math.log(threshold) * (1 + 1e-9))).cast("int")).otherwise(0)
+    members = groups.join(whole, "component").join(heads, "node").withColumn("step", step)
+    sized = members.groupBy("component", "step").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sized = sized.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("step", "blocks"))).alias("blocks"))
+    place = lambda s, k: s.cast("long") * (1 << 32) + k
+    none = F.array().cast("array<bigint>")
+    blocks = lambda s: F.coalesce(F.transform(F.sequence(F.lit(0), F.try_element_at("blocks", s) - 1), lambda k: place(s, k)), none)
+    own = F.pmod(F.xxhash64("node"), F.try_element_at("blocks", F.col("step")))
+    members = members.join(sized, "component").withColumn("own", place(F.col("step"), own))
+    members = members.withColumn("others", F.concat(*[blocks(F.col("step") + k) for k in (-1, 0, 1)])).drop("blocks", "step", "classes", "n_grams")
     keyed = texts.join(members.withColumnRenamed("component", "grp"), ["doc_id", "row_key"]).dropDuplicates(["node"])
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    other = F.explode("others").alias("other")
     cells = keyed.select("grp", "own", "node", "times", "text", other)
     cells = cells.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "times", "text")
     cells = cells.repartition(partitions(spark), "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
