@@ -1,0 +1,14 @@
+"""Cases in which an operator once did less than its whole job."""
+
+from tidemark.llm import pii
+
+
+def test_pii_candidates_do_not_hang_on_other_text(spark):
+    """Local numbers without a hyphen or at the end of a sentence, and unbroken secrets of any length."""
+    numbers = ["555.123.4567", "(555) 123.4567", "555-123-4567"]
+    cases = [(f"call {n}{end}", "local_phone", n) for n in numbers for end in ("", ".", "...", ". Then well-known", ", or")]
+    cases += [(f"x token={'k9' * n} y", "secret", f"token={'k9' * n}") for n in (4, 64, 65, 100, 50_000)]
+    cases += [("call 555.123.4567.8", None, None), ("call 555-123-4567.com", None, None)]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")
+    got = {(r.doc_id, pii.KINDS[r.kind], r.match, r.start) for r in pii.matches(df).collect() if pii.KINDS[r.kind] in ("local_phone", "secret")}
+    assert got == {(i, kind, match, text.index(match)) for i, (text, kind, match) in enumerate(cases) if kind}

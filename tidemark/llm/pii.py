@@ -31,12 +31,12 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "local_phone": r"(?<![0-9A-Za-z.+-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z.-])",
+    "local_phone": r"(?<![0-9A-Za-z.+-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-]|\.[0-9A-Za-z])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?:password|passwd|secret|token|api_key)[=:][^\x20\x09-\x0D]{8,128}|[0-9a-f]{40})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?:password|passwd|secret|token|api_key)[=:][^\x20\x09-\x0D]{8,}+|[0-9a-f]{40})(?![A-Za-z0-9])",
 }
-#: Needed in a text for a match of the kind; a cheap test before the pattern.
-NEEDS = {"email": "@", "phone": "+", "ip": ".", "local_phone": "-"}
+#: In every match of the kind; a cheap test before the pattern.
+NEEDS = {"email": "@", "phone": "+", "ip": "."}
 #: Gazetteers: top-level domains, telephone country codes, words of context.
 DOMAINS = "com org net edu gov info biz io co de fr es it uk eu us ca jp cn in au nl ch at be se no dk fi pl pt br mx".split()
 COUNTRIES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
