@@ -1,6 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
-from tidemark.llm import pii
+import random
+from collections import Counter
+
+import numpy as np
+
+from tidemark.llm import media, pii
 
 
 def test_pii_candidates_do_not_hang_on_other_text(spark):
@@ -12,3 +17,17 @@ def test_pii_candidates_do_not_hang_on_other_text(spark):
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")
     got = {(r.doc_id, pii.KINDS[r.kind], r.match, r.start) for r in pii.matches(df).collect() if pii.KINDS[r.kind] in ("local_phone", "secret")}
     assert got == {(i, kind, match, text.index(match)) for i, (text, kind, match) in enumerate(cases) if kind}
+
+
+def test_distinct_texts_have_distinct_features():
+    rng = random.Random(3)
+    words = ["the", "river", "lantern", "quiet", "stone", "of", "amber", "north", "+1 (626) 555-5759", "token"]
+    texts = sorted({" ".join(rng.choice(words) for _ in range(rng.randrange(1, 150))) for _ in range(400)})
+    prints = [media.fingerprint(media.from_wav(media.to_wav(x.encode()))) for x in texts]
+    assert len({p.tobytes() for p in prints}) == len(texts)
+    assert all((p[:, 3] > 0).all() and (p[:, 3] <= media.ZONE).all() for p in prints)
+    tones = sum(60 * np.sin(2 * np.pi * b * np.arange(media.FRAME * 9) / media.FRAME) for b in (20, 50))
+    found = media.peaks((128 + tones).astype(np.uint8).tobytes())
+    assert Counter(map(tuple, found.tolist())) == Counter((t, b) for t in range(36) for b in (20, 50))
+    long_ = texts[0].encode() * 3000
+    assert (media.peaks(long_[: 192 * 1000], chunk=7) == media.peaks(long_[: 192 * 1000])).all()

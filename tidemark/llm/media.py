@@ -1,13 +1,16 @@
 """Operator 7: media columns. Bytes are kept as 8-bit mono WAV and read back by the wave module.
 
 The stored form is a binary column of a table in the shared folder; features are computed from what is
-read back. A short-time Fourier transform (Hann frames of 256 samples, hop 256) gives one strongest peak
-for each stretch of four frames; each peak is paired with the next two, and the pairs are kept as arrays
-of (time, frequency, frequency, time difference). Rows are independent, long payloads are transformed in
+read back. A short-time Fourier transform (Hann frames of 256 samples, hop 64, each frame without its mean)
+gives the strongest local maxima of each frame. The payload is closed into a ring, so that its first and last
+bytes weigh as much as the others. Each peak is paired with the following peaks of later frames in a target
+zone, and the pairs are kept as arrays of (time, frequency, frequency, time difference), times in hops.
+Rows are independent, long payloads are transformed in
 stretches, and nothing is shuffled.
 
 Defined results: a null text is empty; an empty payload is padded to one unit; equal texts give equal
-media and features; other columns are not touched.
+media and features; a payload of one byte value is silent and has the one pair (0, 0, 0, 0); other columns
+are not touched.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import text_slices, written
 
 UNIT, RATE = 192, 8000
-FRAME, STRETCH, FAN = 256, 4, 2
-_HANN = np.hanning(FRAME).astype(np.float32)
+#: UNIT is a multiple of HOP. PEAKS a frame; FAN following peaks within ZONE hops; a peak has FLOOR of the frame's largest.
+FRAME, HOP, PEAKS, FAN, ZONE, FLOOR = 256, 64, 4, 4, 16, 0.05
+_HANN = np.hanning(FRAME + 1)[:-1].astype(np.float32)
 PAIR = pa.struct([("t", pa.int32()), ("f1", pa.int32()), ("f2", pa.int32()), ("dt", pa.int32())])
 STORED = "doc_id long, n_bytes long, media binary"
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pairs array<struct<t:int,f1:int,f2:int,dt:int>>"
@@ -51,28 +55,45 @@ def from_wav(media: bytes) -> bytes:
 
 
 def peaks(payload: bytes, chunk: int = 4096) -> np.ndarray:
-    """(time, frequency bin) of the strongest peak in each stretch of frames; ties: the first."""
+    """(time, frequency bin) of the strongest local maxima of each frame, by time and bin; ties: the first."""
     samples = np.frombuffer(payload, np.uint8)
-    step = FRAME * STRETCH
+    n = len(samples) // HOP
+    ring = np.concatenate((samples, np.resize(samples, FRAME - HOP)))
     out = []
-    for i in range(0, max(1, -(-len(samples) // step)), chunk):
-        part = samples[i * step : (i + chunk) * step].astype(np.float32) - 128
-        part = np.pad(part, (0, -len(part) % step)).reshape(-1, FRAME)
-        spectrum = np.abs(np.fft.rfft(part * _HANN, axis=1))[:, 2:].round(3)
-        best = spectrum.reshape(-1, STRETCH * spectrum.shape[1]).argmax(axis=1)
-        frame, bin_ = np.divmod(best, spectrum.shape[1])
-        out.append(np.stack([(np.arange(len(best)) + i) * STRETCH + frame, bin_ + 2], axis=1))
+    for i in range(0, n, chunk):
+        part = ring[i * HOP : (min(i + chunk, n) - 1) * HOP + FRAME].astype(np.float32)
+        part = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
+        part = part - (part @ _HANN / _HANN.sum())[:, None]
+        spectrum = np.abs(np.fft.rfft(part * _HANN, axis=1)).round(3)
+        inner = spectrum[:, 1:-1]
+        top = (inner > spectrum[:, :-2]) & (inner >= spectrum[:, 2:]) & (inner >= FLOOR * inner.max(axis=1, keepdims=True))
+        left, rows = np.where(top, inner, 0), np.arange(len(inner))
+        picked = np.zeros(inner.shape, dtype=bool)
+        for _ in range(PEAKS):
+            best = left.argmax(axis=1)
+            picked[rows, best] = left[rows, best] > 0
+            left[rows, best] = 0
+            if not left.any():
+                break
+        frame, bin_ = np.nonzero(picked)
+        out.append(np.stack([frame + i, bin_ + 1], axis=1))
     return np.concatenate(out)
 
 
 def fingerprint(payload: bytes) -> np.ndarray:
-    """Peak pairs (t, f1, f2, dt), by time; each peak with the next FAN ones."""
+    """Peak pairs (t, f1, f2, dt), by time; each peak with the next FAN ones of later frames in the target zone."""
     found = peaks(payload)
-    pairs = [np.stack([found[:-k, 0], found[:-k, 1], found[k:, 1], found[k:, 0] - found[:-k, 0]], axis=1) for k in range(1, FAN + 1) if len(found) > k]
-    if not pairs:
-        return np.array([[found[0, 0], found[0, 1], found[0, 1], 0]])
-    pairs = np.concatenate(pairs)
-    return pairs[np.lexsort((pairs[:, 3], pairs[:, 0]))]
+    time = found[:, 0]
+    second = np.searchsorted(time, time, side="right")[:, None] + np.arange(FAN)
+    first = np.repeat(np.arange(len(found)), FAN)
+    second = second.ravel()
+    inside = second < len(found)
+    first, second = first[inside], second[inside]
+    inside = time[second] - time[first] <= ZONE
+    first, second = first[inside], second[inside]
+    if not len(first):
+        return np.zeros((1, 4), dtype=np.int64)
+    return np.stack([time[first], found[first, 1], found[second, 1], time[second] - time[first]], axis=1)
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,8 +105,8 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
+        for i, j in text_slices(batch.column(2)):
+            part = batch.slice(i, j - i)
             media = part.column(2).to_pylist()
             payloads = [from_wav(x) for x in media]
             prints = [fingerprint(x) for x in payloads]
