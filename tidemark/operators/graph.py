@@ -56,21 +56,21 @@ def hops(edges: DataFrame, reached: DataFrame, depth: int = 3) -> DataFrame:
     return touching.groupBy("seq", "source", "relation", "target").agg(F.min("depth").alias("depth"))
 
 
-def shortest_paths(edges: DataFrame, source: str, target: str, most: int = 6) -> DataFrame:
-    """(path, length): the least node list among the shortest undirected paths, at most ``most`` steps.
+def shortest_paths(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """(path, length): the least node list among the shortest undirected paths, of any length; no row if there is none.
 
-    Each level keeps one path a node (the least), so the frontier never exceeds the nodes of the graph.
+    Each level keeps one path a node (the least), so the frontier never exceeds the nodes of the graph. A neighbour of a
+    level lies in it, in the one before or in the next, so two levels are all that a step is checked against.
     """
     both = cut(ends(edges).select("node", "other").distinct())
     spark = edges.sparkSession
     front = spark.createDataFrame([(source, [source])], "node string, path array<string>")
-    seen, found = front, front.where(F.col("node") == target)
-    for _ in range(most):
+    before = front.limit(0)
+    while not front.isEmpty() and front.where(F.col("node") == target).isEmpty():
         step = both.join(front, "node").select(F.col("other").alias("node"), F.concat("path", F.array("other")).alias("path"))
-        front = cut(step.groupBy("node").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti"))
-        found = found.unionByName(front.where(F.col("node") == target))
-        seen = seen.unionByName(front)
-    return found.select("path", (F.size("path") - 1).alias("length")).orderBy("length").limit(1)
+        seen = before.select("node").unionByName(front.select("node"))
+        before, front = front, cut(step.groupBy("node").agg(F.min("path").alias("path")).join(seen, "node", "left_anti"))
+    return front.where(F.col("node") == target).select("path", (F.size("path") - 1).alias("length"))
 
 
 def bridges(nodes: DataFrame, edges: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

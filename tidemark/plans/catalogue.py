@@ -230,7 +230,7 @@ p2 AS (SELECT b.other AS node, list_append(path, b.other) AS path FROM p1 JOIN b
 a AS (SELECT path FROM p1 WHERE node = 'S:2' UNION ALL SELECT path FROM p2 WHERE node = 'S:2')
 SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INT) AS length FROM (SELECT path FROM a ORDER BY len(path), path LIMIT 1)""")
 def shortest_path(spark, d):
-    found = graph.shortest_paths(S.edges(spark, d), "S:1", "S:2", 2)
+    found = graph.shortest_paths(S.edges(spark, d), "S:1", "S:2")
     return found.select(F.array_join("path", ">").alias("path"), "length")
 
 

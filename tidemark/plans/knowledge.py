@@ -205,4 +205,4 @@ def chain_edge_pick(spark, d):
 def path_hops_metadata(spark, d):
     """The hops of the shortest path between two suppliers."""
     edges = S.edges(spark, d)
-    return resolve.path_hops(graph.shortest_paths(edges, "S:1", "S:2", 2).withColumn("chain_id", F.lit(1)), edges)
+    return resolve.path_hops(graph.shortest_paths(edges, "S:1", "S:2").withColumn("chain_id", F.lit(1)), edges)
