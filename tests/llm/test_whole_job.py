@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from tidemark.llm import media, pii
+from tidemark.llm import langid, media, pii
 
 
 def test_pii_candidates_do_not_hang_on_other_text(spark):
@@ -31,3 +31,21 @@ def test_distinct_texts_have_distinct_features():
     assert Counter(map(tuple, found.tolist())) == Counter((t, b) for t in range(36) for b in (20, 50))
     long_ = texts[0].encode() * 3000
     assert (media.peaks(long_[: 192 * 1000], chunk=7) == media.peaks(long_[: 192 * 1000])).all()
+
+
+def test_language_of_very_long_texts():
+    """Several million characters, with many more grams than a few thousand; two languages share letters and most words."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    stock = {k: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(n)] for k, n in (("shared", 6000), ("aa", 3000), ("bb", 3000), ("cc", 3000))}
+    text = lambda k, n: " ".join(rng.choices(stock["shared"] + stock[k], k=n))
+    langs = ["aa", "bb", "cc"] * 80
+    model = langid.fit([text(k, 150) for k in langs], langs)
+    long_ = [text(k, 400_000) for k in ("aa", "bb", "cc")]
+    assert min(map(len, long_)) > 2_000_000
+    scores = model.scores(long_)
+    assert [model.languages[i] for i in scores.argmax(axis=1)] == ["aa", "bb", "cc"]
+    top = np.sort(scores, axis=1)
+    assert ((top[:, -1] - top[:, -2]) > 0.2 * np.abs(top[:, -1])).all()
+    parts = list(langid.blocks(long_[0]))
+    assert len(parts) > 1 and sum(len(p) - 3 for p in parts) + 3 == len(long_[0])

@@ -1,10 +1,12 @@
 """Operator 10: language identification by a string kernel.
 
 The blended-spectrum kernel of two texts is the number of character 1- to 4-grams that both contain,
-over the root of the product of their counts. Gram presence is kept over a fixed number of hashed bins.
+over the root of the product of their counts. Gram presence is kept over a fixed number of hashed bins, as
+the list of the bins that hold a gram. A text of more than BLOCK characters is the mean of its blocks, each
+with a norm of its own, so the bins never fill up, however long a text is; all of its blocks count.
 Landmarks are taken from the training rows (Nyström); one-versus-rest kernel ridge regression is solved in
 the landmark space, and since the kernel is a dot product, landmarks and weights fold into one matrix of
-bins by languages: a batch of whole texts is scored by one matrix product.
+bins by languages: a text is scored by a sparse product with it.
 
 Training rows are a sample of bounded expected size, stratified by language and chosen by a hash of
 doc_id; ``train_rows`` is the bound. Everything else covers all rows.
@@ -26,26 +28,52 @@ from pyspark.sql import functions as F
 
 from .common import text_slices
 
-BINS, ORDERS = 1 << 13, (1, 2, 3, 4)
+BINS, ORDERS = 1 << 18, (1, 2, 3, 4)
+BLOCK = 1 << 17
 _STEP = np.uint32(2654435761)
 
 
-def presence(texts: list[str], bins: int = BINS) -> np.ndarray:
-    """Rows of 0 or 1: which bins hold a gram of the lower-cased text."""
-    raw = [t.lower().encode("utf-32-le") for t in texts]
-    sizes = np.array([len(x) // 4 for x in raw])
-    points = np.frombuffer(b"".join(raw), dtype="<u4")
-    row = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
-    out = np.zeros(len(texts) * bins, dtype=bool)
-    code = np.zeros(len(points), dtype=np.uint32)
+def presence(points: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """The bins that hold a gram of the code points, each once."""
     shift = np.uint32(32 - bins.bit_length() + 1)
+    code, found = np.zeros(len(points), dtype=np.uint32), []
     for n in ORDERS:
         m = max(0, len(points) - n + 1)
         code = (code[:m] + points[n - 1 : n - 1 + m]) * _STEP
         code ^= code >> np.uint32(15)
-        own = row[:m] == row[n - 1 : n - 1 + m]
-        out[(row[:m] * bins + (code >> shift))[own]] = True
-    return out.reshape(len(texts), bins)
+        found.append(code >> shift)
+    codes = np.concatenate(found)
+    last, at = np.empty(bins, dtype=np.int32), np.arange(len(codes), dtype=np.int32)
+    last[codes] = at
+    return codes[last[codes] == at]
+
+
+def blocks(text: str, size: int = BLOCK) -> Iterator[np.ndarray]:
+    """Code points of the lower-cased text, in blocks of equal length that share the grams across their ends."""
+    points = np.frombuffer(text.lower().encode("utf-32-le"), dtype="<u4")
+    n = max(1, -(-len(points) // size))
+    for k in range(n):
+        yield points[k * len(points) // n : (k + 1) * len(points) // n + (ORDERS[-1] - 1 if k < n - 1 else 0)]
+
+
+def product(text: str, matrix: np.ndarray) -> np.ndarray:
+    """The text's vector, the mean over its blocks of presence over norm, times a matrix of bins by columns."""
+    total, n = np.zeros(matrix.shape[1]), 0
+    for block in blocks(text):
+        codes = presence(block, len(matrix))
+        total += (np.ones(len(codes), dtype=np.float32) @ matrix[codes]) / np.sqrt(max(1, len(codes)))
+        n += 1
+    return total / n
+
+
+def dense(texts: list[str], bins: int = BINS) -> np.ndarray:
+    """The vectors of a few texts as columns: bins by texts."""
+    out = np.zeros((bins, len(texts)), dtype=np.float32)
+    for j, text in enumerate(texts):
+        parts = [presence(block, bins) for block in blocks(text)]
+        for codes in parts:
+            out[codes, j] += 1 / np.sqrt(max(1, len(codes))) / len(parts)
+    return out
 
 
 def has_letter(text: str | None) -> bool:
@@ -58,28 +86,32 @@ class Model:
     weights: np.ndarray  # bins x languages
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        grams = presence(texts, self.weights.shape[0]).astype(np.float32)
-        norm = np.sqrt(np.maximum(1, grams.sum(axis=1, keepdims=True)))
-        return (grams @ self.weights) / norm
+        return np.array([product(t, self.weights) for t in texts])
 
 
-def fit(texts: list[str], langs: list[str], landmarks: int = 256, ridge: float = 1e-2) -> Model:
-    """Nyström features on every k-th text as landmark, and ridge regression on them."""
+def fit(texts: list[str], langs: list[str], landmarks: int = 256, ridge: float = 1e-2, group: int = 64) -> Model:
+    """Nyström features on every k-th text as landmark, and ridge regression on them; ``group`` landmarks are dense at once."""
     names = tuple(sorted(set(langs)))
     order = np.argsort(np.array([names.index(x) for x in langs]), kind="stable")
-    grams = np.concatenate([presence(texts[i : i + 256]) for i in range(0, len(texts), 256)]).astype(np.float32)
-    grams /= np.sqrt(np.maximum(1, grams.sum(axis=1, keepdims=True)))
     pick = order[np.unique(np.linspace(0, len(texts) - 1, min(landmarks, len(texts))).astype(int))]
-    marks = grams[pick]
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    groups = [pick[i : i + group] for i in range(0, len(pick), group)]
+    kernel = np.zeros((len(texts), len(pick)))
+    for i, own in enumerate(groups):
+        marks = dense([texts[k] for k in own])
+        kernel[:, i * group : i * group + len(own)] = [product(t, marks) for t in texts]
+    values, vectors = np.linalg.eigh((kernel[pick] + kernel[pick].T) / 2)
     keep = values > 1e-6 * values[-1]
     root = vectors[:, keep] / np.sqrt(values[keep])
-    phi = (grams @ marks.T) @ root
+    phi = kernel @ root
     y = (np.array(langs)[:, None] == np.array(names)[None, :]).astype(np.float64)
     share = y.sum(axis=0)
     weight = (1 / share)[y.argmax(axis=1)] * len(y) / len(names)  # languages count alike
     solved = np.linalg.solve((phi * weight[:, None]).T @ phi + ridge * len(y) * np.eye(phi.shape[1]), (phi * weight[:, None]).T @ y)
-    return Model(names, (marks.T @ (root @ solved)).astype(np.float32))
+    folded = (root @ solved).astype(np.float32)
+    weights = np.zeros((BINS, len(names)), dtype=np.float32)
+    for i, own in enumerate(groups):
+        weights += dense([texts[k] for k in own]) @ folded[i * group : i * group + len(own)]
+    return Model(names, weights)
 
 
 def train(docs: DataFrame, usable: Column, train_rows: int = 1600) -> Model | None:
