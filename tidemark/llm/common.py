@@ -1,9 +1,7 @@
-"""Helpers that the operators share: shared-folder tables, components, and Arrow text handling."""
+"""Helpers that the operators share: components, and Arrow text handling."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,34 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans.lineage import shared_dir, written  # noqa: F401 - the operators take them from here
+
 #: ASCII white space as the contracts define it.
 BLANKS = " \t\n\x0b\f\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share, under spark.checkpoint.dir.
-
-    Where the session names none (tests, a single machine), a temporary folder serves.
-    The folder is removed when the driver's JVM ends.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The frame as a table in the shared folder: computed once, and kept when executors are lost."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_key(text: Column) -> Column:
     """With doc_id, names a row where doc_id repeats; equal rows share it and share results."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -84,12 +60,12 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Memo:
     """Numbers of each word (ids), laid end to end; a word is computed once while there is room.
 
-    ``compute`` gives the numbers of a list of new words. Words beyond ``size`` are computed again when
-    they come again, so the bound costs time only.
+    ``compute`` gives the numbers of a list of new words. Words beyond ``size``, and words of over ``longest``
+    characters, are computed again when they come again, so the bounds cost time only.
     """
 
-    def __init__(self, compute, size: int):
-        self.compute, self.size, self.slots = compute, size, {}
+    def __init__(self, compute, size: int, longest: int = 256):
+        self.compute, self.size, self.longest, self.slots = compute, size, longest, {}
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
 
@@ -103,11 +79,17 @@ class Memo:
             sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
             extra = np.fromiter((x for ids in found for x in ids), dtype=np.uint32, count=int(sizes.sum()))
             at = np.cumsum(sizes) - sizes
-            if len(self.slots) + len(new) <= self.size:
-                self._keep([words[k] for k in new.tolist()], extra, at, sizes)
+            fresh = [words[k] for k in new.tolist()]
+            short = np.fromiter(map(len, fresh), dtype=np.int64, count=len(fresh)) <= self.longest
+            room = len(self.slots) + len(new) <= self.size
+            if room and short.all():
+                self._keep(fresh, extra, at, sizes)
                 starts[new], flat = at + self.used - len(extra), self.flat
             else:
                 starts[new], flat = at + self.used, np.concatenate((self.flat[: self.used], extra))
+                if room and short.any():
+                    own = np.cumsum(sizes[short]) - sizes[short]
+                    self._keep([w for w, s in zip(fresh, short.tolist()) if s], extra[ragged(at[short], sizes[short])], own, sizes[short])
             lengths[new] = sizes
         return flat, starts, lengths
 
@@ -135,22 +117,24 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b), both long, as (node, component = least node).
 
     Alternating large-star and small-star rounds; each round is two aggregations and two equi-joins
-    over a table in the shared folder, and rounds grow with the logarithm of the largest component.
-    No neighbour list is gathered, so a node with very many edges costs no memory in one task.
+    over tables in the shared folder, and rounds grow with the logarithm of the largest component.
+    No neighbour list is gathered, and the joins read both sides straight from their exchanges, so
+    that a node with very many edges is dealt over several tasks.
     """
     spark = edges.sparkSession
     hi, lo = F.greatest("a", "b"), F.least("a", "b")
     now = written(edges.where("a <> b").select(hi.alias("u"), lo.alias("v")).distinct())
-    state = None
-    while True:
+    while not _stars(now):
         both = now.union(now.select("v", "u")).toDF("x", "y")
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m")))
+        large = written(both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct())
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = written(small.select("e.*").where("u <> v").distinct())
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == tuple(found):
-            break
-        state = tuple(found)
     return spark.createDataFrame([], "node long, component long").union(now.select("u", "v")).union(now.select("v", "v").distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each edge (u, v), v below u, joins a node that has no other edge to a root."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).where("out > 1 or out = 1 and into > 0").isEmpty()
