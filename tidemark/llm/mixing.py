@@ -1,20 +1,20 @@
 """Operator 1: mixing sources to target weights by systematic sampling. DataFrame functions only.
 
 Documents of a source stand in the order (size, md5 of doc_id, doc_id). Each is expected to be taken
-``target / source size`` times; the running sum of these expectations, moved by one offset per source,
+``target / source size`` times; the running sum of these expectations, moved by one random offset per source,
 crosses some whole numbers inside a document's interval, and the document is emitted once for each.
 The order by size spreads the copies evenly over short and long documents, so the words taken differ
-from the target by about one long document at most. The offset is random but balanced: of ``offsets``
-evenly spaced places after a seeded one, the place whose words come nearest the target is taken.
+from the target by about one long document at most. The offset is seeded by the source's name.
 
 A running sum over a source that holds a third of all rows would be one task's work. It is split
 instead: totals per (source, size), totals per (source, size, first two digits of the md5), then row
 numbers inside such a block; only the last step handles rows, in blocks of a 256th of a size's rows.
 
-Defined results: a null text has size 0; a null source is a source of its own, the last in order; a
-source without words has target 0 and its documents are not emitted; with no rows the result is empty.
-Rows with the same doc_id, or none, are documents of their own, ordered by their text's hash; equal rows
-are interchangeable. Other columns of the input stay, whatever their names.
+Defined results: a null or empty text has size 0; a very long one is a document like others and is taken whole; a
+null source is a source of its own, the last in order; a source without words has target 0 and its documents
+are not emitted; with no rows the result is empty. Rows with the same doc_id, or none, are documents of their
+own, ordered by their text's hash; equal rows are interchangeable. Other columns of the input stay, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, text_key, written
+from .common import BLANKS, partitions, text_key, written
 
 
 def word_count(text: Column) -> Column:
@@ -31,29 +31,35 @@ def word_count(text: Column) -> Column:
     return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
+def _numbered(sources: DataFrame) -> DataFrame:
+    """Adds n, the rank by (source is null, source): rows of a range are numbered on their own, after those of earlier ranges."""
+    order = [F.col("source").isNull(), F.col("source")]
+    ranged = written(sources.repartitionByRange(partitions(sources.sparkSession), *order).withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("part").count()
+    before = parts.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))  # a row a task
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return ranged.withColumn("own", own).join(before, "part").select("source", "source_size", (F.col("before") + F.col("own")).alias("n"))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """(source, source_size) -> with target: weights by code point order, shares of all words, capped.
 
-    The excess over ``cap`` times a source's size goes to the others by weight. That equals one water
-    level: with the sources in order of cap / weight, the first whose level does not exceed its own cap
-    sets it. The table has one row per source.
+    The excess over ``cap`` times a source's size goes to the others by weight, again and again: each round
+    is one aggregate over the sources, and a source that reached its cap stays there.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    n = F.row_number().over(by_name)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((n - 1) % len(weights) + 1).cast("int"))
-    sources = sizes.withColumn("weight", weight).withColumn("cap", F.lit(float(cap)) * F.col("source_size"))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    level = left / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    sources = sources.withColumn("level", level)
-    fits = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))
-    sources = sources.withColumn("level", F.first(fits, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return sources.select("source", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
-
-
-def expected(docs: DataFrame, seed: str = "mix", offsets: int = 32) -> DataFrame:
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("n") - 1) % len(weights) + 1).cast("int"))
+    sources = written(_numbered(sizes).select("source", "source_size", weight.alias("weight"), (F.lit(float(cap)) * F.col("source_size")).alias("cap")))
+    level, total = 0.0, float(sources.agg(F.sum("source_size")).first()[0] or 0)
+    while True:
+        full = F.col("weight") * F.lit(level) > F.col("cap")
+        held, open_ = sources.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
+        risen = (total - (held or 0.0)) / open_ if open_ else level
+        if risen == level:
+            return sources.select("source", "source_size", F.least("cap", F.col("weight") * F.lit(level)).alias("target"))
+        level = risen
+
+
+def expected(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """Per document: doc_id, row_key, source, size, source_size, target, copies."""
     slim = docs.select(
         "doc_id",
@@ -74,14 +80,9 @@ def expected(docs: DataFrame, seed: str = "mix", offsets: int = 32) -> DataFrame
     ranked = _joined(slim.withColumn("row", row), starts, "source", "size", "part")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rank = (F.col("before_size") + F.col("before_part") + F.col("row")).cast("double")
-    ranked = written(ranked.select("doc_id", "row_key", "source", "size", "source_size", "target", rank.alias("rank"), rate.alias("rate")))
-    base = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce("source", F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    offset = lambda k: base + F.lit(k / offsets)
-    crossed = lambda u: (F.floor(F.col("rank") * F.col("rate") + u) - F.floor((F.col("rank") - 1) * F.col("rate") + u)).cast("long")
-    tried = ranked.groupBy("source", "target").agg(*[F.sum(crossed(offset(k)) * F.col("size")).alias(f"t{k}") for k in range(offsets)])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(offsets)]))["k"]
-    ranked = _joined(ranked, tried.select("source", best.alias("best")), "source")
-    return ranked.select("doc_id", "row_key", "source", "size", "source_size", "target", crossed(base + F.col("best") / F.lit(float(offsets))).alias("copies"))
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce("source", F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    copies = (F.floor(rank * rate + offset) - F.floor((rank - 1) * rate + offset)).cast("long")
+    return ranked.select("doc_id", "row_key", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
 def _joined(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
@@ -97,17 +98,20 @@ def _joined(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix: every row as often as it is taken, with the columns it came with.
 
-    Equal rows (doc_id, text and source) share their copies: the n-th of k rows gets the part of the
-    total between (n - 1) / k and n / k.
+    Rows equal in doc_id, text and source share their copies: of k such rows in a fixed order, the n-th gets the part of
+    the total between (n - 1) / k and n / k. Rows equal in all columns are counted before they are ordered.
     """
     names = F.concat_ws("|", F.isnull("doc_id"), F.isnull("source"), F.coalesce("source", F.lit("")))
-    keys = [F.coalesce("doc_id", F.lit(0)), F.col("row_key"), names]
-    spread = expected(docs, seed).groupBy(*[k.alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    keys[1] = text_key(F.col("text"))
-    kept = docs.columns
-    rows = docs.select("*", *[k.alias(f"_row{i}") for i, k in enumerate(keys)])
-    joined = rows.join(spread.where("_copies > 0"), F.expr(" and ".join(f"_row{i} = _key{i}" for i in range(3))))
-    nth = F.row_number().over(Window.partitionBy("_row0", "_row1", "_row2").orderBy("_row1"))
-    upto = lambda n: F.floor(F.col("_copies") * n / F.col("_rows"))
-    joined = joined.withColumn("_nth", nth).withColumn("_times", (upto(F.col("_nth")) - upto(F.col("_nth") - 1)).cast("int"))
-    return joined.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*kept)
+    keys = {"k0": F.coalesce("doc_id", F.lit(0)), "k1": F.col("row_key"), "k2": names}
+    spread = expected(docs, seed).groupBy(*[k.alias(name) for name, k in keys.items()]).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    spread = written(spread.where("copies > 0"))
+    keys["k1"] = text_key(F.col("text"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *[k.alias(name) for name, k in keys.items()])
+    joined = rows.join(spread, list(keys))
+    upto = lambda n: F.floor(F.col("copies") * n / F.col("rows"))
+    once = joined.where("rows = 1").select("row", F.col("copies").cast("int").alias("times"), F.lit(1).alias("like"))
+    alike = joined.where("rows > 1").groupBy("row", *keys, "copies", "rows").agg(F.count("*").alias("like"))
+    before = F.sum("like").over(Window.partitionBy(*keys).orderBy(F.xxhash64("row"), "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("like")
+    alike = alike.withColumn("before", before).select("row", (upto(F.col("before") + F.col("like")) - upto(F.col("before"))).cast("int").alias("times"), F.lit(1).alias("like"))
+    both = once.unionByName(alike).where("times > 0")
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

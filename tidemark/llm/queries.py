@@ -106,19 +106,15 @@ w AS (SELECT *, CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) %
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
               / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS level FROM w),
 t AS (SELECT source, source_size, least(cap, weight * (SELECT level FROM l WHERE level * weight <= cap ORDER BY cap / weight, source IS NULL, source LIMIT 1)) AS target FROM l),
-r AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
+r AS (SELECT d.doc_id, d.size, t.source_size, t.target,
              CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-             CAST(CAST('0x' || substr(md5('mix:' || coalesce(d.source, '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS base,
+             CAST(CAST('0x' || substr(md5('mix:' || coalesce(d.source, '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS u,
              CAST(row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.digest, d.doc_id) AS DOUBLE) AS rank
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-o AS (SELECT source, k, abs(sum((floor(rank * rate + (base + k / 32.0::DOUBLE)) - floor((rank - 1) * rate + (base + k / 32.0::DOUBLE))) * size) - any_value(target)) AS off
-      FROM r, range(32) AS t(k) GROUP BY source, k),
-p AS (SELECT source, k FROM (SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY off, k) AS n FROM o) WHERE n = 1),
-c AS (SELECT r.*, base + p.k / 32.0::DOUBLE AS u FROM r JOIN p ON r.source IS NOT DISTINCT FROM p.source)
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        CAST(floor(rank * rate + u) - floor((rank - 1) * rate + u) AS BIGINT) * size AS taken,
        CAST(floor(rank * rate + u) - floor((rank - 1) * rate + u) AS BIGINT) AS copies
-FROM c""",
+FROM r""",
     "op6_quality_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
