@@ -25,9 +25,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_slices(texts: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about ``limit`` bytes together; a longer text stands alone."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with columns in0, in1, ..., so that an operator's own columns clash with none, and the new name of each old one."""
+    new = {c: f"in{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*new.values()), new
+
+
+def slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``limit`` together; a larger row stands alone."""
     start = total = 0
     for i, size in enumerate(sizes.tolist()):
         if i > start and total + size > limit:
@@ -38,6 +43,11 @@ def text_slices(texts: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int,
         yield start, len(sizes)
 
 
+def text_slices(texts: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``limit`` bytes together."""
+    return slices(np.asarray(pc.fill_null(pc.binary_length(texts), 0)), limit)
+
+
 def lists(parts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Offsets (from 0) and flat values of a list array."""
     offsets = np.asarray(parts.offsets, dtype=np.int64)
