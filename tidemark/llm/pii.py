@@ -2,16 +2,19 @@
 
 Regular expressions propose spans; four labelers (strict form, gazetteer, context, shape) vote on each:
 for, against, or no opinion. Expectation-maximisation over the counts of vote patterns, gathered from
-every candidate of every text, estimates how reliable each labeler is; a logistic classifier is trained
-on the resulting soft labels and decides about candidates outside the base rules. Base spans always stay.
-The pattern counts are the only thing the driver sees: at most 3^4 for each kind, whatever the input.
+every candidate of every text, estimates how reliable each labeler is and how common each kind; a logistic classifier
+over the votes, the kind and features of the span itself (length, share of digits, different characters, what stands
+at its ends) is trained on the resulting soft labels and decides about candidates outside the base rules. Base spans
+always stay. Counts by kind, votes and features are the only thing the driver sees: their number is bounded by the
+steps of the features, whatever the input.
 
 Positions: the gaps (``split``) and matches (``regexp_extract_all``) of a text alternate, so the running
 sum of their lengths gives code-point offsets. The sum is a window over exploded matches, linear in their
 number. Patterns are possessive and anchored with a look-behind, so long runs cost linear time.
 
-Defined results: a null text is empty and has no span; rows that repeat doc_id and text give equal rows;
-null doc_ids are kept; other columns are not touched.
+Defined results: a null or empty text has no span; the patterns run in linear time over very long texts; rows that
+repeat doc_id and text give equal rows; null doc_ids are kept; of candidates of one place, a base span stays and then the
+first by start and kind; with no rows the result is empty; other columns are not touched, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_key, written
+from .common import renamed, text_key, written
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "local_phone", "ssn", "secret")
@@ -42,6 +45,8 @@ DOMAINS = "com org net edu gov info biz io co de fr es it uk eu us ca jp cn in a
 COUNTRIES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 CONTEXT = "mail|contact|write|call|phone|tel|fax|mobile|card|visa|credit|server|host|address|login|user|password|secret|key|token|social"
 LABELERS = ("strict", "gazetteer", "context", "shape")
+#: Features of a span and their number of steps.
+FEATURES = {"size": 8, "digits": 5, "different": 6, "edges": 4}
 
 
 def matches(docs: DataFrame, context: int = 24) -> DataFrame:
@@ -60,7 +65,7 @@ def matches(docs: DataFrame, context: int = 24) -> DataFrame:
 
     found = [listed(k, kind) for k, kind in enumerate(KINDS)]
     hits = rows.select("doc_id", "row_key", F.explode(F.concat(*found)).alias("hit")).select("doc_id", "row_key", "hit.*")
-    hits = hits.repartition("doc_id", "row_key").dropDuplicates(["doc_id", "row_key", "kind", "idx"])
+    hits = hits.dropDuplicates(["doc_id", "row_key", "kind", "idx"])
     upto = F.sum(F.col("gap") + F.length("match")).over(Window.partitionBy("doc_id", "row_key", "kind").orderBy("idx"))
     return hits.select("doc_id", "row_key", "kind", (upto - F.length("match")).alias("start"), upto.alias("end"), "match", "before", "after")
 
@@ -102,7 +107,15 @@ def voted(hits: DataFrame) -> DataFrame:
     glued = F.col("before").rlike("[A-Za-z0-9_]$") | F.col("after").rlike("^[A-Za-z0-9_]")
     context = vote(near.rlike(CONTEXT), glued)
     shape = vote(F.size(F.array_distinct(F.split(m, ""))) >= 4, F.size(F.array_distinct(F.split(digits, ""))) <= 1)
-    return hits.select("*", F.coalesce(base, F.lit(False)).alias("base"), F.when(strict, 1).otherwise(-1).alias("strict"), gazetteer.alias("gazetteer"), context.alias("context"), shape.alias("shape"))
+    votes = [F.when(strict, 1).otherwise(-1).alias("strict"), gazetteer.alias("gazetteer"), context.alias("context"), shape.alias("shape")]
+    open_left, open_right = F.col("before").rlike(r"(^|[\s(\[{<\"':;,=])$"), F.col("after").rlike(r"^($|[\s)\]}>\"':;,.!?])")
+    features = {
+        "size": F.floor(F.log2(F.length(m).cast("double"))),
+        "digits": F.floor(4 * n / F.length(m)),
+        "different": F.floor(F.size(F.array_distinct(F.split(m, ""))) / 4),
+        "edges": open_left.cast("int") * 2 + open_right.cast("int"),
+    }
+    return hits.select("*", F.coalesce(base, F.lit(False)).alias("base"), *votes, *[F.least(v, F.lit(FEATURES[k] - 1)).cast("int").alias(k) for k, v in features.items()])
 
 
 def _posterior(votes: tuple[int, ...], prior: float, rates: list[dict]) -> float:
@@ -132,33 +145,60 @@ def estimate(patterns: list[tuple], rounds: int = 30) -> dict[tuple, float]:
     return post
 
 
-def train(patterns: list[tuple], soft: dict[tuple, float], rounds: int = 300, rate: float = 0.5) -> list[float]:
-    """Weights (bias, then labelers) of the span classifier on the soft labels, by full-batch descent."""
-    w = [0.0] * (1 + len(LABELERS))
-    total = sum(math.sqrt(c) for _, _, c in patterns) or 1.0
+def _active(kind: int, votes: tuple[int, ...], features: tuple[int, ...]) -> list[int]:
+    """Places of the weights that are summed for a span: bias, kind, each vote but no opinion, each feature's step."""
+    at, out = 1, [0, 1 + kind]
+    at += len(KINDS)
+    for v in votes:
+        out += [at + (v < 0)] * (v != 0)
+        at += 2
+    for v, steps in zip(features, FEATURES.values()):
+        out.append(at + v)
+        at += steps
+    return out
+
+
+def train(patterns: list[tuple], soft: dict[tuple, float], rounds: int = 200, rate: float = 2.0) -> list[float]:
+    """Weights of the span classifier on the soft labels, by full-batch descent over (kind, votes, features, count)."""
+    w = [0.0] * (1 + len(KINDS) + 2 * len(LABELERS) + sum(FEATURES.values()))
+    rows = [(_active(k, v, f), soft[k, v], math.sqrt(c)) for k, v, f, c in patterns]
+    total = sum(c for _, _, c in rows) or 1.0
     for _ in range(rounds):
-        grad = [0.0] * len(w)
-        for k, v, c in patterns:
-            x = (1, *v)
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, x))))))
-            for j, xj in enumerate(x):
-                grad[j] += math.sqrt(c) * (p - soft[k, v]) * xj
-        w = [a - rate * g / total for a, g in zip(w, grad)]
+        grad = [1e-3 * x for x in w]
+        for active, y, c in rows:
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w[j] for j in active)))))
+            for j in active:
+                grad[j] += c * (p - y) / total
+        w = [a - rate * g for a, g in zip(w, grad)]
     return w
 
 
+def _logit(w: list[float]) -> Column:
+    """The sum of a row's weights, by look-ups in arrays of constants."""
+    pick = lambda part, at: F.element_at(F.array(*[F.lit(x) for x in part]), (at + 1).cast("int"))
+    at = 1 + len(KINDS)
+    z = F.lit(w[0]) + pick(w[1:at], F.col("kind"))
+    for name in LABELERS:
+        z = z + F.when(F.col(name) > 0, w[at]).when(F.col(name) < 0, w[at + 1]).otherwise(0.0)
+        at += 2
+    for name, steps in FEATURES.items():
+        z = z + pick(w[at : at + steps], F.col(name))
+        at += steps
+    return z
+
+
 def find(docs: DataFrame) -> DataFrame:
     """Spans: doc_id, row_key, kind, start, end, match, base, score; one set for each (doc_id, row_key).
 
     Spans of the method that overlap a base span are left out.
     """
     cand = written(voted(matches(docs)))
-    counts = cand.groupBy("kind", *LABELERS).count().collect()  # at most 3^4 rows a kind
-    patterns = [(r["kind"], tuple(r[x] for x in LABELERS), r["count"]) for r in sorted(counts)]
-    w = train(patterns, estimate(patterns)) if patterns else [0.0] * (1 + len(LABELERS))
-    z = F.lit(w[0])
-    for name, weight in zip(LABELERS, w[1:]):
-        z = z + F.lit(weight) * F.col(name)
+    counts = cand.groupBy("kind", *LABELERS, *FEATURES).count().collect()
+    patterns = [(r["kind"], tuple(r[x] for x in LABELERS), tuple(r[x] for x in FEATURES), r["count"]) for r in sorted(counts)]
+    voted_: dict[tuple, int] = {}
+    for k, v, _, c in patterns:
+        voted_[k, v] = voted_.get((k, v), 0) + c
+    z = _logit(train(patterns, estimate([(k, v, c) for (k, v), c in voted_.items()])))
     score = F.round(1 / (1 + F.exp(-z)), 6)
     around = Window.partitionBy("doc_id", "row_key").orderBy("start", "kind")
     own = lambda c: F.when(F.col("base"), F.col(c))
@@ -171,8 +211,9 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "█") -> DataFrame:
     """The documents with every span's characters replaced; one join on (doc_id, row_key)."""
-    per = find(docs).groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans")).toDF("_id", "_key", "_spans")
-    rows = docs.withColumn("_row", text_key(F.col("text")))
-    rows = rows.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")), "left")
-    text = F.aggregate("_spans", F.col("text"), lambda t, s: F.overlay(t, F.repeat(F.lit(mark), s["end"] - s["start"]), s["start"] + 1, s["end"] - s["start"]))
-    return rows.select(*[F.when(F.col("_spans").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    per = find(docs).groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")).toDF("id", "key", "spans")
+    rows, own = renamed(docs)
+    text = F.col(own["text"])
+    rows = rows.join(per, F.col(own["doc_id"]).eqNullSafe(F.col("id")) & (text_key(text) == F.col("key")), "left")
+    hidden = F.aggregate("spans", text, lambda t, s: F.overlay(t, F.repeat(F.lit(mark), s["end"] - s["start"]), s["start"] + 1, s["end"] - s["start"]))
+    return rows.select(*[(F.when(F.col("spans").isNull(), text).otherwise(hidden) if c == "text" else F.col(n)).alias(c) for c, n in own.items()])
