@@ -226,21 +226,58 @@ def test_token_files(spark, docs, empty):
     assert token_files.read_tokens(spark, token_files.write_tokens(empty, name)).count() == 0
 
 
-def test_pieces_equal_the_library(docs, empty):
+def test_pieces_equal_the_library(docs, empty, tmp_path):
+    """The given model, and the same pieces with other rules of the normaliser."""
     import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
 
     name = Q.tokenizer_file("piece_bpe_32k.model")
-    lib, own = sentencepiece.SentencePieceProcessor(model_file=name), sentencepiece_fst.machine(name)
     rng = random.Random(4)
-    texts = ["".join(rng.choice("abcde thing  \n\t▁éß日本x<0>.,💥") for _ in range(rng.randrange(30))) for _ in range(3000)] + [" " * k + w for k in range(90) for w in ("", "the", "亜x", "zzqq" * 20)]
-    ids, counts = own.encode_batch(pa.array(texts))
-    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == lib.encode(texts)
+    texts = ["".join(rng.choice("abcde thing  \n\t▁éß日本x<0>.,💥") for _ in range(rng.randrange(30))) for _ in range(3000)] + [" " * k + w + " " * j for k in range(90) for j in (0, 3) for w in ("", "the", "亜x", "zzqq" * 20)]
+    model = pb.ModelProto()
+    model.ParseFromString(open(name, "rb").read())
+    for prefix, single in ((True, False), (False, False), (True, True), (False, True)):
+        model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces = prefix, single
+        (tmp_path / "m").write_bytes(model.SerializeToString())
+        ids, counts = sentencepiece_fst.Transducer(str(tmp_path / "m")).encode_batch(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m")).encode(texts)
     out = sentencepiece_fst.decode(sentencepiece_fst.encode(docs, name), name)
     assert out.columns == [*docs.columns, "piece_ids", "decoded"]
     assert all(r.decoded == (r.text or "").replace("▁", " ") for r in out.collect())
     assert sentencepiece_fst.encode(empty, name).count() == 0
 
 
+def test_whole_machine_has_the_same_path():
+    """All states (position, last piece) and all arcs, relaxed in the tropical semiring, against the one state kept a position."""
+    own = sentencepiece_fst.machine(Q.tokenizer_file("piece_bpe_32k.model"))
+    rng = random.Random(7)
+    for _ in range(300):
+        unit = rng.choice(["▁", ""]) + "".join(rng.choice("thingerasolé日.x") for _ in range(rng.randrange(1, 14)))
+        best = {(0, ""): (0.0, [])}
+        for end in range(1, len(unit) + 1):
+            for start in range(max(0, end - own.longest), end):
+                piece = unit[start:end]
+                for (at, last), (d, pieces) in list(best.items()):
+                    if at == start and (piece in own.whole or end - start == 1):
+                        w = own.weight(last, piece) if last and last in own.whole and piece in own.whole else 0.0
+                        w += 0.0 if piece in own.whole else len(piece.encode())
+                        if d + w < best.get((end, piece), (np.inf,))[0]:
+                            best[end, piece] = (d + w, [*pieces, piece])
+        ends = [v for (at, _), v in best.items() if at == len(unit)]
+        assert min(ends)[1] == own.path(unit) and sum(v[0] < np.inf for v in ends) == 1
+
+
+def test_digests_equal_encode(spark, docs):
+    name = Q.tokenizer_file("piece_bpe_32k.model")
+    own = sentencepiece_fst.machine(name)
+    want = Counter()
+    for r in rows():
+        ids, _ = own.encode_batch(pa.array([r[1] or ""]))
+        back = (r[1] or "").replace("▁", " ").encode()
+        want[r[0], len(ids), zlib.crc32(ids.astype("<u4").tobytes()), sum(i in own.bytes.values() for i in ids.tolist()), hashlib.sha256(back).hexdigest(), back == (r[1] or "").encode()] += 1
+    assert Counter(tuple(r) for r in sentencepiece_fst.digests(docs, name).collect()) == want
+
+
 def test_media(docs, empty):
     got = media.features(media.stored(docs)).collect()
     want = Counter()

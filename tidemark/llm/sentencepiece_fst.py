@@ -1,25 +1,34 @@
 """Operator 2: SentencePiece encoding and decoding as a shortest path in a weighted transducer.
 
-The model file (identity normaliser, byte fallback, byte-pair pieces) is compiled to a machine whose arcs
-read the characters of a piece and write its id; a character outside the pieces has an arc that writes its
-bytes. States are (position, last piece). A token sequence is what the merge procedure gives exactly when
-every two neighbours keep their boundary if merged on their own, so an arc from a last piece to the next
-weighs 0 where the pair keeps its boundary and infinity elsewhere. Composed with an input, the machine
-has one path of finite weight; the tropical shortest path finds it from left to right with one live state
-a position.
-
-The normaliser turns a blank into U+2581 and puts one in front. No piece holds that sign after another
-character, and none holds a line feed, so a text falls into units at these places, exactly. Units repeat:
-each task encodes a distinct unit once, in a bounded memo. A run of several blanks is decided by the merge
-procedure itself, since its pieces tie in weight.
-
-Defined results: a null or empty text has no ids; U+2581 in a text reads as a blank, as in the
-library, so such a text does not come back unchanged; decoding drops the blank in front.
+Three machines are compiled from the model file and composed with each input:
+
+normaliser  reads characters and writes marked text: a blank becomes U+2581, one stands in front if the model asks for it,
+            and where the model removes extra blanks, further ones, and those at the ends, are read and not written (to
+            that rule, U+2581 itself is a blank at the end only)
+pieces      reads the characters of a piece and writes its id; arcs are found by a piece's last three characters
+fallback    reads one character that no piece covers and writes its bytes, at a weight of 1 a byte
+
+States of the composed machine are (position, last piece). A token sequence is what the merge procedure of a byte-pair
+model gives exactly when every two neighbours keep their boundary if merged on their own, so the arc from a last
+piece to the next weighs 0 where the pair keeps its boundary and infinity elsewhere. In the tropical semiring (least sum), a
+state's distance is the least over its arcs of a predecessor's distance plus the arc's weight. Each prefix has one
+sequence of finite weight, so of the states of a position one has a finite distance, and it alone is kept.
+
+No piece holds U+2581 after another character, and none holds a line feed, so a text falls into units at these
+places, exactly. Units repeat: each task encodes a distinct unit once, in a bounded memo. The blanks of a run tie in
+weight; the merge procedure joins them from the left, so their arcs take the longest piece first, and the last blank goes
+with the word behind if the two merge.
+
+Defined results: a null or empty text has no ids; U+2581 in a text reads as a blank, as in the library, so such a
+text does not come back unchanged; decoding drops the blank in front. Rows are independent, so ties and repeats have
+equal results; batches are cut by bytes, and a very long text costs its own length; with no rows the result is
+empty; other columns stay, whatever their names, but for those that are added, which are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,11 +39,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, coded, laid_out, lists, text_slices
+from .common import Memo, coded, laid_out, lists, slices, text_slices
 
 SPACE = "▁"
 
 
+class Normaliser:
+    """The machine from characters to marked text, without a table of replacements."""
+
+    def __init__(self, spec):
+        if spec.precompiled_charsmap:
+            raise ValueError("a normaliser without a table of replacements is needed")
+        self.prefix, self.single = spec.add_dummy_prefix, spec.remove_extra_whitespaces
+
+    def texts(self, texts: pa.Array) -> pa.Array:
+        """What the machine writes for each text, with blanks for U+2581 and without the mark in front."""
+        plain = pc.fill_null(texts, "")
+        if self.single:
+            plain = pc.utf8_ltrim(pc.replace_substring_regex(plain, " +", " "), characters=" ")
+        plain = pc.replace_substring(plain, SPACE, " ")
+        return pc.utf8_rtrim(plain, characters=" ") if self.single else plain
+
+
 class Transducer:
     """Pieces, byte fallback and the weights of piece pairs of a byte-pair model."""
 
@@ -44,12 +70,13 @@ class Transducer:
         model = pb.ModelProto()
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
-        if model.trainer_spec.model_type != 2 or model.normalizer_spec.precompiled_charsmap or model.normalizer_spec.remove_extra_whitespaces:
-            raise ValueError("a byte-pair model with the identity normaliser is needed")
+        if model.trainer_spec.model_type != 2:
+            raise ValueError("a byte-pair model is needed")
+        self.normaliser = Normaliser(model.normalizer_spec)
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == 1}
         self.score = {p.piece: p.score for p in model.pieces if p.type == 1}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
-        self.prefix = model.normalizer_spec.add_dummy_prefix
+        self.prefix = self.normaliser.prefix
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids):
             raise ValueError("a piece crosses a unit's boundary")
         self.longest = max(map(len, self.ids))
@@ -59,7 +86,7 @@ class Transducer:
             if len(p) > 2:
                 lengths.setdefault(p[-3:], set()).add(len(p))
         self.tails = {t: sorted(n, reverse=True) for t, n in lengths.items()}  # lengths of pieces by their last three characters
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[tuple[str, str], float] = {}
         self.memo = Memo(self.units, memo)
         # a unit may also end between an ASCII letter and a stop or comma, if no piece holds such a pair
         self.cut = not any(re.search("[A-Za-z][.,]", p) for p in self.ids)
@@ -83,11 +110,11 @@ class Transducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def allowed(self, left: str, right: str) -> bool:
-        """Whether the arc from piece to piece has weight 0."""
+    def weight(self, left: str, right: str) -> float:
+        """The weight of the arc from a last piece to the next: 0, or infinity where the two would not keep their boundary."""
         found = self.pairs.get((left, right))
         if found is None:
-            found = left not in self.whole or self.merged(left + right) == [left, right]
+            found = 0.0 if left not in self.whole or self.merged(left + right) == [left, right] else math.inf
             if len(self.pairs) < 200_000:
                 self.pairs[left, right] = found
         return found
@@ -107,14 +134,14 @@ class Transducer:
                 if piece is None:
                     continue
                 before = last[end - size]
-                found = pairs((before, piece))
-                if found is None:
-                    found = self.allowed(before, piece)
-                if found:
+                weight = pairs((before, piece))
+                if weight is None:
+                    weight = self.weight(before, piece)
+                if weight == 0.0:  # the one arc of finite weight into this position
                     last.append(piece)
                     break
             else:
-                last.append(unit[end - 1])  # outside the pieces
+                last.append(unit[end - 1])  # the fallback's arc
         out, end = [], len(unit)
         while end:
             out.append(last[end])
@@ -122,10 +149,7 @@ class Transducer:
         return out[::-1]
 
     def unit_ids(self, unit: str, last: list[str] | None = None) -> list[int]:
-        if unit.count(SPACE) <= 1:
-            pieces = self.path(unit, last)
-        else:
-            pieces = self.merged(unit) if len(unit) <= 64 else self._run(unit)
+        pieces = self.path(unit, last) if unit.count(SPACE) <= 1 else self._run(unit)
         ids: list[int] = []
         for p in pieces:
             if p in self.ids:
@@ -152,7 +176,7 @@ class Transducer:
         return out
 
     def _run(self, unit: str) -> list[str]:
-        """A long unit after a run of blanks: the last blank goes with the word if they merge."""
+        """A unit after a run of blanks: the last blank goes with the word if they merge."""
         word = unit.lstrip(SPACE)
         blanks = len(unit) - len(word)
         if not word:
@@ -171,16 +195,10 @@ class Transducer:
 
     _UNITS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of one text."""
-        if not text:
-            return np.zeros(0, dtype="<u4")
-        marked = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        return np.array([i for unit in self._UNITS.findall(marked) for i in self.unit_ids(unit)], dtype="<u4")
-
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the number of each text's ids; equal units are looked up once."""
-        plain = pc.replace_substring(pc.replace_substring(pc.fill_null(texts, ""), SPACE, " "), "\n", " \n")
+        blank = self.normaliser.texts(texts)
+        plain = pc.replace_substring(blank, "\n", " \n")
         if self.cut:  # the mark of a cut is a line feed after the blank, twice
             plain = pc.replace_substring_regex(plain, "([A-Za-z])([.,])", "\\1 \n\n\\2")
         offsets, words = lists(pc.split_pattern(plain, " "))
@@ -192,14 +210,24 @@ class Transducer:
         odd = np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(empty)))[offsets]))  # texts with runs of blanks
         first = np.flatnonzero(np.asarray(pc.starts_with(plain, " ")))  # or that begin with one
         odd = np.union1d(odd, first)
+        if not self.prefix:
+            odd = np.arange(len(counts))
         if len(odd):
             parts = np.split(ids, np.cumsum(counts)[:-1])
-            for k in odd.tolist():
-                parts[k] = self.encode(texts[k].as_py() or "")
+            for k, own in zip(odd.tolist(), self._runs([blank[k].as_py() for k in odd.tolist()])):
+                parts[k] = own
             counts = np.array([len(p) for p in parts])
             ids = np.concatenate(parts)
         return ids, counts
 
+    def _runs(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts with runs of blanks, by their units, which the memo knows as well."""
+        found = [self._UNITS.findall((SPACE if self.prefix and t else "") + t.replace(" ", SPACE)) for t in texts]
+        codes, distinct = coded(pa.array([u for units in found for u in units], pa.string()))
+        offsets = np.concatenate(([0], np.cumsum([len(units) for units in found])))
+        ids, ends = laid_out(self.memo.lookup(distinct), codes, offsets)
+        return np.split(ids, ends[1:-1])
+
     def decode_batch(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The bytes that each text's ids write, less the blank in front."""
         if not len(ids):
@@ -252,8 +280,9 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = machine(model)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            sizes = np.diff(lists(batch.column(at))[0])
+            for i, j in slices(sizes, 500_000):
+                part = batch.slice(i, j - i)
                 offsets, flat = lists(part.column(at))
                 texts = [x.decode("utf-8", "replace") for x in own.decode_batch(np.asarray(flat), np.diff(offsets))]
                 yield pa.record_batch([*part.columns, pa.array(texts)], names=[*part.schema.names, "decoded"])
