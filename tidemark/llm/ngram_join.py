@@ -280,7 +280,7 @@ def _classes(docs: DataFrame, threshold: float, n: int, recall: float, block: in
     return sigs.select("doc_id", "row_key", "gram_key"), written(classes.select("node", "component", "links").join(first, "component"))
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, block: int = 512, volume: int = 1_000_000) -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, block: int = 256, volume: int = 500_000) -> DataFrame:
     """doc_id, row_key, class_id, n_links, gram_key for every row; see the module's description."""
     rows, classes = _classes(docs, threshold, n, recall, block, volume)
     out = rows.join(classes, F.col("gram_key") == F.col("node"), "left")
@@ -294,7 +294,7 @@ def dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     Rows go by doc_id and text, so a row that shares its doc_id with another stays if its own text has no
     like. Of equal (doc_id, text) rows that would stay, the one with the least hash of all columns does.
     """
-    rows, classes = _classes(docs, threshold, 5, 0.9999, 512, 1_000_000)
+    rows, classes = _classes(docs, threshold, 5, 0.9999, 256, 500_000)
     held = rows.join(classes, F.col("gram_key") == F.col("node"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key"))
     marked = written(held.groupBy("doc_id", "row_key").agg(F.max(same).alias("stays"), F.count("*").alias("times")).where("not stays or times > 1").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "stays"))
