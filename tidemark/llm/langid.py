@@ -9,11 +9,12 @@ the landmark space, and since the kernel is a dot product, landmarks and weights
 bins by languages: a text is scored by a sparse product with it.
 
 Training rows are a sample of bounded expected size, stratified by language and chosen by a hash of
-doc_id; ``train_rows`` is the bound. Everything else covers all rows.
+doc_id and text, equal rows once; ``train_rows`` is the bound. Everything else covers all rows.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0; languages are those seen
-in training, and with none every text is ``und``; ties go to the first language by code point. Rows are
-independent, so repeats and further columns have no effect.
+Defined results: a null or empty text, or one without a letter, is ``und`` with score 0; languages are those seen
+in training, and with none every text is ``und``; ties go to the first language by code point; a very long text
+is the mean of all its blocks. Rows are independent, so repeats have equal results; with no rows the result is
+empty; other columns stay, whatever their names, but for lang_pred and lang_score, which are replaced.
 """
 
 from __future__ import annotations
@@ -122,8 +123,9 @@ def train(docs: DataFrame, usable: Column, train_rows: int = 1600) -> Model | No
         return None
     share = train_rows / len(counts)
     chance = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, share / n))])[F.col("lang")]
-    hashed = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = sorted((r["text"], r["lang"]) for r in rows.where(hashed < chance).select("text", "lang").toLocalIterator())
+    hashed = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    picked = rows.where(hashed < chance).select("doc_id", "text", "lang").distinct()
+    sample = sorted((r["text"], r["lang"]) for r in picked.toLocalIterator())
     if not sample:
         return None
     texts, langs = zip(*sample)

@@ -5,12 +5,13 @@ read back. A short-time Fourier transform (Hann frames of 256 samples, hop 64, e
 gives the strongest local maxima of each frame. The payload is closed into a ring, so that its first and last
 bytes weigh as much as the others. Each peak is paired with the following peaks of later frames in a target
 zone, and the pairs are kept as arrays of (time, frequency, frequency, time difference), times in hops.
-Rows are independent, long payloads are transformed in
-stretches, and nothing is shuffled.
+Rows are independent, batches are cut by
+bytes, very long payloads are transformed in stretches, and nothing is shuffled.
 
-Defined results: a null text is empty; an empty payload is padded to one unit; equal texts give equal
-media and features; a payload of one byte value is silent and has the one pair (0, 0, 0, 0); other columns
-are not touched.
+Defined results: a null text is empty; an empty payload is padded to one unit; equal texts, and rows that repeat,
+give equal media and features; of peaks that tie, the lower bin counts; a payload of one byte value is silent
+and has the one pair (0, 0, 0, 0); a null doc_id stays null; with no rows the result is empty; other columns
+are not touched, whatever their names.
 """
 
 from __future__ import annotations
@@ -98,8 +99,8 @@ def fingerprint(payload: bytes) -> np.ndarray:
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            ids, texts = batch.column(0)[i : i + 256], batch.column(1)[i : i + 256].cast(pa.binary()).to_pylist()
+        for i, j in text_slices(batch.column(1)):
+            ids, texts = batch.column(0)[i:j], batch.column(1)[i:j].cast(pa.binary()).to_pylist()
             yield pa.record_batch([ids, pa.array([len(x) for x in texts], pa.int64()), pa.array([to_wav(x) for x in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 

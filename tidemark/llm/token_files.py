@@ -10,7 +10,9 @@ Words repeat, so each task encodes each distinct word once (the tokenizer drops
 and no rule spans it) and lays the ids out by code; the memo is bounded and only saves work.
 
 Defined results: a null text is empty, an empty text is the end id alone; null doc_ids come first; rows
-with equal doc_id follow each other by the hash of their text, then the text.
+with equal doc_id follow each other by the hash of their text, then the text, and equal rows are written each;
+a very long text is encoded on its own and makes a segment of its own length; with no rows there are no segments
+and the result is empty; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,9 +10,11 @@ Training rows are a sample of bounded expected size, chosen by a hash of doc_id
 rows, as many of each label as ``train_rows`` allows; whole texts. Scoring covers every row: words are
 coded by Arrow, each distinct word of a batch is weighed once, and sums run over code arrays.
 
-Defined results: a null or empty text has score 0 and no offending sentence. With no usable label of one
-kind the weights stay at their start, and all scores are near 0. Rows are independent; rows of labels that repeat a
-doc_id are joined by their greatest label.
+Defined results: a null or empty text has score 0 and no offending sentence; the score of a very long text
+is the noisy-or of all its sentences. With no usable label of one kind the weights stay at their start, and all
+scores are near 0. Rows are independent, so ties and repeats have equal scores; of rows that repeat a doc_id, the
+one with the least hash of its text may enter the sample; rows of labels that repeat a doc_id are joined by their
+greatest label. With no rows the result is empty; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -119,9 +121,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int =
         chance = F.when(F.col("toxic") == label, min(1.0, train_rows / 2 / n)).otherwise(chance)
     hashed = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     picked = known.where(hashed < chance)
-    # the picked rows are bounded by train_rows, so the documents side is not shuffled
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic").toLocalIterator()
-    sample = sorted((r["text"] or "", int(r["toxic"])) for r in rows)
+    # the picked ids are bounded by train_rows, so the documents side is not shuffled; one text an id
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("row"))
+    sample = sorted((r["text"] or "", int(r["toxic"])) for r in rows.select("row.*").toLocalIterator())
     return fit([t for t, _ in sample], [y for _, y in sample])
 
 
