@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
 from tidemark.operators import answer, graph, resolve
 
 QUERIES = [(1, "c", "What voltage does the reactor pump need?"), (2, "c", "Zebra migration calendar dates"), (3, "c", "anything unknown")]
@@ -44,7 +45,7 @@ def test_synthesis_retries_once(spark):
 
 def test_texts(spark):
     row = spark.range(1).select(
-        answer.evidence_span(F.lit("[00:05] a [1:10 - 01:20] b")).alias("span"),
+        T.evidence_span(F.lit("[00:05] a [1:10 - 01:20] b")).alias("span"),
         answer.effective_stamp(F.lit("none"), F.lit("00:00")).alias("placeholder"),
         answer.effective_stamp(F.lit(None).cast("string"), F.lit("")).alias("nothing"),
         answer.stamp_excerpt(F.lit("x" * 100 + "12:30 said"), F.lit("12:30")).alias("excerpt"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Stop words of queries and passages. Words that cannot be tokens (with an apostrophe, or of
@@ -32,6 +32,12 @@ def words(text: Column) -> Column:
     return F.filter(ascii_only, lambda w: F.length(w) >= 2)
 
 
+def word_rows(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(*keys, word): a row for each of the words of :func:`words`, so that what follows runs in compiled code."""
+    split = rows.select(*keys, F.explode(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+")).alias("word"))
+    return split.where(F.col("word").rlike("^[a-z0-9_]+$")).withColumn("word", F.btrim("word", F.lit("_"))).where(F.length("word") >= 2)
+
+
 def stem(w: Column) -> Column:
     """First rule that fits: short words stay; -ies to -y; final s (not ss) goes; -ing and -ed go."""
     n = F.length(w)
@@ -50,13 +56,17 @@ def twin(w: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in TWINS.items() for x in kv])[w]
 
 
+def emitted(w: Column) -> Column:
+    """The tokens of a word: itself, its stem if different, its ordinal twin."""
+    return F.array_compact(F.array(w, F.nullif(stem(w), w), twin(w)))
+
+
 def tokens(text: Column, drop_stopwords: bool = False) -> Column:
     """Each word, then its stem if different, then its ordinal twin."""
     base = words(text)
     if drop_stopwords:
         base = F.filter(base, lambda w: ~w.isin(STOPWORDS))
-    emitted = F.transform(base, lambda w: F.array(w, F.when(stem(w) != w, stem(w)), twin(w)))
-    return F.filter(F.flatten(emitted), lambda w: w.isNotNull())
+    return F.flatten(F.transform(base, emitted))
 
 
 def expanded(query: Column) -> Column:
@@ -117,3 +127,15 @@ def page_text(text: Column, number: Column) -> Column:
     bodies = F.split(text, tag, -1)
     numbers = F.transform(F.regexp_extract_all(text, F.lit(f"({tag})"), F.lit(1)), lambda t: F.regexp_extract(t, r"\d+", 0).cast("int"))
     return F.btrim(F.get(bodies, F.nullif(F.array_position(numbers, number), F.lit(0)).cast("int")), F.lit(" \n\t\r"))
+
+
+# A stamp, with its end where it has one.
+STAMP = r"\[(\d{1,2}:\d{2}(?:\s*-\s*\d{1,2}:\d{2})?)\]"
+
+
+def evidence_span(text: Column) -> Column:
+    """The stamp of a text, or from the start of its first to the end of its last; null without stamps."""
+    stamps = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(STAMP), F.lit(1))
+    start = F.btrim(F.split_part(F.get(stamps, 0), F.lit("-"), F.lit(1)))
+    end = F.btrim(F.split_part(F.element_at(stamps, -1), F.lit("-"), F.lit(-1)))
+    return F.when(F.size(stamps) == 1, F.get(stamps, 0)).when(F.size(stamps) > 1, F.concat(start, F.lit(" - "), end))

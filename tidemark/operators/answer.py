@@ -19,21 +19,12 @@ PARTIAL = ("The provided documentation does not explicitly state what happens re
 UNKNOWN_STAMPS = ("00:00 - 00:01", "00:00")
 # Extensions of the viewer, more than uploads allow.
 VIEWED = {"pdf": r"\.pdf$", "image": r"\.(png|jpe?g|webp|gif|svg|bmp)$", "audio": r"\.(mp3|wav|ogg|m4a|aac|flac)$", "video": r"\.(mp4|webm|mov|mkv|avi)$"}
-STAMP = r"\[(\d{1,2}:\d{2}(?:\s*-\s*\d{1,2}:\d{2})?)\]"
 HOPS_TOLD, TURN_CHARS = 15, 300
 
 
-def evidence_span(text: Column) -> Column:
-    """The stamp of a text, or from the start of its first to the end of its last; null without stamps."""
-    stamps = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(STAMP), F.lit(1))
-    start = F.btrim(F.split_part(F.get(stamps, 0), F.lit("-"), F.lit(1)))
-    end = F.btrim(F.split_part(F.element_at(stamps, -1), F.lit("-"), F.lit(-1)))
-    return F.when(F.size(stamps) == 1, F.get(stamps, 0)).when(F.size(stamps) > 1, F.concat(start, F.lit(" - "), end))
-
-
 def effective_stamp(evidence: Column, fallback: Column) -> Column:
     """The evidence's span, else the fallback; an empty fallback is null. Placeholders count when there is nothing else."""
-    return F.coalesce(evidence_span(evidence), F.nullif(fallback, F.lit("")))
+    return F.coalesce(T.evidence_span(evidence), F.nullif(fallback, F.lit("")))
 
 
 def stamp_excerpt(text: Column, stamp: Column, before: int = 80, after: int = 400) -> Column:

@@ -2,21 +2,41 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.plans.lineage import written
+
+
+@dataclass(frozen=True)
+class Index:
+    """Stored tables that searches read in place of the texts.
+
+    postings: (conversation_id, term, chunk_id, tf, content), content where a word that is no stop word gave the term;
+    stats: (conversation_id, chunk_id, dl); corpus: (conversation_id, n, avgdl); idf: (conversation_id, term, df, idf).
+    """
+
+    postings: DataFrame
+    stats: DataFrame
+    corpus: DataFrame
+    idf: DataFrame
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(conversation_id, chunk_id, term, tf); counts combine before the shuffle."""
-    rows = chunks.select("conversation_id", "chunk_id", F.explode(T.tokens(F.col("text"))).alias("term"))
-    return rows.groupBy("conversation_id", "chunk_id", "term").agg(F.count("*").alias("tf"))
+    """(conversation_id, chunk_id, term, tf, content); counts combine before the shuffle."""
+    words = T.word_rows(chunks, ["conversation_id", "chunk_id"], "text").withColumn("content", ~F.col("word").isin(T.STOPWORDS))
+    rows = words.select("conversation_id", "chunk_id", "content", F.explode(T.emitted(F.col("word"))).alias("term"))
+    return rows.groupBy("conversation_id", "chunk_id", "term").agg(F.count("*").alias("tf"), F.max("content").alias("content"))
 
 
-def doc_stats(chunks: DataFrame) -> DataFrame:
-    """(conversation_id, chunk_id, dl): tokens of a chunk, in a map-only pass."""
-    return chunks.select("conversation_id", "chunk_id", F.size(T.tokens(F.col("text"))).cast("long").alias("dl"))
+def doc_stats(chunks: DataFrame, post: DataFrame) -> DataFrame:
+    """(conversation_id, chunk_id, dl): tokens of a chunk, 0 for one that has none."""
+    held = post.groupBy("conversation_id", "chunk_id").agg(F.sum("tf").alias("dl"))
+    every = chunks.select("conversation_id", "chunk_id", F.lit(0).cast("long").alias("dl"))
+    return held.unionByName(every).groupBy("conversation_id", "chunk_id").agg(F.max("dl").alias("dl"))
 
 
 def corpus_stats(stats: DataFrame) -> DataFrame:
@@ -29,6 +49,26 @@ def idf(post: DataFrame, corpus: DataFrame) -> DataFrame:
     return df.join(corpus, "conversation_id").select("conversation_id", "term", "df", F.log((F.col("n") + 1) / F.col("df")).alias("idf"))
 
 
+def built(chunks: DataFrame) -> Index:
+    """The index of the chunks: texts are tokenised once, and the tables lie in the shared folder."""
+    post = written(postings(chunks))
+    stats = written(doc_stats(chunks, post))
+    corpus = written(corpus_stats(stats))
+    return Index(post, stats, corpus, written(idf(post, corpus)))
+
+
+def updated(index: Index, new: DataFrame, gone: DataFrame) -> Index:
+    """The index after new chunks (conversation_id, chunk_id, text) came and the chunks (chunk_id) of ``gone`` went.
+
+    Only new texts are tokenised; a new chunk takes the place of an old one with its id.
+    """
+    out = gone.select("chunk_id").union(new.select("chunk_id")).distinct()
+    post = written(index.postings.join(out, "chunk_id", "left_anti").unionByName(postings(new)))
+    stats = written(index.stats.join(out, "chunk_id", "left_anti").unionByName(doc_stats(new, postings(new))))
+    corpus = written(corpus_stats(stats))
+    return Index(post, stats, corpus, written(idf(post, corpus)))
+
+
 def add_new(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old chunks and those new ones whose id is not there yet."""
     return old.unionByName(new.join(old.select("chunk_id"), "chunk_id", "left_anti"))
@@ -44,9 +84,22 @@ def without_files(index: DataFrame, files: DataFrame) -> DataFrame:
     return index.join(files.select("file_id").distinct(), "file_id", "left_anti")
 
 
+def without_conversations(index: DataFrame, conversations: DataFrame) -> DataFrame:
+    """The index without the given conversations."""
+    return index.join(conversations.select("conversation_id").distinct(), "conversation_id", "left_anti")
+
+
 def stub_vectors(chunks: DataFrame, size: int = 384) -> DataFrame:
     """(chunk_id, slot, value): unit vectors of hashed words in sparse form, in place of an embedding model."""
     slot = (F.conv(F.left(F.md5("word"), F.lit(8)), 16, 10).cast("long") % size).cast("int")
-    counts = chunks.select("chunk_id", F.explode(T.tokens(F.col("text"))).alias("word")).groupBy("chunk_id", slot.alias("slot")).agg(F.count("*").alias("n"))
+    words = T.word_rows(chunks, ["chunk_id"], "text")
+    counts = words.select("chunk_id", F.explode(T.emitted(F.col("word"))).alias("word")).groupBy("chunk_id", slot.alias("slot")).agg(F.count("*").alias("n"))
     norms = counts.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     return counts.join(norms, "chunk_id").select("chunk_id", "slot", (F.col("n") / F.col("norm")).alias("value"))
+
+
+def dense_vectors(sparse: DataFrame, keys: DataFrame, size: int = 384) -> DataFrame:
+    """(chunk_id, vector): the sparse form as arrays; a chunk of ``keys`` without words has ``size`` zeros."""
+    per = sparse.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("m"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit(0.0)))
+    return keys.select("chunk_id").join(per, "chunk_id", "left").select("chunk_id", filled.alias("vector"))

@@ -35,6 +35,13 @@ FOLLOWUPS = (
 INQUIRY = "work mean happen tell give look know run use get find seem occur appear take make need want see show say call come state exist i ii iii iv v".split()
 
 
+# What is said around a word that no passage holds.
+ASPECT = ("Specific documentation on '", "'")
+# How a sentence or an item before a claim ends, and the shares of words that ground a claim.
+BOUNDARY = r"(?:[.?!] |\.\n|\n\n|\n[-*] )"
+IN_PASSAGE, IN_SENTENCE = 0.30, 0.25
+
+
 def any_of(text: Column, patterns: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for p in patterns:
@@ -85,7 +92,10 @@ def graded(answers: DataFrame) -> DataFrame:
     c = F.col("coverage")
     level = F.when(F.size("asked") == 0, "medium").when(F.size(key) > 0, F.when(c >= 0.5, "medium").otherwise("low")).when((c >= 0.75) & (F.col("top_score") >= 0.5), "high").when(c >= 0.3, "medium").otherwise("low")
     rows = rows.withColumn("confidence", level)
-    return rows.select("query_id", "coverage", "confidence", (F.col("confidence") == "low").alias("should_retry"), F.array_join(key, " ").alias("missing"))
+    # what to ask for: documentation on the substantive words that lack, else all words that lack
+    named = F.array_join(F.transform(key, lambda w: F.concat(F.lit(ASPECT[0]), w, F.lit(ASPECT[1]))), " ")
+    aspects = F.when(F.size(key) > 0, named).when(F.col("confidence") == "high", "").otherwise(F.array_join("missing", " "))
+    return rows.select("query_id", "coverage", "confidence", (F.col("confidence") == "low").alias("should_retry"), aspects.alias("missing"))
 
 
 def reformulated(query: Column, missing: Column) -> Column:
@@ -99,32 +109,43 @@ def claims(answers: DataFrame) -> DataFrame:
     The text before each marker, back to the last sentence or bullet boundary, or else 200 characters.
     """
     marks = F.regexp_extract_all("answer", F.lit(r"\[(\d+)\]"), F.lit(0))
-    rows = answers.select("answer_id", "answer", F.posexplode(marks).alias("claim_no", "mark"))
-    # text before the n-th marker: the first n + 1 gaps with the markers between them
-    gaps, all_marks = F.split("answer", r"\[\d+\]", -1), marks
-    before = F.array_join(F.transform(F.sequence(F.lit(0), F.col("claim_no")), lambda i: F.concat(F.when(i > 0, F.get(all_marks, i - 1)).otherwise(""), F.get(gaps, i))), "")
-    rows = rows.select("answer_id", "claim_no", F.regexp_extract("mark", r"\d+", 0).cast("int").alias("passage_number"), F.btrim(before).alias("before"))
-    tail = F.regexp_replace("before", r"(?s)^.*(?:[.?!] |\.\n|\n\n|\n[-*] )", "")
+    rows = answers.select("answer_id", marks.alias("marks"), F.split("answer", r"\[\d+\]", -1).alias("gaps"))
+    # the text since the marker before holds the boundary nearly always; only where it does not, all that stands before is joined
+    gaps = F.transform("marks", lambda m, i: F.struct(m.alias("mark"), F.regexp_replace(F.get("gaps", i), r"\s+$", "").alias("own")))
+    joined = lambda n: F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.when(i > 0, F.get("marks", i - 1)).otherwise(""), F.get("gaps", i))), "")
+    parts = F.transform(gaps, lambda g, i: F.struct(g["mark"].alias("mark"), F.when(g["own"].rlike(BOUNDARY), g["own"]).otherwise(F.regexp_replace(joined(i), r"^\s+|\s+$", "")).alias("before")))
+    rows = rows.select("answer_id", F.posexplode(parts).alias("claim_no", "p")).select("answer_id", "claim_no", F.regexp_extract("p.mark", r"\d+", 0).cast("int").alias("passage_number"), "p.before")
+    tail = F.regexp_replace("before", "(?s)^.*" + BOUNDARY, "")
     claim = F.when(tail == F.col("before"), F.right("before", F.lit(200))).otherwise(tail)
-    claim = F.btrim(F.regexp_replace(claim, r"\[\d+\]", ""))
-    claim = F.btrim(F.regexp_replace(claim, r"^(?:[-*•]|\d+\.)\s+", ""), F.lit("\"' "))
+    claim = F.btrim(F.regexp_replace(claim, r"\[\d+\]", ""), F.lit(" \n\t\r"))
+    claim = F.btrim(F.btrim(F.regexp_replace(claim, r"^(?:[-*•]|\d+\.)\s+", "")), F.lit("\"'"))
     return rows.select("answer_id", "claim_no", "passage_number", F.when(claim == "", F.btrim(F.right("before", F.lit(150)))).otherwise(claim).alias("claim"))
 
 
 def verified(claimed: DataFrame, passages: DataFrame) -> DataFrame:
-    """Claims joined to (answer_id, passage_number, text): grounded, status, evidence.
+    """Claims joined to (answer_id, passage_number, text, and what names the source): grounded, status, evidence.
 
-    A token counts where it occurs anywhere in the passage; a missing passage is unsupported.
+    A word counts where it occurs anywhere in the passage. The evidence is the first sentence with most of the claim's
+    words, or else the passage's first 200 characters; a stamp in it takes the place of the passage's ``timestamp``. A
+    missing passage is unsupported and has no evidence. Other columns of the passages stay.
     """
-    rows = claimed.join(passages, ["answer_id", "passage_number"], "left")
+    more = [c for c in passages.columns if c not in ("answer_id", "passage_number", "text", "timestamp")]
+    stamp = F.col("timestamp") if "timestamp" in passages.columns else F.lit(None).cast("string")
+    rows = claimed.join(passages, ["answer_id", "passage_number"], "left").withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
     rows = rows.withColumn("toks", F.filter(T.tokens(F.col("claim"), drop_stopwords=True), lambda w: F.length(w) > 2))
     n = F.greatest(F.size("toks"), F.lit(1))
-    share = lambda t: F.size(F.filter("toks", lambda w: F.contains(F.lower(t), w))) / n
+    share = lambda low: F.when(F.size("toks") == 0, 1.0).otherwise(F.size(F.filter("toks", lambda w: F.contains(low, w))) / n)
     sentences = F.filter(F.transform(F.split("text", r"(?<=[.!?\n])\s+"), lambda s: F.btrim(s)), lambda s: F.length(s) > 10)
-    rows = rows.withColumn("best", F.array_max(F.transform(sentences, share)))
-    grounded = F.when(F.col("text").isNull(), False).when(F.size("toks") == 0, True).otherwise((share(F.col("text")) >= 0.30) | (F.coalesce("best", F.lit(0.0)) >= 0.25))
-    rows = rows.withColumn("is_grounded", grounded)
-    return rows.select("answer_id", "claim_no", "passage_number", "claim", "is_grounded", F.when(F.col("is_grounded"), "VERIFIED").otherwise("UNSUPPORTED").alias("status"))
+    rows = rows.withColumn("sentences", sentences)
+    scored = F.transform("sentences", lambda s, i: F.struct(share(F.lower(s)).alias("score"), (-i).alias("back")))
+    rows = rows.withColumn("best", F.array_max(scored))
+    score = F.coalesce(F.col("best.score"), F.lit(0.0))
+    rows = rows.withColumn("is_grounded", F.when(F.col("text").isNull(), False).otherwise((F.size("toks") == 0) | (share(F.lower("text")) >= IN_PASSAGE) | (score >= IN_SENTENCE)))
+    quote = F.when(score > 0, F.get("sentences", -F.col("best.back"))).otherwise(F.left("text", F.lit(200)))
+    quote = F.btrim(F.regexp_replace(F.regexp_replace(quote, r"^\s+|\s+$", ""), r"^(?:[-*•]|\d+\.)\s+", ""), F.lit("\"'"))
+    rows = rows.withColumn("evidence", F.coalesce(quote, F.lit("")))
+    status = F.when(F.col("is_grounded"), "VERIFIED").otherwise("UNSUPPORTED")
+    return rows.select("answer_id", "claim_no", "passage_number", "claim", "is_grounded", status.alias("status"), "evidence", F.coalesce(T.evidence_span(F.col("evidence")), stamp).alias("timestamp"), *more)
 
 
 def groundedness(checked: DataFrame) -> DataFrame:

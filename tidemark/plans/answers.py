@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
 from tidemark.operators import answer, graph, index, resolve, retrieve
 from tidemark.sources import tables as S
 from tidemark.streaming import ingest
 
 from . import catalogue as C, oracle as O
-from .lineage import cut, shared_base
+from .lineage import shared_dir, written
 from .registry import query
 
 _STAMPED = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN '[' || a || '] ' || event_type WHEN 2 THEN '[' || a || ' - ' || b || '] ' || event_type || ' [' || b || ' - ' || c || '] end' ELSE '[' || a || '] x [' || c || ']' END AS said,
@@ -32,7 +31,7 @@ def _said(spark, d):
 e AS (SELECT *, CASE len(st) WHEN 0 THEN NULL WHEN 1 THEN st[1] ELSE trim(string_split(st[1], '-')[1]) || ' - ' || trim(string_split(st[-1], '-')[-1]) END AS span FROM m)
 SELECT event_id, span, coalesce(span, nullif(fallback, '')) AS stamp FROM e""")
 def evidence_span(spark, d):
-    return _said(spark, d).select("event_id", answer.evidence_span(F.col("said")).alias("span"), answer.effective_stamp(F.col("said"), F.col("fallback")).alias("stamp"))
+    return _said(spark, d).select("event_id", T.evidence_span(F.col("said")).alias("span"), answer.effective_stamp(F.col("said"), F.col("fallback")).alias("stamp"))
 
 
 @query("""SELECT doc_id, CASE WHEN strpos(text, ' the ') > 0 THEN '... ' || trim(substr(text, greatest(0, strpos(text, ' the ') - 81) + 1, strpos(text, ' the ') - 1 + 400 - greatest(0, strpos(text, ' the ') - 81)), ' ' || chr(9) || chr(10) || chr(13)) || ' ...' END AS excerpt FROM documents""")
@@ -90,7 +89,7 @@ def graph_narrative(spark, d):
 
 @query(f"WITH {O.BM25} SELECT * FROM sparse WHERE bm25_rank <= 5")
 def bm25_topk(spark, d):
-    return retrieve.bm25_topk(S.queries(spark, d), S.chunks(spark, d), 5)
+    return retrieve.bm25_topk(S.queries(spark, d), index.built(S.chunks(spark, d)), 5)
 
 
 @query(f"""WITH {O.CHUNKS}, {O.QUERIES}, {O.DENSE}, w AS (SELECT *, min(dense_score) OVER (PARTITION BY query_id) AS low, max(dense_score) OVER (PARTITION BY query_id) AS high FROM dense)
@@ -120,7 +119,7 @@ def vector_upsert(spark, d):
 @query(C.ORACLE_SQL["chunk_blocks"])
 def ingest_stream(spark, d):
     """The documents as files in a folder, ingested by the stream; what it wrote equals the batch chunks."""
-    base = f"{shared_base(spark)}/ingest-{uuid.uuid4().hex}"
+    base = shared_dir(spark, "ingest")
     rows = S.files(spark, d).select("file_id", "filename", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     rows.write.parquet(f"{base}/in")
     ingest.ingest(spark, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
@@ -129,27 +128,16 @@ def ingest_stream(spark, d):
     return found.select("file_id", "chunk_index", "chunk_id", F.length(body).cast("long").alias("n_chars"), F.size(F.split(body, "\n")).cast("long").alias("n_blocks"))
 
 
-def _passages(spark, d, queries):
-    """The five fused passages of each query with their texts."""
-    chunks = S.chunks(spark, d)
-    own = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    dense = cut(retrieve.dense_topk(queries.select("query_id", "conversation_id").join(own, "query_id"), S.vectors(spark, d)))
-    sparse = cut(retrieve.bm25_topk(queries, chunks))
-    hits = dense.select("query_id", "chunk_id").union(sparse.select("query_id", "chunk_id")).distinct()
-    found = retrieve.fuse(dense, sparse, retrieve.coordination(queries, hits, chunks), chunks)
-    return found.join(chunks.select("chunk_id", "text"), "chunk_id").select("query_id", "position", "final_score", "file_type", "text")
-
-
 @query()
 def synthesize_e2e(spark, d):
-    return answer.synthesized(S.queries(spark, d), lambda q: _passages(spark, d, q), cut)
+    return answer.synthesized(S.queries(spark, d), C.Search(spark, d).passages, written)
 
 
 @query()
 def stage_log(spark, d):
-    q = S.queries(spark, d)
-    first = cut(_passages(spark, d, q))
-    done = answer.synthesized(q, lambda asked: first if asked is q else _passages(spark, d, asked), cut)
+    q, search = S.queries(spark, d), C.Search(spark, d)
+    first = search.passages(q)
+    done = answer.synthesized(q, lambda asked: first if asked is q else search.passages(asked), written)
     return answer.stages(done, first)
 
 

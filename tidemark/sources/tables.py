@@ -65,3 +65,16 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     for p in parts[1:]:
         out = out.union(p)
     return out.select((F.col("s").cast("long") * 1_000_000_000_000 + F.col("k")).alias("seq"), "source", "relation", "target", "file_id")
+
+
+def active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id) of the files that are done: by their status, or by their text where they have none."""
+    done = F.coalesce(F.col("status") == "done", F.length("text") > 0)
+    return files(spark, sf_dir).where(done).select(F.col("file_id").alias("chunk_id"))
+
+
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, conversation_id, route): what a routing model would say of each query, here by its number."""
+    kinds = [*TYPES, "multimodal", "conversational", "off", "failed"]
+    route = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.pmod("query_id", F.lit(len(kinds))) + 1).cast("int"))
+    return queries(spark, sf_dir).select("query_id", "conversation_id", route.alias("route"))
