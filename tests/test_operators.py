@@ -30,7 +30,7 @@ def test_names_and_times(spark):
 def test_bm25_baseline(spark):
     chunks = spark.createDataFrame([("c", 1, "document", "aa bb"), ("c", 2, "document", "aa cc")], "conversation_id string, chunk_id long, file_type string, text string")
     asked = spark.createDataFrame([(7, "c", "bb")], "query_id long, conversation_id string, query string")
-    got = {r.chunk_id: r.bm25_score for r in retrieve.bm25_topk(asked, chunks).collect()}
+    got = {r.chunk_id: r.bm25_score for r in retrieve.bm25_topk(asked, index.built(chunks)).collect()}
     assert got == {1: 1.0, 2: 0.5}
 
 

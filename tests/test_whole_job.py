@@ -2,7 +2,7 @@
 
 from tidemark.operators import graph, resolve
 from tidemark.plans.catalogue import shortest_path
-from tidemark.plans.knowledge import path_hops_metadata
+from tidemark.plans.upkeep import path_hops_metadata
 
 
 def test_paths_of_any_length(spark):

@@ -122,8 +122,8 @@ def snippet(text: Column, term: Column, before: int = 100, after: int = 240, who
 
 
 def page_text(text: Column, number: Column) -> Column:
-    """The text between a page's tag, ``[Page n]`` or ``--- Page n ---``, and the next tag; null without that page."""
-    tag = r"(?i)(?:\[Page\s*\d+(?:\s*\(OCR\))?\]|---\s*Page\s*\d+\s*---)"
+    """The text between a page's tag, ``[Page n]``, ``--- Page n ---`` or ``Page n:``, and the next tag; null without that page."""
+    tag = r"(?i)(?:\[Page\s*\d+(?:\s*\(OCR\))?\]|---\s*Page\s*\d+\s*---|Page\s*\d+:)"
     bodies = F.split(text, tag, -1)
     numbers = F.transform(F.regexp_extract_all(text, F.lit(f"({tag})"), F.lit(1)), lambda t: F.regexp_extract(t, r"\d+", 0).cast("int"))
     return F.btrim(F.get(bodies, F.nullif(F.array_position(numbers, number), F.lit(0)).cast("int")), F.lit(" \n\t\r"))

@@ -51,6 +51,41 @@ def unmarked(text: Column) -> Column:
     return F.btrim(F.regexp_replace(x, r"\s{2,}", " "), F.lit(" \t\r\n"))
 
 
+# Signs of mathematical notation and their plain forms.
+SIGNS = {"times": "×", "div": "÷", "pm": "±", "approx": "≈", "ge": "≥", "le": "≤", "cdot": "·", "neq": "≠", "rightarrow": "→", "leftarrow": "←"}
+
+
+def plain_math(text: Column) -> Column:
+    """Mathematical notation as plain text: no dollar signs around it, signs for commands, fractions with a stroke, no braces."""
+    x = F.regexp_replace(F.btrim(text), r"^\$+|\$+$", "")
+    x = F.regexp_replace(F.regexp_replace(F.btrim(x), r"\\text\{([^}]+)\}", "$1"), r"\\\$", r"\$")
+    for name, sign in SIGNS.items():
+        x = F.replace(x, F.lit("\\" + name), F.lit(sign))
+    x = F.regexp_replace(x, r"\\frac\{([^}]+)\}\{([^}]+)\}", "($1 / $2)")
+    return F.btrim(F.regexp_replace(F.regexp_replace(x, r"\\left|\\right", ""), "[{}]", ""))
+
+
+def preview(text: Column, most: int = 150) -> Column:
+    """The first characters of an answer, with dots where it goes on."""
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text)
+
+
+def cited(markers: DataFrame, checked: DataFrame) -> DataFrame:
+    """(answer_id, occurrence, passage_number, claim_no): the verified claim that a marker of the shown answer stands for.
+
+    markers: (answer_id, occurrence, passage_number, said), ``said`` the text before it; checked: (answer_id, claim_no,
+    passage_number, claim). Of a passage's claims the one that shares most words with ``said``, the first of equals; where none
+    shares any, the claim of the marker's own place if it cites the passage.
+    """
+    words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\w\s]", " "), r"\s+"), lambda w: F.length(w) > 2)
+    pairs = markers.join(checked.select("answer_id", "passage_number", "claim_no", "claim"), ["answer_id", "passage_number"])
+    pairs = pairs.withColumn("_said", words(F.col("said")))
+    shared = F.size(F.filter(words(F.coalesce("claim", F.lit(""))), lambda w: F.array_contains("_said", w)))
+    own = F.when((shared == 0) & (F.col("claim_no") == F.col("occurrence")), 1).otherwise(0)
+    best = pairs.groupBy("answer_id", "occurrence", "passage_number").agg(F.max(F.struct(shared.alias("n"), own.alias("own"), (-F.col("claim_no")).alias("back"))).alias("b"))
+    return best.select("answer_id", "occurrence", "passage_number", (-F.col("b.back")).alias("claim_no"))
+
+
 def json_text(raw: Column) -> Column:
     """A model's reply as valid JSON: its code fence removed; cut-off lists closed after the last object; else {}."""
     bare = F.btrim(raw, F.lit(" \t\r\n"))

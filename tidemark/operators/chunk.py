@@ -49,6 +49,12 @@ def by_blocks(files: DataFrame, target: int = TARGET) -> DataFrame:
     return _labelled(rows, first_stamp(F.col("body")), page_number(F.col("body")), F.concat(F.lit("["), _label(), F.lit("]\n"), "body"))
 
 
+def chunked(files: DataFrame) -> DataFrame:
+    """The chunks of each file: by pages where its text has page tags, else by blocks."""
+    paged = F.contains(F.coalesce("text", F.lit("")), F.lit("[Page "))
+    return by_pages(files.where(paged)).unionByName(by_blocks(files.where(~paged)))
+
+
 def by_pages(files: DataFrame, target: int = TARGET, whole: int = PAGE_WHOLE) -> DataFrame:
     """Chunks of pages: a page within ``whole`` characters stays one chunk, a longer one is packed by paragraph."""
     pages = filled(F.split(F.coalesce("text", F.lit("")), r"(?=\[Page\s*\d+)"))
@@ -86,8 +92,9 @@ def windows(files: DataFrame, before: str, size: int, least: int, glue: str = "\
     """Windows for triple extraction of texts with tags: (file_id, window_no, text, timestamp, page_number).
 
     The text is split in front of each tag (4,200 characters and parts of 20 for pages; 3,000 and 15 for
-    stamps), and short parts go; a window has the first page or stamp in it.
+    stamps), and short parts go; a window has the first page or stamp in it, with what stands in brackets behind.
     """
     parts = F.filter(filled(F.split(F.coalesce("text", F.lit("")), before)), lambda x: F.length(x) >= least)
     rows = files.select("file_id", F.posexplode(packed(parts, size, glue)).alias("window_no", "text"))
-    return rows.select("file_id", "window_no", "text", first_stamp(F.col("text")).alias("timestamp"), page_number(F.col("text")).alias("page_number"))
+    stamp = F.nullif(F.regexp_extract("text", r"\[(\d{1,2}:\d{2}(?:\s*-\s*\d{1,2}:\d{2})?(?:\s*\([^)]+\))?)\]", 1), F.lit(""))
+    return rows.select("file_id", "window_no", "text", stamp.alias("timestamp"), page_number(F.col("text")).alias("page_number"))

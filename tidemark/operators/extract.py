@@ -147,13 +147,58 @@ def curriculum_triples(chunks: DataFrame) -> DataFrame:
 
 
 def template_triples(chunks: DataFrame, templates: DataFrame) -> DataFrame:
-    """Fixed triples of each chunk whose text holds a template's trigger word.
+    """Fixed triples of each chunk whose text holds a template's trigger.
 
-    templates: (trigger, source, relation, target, source_type, target_type); a trigger is one lower-case word,
-    so the words of a chunk meet it in an equi-join, and the table may be of any size.
+    templates: (trigger, source, relation, target, source_type, target_type); a trigger is a lower-case word or phrase. The
+    words of a chunk meet its first word in an equi-join, so the table may be of any size; the phrase is then looked for.
     """
-    held = chunks.select("chunk_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))).alias("trigger"))
-    return _kept(held.join(templates, "trigger").withColumn("evidence", F.concat_ws(" ", "source", "relation", "target")), ["source", "target"])
+    low = chunks.select("chunk_id", F.lower("text").alias("low"))
+    words = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    first = templates.withColumn("_first", F.get(words(F.col("trigger")), F.lit(0)))
+    # single words meet by the word alone; only phrases need the text
+    single = F.col("trigger") == F.col("_first")
+    held = low.select("chunk_id", F.explode(F.array_distinct(words(F.col("low")))).alias("_first"))
+    phrased = held.join(first.where(~single), "_first").join(low, "chunk_id").where(F.contains("low", F.col("trigger"))).drop("low")
+    found = held.join(first.where(single), "_first").unionByName(phrased)
+    return _kept(found.withColumn("evidence", F.concat_ws(" ", "source", "relation", "target")), ["source", "target"])
+
+
+# A sentence of captions that says nothing, the least text to extract from, and the confidence of edges.
+CAPTION_OPENING = r"(?i)Here is a (?:detailed, )?factual summary of the image content:?"
+LEAST_TEXT, EDGE_CONFIDENCE = 20, 0.92
+FRAMES = r"^ENTITY_(?:VIDEO_FRAME_|KEYFRAME_|FRAME_)"
+
+
+def triples_of(chunks: DataFrame, templates: DataFrame | None = None, told: DataFrame | None = None) -> DataFrame:
+    """The triples of (chunk_id, text): those of a model (``told``, in the same form) where a chunk has any, else those of
+    the sentence, curriculum and template rules, each (source, relation, target) of a chunk once. Texts of under 20
+    characters have none."""
+    usable = chunks.where(F.length(F.btrim("text", F.lit(" \n\t\r"))) >= LEAST_TEXT).withColumn("text", F.regexp_replace("text", CAPTION_OPENING, ""))
+    open_ = usable if told is None else usable.join(told.select("chunk_id").distinct(), "chunk_id", "left_anti")
+    ruled = sentence_triples(open_).withColumn("_rule", F.lit(1)).unionByName(curriculum_triples(open_).withColumn("_rule", F.lit(2)))
+    if templates is not None:
+        ruled = ruled.unionByName(template_triples(open_, templates).withColumn("_rule", F.lit(3)))
+    keys = [F.col("chunk_id"), F.lower("source").alias("_s"), F.upper("relation").alias("_r"), F.lower("target").alias("_t")]
+    rest = [c for c in ruled.columns if c not in ("chunk_id", "_rule")]
+    once = ruled.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("_rule", "source", "target")).alias("t")).select("chunk_id", "t.*")
+    return once if told is None else once.unionByName(told.join(usable.select("chunk_id"), "chunk_id", "left_semi").select(once.columns))
+
+
+def edges_of(triples: DataFrame) -> DataFrame:
+    """Edges of resolved triples (source_id, source_name, target_id, target_name, relation, evidence, and of their chunk file_id,
+    filename, chunk_id, page_number, timestamp): stamps, frame, region, amount and currency from the evidence."""
+    said = F.btrim(F.coalesce("evidence", F.lit("")))
+    stamp = stamp_of(said, F.col("timestamp"))
+    span = F.split(stamp, " - ")
+    frame = F.when(F.col("source_id").rlike(FRAMES), F.col("source_name")).when(F.col("target_id").rlike(FRAMES), F.col("target_name"))
+    relation = checked_relation(F.col("relation"), said)
+    money = F.concat_ws(" ", said, "target_name", "source_name")
+    return triples.select(
+        F.col("source_id").alias("source"), F.col("target_id").alias("target"), relation.alias("relation"),
+        F.coalesce(F.nullif(said, F.lit("")), F.concat_ws(" ", "source_name", relation, "target_name")).alias("evidence"),
+        "file_id", "filename", "chunk_id", "page_number", stamp.alias("timestamp"), F.btrim(F.get(span, F.lit(0))).alias("start_timestamp"), F.btrim(F.get(span, F.lit(1))).alias("end_timestamp"),
+        frame.alias("frame_id"), region_of(said).alias("spatial_location"), amount_of(relation, money).alias("amount"), currency_of(relation, money).alias("currency"), F.lit(EDGE_CONFIDENCE).alias("confidence"),
+    )
 
 
 def stamp_of(evidence: Column, fallback: Column | None = None) -> Column:

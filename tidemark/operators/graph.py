@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.lineage import cut
@@ -34,6 +34,84 @@ def without_file(edges: DataFrame, file_id: str) -> DataFrame:
     return edges.where(~F.col("file_id").eqNullSafe(F.lit(file_id)))
 
 
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes (node, ...) that an edge touches."""
+    return nodes.join(edges.select(F.explode(F.array("source", "target")).alias("node")).distinct(), "node", "left_semi")
+
+
+def pruned(nodes: DataFrame, edges: DataFrame, active: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after the files that are not active went, and with them the nodes left alone; with no active file, neither."""
+    kept = prune(edges, active) if not active.isEmpty() else edges.limit(0)
+    return connected(nodes, kept), kept
+
+
+def removed(nodes: DataFrame, edges: DataFrame, file_id: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after a file's edges went, and with them the nodes left alone."""
+    kept = without_file(edges, file_id)
+    return connected(nodes, kept), kept
+
+
+def exported(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes with their degree, less those without; counts: node_count, edge_count in one row)."""
+    out = nodes.join(degrees(edges), "node")
+    return out, out.agg(F.count("*").alias("node_count")).crossJoin(edges.agg(F.count("*").alias("edge_count")))  # one row each
+
+
+def saved(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Writes both tables with all their columns, as JSON lines under ``path``."""
+    nodes.write.json(f"{path}/nodes")
+    edges.write.json(f"{path}/edges")
+
+
+# What a stored node or edge has where its file leaves it out.
+STORED_TYPE, STORED_CONFIDENCE = "CONCEPT", 0.9
+
+
+def loaded(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The nodes and edges that :func:`saved` wrote, or others of that form; missing values get their defaults."""
+    kind = "id string, canonical_id string, name string, type string, aliases array<string>, file_ids array<string>"
+    n = spark.read.schema(kind).json(f"{path}/nodes").withColumn("node", F.coalesce("id", "canonical_id", "name"))
+    name, none = F.coalesce("name", "node"), F.array().cast("array<string>")
+    nodes = n.select("node", name.alias("name"), F.coalesce("type", F.lit(STORED_TYPE)).alias("type"), F.coalesce("aliases", F.array(name)).alias("aliases"), F.coalesce("file_ids", none).alias("file_ids"))
+    kind = "seq long, source string, relation string, target string, evidence string, file_id string, filename string, chunk_id string, timestamp string, page_number int, confidence double"
+    e = spark.read.schema(kind).json(f"{path}/edges")
+    empty = {c: F.coalesce(c, F.lit("")) for c in ("evidence", "file_id", "filename", "chunk_id")}
+    return nodes, e.withColumns({**empty, "confidence": F.coalesce("confidence", F.lit(STORED_CONFIDENCE))})
+
+
+def named_hops(hops: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Hops with from_name, from_type, to_name, to_type of their source and target; a node that is not known names itself."""
+    side = lambda c, p: nodes.select(F.col("node").alias(c), F.col("name").alias(f"{p}_name"), F.col("type").alias(f"{p}_type"))
+    rows = hops.join(side("source", "from"), "source", "left").join(side("target", "to"), "target", "left")
+    filled = {f"{p}_name": F.coalesce(f"{p}_name", c) for p, c in (("from", "source"), ("to", "target"))}
+    return rows.withColumns({**filled, **{f"{p}_type": F.coalesce(f"{p}_type", F.lit(STORED_TYPE)) for p in ("from", "to")}})
+
+
+def first_hops(hops: DataFrame, most: int, target_filename: str | None = None) -> DataFrame:
+    """The first ``most`` hops by (depth, seq, source, target), with hop_no; those of a target file, in its order, before the others."""
+    own = F.lit(0) if target_filename is None else F.when(F.lower("filename") == target_filename.lower(), 0).otherwise(1)
+    order = ["_own", "depth", "seq", "source", "target"]
+    first = hops.withColumn("_own", own).orderBy(*order).limit(most)
+    return first.withColumn("hop_no", F.row_number().over(Window.orderBy(*order))).drop("_own")  # ``most`` rows
+
+
+def around(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int = 3, most: int = 25, target_filename: str | None = None) -> DataFrame:
+    """The first ``most`` hops of the search around the seeds (node), with names and types and the columns of the edges."""
+    found = hops(edges, bfs(edges, seeds, depth), depth).join(edges, ["seq", "source", "relation", "target"])
+    return named_hops(first_hops(found, most, target_filename), nodes)
+
+
+def matching_nodes(ends: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(end, node): the node an edge's end (end) means: by id, name, name or alias without regard to case; the first of these."""
+    low = lambda c: F.lower(F.btrim(c))
+    by_id = ends.select("end").join(nodes.select(F.col("node").alias("end"), "node"), "end").withColumn("tier", F.lit(1))
+    by_name = ends.select("end").join(nodes.select(F.col("name").alias("end"), "node"), "end").withColumn("tier", F.lit(2))
+    forms = nodes.select("node", F.explode(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("name"))).alias("form"))
+    by_form = ends.select("end", low("end").alias("k")).join(forms.select("node", low("form").alias("k")), "k").select("end", "node", F.lit(3).alias("tier"))
+    every = by_id.unionByName(by_name).unionByName(by_form)
+    return every.groupBy("end").agg(F.min(F.struct("tier", "node")).alias("m")).select("end", "m.node")
+
+
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """(node, depth) within ``depth`` undirected steps of the seeds: one join and one anti join a level.
 

@@ -5,17 +5,18 @@ Named edges: (seq, source, source_name, source_type, relation, target, target_na
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.plans.lineage import cut
 
 from . import graph
-from .extract import relation_name
+from .extract import clean_mention, relation_name
 
 # Relations whose target is a role of their source.
 ROLES = "HAS_ROLE HAS_TITLE EMPLOYED_AS HOLDS_POSITION".split()
+LEADS = "LEADS_PROJECT IS_PROJECT_LEAD_OF".split()
 # Framing words that name no node, and words too common to tell nodes apart.
 GENERIC = "minor minors major majors department course courses requirement requirements detail details program programs getting credit credits info information breakdown explain entity".split()
 MODIFIERS = "engineering science sciences technology technologies studies study management development analysis application applications system systems theory theories model models method methods program programs course courses department school degree btech mtech phd".split()
@@ -24,10 +25,14 @@ ACRONYMS = {"cse": "computer", "cs": "computer", "ece": "electrical", "ee": "ele
 # Short and long forms that link nodes of several files.
 EQUIVALENCES = [("cse", "computer science and engineering"), ("ece", "electrical and computer engineering"), ("ee", "electrical engineering"), ("me", "mechanical engineering"), ("ce", "civil engineering"), ("math", "mathematics"), ("phy", "physics"), ("chy", "chemistry"), ("sme", "school of management and entrepreneurship"), ("emh", "efficient market hypothesis"), ("rag", "retrieval augmented generation")]
 SIMILAR, OVERLAP = 0.88, 0.6
+# Words that do not tell names apart.
+LINK_WORDS = "the a an and or of in for with at by from to on".split()
 
 
 def nodes(edges: DataFrame) -> DataFrame:
-    """(node, name, type, aliases, file_ids, role): the first sighting names a node, later ones add aliases and files.
+    """(node, name, type, aliases, file_ids, role, told_role): the first sighting names a node, later ones add aliases and files.
+
+    role: the last target of a role relation; told_role: the same, projects led included.
 
     Sightings are reduced to distinct (node, alias) and (node, file) pairs before the lists are made, so a node
     of very many edges costs a list of its distinct forms only.
@@ -37,7 +42,8 @@ def nodes(edges: DataFrame) -> DataFrame:
     first = seen.groupBy("node").agg(F.min_by(F.struct("name", "type"), "at").alias("f")).select("node", "f.*")
     forms = _ordered(seen, "name", "aliases")
     files = _ordered(seen.where("file_id <> ''"), "file_id", "file_ids")
-    role = edges.where(F.col("relation").isin(ROLES)).groupBy(F.col("source").alias("node")).agg(F.max_by("target_name", "seq").alias("role"))
+    told = edges.where(F.col("relation").isin(ROLES + LEADS))
+    role = told.groupBy(F.col("source").alias("node")).agg(F.max_by("target_name", F.when(F.col("relation").isin(ROLES), F.col("seq"))).alias("role"), F.max_by("target_name", "seq").alias("told_role"))
     none = F.array().cast("array<string>")
     return first.join(forms, "node").join(files, "node", "left").join(role, "node", "left").withColumn("file_ids", F.coalesce("file_ids", none))
 
@@ -146,6 +152,17 @@ def healed(edges: DataFrame, prefix: str, branches: list[str], owner: str, owned
     return fixed.unionByName(made)
 
 
+# Openings of names that are told first however short.
+OPENINGS = ("Minor", "Department")
+
+
+def ordered_names(names: Column) -> Column:
+    """Names as one text: those of up to three characters last, each part in order."""
+    late = lambda x: (~(x.startswith(OPENINGS[0]) | x.startswith(OPENINGS[1]) | (F.length(x) > 3))).cast("int")
+    placed = F.array_sort(F.transform(names, lambda x: F.struct(late(x).alias("late"), x.alias("name"))))
+    return F.array_join(F.transform(placed, lambda x: x["name"]), ", ")
+
+
 def connecting(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """(chain_id, hop_no, source, target, relation, is_reverse, seq): the edge between two nodes of a chain.
 
@@ -166,6 +183,44 @@ def path_hops(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return connecting(pairs, edges)
 
 
+def hops_told(hops: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame:
+    """Path hops with the names and types of their ends and with the edge's evidence, file, page and stamp.
+
+    known: (node, name, type); edges: (seq, source, relation, target, evidence, filename, file_id, page_number, timestamp). A hop without an edge has
+    its names as evidence.
+    """
+    rev = F.col("is_reverse")
+    placed = graph.named_hops(hops, known).withColumns({"_s": F.when(rev, F.col("target")).otherwise(F.col("source")), "_t": F.when(rev, F.col("source")).otherwise(F.col("target"))})
+    told = edges.select("seq", F.col("source").alias("_s"), "relation", F.col("target").alias("_t"), "evidence", "filename", "file_id", "page_number", "timestamp").dropDuplicates(["seq", "_s", "relation", "_t"])
+    rows = placed.join(told, ["seq", "_s", "relation", "_t"], "left").drop("_s", "_t")
+    said = F.concat("from_name", F.lit(" -> "), "to_name")
+    return rows.withColumns({"evidence": F.coalesce("evidence", said), "filename": F.coalesce("filename", F.lit("Unknown Source")), "file_id": F.coalesce("file_id", F.lit(""))})
+
+
+def entity_of(mentions: DataFrame, known: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(mention, node, name): the node a cleaned mention means, else its own canonical id under its own form.
+
+    known: (node, name, aliases, at). The canonical id counts first. Otherwise the first node by ``at`` counts for which one
+    of these holds: its name or an alias is the mention without regard to case; both have four characters and are similar;
+    the words of both are the same set, titles and short words aside. Pairs meet on these keys, not each with each.
+    """
+    m = mentions.select("mention").distinct().withColumn("clean", clean_mention(F.col("mention"))).withColumn("id", F.when(F.col("clean") == "", "ENTITY_UNKNOWN").otherwise(T.canonical_id(F.col("clean"))))
+    low = lambda c: F.lower(F.col(c))
+    words = lambda c: F.array_sort(F.array_except(F.array_distinct(F.filter(F.split(F.lower(F.col(c)), r"\s+"), lambda w: w != "")), F.array(*[F.lit(w) for w in (*T.HONORIFICS, *LINK_WORDS)])))
+    forms = known.select("node", "at", F.explode(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("name"))).alias("form")).select("node", "at", F.lower("form").alias("k"))
+    named = m.withColumn("k", low("clean")).join(forms, "k").select("mention", "node", "at")
+    long_ = m.where(F.length("clean") >= 4)
+    pairs = similar_names(long_.select(F.col("clean").alias("mention")).distinct(), known.where(F.length("name") >= 4).select("name").distinct(), least).select(F.col("mention").alias("clean"), "name")
+    near = long_.join(pairs, "clean").join(known.select("node", "at", "name"), "name").select("mention", "node", "at")
+    same = m.withColumn("ws", words("clean")).where(F.size("ws") > 0).join(known.withColumn("ws", words("name")), "ws").select("mention", "node", "at")
+    first = named.unionByName(near).unionByName(same).groupBy("mention").agg(F.min_by("node", "at").alias("other"))
+    exact = m.join(known.select(F.col("node").alias("id")), "id", "left_semi").select("mention", F.col("id").alias("own"))
+    node = F.when(F.col("clean") == "", F.col("id")).otherwise(F.coalesce("own", "other", "id"))
+    rows = m.join(exact, "mention", "left").join(first, "mention", "left").withColumn("node", node)
+    rows = rows.join(known.select("node", F.col("name").alias("known_name")), "node", "left")
+    return rows.select("mention", "node", F.when(F.col("clean") == "", "Unknown").otherwise(F.coalesce("known_name", "clean")).alias("name"))
+
+
 def traversed(edges: DataFrame, source: str, target: str, depth: int = 3, most: int = 20) -> DataFrame:
     """(hop_no, source, relation, target, part): hops of the shortest path, then the first ``most`` of the search around both
     ends by (depth, seq), the first of each (source, relation, target)."""

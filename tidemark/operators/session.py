@@ -63,6 +63,38 @@ def last_turns(messages: DataFrame, n: int) -> DataFrame:
     return messages.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n).drop("_n")
 
 
+def listed_first(rows: DataFrame, key: str, newest: str, most: int, tie: str) -> DataFrame:
+    """The first ``most`` rows of each key, newest first, rows without a time last, with their position."""
+    order = Window.partitionBy(key).orderBy(F.desc_nulls_last(newest), tie)
+    return rows.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most)
+
+
+def saved_messages(old: DataFrame, new: DataFrame, conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Messages (conversation_id, message_id, created_at, ...) with the new ones in the place of those of their id, and the
+    conversations (conversation_id, updated_at, ...) with the time of their newest message where that is later."""
+    both = old.join(new.select("message_id"), "message_id", "left_anti").unionByName(new)
+    last = new.groupBy("conversation_id").agg(F.max("created_at").alias("_last"))
+    bumped = conversations.join(last, "conversation_id", "left").withColumn("updated_at", F.greatest("updated_at", "_last")).drop("_last")
+    return both, bumped
+
+
+def renamed(conversations: DataFrame, changes: DataFrame) -> DataFrame:
+    """Conversations (conversation_id, title) with new titles; a title for an unknown id makes its row."""
+    joined = conversations.select("conversation_id", "title").join(changes.select("conversation_id", F.col("title").alias("new")), "conversation_id", "full_outer")
+    return joined.select("conversation_id", F.coalesce("new", "title").alias("title"))
+
+
+def progress(files: DataFrame) -> DataFrame:
+    """(conversation_id, n_failed, any_active): failed files, and whether one is still pending or in work."""
+    return files.groupBy("conversation_id").agg(F.count_if(F.col("status") == "failed").alias("n_failed"), F.bool_or(F.col("status").isin("pending", "processing")).alias("any_active"))
+
+
+def remapped(rows: DataFrame, by_id: DataFrame, by_name: DataFrame) -> DataFrame:
+    """Rows (file_id, filename, ...) with the copied files' ids: by (file_id, new_id), else by (filename, new_id), else their own."""
+    first = rows.join(by_id.withColumnRenamed("new_id", "_by_id"), "file_id", "left").join(by_name.withColumnRenamed("new_id", "_by_name"), "filename", "left")
+    return first.withColumn("file_id", F.coalesce("_by_id", "_by_name", "file_id")).drop("_by_id", "_by_name")
+
+
 def auto_title(title: Column, query: Column) -> Column:
     """A default title becomes the first 40 characters of the query."""
     default = title.isNull() | title.isin("New Conversation", "New Session", "") | title.startswith("Session conv_")

@@ -61,6 +61,36 @@ def intent(query: Column) -> Column:
     return F.when(any_of(q, GREETINGS) & ~files, "CASUAL").when(files, "CORPUS_QUERY").otherwise("GENERAL_KNOWLEDGE")
 
 
+def intent_in_session(queries: DataFrame, files: DataFrame) -> DataFrame:
+    """(query_id, intent, target_filename, conversational) of (query_id, conversation_id, query).
+
+    files: (conversation_id, filename, at). A question that names a file of its session (names of over three characters) is
+    about the files as well; the target is the session's first file. Small talk of up to six words is conversational at once.
+    """
+    per = files.groupBy("conversation_id").agg(F.min_by("filename", "at").alias("first_name"))
+    low = F.lower(F.col("query"))
+    named = queries.join(files.where(F.length("filename") > 3).select("conversation_id", "filename"), "conversation_id").where(F.contains(low, F.lower("filename"))).select("query_id").distinct().withColumn("named", F.lit(True))
+    kind = intent(F.col("query"))
+    kind = F.when((kind == "GENERAL_KNOWLEDGE") & F.coalesce("named", F.lit(False)), "CORPUS_QUERY").otherwise(kind)
+    rows = queries.join(per, "conversation_id", "left").join(named, "query_id", "left").withColumn("intent", kind)
+    return rows.select("query_id", "intent", F.when(F.col("intent") == "CORPUS_QUERY", F.col("first_name")).alias("target_filename"), (small_talk(F.col("query")) | (F.col("intent") != "CORPUS_QUERY")).alias("conversational"))
+
+
+def small_talk(query: Column) -> Column:
+    """A greeting of six words at most."""
+    return any_of(F.lower(F.btrim(query)), GREETINGS) & (n_words(query) <= 6)
+
+
+# What is said to a greeting, and where no model answers.
+GREETED = "Hello! How can I help you today? Feel free to ask any questions about your documents, general science, coding, or explore your data."
+
+
+def conversational_answer(query: Column, n_turns: Column, said: Column, otherwise: str) -> Column:
+    """The answer to small talk: a fixed greeting at the start of a session, else what a model said, else a fixed sentence."""
+    said = F.btrim(said)
+    return F.when(small_talk(query) & (F.coalesce(n_turns, F.lit(0)) <= 1), GREETED).otherwise(F.coalesce(F.nullif(said, F.lit("")), F.lit(otherwise)))
+
+
 def is_followup(query: Column) -> Column:
     return any_of(F.lower(query), FOLLOWUPS) | (n_words(query) <= 4)
 
@@ -190,3 +220,18 @@ def relevant_hops(hops: DataFrame, texts: DataFrame) -> DataFrame:
     pair = F.array_sort(F.array(F.lower(F.btrim("from_node")), F.lower(F.btrim("to_node"))))
     first = rows.groupBy("answer_id", pair.alias("_pair")).agg(F.min_by(F.struct("seq", "from_node", "relation", "to_node"), "seq").alias("h"))
     return first.select("answer_id", "h.*")
+
+
+def relevant_entities(hops: DataFrame, texts: DataFrame, entities: DataFrame) -> DataFrame:
+    """(answer_id, entity, place) of the ends of relevant hops (answer_id, seq, from_node, to_node) that the answer or the query names.
+
+    entities: (answer_id, entity, at), those of the graph in order. Ends that only the query names come first; then graph
+    entities, then other ends by name, as far as the answer names them.
+    """
+    part = hops.select("answer_id", F.explode(F.array("from_node", "to_node")).alias("entity")).distinct()
+    known = entities.groupBy("answer_id", F.btrim("entity").alias("entity")).agg(F.min("at").alias("at"))
+    rows = part.join(known, ["answer_id", "entity"], "left").join(texts, "answer_id")
+    told, asked = names_entity(F.col("answer"), F.col("entity")), names_entity(F.col("query"), F.col("entity"))
+    rows = rows.where(told | asked).withColumn("front", F.when(told, 1).otherwise(0))
+    order = Window.partitionBy("answer_id").orderBy("front", F.asc_nulls_last("at"), "entity")
+    return rows.select("answer_id", "entity", F.row_number().over(order).alias("place"))

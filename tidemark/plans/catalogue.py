@@ -521,4 +521,4 @@ def message_history(spark, d):
     return rows.select("conv_id", "turn", "role", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("n"))
 
 
-from . import answers  # noqa: E402,F401 - builds on the queries above
+from . import answers, upkeep  # noqa: E402,F401 - they build on the queries above

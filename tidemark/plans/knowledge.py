@@ -199,10 +199,3 @@ def chain_edge_pick(spark, d):
     o, c = F.concat(F.lit("O:"), F.col("o_orderkey").cast("string")), F.concat(F.lit("C:"), F.col("o_custkey").cast("string"))
     paths = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("chain_id"), F.array(o, c, o, F.lit("R:0")).alias("path"))
     return resolve.path_hops(paths, S.edges(spark, d))
-
-
-@query()
-def path_hops_metadata(spark, d):
-    """The hops of the shortest path between two suppliers."""
-    edges = S.edges(spark, d)
-    return resolve.path_hops(graph.shortest_paths(edges, "S:1", "S:2").withColumn("chain_id", F.lit(1)), edges)
