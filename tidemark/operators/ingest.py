@@ -125,8 +125,8 @@ def keyframes(duration: Column, step: int = 12, most: int = 6) -> Column:
 
 
 def timeline(speech: DataFrame, frames: DataFrame) -> DataFrame:
-    """(key, text): speech and frame lines of (key, second, text) by second, speech first on ties."""
+    """(key, line_no, line): speech and frame lines of (key, second, text) by second, speech first on ties, then by text."""
     both = speech.select("key", "second", F.lit(0).alias("kind"), "text").unionAll(frames.select("key", "second", F.lit(1).alias("kind"), "text"))
     line = F.concat(F.lit("["), T.media_time(F.col("second")), F.lit("] "), "text")
-    listed = both.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("second", "kind", line.alias("line")))).alias("all"))
-    return listed.select("key", F.array_join(F.transform("all", lambda x: x["line"]), "\n").alias("text"))
+    lines = session.listed(both.select("key", "second", "kind", line.alias("line")), "key", [F.col("second"), F.col("kind"), F.col("line")])
+    return lines.select("key", F.col("position").alias("line_no"), "line")

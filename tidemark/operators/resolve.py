@@ -105,13 +105,20 @@ def lookup(mentions: DataFrame, known: DataFrame) -> DataFrame:
 
     rest = open_.join(near.select("mention"), "mention", "left_anti").withColumn("low", F.lower(F.btrim("mention"))).where(~F.col("low").isin(GENERIC))
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: (w != "") & ~w.isin(GENERIC)))
-    held = known.select("node", "at", F.lower("name").alias("text"), F.explode(words(F.col("name"))).alias("word"))
+    named_ = known.select("node", "at", F.lower("name").alias("text"), words(F.col("name")).alias("held_words"))
+    held = named_.select("node", F.explode("held_words").alias("word"))
     short = F.create_map(*[F.lit(x) for kv in ACRONYMS.items() for x in kv])[F.col("low")]
     spelled = rest.withColumn("long", short).where("long is not null").withColumn("word", F.split_part("long", F.lit(" "), F.lit(1)))
-    fifth = spelled.join(held, "word").where(F.contains("text", F.col("long")))
-    asked = rest.withColumn("ws", words(F.col("mention"))).withColumn("word", F.explode("ws"))
+    fifth = spelled.join(held, "word").join(named_, "node").where(F.contains("text", F.col("long")))
+    # a node that shares six of ten words shares one of the five rarest: only those meet the nodes' words
+    seldom = held.groupBy("word").agg(F.count("*").alias("times"))
+    asked = rest.withColumn("ws", words(F.col("mention"))).withColumn("word", F.explode("ws")).join(seldom, "word")
+    rare = asked.groupBy("mention", "low", "ws").agg(F.array_sort(F.collect_list(F.struct("times", "word"))).alias("all"))
+    most = F.size("ws") - F.ceil(F.lit(OVERLAP) * F.size("ws") - 1e-9).cast("int") + 1 - (F.size("ws") - F.size("all"))
+    first = rare.where(most > 0).withColumn("word", F.explode(F.transform(F.slice("all", 1, most), lambda x: x["word"]))).drop("all")
     own = F.filter("ws", lambda w: ~w.isin(MODIFIERS))
-    meets = asked.join(held, "word").groupBy("mention", "low", "ws", "node", "at", "text").agg(F.collect_set("word").alias("common"))
+    pairs = first.join(held, "word").select("mention", "low", "ws", "node").distinct()
+    meets = pairs.join(named_, "node").withColumn("common", F.array_intersect("ws", "held_words"))
     sixth = meets.where((F.length("low") >= 4) & F.contains(F.concat(F.lit(" "), F.regexp_replace("text", r"[^\p{L}\p{N}_]+", " "), F.lit(" ")), F.concat(F.lit(" "), F.regexp_replace("low", r"[^\p{L}\p{N}_]+", " "), F.lit(" "))))
     share = F.size("common") / F.size("ws")
     seventh = meets.where((share >= OVERLAP) & ((F.size(own) == 0) | F.arrays_overlap(own, F.col("common"))))

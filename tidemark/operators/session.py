@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.lineage import written
+
 # Extensions of each modality.
 EXTENSIONS = {"document": ["pdf", "doc", "docx", "txt", "md"], "image": ["png", "jpg", "jpeg", "webp"], "audio": ["mp3", "wav", "m4a", "ogg"], "video": ["mp4", "mov", "mkv", "webm"]}
 SIZE_LIMIT, FILE_LIMIT = 50 * 1024 * 1024, 20
@@ -114,8 +116,18 @@ def cloned(files: DataFrame, user: str) -> DataFrame:
 
 
 def listed(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """The rows with their position within the key."""
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
+    """The rows with their position within the key.
+
+    Rows are dealt by ranges of (key, order) and numbered within a range; the rows of a key in earlier ranges are counted
+    before. So a key with very many rows is the work of several tasks.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(rows.repartitionByRange(n, F.col(key), *order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_of")).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_key").orderBy("_of")) - F.col("_n")).drop("_n")
+    own = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))
+    placed = ranged.withColumn("_own", own).join(before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_of")))
+    return placed.withColumn("position", (F.col("_before") + F.col("_own")).cast("long")).drop("_part", "_own", "_key", "_of", "_before")
 
 
 def deleted_conversations(conversations: DataFrame, dependents: dict[str, DataFrame], gone: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:

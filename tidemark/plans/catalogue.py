@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
@@ -61,8 +60,8 @@ def keyframe_times(spark, d):
     return S.table(spark, d, "orders").select("o_orderkey", F.array_join(F.transform(ingest.keyframes(F.col("o_totalprice") / 1000), lambda x: x.cast("decimal(10,1)").cast("string")), ",").alias("times"))
 
 
-@query("""SELECT user_id AS key, string_agg('[' || lpad((s // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') || '] ' || event_type, chr(10) ORDER BY s, kind, event_type) AS text
-FROM (SELECT user_id, event_id % 3600 AS s, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS kind, event_type FROM events) GROUP BY user_id""")
+@query("""SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY s, kind, event_type) AS line_no, '[' || lpad((s // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') || '] ' || event_type AS line
+FROM (SELECT user_id, event_id % 3600 AS s, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS kind, event_type FROM events)""")
 def timeline_merge(spark, d):
     rows = S.table(spark, d, "events").select(F.col("user_id").alias("key"), (F.col("event_id") % 3600).alias("second"), F.col("event_type").alias("text"))
     return ingest.timeline(rows.where("text <> 'click'"), rows.where("text = 'click'"))
@@ -517,8 +516,8 @@ def clone_remap_ids(spark, d):
 
 @query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations")
 def message_history(spark, d):
-    rows = S.table(spark, d, "conversations")
-    return rows.select("conv_id", "turn", "role", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("n"))
+    rows = S.table(spark, d, "conversations").select("conv_id", "turn", "role")
+    return session.listed(rows, "conv_id", [F.col("turn")]).withColumnRenamed("position", "n")
 
 
 from . import answers, upkeep  # noqa: E402,F401 - they build on the queries above
