@@ -5,6 +5,14 @@ lines         drops lines that several documents share, but for their first docu
 near          keeps one document of each near-duplicate class
 mixing        repeats or drops documents so that sources reach their target weights
 pieces        encodes each document and checks that the ids decode to its text
+
+Defined results of the stages. Nulls: language drops null, empty and letterless texts, whatever else is null; in lines, rows
+with a null doc_id keep all lines; in near, they are the last of their class; in mixing, a null source is a source of its own.
+Texts left empty by lines stay, have no like in near, and are not emitted by mixing, as they have no words. Very long texts
+are processed whole. Ties: a text exactly at the threshold of near has a like. Repeated rows: equal rows are one document in
+lines, one of them stays in near, and mixing shares their copies. An empty table gives an empty table. Further columns stay up
+to the last stage, whatever their names, but for lang_pred, lang_score, n_lines and n_dropped, which language and lines write
+for themselves.
 """
 
 from __future__ import annotations
