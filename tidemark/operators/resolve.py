@@ -230,14 +230,14 @@ def entity_of(mentions: DataFrame, known: DataFrame, least: float = SIMILAR) ->
 
 def traversed(edges: DataFrame, source: str, target: str, depth: int = 3, most: int = 20) -> DataFrame:
     """(hop_no, source, relation, target, part): hops of the shortest path, then the first ``most`` of the search around both
-    ends by (depth, seq), the first of each (source, relation, target)."""
+    ends by (depth, seq, source, target), the first of each (source, relation, target)."""
     spark = edges.sparkSession
     path = cut(graph.shortest_paths(edges, source, target).select(F.lit(1).alias("chain_id"), "path"))
     own = path_hops(path, edges).select(F.lit("path").alias("part"), F.col("hop_no").cast("long").alias("at"), F.col("seq"), "source", "relation", "target")
     seeds = spark.createDataFrame([(source,), (target,)], "node string")
-    around = graph.hops(edges, graph.bfs(edges, seeds, depth), depth).orderBy("depth", "seq").limit(most)
+    around = graph.hops(edges, graph.bfs(edges, seeds, depth), depth).orderBy("depth", "seq", "source", "target").limit(most)
     around = around.select(F.lit("search").alias("part"), F.col("depth").cast("long").alias("at"), "seq", "source", "relation", "target")
-    order = F.struct("part", "at", "seq")
+    order = F.struct("part", "at", "seq", "source", "target")
     first = own.unionByName(around).groupBy("source", "relation", "target").agg(F.min(order).alias("o"))
     n = F.row_number().over(Window.orderBy("o"))  # the path and ``most`` hops at the most
     return first.select(n.alias("hop_no"), "source", "relation", "target", F.col("o.part").alias("part"))

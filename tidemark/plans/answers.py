@@ -141,7 +141,26 @@ def stage_log(spark, d):
     return answer.stages(done, first)
 
 
-@query()
+def _level(k: int) -> str:
+    """The nodes first reached after k steps, each with its least path."""
+    seen = " UNION ALL ".join(f"SELECT node FROM n{j}" for j in range(k))
+    return f"n{k} AS (SELECT other AS node, min(list_append(path, other)) AS path FROM n{k - 1} JOIN b USING (node) WHERE other NOT IN ({seen}) GROUP BY other)"
+
+
+_SEEDS = "SELECT 'C:1' AS node UNION ALL SELECT 'S:1'"
+
+
+@query(f"""WITH {O.BOTH}, u AS (SELECT min(seq) AS seq, source, relation, target FROM e WHERE source <> target GROUP BY ALL),
+n0 AS (SELECT 'C:1' AS node, ['C:1'] AS path), {', '.join(_level(k) for k in range(1, 6))},
+p AS (SELECT path FROM ({' UNION ALL '.join(f'SELECT * FROM n{k}' for k in range(6))}) WHERE node = 'S:1'),
+h AS (SELECT i AS place, path[i] AS source, path[i + 1] AS target FROM p, unnest(range(1, len(path))) AS t(i)),
+f AS (SELECT h.*, min(u.seq) FILTER (u.source = h.source) AS fore, min(u.seq) FILTER (u.source = h.target) AS back FROM h JOIN u ON (u.source = h.source AND u.target = h.target) OR (u.source = h.target AND u.target = h.source) GROUP BY ALL),
+own AS (SELECT 'path' AS part, f.place, u.seq, f.source, u.relation, f.target FROM f JOIN u ON u.seq = coalesce(fore, back) AND ((u.source = f.source AND u.target = f.target) OR (u.source = f.target AND u.target = f.source))),
+{O.levels(_SEEDS, 3)},
+w AS (SELECT seq, source, relation, target, min(depth) AS place FROM (SELECT u.*, depth FROM u JOIN reached ON node = source WHERE depth < 3 UNION ALL SELECT u.*, depth FROM u JOIN reached ON node = target WHERE depth < 3) GROUP BY seq, source, relation, target),
+g AS (SELECT * FROM own UNION ALL (SELECT 'search', place, seq, source, relation, target FROM w ORDER BY place, seq, source, target LIMIT 20)),
+k AS (SELECT source, relation, target, min(struct_pack(part := part, place := place, seq := seq, s := source, t := target)) AS o FROM g GROUP BY ALL)
+SELECT CAST(row_number() OVER (ORDER BY o) AS INT) AS hop_no, source, relation, target, o.part AS part FROM k""")
 def traverse(spark, d):
     """From customer 1 to supplier 1: the hops of the shortest path, then of the search around both, each once."""
     e = graph.dedup_edges(S.edges(spark, d))
