@@ -97,3 +97,33 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "a.txt", "one paragraph\n\nanother")], "file_id long, filename string, text string").write.parquet(str(tmp_path / "in"))
     stream_ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_models_are_tried_in_turn(spark):
+    import pandas as pd
+
+    from tidemark.operators import ports
+
+    def broken(batch):
+        raise OSError("no answer")
+
+    rows = spark.createDataFrame([(1, "a"), (2, "bb")], "k long, text string")
+    model = ports.rotated([broken, lambda b: b["text"].str.len()])
+    assert [r.n for r in ports.applied(rows, ["text"], "n", "long", model).orderBy("k").collect()] == [1, 2]
+    silent = ports.rotated([broken], otherwise=lambda b: pd.Series([0] * len(b)))
+    assert {r.n for r in ports.applied(rows, ["text"], "n", "long", silent).collect()} == {0}
+
+
+def test_new_files_of_a_folder(spark, tmp_path):
+    for name in ("b.txt", "a.txt", "c.txt"):
+        (tmp_path / name).write_bytes(name.encode())
+    done = spark.createDataFrame([("b.txt",)], "filename string")
+    assert [(r.filename, bytes(r.content)) for r in ingest.new_files(spark, str(tmp_path), done).collect()] == [("a.txt", b"a.txt"), ("c.txt", b"c.txt")]
+
+
+def test_pruning_takes_lonely_nodes(spark):
+    edges = spark.createDataFrame([(1, "a", "R", "b", "f"), (2, "b", "R", "c", "g")], "seq long, source string, relation string, target string, file_id string")
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "node string")
+    kept, left = graph.pruned(nodes, edges, spark.createDataFrame([("f",)], "file_id string"))
+    assert sorted(r.node for r in kept.collect()) == ["a", "b"] and left.count() == 1
+    assert [x.count() for x in graph.pruned(nodes, edges, spark.createDataFrame([], "file_id string"))] == [0, 0]

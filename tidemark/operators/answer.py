@@ -70,6 +70,13 @@ def preview(text: Column, most: int = 150) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text)
 
 
+def told_once(hops: DataFrame) -> DataFrame:
+    """The first hop (query_id, hop_no, source, relation, target) of each source, relation and target without regard to case."""
+    keys = [F.lower(c).alias(f"_{c}") for c in ("source", "relation", "target")]
+    first = hops.groupBy("query_id", *keys).agg(F.min_by(F.struct("hop_no", "source", "relation", "target"), "hop_no").alias("h"))
+    return first.select("query_id", "h.*")
+
+
 def cited(markers: DataFrame, checked: DataFrame) -> DataFrame:
     """(answer_id, occurrence, passage_number, claim_no): the verified claim that a marker of the shown answer stands for.
 

@@ -24,6 +24,12 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), decoded(F.col("content")).alias("text"))
 
 
+def new_files(spark: SparkSession, path: str, done: DataFrame) -> DataFrame:
+    """(filename, content) of the files of a folder, by name, less those whose (filename) is done already."""
+    rows = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
+    return rows.join(done.select("filename").distinct(), "filename", "left_anti").orderBy("filename")
+
+
 def clean_text(text: Column) -> Column:
     """Control and private-use characters to blanks, bullets to '- ', long runs of line feeds to two."""
     x = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ")

@@ -172,6 +172,12 @@ def clamped(weights: DataFrame, queries: DataFrame, files: DataFrame) -> DataFra
     return rows.select("query_id", "file_type", F.when(F.col("there"), F.col("weight")).otherwise(0.0).alias("weight"))
 
 
+def with_paths(answers: DataFrame, hops: DataFrame) -> DataFrame:
+    """The response rows with multihop, the hops (query_id, hop_no, source, relation, target) of their queries; null without any."""
+    per = hops.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("hop_no", "source", "relation", "target"))).alias("multihop"))
+    return answers.join(per, "query_id", "left")
+
+
 def response(queries: DataFrame, found: DataFrame, n_candidates: DataFrame, routed: DataFrame, weights: DataFrame, gaps: DataFrame, alpha: float = 0.5) -> DataFrame:
     """One row a query: query, conversation_id, routed_categories, router_weights, router_intent_label, alpha, total_candidates, chunks, modality_gaps.
 

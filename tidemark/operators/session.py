@@ -46,6 +46,27 @@ def within_quota(existing: DataFrame, new: DataFrame, limit: int = FILE_LIMIT) -
     return new.join(fits.select("conversation_id"), "conversation_id", "left_semi")
 
 
+def uploaded(new: DataFrame, existing: DataFrame, limit: int = FILE_LIMIT) -> DataFrame:
+    """New files (file_id, conversation_id, filename, file_size_bytes, ...) with status and error: pending, or rejected for their
+    suffix or size, or because their conversation would have more files than the limit. Write the pending ones with
+    ``partitionBy("conversation_id")``, so that a conversation's files lie together."""
+    checked = validated(new.drop("file_type"))
+    fits = within_quota(existing, checked.where("valid"), limit).select("file_id").withColumn("_fits", F.lit(True))
+    rows = checked.join(fits, "file_id", "left")
+    error = F.coalesce("error", F.when(F.col("_fits").isNull(), "too many files"))
+    return rows.withColumns({"error": error, "status": F.when(error.isNull(), "pending").otherwise("rejected")}).drop("valid", "_fits")
+
+
+def with_results(files: DataFrame, results: DataFrame) -> DataFrame:
+    """Files with the status, text and error of their results (file_id, status, extracted_text, extraction_error) where they have one;
+    a result without a text leaves the old one."""
+    new = results.select("file_id", *[F.col(c).alias(f"_{c}") for c in ("status", "extracted_text", "extraction_error")])
+    rows = files.join(new, "file_id", "left")
+    has = F.col("_status").isNotNull()
+    values = {"status": F.coalesce("_status", "status"), "extracted_text": F.coalesce("_extracted_text", "extracted_text"), "extraction_error": F.when(has, F.col("_extraction_error")).otherwise(F.col("extraction_error"))}
+    return rows.withColumns(values).select(*files.columns)
+
+
 def summary(conversations: DataFrame, files: DataFrame, messages: DataFrame) -> DataFrame:
     """Conversations with file and message counts; files of an unknown conversation create a row."""
     f = files.groupBy("conversation_id").agg(F.count("*").alias("n_files"))

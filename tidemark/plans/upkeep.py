@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import answer, chunk, extract, graph, ingest, resolve, session, synthesis
+from tidemark.operators import answer, chunk, extract, graph, index, ingest, resolve, session, synthesis
 from tidemark.sources import tables as S
 
 from . import catalogue as C, knowledge as K, oracle as O
@@ -339,3 +339,39 @@ def math_text(spark, d):
     raw = F.concat(F.lit("$$\\frac{"), n, F.lit("}{2} \\le \\text{"), "p_name", F.lit("} \\times \\$"), n, F.lit("$$"))
     plain = answer.plain_math(raw)
     return S.table(spark, d, "part").select("p_partkey", plain.alias("plain"), answer.preview(plain, 12).alias("short"))
+
+
+@query("""WITH e AS (SELECT source, count(*) FILTER (doc_id % 2 = 0) AS held, count(*) FILTER (doc_id % 2 = 1 AND doc_id % 5 <> 4) AS more FROM documents GROUP BY source),
+k AS (SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'unsupported extension' WHEN held + more > 45 THEN 'too many files' END AS error FROM documents JOIN e USING (source) WHERE doc_id % 2 = 1)
+SELECT doc_id AS file_id, CASE WHEN error IS NULL THEN 'pending' ELSE 'rejected' END AS status, error FROM k""")
+def upload_files(spark, d):
+    """Files with odd numbers come to conversations that hold those with even ones."""
+    files = S.files(spark, d)
+    return session.uploaded(files.where("file_id % 2 = 1"), files.where("file_id % 2 = 0"), 45).select("file_id", "status", "error")
+
+
+@query("SELECT doc_id AS file_id, CASE doc_id % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' ELSE 'pending' END AS status, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS extracted_text, CASE WHEN doc_id % 3 = 1 THEN 'broken' END AS extraction_error FROM documents")
+def file_results(spark, d):
+    """A third of the files is done with a new text, a third failed and keeps its text, a third has no result yet."""
+    files = S.files(spark, d).select("file_id", F.lit("pending").alias("status"), F.lit("old").alias("extracted_text"), F.lit(None).cast("string").alias("extraction_error"))
+    k = F.col("file_id") % 3
+    results = files.where(k < 2).select("file_id", F.when(k == 0, "done").otherwise("failed").alias("status"), F.when(k == 0, "new").alias("extracted_text"), F.when(k == 1, "broken").alias("extraction_error"))
+    return session.with_results(files, results)
+
+
+@query(f"WITH {O.INDEX} SELECT conversation_id, term, df, round(idf, 6) AS idf FROM idf")
+def index_rebuilt(spark, d):
+    """An index of half of the chunks, after all conversations were indexed anew."""
+    rows = S.chunks(spark, d)
+    own = index.reindexed(index.built(rows.where("chunk_id % 2 = 0")), rows)
+    return own.idf.select("conversation_id", "term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("SELECT o_custkey AS query_id, min(o_orderkey) AS hop_no, o_orderstatus AS relation FROM orders GROUP BY o_custkey, o_orderstatus")
+def hops_once(spark, d):
+    """Orders of a customer as hops that differ in case only: the first of each status stays."""
+    o = S.table(spark, d, "orders")
+    odd = F.col("o_orderkey") % 2 == 1
+    same = lambda c: F.when(odd, F.upper(c)).otherwise(c)
+    hops = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("hop_no"), same(F.lit("from")).alias("source"), F.when(odd, F.lower("o_orderstatus")).otherwise(F.col("o_orderstatus")).alias("relation"), same(F.lit("to")).alias("target"))
+    return answer.told_once(hops).select("query_id", "hop_no", F.upper("relation").alias("relation"))
