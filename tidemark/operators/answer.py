@@ -20,6 +20,10 @@ UNKNOWN_STAMPS = ("00:00 - 00:01", "00:00")
 # Extensions of the viewer, more than uploads allow.
 VIEWED = {"pdf": r"\.pdf$", "image": r"\.(png|jpe?g|webp|gif|svg|bmp)$", "audio": r"\.(mp3|wav|ogg|m4a|aac|flac)$", "video": r"\.(mp4|webm|mov|mkv|avi)$"}
 HOPS_TOLD, TURN_CHARS = 15, 300
+# The heading, the lines and the signs of a narrative of hops.
+HEADING = ("### 🕸️ Knowledge Graph Relations (", " relation hops):", " relation hop):")
+HOP_LINE = ("  • Rel ", ": ", " (", ") ➔ ", " ➔ ", " (", ")\n    - Source: [", ']\n    - Evidence: "', '"')
+MONEY_SIGN, PAGE_SIGN, STAMP_SIGN = "💰 ", "📄 Page ", "⏱️ "
 
 
 def effective_stamp(evidence: Column, fallback: Column) -> Column:
@@ -119,13 +123,14 @@ def narrative(hops: DataFrame, told: int = HOPS_TOLD) -> DataFrame:
     """(query_id, n_hops, narrative) of hops (query_id, hop_no, from_node, from_type, relation, to_node, to_type, filename,
     evidence, amount, currency, page_number, timestamp): a heading and the first ``told`` hops, each with its source."""
     near = hops.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("hop_no")))
-    money = F.concat(F.lit("💰 "), F.when(F.coalesce("currency", F.lit("USD")) == "USD", "$").otherwise(F.concat("currency", F.lit(" "))), F.format_number("amount", 0), F.lit(" "), F.coalesce("currency", F.lit("USD")))
-    place = F.concat_ws(" | ", "filename", F.when(F.col("amount") != 0, money), F.concat(F.lit("📄 Page "), F.nullif("page_number", F.lit(0)).cast("string")), F.concat(F.lit("⏱️ "), F.nullif("timestamp", F.lit(""))))
+    money = F.concat(F.lit(MONEY_SIGN), F.when(F.coalesce("currency", F.lit("USD")) == "USD", "$").otherwise(F.concat("currency", F.lit(" "))), F.format_number("amount", 0), F.lit(" "), F.coalesce("currency", F.lit("USD")))
+    place = F.concat_ws(" | ", "filename", F.when(F.col("amount") != 0, money), F.concat(F.lit(PAGE_SIGN), F.nullif("page_number", F.lit(0)).cast("string")), F.concat(F.lit(STAMP_SIGN), F.nullif("timestamp", F.lit(""))))
     bold = lambda c: F.concat(F.lit("**"), F.col(c), F.lit("**"))
-    line = F.concat(F.lit("  • Rel "), F.col("_n").cast("string"), F.lit(": "), bold("from_node"), F.lit(" ("), "from_type", F.lit(") ➔ "), bold("relation"), F.lit(" ➔ "), bold("to_node"), F.lit(" ("), "to_type", F.lit(")\n    - Source: ["), place, F.lit(']\n    - Evidence: "'), "evidence", F.lit('"'))
+    named = [F.col("_n").cast("string"), bold("from_node"), F.col("from_type"), bold("relation"), bold("to_node"), F.col("to_type"), place, F.col("evidence")]
+    line = F.concat(*[x for text, name in zip(HOP_LINE, named) for x in (F.lit(text), name)], F.lit(HOP_LINE[-1]))
     listed = F.array_sort(F.collect_list(F.when(F.col("_n") <= told, F.struct("_n", line.alias("line")))))
     per = near.groupBy("query_id").agg(F.count("*").alias("n_hops"), listed.alias("_lines"))
-    head = F.concat(F.lit("### 🕸️ Knowledge Graph Relations ("), F.col("n_hops").cast("string"), F.when(F.col("n_hops") > 1, " relation hops):").otherwise(" relation hop):"))
+    head = F.concat(F.lit(HEADING[0]), F.col("n_hops").cast("string"), F.when(F.col("n_hops") > 1, HEADING[1]).otherwise(HEADING[2]))
     return per.select("query_id", "n_hops", F.concat_ws("\n", head, F.transform("_lines", lambda x: x["line"])).alias("narrative"))
 
 

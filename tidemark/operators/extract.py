@@ -42,7 +42,21 @@ COURSE = r"(?i)\b([A-Z]{2,4}\d{3})\b\s+(\d+)\s+([A-Z]{2,4}\d{3}|None|Nil|-)?\s+(
 BUDGETS = "HAS_ALLOCATION HAS_TOTAL_BUDGET HAS_BUDGET ALLOCATED_FOR RESERVED_FOR COSTS HAS_COST BUDGETED_AT".split()
 MONEY = r"(?i)(\$|USD|EUR|GBP)?\s*(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d{4,}(?:\.\d+)?)\s*(USD|EUR|GBP|dollars?)?"
 REGION = r"(?i)\b(top-left|top-right|bottom-left|bottom-right|header|footer|center|sidebar|diagram-box-[A-Z0-9]+)\b"
+# What is cut from the ends of names, tags inside them, articles before and joining words behind, amounts and frames that
+# are names as they stand, and the bounds of a name in characters and words.
 _EDGES = r"""^[\s"'‘“(\[{,.:;–—-]+|[\s"'’”)\]},.:;–—-]+$"""
+TAGS = r"\[(?:Page\s*\d+|\d{1,2}:\d{2}(?:\s*-\s*\d{1,2}:\d{2})?)\]"
+ARTICLES = r"(?i)^(?:The|A|An|And|Well|So|Here|There|But|Also)\s+"
+LOOSE_END = r"(?i)\s+(?:and|or|of|to|in|for|with|by|from|the|a|an)$"
+MONEY_NAME = r"(?i)^\$?\d+(?:,\d+)*(?:\.\d+)?(?:\s*(?:USD|EUR|GBP|USD\$|K|M|B))?$"
+FRAME_NAME = r"(?i)^(?:Video_Frame_|Keyframe_|Frame_)\d+:\d+"
+NAME_LENGTHS, NAME_WORDS = (2, 65), 7
+# Names and sentences of the triples of a curriculum.
+DEPARTMENT_NAME, MINOR_NAME, CURRICULUM, ADVISOR_ROLE, CREDITS = "Department of ", "Minor in ", "University Curriculum", "UG Academic Advisor", " Credits"
+SAID = {
+    "offered": ("", " is offered by ", "."), "programs": ("", " offers academic programs."), "advises": ("", " serves as UG Advisor."), "advisor": ("Department has advisor ", "."), "email": ("Contact email for ", " is ", "."),
+    "credits": ("Course ", " carries ", "."), "term": ("Course ", " is scheduled in ", "."), "before": ("", " requires prerequisite ", "."), "part": ("Course ", " is part of ", "."),
+}
 _TRIPLE = "struct<source:string,relation:string,target:string,source_type:string,target_type:string,evidence:string>"
 
 
@@ -66,16 +80,16 @@ def clean_mention(text: Column) -> Column:
 def clean_name(raw: Column) -> Column:
     """An entity name, or null where the text cannot be one: too short or long, a stop word, a loose preposition."""
     text = F.btrim(raw, F.lit(" \n\t\r"))
-    x = F.regexp_replace(text, r"\[(?:Page\s*\d+|\d{1,2}:\d{2}(?:\s*-\s*\d{1,2}:\d{2})?)\]", "")
+    x = F.regexp_replace(text, TAGS, "")
     x = F.regexp_replace(x, _EDGES, "")
-    x = F.btrim(F.regexp_replace(x, r"(?i)^(?:The|A|An|And|Well|So|Here|There|But|Also)\s+", ""), F.lit(" \n\t\r"))
-    x = F.btrim(F.regexp_replace(x, r"(?i)\s+(?:and|or|of|to|in|for|with|by|from|the|a|an)$", ""), F.lit(" \n\t\r"))
+    x = F.btrim(F.regexp_replace(x, ARTICLES, ""), F.lit(" \n\t\r"))
+    x = F.btrim(F.regexp_replace(x, LOOSE_END, ""), F.lit(" \n\t\r"))
     low, words = F.lower(x), F.size(F.split(x, r"\s+"))
-    bad = (F.length(x) < 2) | (F.length(x) > 65) | (words > 7) | low.isin(STOP_ENTITIES) | low.rlike(f"^(?:{'|'.join(LEADS)}) ")
+    bad = ~F.length(x).between(*NAME_LENGTHS) | (words > NAME_WORDS) | low.isin(STOP_ENTITIES) | low.rlike(f"^(?:{'|'.join(LEADS)}) ")
     month = x.rlike(rf"(?i)^(?:{MONTHS})\s+\d{{4}}$")
-    money = x.rlike(r"(?i)^\$?\d+(?:,\d+)*(?:\.\d+)?(?:\s*(?:USD|EUR|GBP|USD\$|K|M|B))?$")
+    money = x.rlike(MONEY_NAME)
     plain = ~x.rlike(r"\p{Lu}") & (x.rlike(r"\p{Ll}") | (words > 1))
-    frame = text.rlike(r"(?i)^(?:Video_Frame_|Keyframe_|Frame_)\d+:\d+")
+    frame = text.rlike(FRAME_NAME)
     return F.when(frame, text).when(bad, F.lit(None)).when(month, title_case(x)).when(money, x).when(plain, title_case(x)).otherwise(x)
 
 
@@ -119,27 +133,32 @@ def curriculum_triples(chunks: DataFrame) -> DataFrame:
     course = F.zip_with(F.zip_with(every(COURSE, 1), every(COURSE, 2), lambda a, b: F.struct(F.upper(a).alias("code"), b.alias("credits"))), F.zip_with(every(COURSE, 3), every(COURSE, 4), lambda a, b: F.struct(a.alias("before"), b.alias("term"))), lambda a, b: F.struct(a["code"].alias("code"), a["credits"].alias("credits"), b["before"].alias("before"), b["term"].alias("term")))
     rows = chunks.where("text is not null").select("chunk_id", every(DEPARTMENT).alias("d"), every(MINOR).alias("m"), every(ADVISOR).alias("a"), F.slice(every(EMAIL), 1, 2).alias("e"), course.alias("c"))
     rows = rows.where("size(d) + size(m) + size(c) > 0")
-    dept, minor = F.concat(F.lit("Department of "), F.btrim(F.get("d", F.lit(0)))), F.concat(F.lit("Minor in "), F.btrim(F.get("m", F.lit(0))))
+    dept, minor = F.concat(F.lit(DEPARTMENT_NAME), F.btrim(F.get("d", F.lit(0)))), F.concat(F.lit(MINOR_NAME), F.btrim(F.get("m", F.lit(0))))
     single = (F.size("d") == 1) & (F.size("m") == 1)
-    say = lambda *p: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in p])
+
+    def say(kind: str, *names: Column) -> Column:
+        """A fixed sentence with the names in its gaps."""
+        gaps = SAID[kind]
+        return F.concat(F.lit(gaps[0]), *[x for name, text in zip(names, gaps[1:]) for x in (name, F.lit(text))])
+
     none = F.array().cast(f"array<{_TRIPLE}>")
     headers = F.when(single, F.array(
-        _triple(minor, "OFFERED_BY", dept, "COURSE", "ORGANIZATION", say(minor, " is offered by ", dept, ".")),
-        _triple(dept, "PART_OF", "University Curriculum", "ORGANIZATION", "ORGANIZATION", say(dept, " offers academic programs.")))).otherwise(none)
+        _triple(minor, "OFFERED_BY", dept, "COURSE", "ORGANIZATION", say("offered", minor, dept)),
+        _triple(dept, "PART_OF", CURRICULUM, "ORGANIZATION", "ORGANIZATION", say("programs", dept)))).otherwise(none)
     named = F.filter(F.transform("a", lambda x: F.btrim(x)), lambda x: (F.length(x) > 3) & ~F.lower(x).startswith("if "))
     advisors = F.flatten(F.transform(named, lambda x: F.concat(
-        F.array(_triple(x, "ROLE_AS", "UG Academic Advisor", "PERSON", "RULE", say(x, " serves as UG Advisor."))),
-        F.when(F.size("d") > 0, F.array(_triple(dept, "HAS_ADVISOR", x, "ORGANIZATION", "PERSON", say("Department has advisor ", x, ".")))).otherwise(none),
-        F.transform("e", lambda m: _triple(x, "HAS_EMAIL", m, "PERSON", "RULE", say("Contact email for ", x, " is ", m, "."))))))
+        F.array(_triple(x, "ROLE_AS", ADVISOR_ROLE, "PERSON", "RULE", say("advises", x))),
+        F.when(F.size("d") > 0, F.array(_triple(dept, "HAS_ADVISOR", x, "ORGANIZATION", "PERSON", say("advisor", x)))).otherwise(none),
+        F.transform("e", lambda m: _triple(x, "HAS_EMAIL", m, "PERSON", "RULE", say("email", x, m))))))
     owner = F.when(F.size("m") > 0, minor).otherwise(dept)
 
     def of_course(c: Column) -> Column:
-        credits, term, before = say(c["credits"], " Credits"), title_case(F.btrim(c["term"])), F.upper(c["before"])
+        credits, term, before = F.concat(c["credits"], F.lit(CREDITS)), title_case(F.btrim(c["term"])), F.upper(c["before"])
         return F.concat(
-            F.array(_triple(c["code"], "AWARDS_CREDITS", credits, "COURSE", "METRIC", say("Course ", c["code"], " carries ", credits, ".")),
-                    _triple(c["code"], "OFFERED_IN", term, "COURSE", "SEMESTER", say("Course ", c["code"], " is scheduled in ", term, "."))),
-            F.when(before.rlike(r"^[A-Z]{2,4}\d{3}$"), F.array(_triple(c["code"], "REQUIRES_PREREQUISITE", before, "COURSE", "COURSE", say(c["code"], " requires prerequisite ", before, ".")))).otherwise(none),
-            F.when(F.size("m") + F.size("d") > 0, F.array(_triple(c["code"], "PART_OF", owner, "COURSE", "ORGANIZATION", say("Course ", c["code"], " is part of ", owner, ".")))).otherwise(none))
+            F.array(_triple(c["code"], "AWARDS_CREDITS", credits, "COURSE", "METRIC", say("credits", c["code"], credits)),
+                    _triple(c["code"], "OFFERED_IN", term, "COURSE", "SEMESTER", say("term", c["code"], term))),
+            F.when(before.rlike(r"^[A-Z]{2,4}\d{3}$"), F.array(_triple(c["code"], "REQUIRES_PREREQUISITE", before, "COURSE", "COURSE", say("before", c["code"], before)))).otherwise(none),
+            F.when(F.size("m") + F.size("d") > 0, F.array(_triple(c["code"], "PART_OF", owner, "COURSE", "ORGANIZATION", say("part", c["code"], owner)))).otherwise(none))
 
     courses = F.flatten(F.transform("c", of_course))
     out = rows.select("chunk_id", F.posexplode(F.concat(headers, advisors, courses)).alias("no", "t"))

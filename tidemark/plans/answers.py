@@ -125,7 +125,7 @@ def ingest_stream(spark, d):
     ingest.ingest(spark, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
     found = spark.read.parquet(f"{base}/out")
     body = F.regexp_replace("text", r"^\[[^\n]*\]\n", "")
-    return found.select("file_id", "chunk_index", "chunk_id", F.length(body).cast("long").alias("n_chars"), F.size(F.split(body, "\n")).cast("long").alias("n_blocks"))
+    return found.select("file_id", "chunk_index", "chunk_id", F.length(body).cast("long").alias("n_chars"), F.size(F.split(body, "\n")).cast("long").alias("n_blocks"), F.md5(body.cast("binary")).alias("body"))
 
 
 @query()

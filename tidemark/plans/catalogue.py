@@ -50,9 +50,9 @@ def validate_file_type(spark, d):
     return session.validated(rows).select("file_id", "file_type", "valid", "error")
 
 
-@query(r"SELECT page_id, length(html) AS n_chars, length(trim(regexp_replace(regexp_replace(html, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13))) AS n_clean FROM pages")
+@query(r"SELECT page_id, length(html) AS n_chars, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]|[\x{E000}-\x{F8FF}\x{10000}-\x{10FFFF}]', ' ', 'g'), '(?m)^[ \t]*[•▪●◦‣·*][ \t]+', '- ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13))) AS clean FROM pages")
 def clean_text(spark, d):
-    return S.table(spark, d, "pages").select("page_id", F.length("html").cast("long").alias("n_chars"), F.length(ingest.clean_text(F.col("html"))).cast("long").alias("n_clean"))
+    return S.table(spark, d, "pages").select("page_id", F.length("html").cast("long").alias("n_chars"), F.md5(ingest.clean_text(F.col("html")).cast("binary")).alias("clean"))
 
 
 @query("SELECT o_orderkey, CASE WHEN len(t) = 0 THEN '0.5' ELSE array_to_string(t, ',') END AS times FROM (SELECT o_orderkey, list_filter([2.0, 14.0, 26.0, 38.0, 50.0, 62.0], lambda x: x < o_totalprice / 1000) AS t FROM orders)")
@@ -79,7 +79,7 @@ p AS (SELECT doc_id, i, parts[i] AS t FROM b, unnest(range(1, len(parts) + 1)) A
 g AS (SELECT doc_id, i, 0 AS c, length(t) AS n FROM p WHERE i = 1
   UNION ALL SELECT p.doc_id, p.i, CASE WHEN g.n + length(p.t) + 2 <= {target} THEN g.c ELSE g.c + 1 END, CASE WHEN g.n + length(p.t) + 2 <= {target} THEN g.n + {len(glue)} + length(p.t) ELSE length(p.t) END
   FROM g JOIN p ON p.doc_id = g.doc_id AND p.i = g.i + 1)
-SELECT doc_id AS file_id, CAST(c AS BIGINT) AS chunk_index, doc_id || '_chunk_' || c AS chunk_id, CAST(sum(length(t)) + (count(*) - 1) * {len(glue)} AS BIGINT) AS n_chars, count(*) AS n_blocks FROM g JOIN p USING (doc_id, i) GROUP BY doc_id, c"""
+SELECT doc_id AS file_id, CAST(c AS BIGINT) AS chunk_index, doc_id || '_chunk_' || c AS chunk_id, CAST(sum(length(t)) + (count(*) - 1) * {len(glue)} AS BIGINT) AS n_chars, count(*) AS n_blocks, md5(string_agg(t, '{glue}' ORDER BY i)) AS body FROM g JOIN p USING (doc_id, i) GROUP BY doc_id, c"""
 
 
 @query(_packed_sql(rf"string_split_regex({_PARAGRAPHS}, '\n\s*\n')", 1800, "\n").replace("count(*) AS n_blocks", "CAST(count(*) AS BIGINT) AS n_blocks"))
@@ -87,7 +87,7 @@ def chunk_blocks(spark, d):
     rows = S.files(spark, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
     found = chunk.by_blocks(rows)
     body = F.regexp_replace("text", r"^\[[^\n]*\]\n", "")
-    return found.select("file_id", "chunk_index", "chunk_id", F.length(body).cast("long").alias("n_chars"), F.size(F.split(body, "\n")).cast("long").alias("n_blocks"))
+    return found.select("file_id", "chunk_index", "chunk_id", F.length(body).cast("long").alias("n_chars"), F.size(F.split(body, "\n")).cast("long").alias("n_blocks"), F.md5(body.cast("binary")).alias("body"))
 
 
 @query("""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
@@ -330,7 +330,13 @@ def intent_classify(spark, d):
     return S.messages(spark, d).select("conversation_id", "turn", synthesis.intent(F.col("text")).alias("intent"))
 
 
-_FOLLOWUP = "({any} OR {n} <= 4)".format(any=" OR ".join("regexp_matches(lower(text), '" + p.replace("'", "''") + "')" for p in synthesis.FOLLOWUPS), n=O.n_words("text"))
+# Fixed values, written down once more for the twins: patterns of a question that leans on the turns before it.
+_LEANS = (
+    r"^(what|how)\s+about\b|^and\s+(for|what|how|who|where|why)\b|^(who|what|where|when|why|how)\s+(is|are|was|were|do|does|did)\s+(the|their|its|it|they|this|that)\b"
+    r"|\b(it|they|them|their|its|this|that|these|those)\b|^who\s+is\s+(the\s+)?(advisor|faculty|head|lead|coordinator)\b|^(tell me more|elaborate|explain more|more details)\b|^same\s+for\b"
+    r"|^(and\s+)?(for\s+)?[a-zA-Z\s]{1,25}\?*$"
+)
+_FOLLOWUP = f"(regexp_matches(lower(text), '{_LEANS}') OR {O.n_words('text')} <= 4)"
 
 
 @query(f"SELECT conv_id::VARCHAR AS conversation_id, turn, {_FOLLOWUP} AS followup FROM conversations")
