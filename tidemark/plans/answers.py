@@ -128,17 +128,56 @@ def ingest_stream(spark, d):
     return found.select("file_id", "chunk_index", "chunk_id", F.length(body).cast("long").alias("n_chars"), F.size(F.split(body, "\n")).cast("long").alias("n_blocks"), F.md5(body.cast("binary")).alias("body"))
 
 
-@query()
+# The answers: the two best excerpts of the three first passages, or what is said without them. Windows of four lines, as above.
+_LINES = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: length(x) > 3)"
+_BOUNDARY = r"(?:[.?!] |\.\n|\n\n|\n[-*] )"
+_ANSWERED = rf"""low AS (SELECT query_id, conversation_id, query, coalesce(should_retry, true) AS retry, coalesce(missing, '') AS missing FROM q LEFT JOIN (SELECT query_id, should_retry, missing FROM graded) g USING (query_id)),
+q2 AS (SELECT query_id, conversation_id, trim(regexp_replace(query, '[^\w\s./-]', '', 'g') || ' ' || missing) AS query FROM low WHERE retry),
+{O.again(O.FUSED)},
+pass AS (SELECT query_id, position, final_score, file_type, text FROM fused JOIN (SELECT chunk_id, text FROM chunks) USING (chunk_id) WHERE query_id NOT IN (SELECT query_id FROM fused2) UNION ALL SELECT query_id, position, final_score2, file_type, text FROM (SELECT query_id, position, final_score AS final_score2, file_type, chunk_id FROM fused2) JOIN (SELECT chunk_id, text FROM chunks) USING (chunk_id)),
+{C._graded_sql('pass', '3')},
+best AS (SELECT query_id, position, list_distinct({O.tokens('query', True)}) AS asked, {_LINES} AS lines FROM pass JOIN q USING (query_id) WHERE position <= 3),
+win AS (SELECT query_id, position, i, lines, len(list_intersect(asked, {O.tokens("array_to_string(lines[i:i + 3], ' ')", True)})) AS score FROM best, unnest(range(1, len(lines) + 1)) AS t(i)),
+part AS (SELECT query_id, position, CASE WHEN max(score) > 0 THEN array_to_string(any_value(lines)[arg_max(i, score * 100000 - i):arg_max(i, score * 100000 - i) + 3], chr(10)) ELSE any_value(lines)[1] END || ' [' || position || ']' AS part FROM win GROUP BY query_id, position),
+parts AS (SELECT query_id, string_agg(part, chr(10) || chr(10) ORDER BY position) AS excerpts FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) AS n FROM part) WHERE n <= 2 GROUP BY query_id),
+seen AS (SELECT query_id, list_distinct(flatten(list({O.tokens('text', True)}))) AS seen FROM pass WHERE position <= 3 GROUP BY query_id),
+lack AS (SELECT query_id, asked, seen, excerpts, list_filter(asked, lambda w: NOT list_contains(coalesce(seen, []), w)) AS missing FROM (SELECT query_id, list_filter(every, lambda w, i: list_position(every, w) = i) AS asked FROM (SELECT query_id, {O.tokens('query', True)} AS every FROM q)) LEFT JOIN seen USING (query_id) LEFT JOIN parts USING (query_id)),
+lacks AS (SELECT *, list_filter(missing, lambda w: NOT list_contains({C._INQUIRY}, w) AND length(w) > 2) AS named FROM lack),
+told AS (SELECT query_id AS answer_id, CASE WHEN seen IS NULL THEN 'Based on the provided documents, there is insufficient evidence to answer this question as no relevant source materials were found.'
+  WHEN len(asked) > 0 AND 1 - len(missing) / greatest(len(asked), 1) < 0.2 THEN 'Based on the provided documents, there is insufficient evidence to answer this question as the source materials do not contain information on this topic.'
+  WHEN len(named) > 0 THEN 'The provided documentation does not explicitly state what happens regarding ' || array_to_string(list_transform(named[1:2], lambda w: chr(39) || w || chr(39)), ', ') || '. While related behavior is documented below, the exact interaction is not defined in the source materials:' || chr(10) || chr(10) || coalesce(excerpts, '')
+  ELSE coalesce(excerpts, '') END AS answer FROM lacks),
+gap AS (SELECT answer_id, string_split_regex(answer, '\[\d+\]') AS gaps, list_transform(regexp_extract_all(answer, '\[(\d+)\]', 1), lambda x: x::INT) AS marks FROM told),
+mark AS (SELECT answer_id, i - 1 AS claim_no, marks[i] AS passage_number, regexp_replace(gaps[i], '\s+$', '') AS own FROM gap, unnest(range(1, len(marks) + 1)) AS t(i)),
+said AS (SELECT answer_id, claim_no, passage_number, trim(trim(regexp_replace(trim(CASE WHEN regexp_matches(own, '{_BOUNDARY}') THEN regexp_replace(own, '(?s)^.*{_BOUNDARY}', '') ELSE right(regexp_replace(own, '^\s+', ''), 200) END, ' ' || chr(9) || chr(10) || chr(13)), '^(?:[-*•]|\d+\.)\s+', ''), ' '), '"' || chr(39)) AS claim FROM mark),
+claimed AS (SELECT answer_id, claim_no, passage_number, text, claim FROM said LEFT JOIN pass ON query_id = answer_id AND position = passage_number),
+{O.checked('claimed')},
+done AS (SELECT q.query_id, q.query_id IN (SELECT query_id FROM fused2) AS retried, answer, coalesce(n_claims, 0) AS n_claims, coalesce(groundedness, 1.0) AS groundedness,
+  CASE WHEN coalesce(groundedness, 1.0) >= 0.75 AND coalesce(n_claims, 0) > 0 THEN 'high' WHEN coalesce(groundedness, 1.0) >= 0.4 THEN 'medium' ELSE coalesce(graded3.confidence, 'low') END AS confidence
+  FROM q JOIN told ON told.answer_id = q.query_id LEFT JOIN ground ON ground.answer_id = q.query_id LEFT JOIN graded3 ON graded3.query_id = q.query_id)"""
+
+
+@query(f"WITH {O.FUSED}, {C._GRADED}, {_ANSWERED} SELECT query_id, retried, md5(answer) AS answer, n_claims, groundedness, confidence FROM done")
 def synthesize_e2e(spark, d):
-    return answer.synthesized(S.queries(spark, d), C.Search(spark, d).passages, written)
+    done = answer.synthesized(S.queries(spark, d), C.Search(spark, d).passages, written)
+    return done.withColumn("answer", F.md5(F.col("answer").cast("binary")))
 
 
-@query()
+@query(f"""WITH {O.FUSED}, {C._GRADED}, {_ANSWERED}, types AS (SELECT query_id, count(*) AS n, list_sort(list_distinct(list(file_type))) AS types FROM fused GROUP BY query_id)
+SELECT query_id, unnest([0, 1, 2, 3, 4, 5]) AS seq, unnest(['route', 'retrieve', 'confidence', 'answer', 'verify', 'done']) AS event,
+unnest([array_to_string(types, ','), n::VARCHAR || '/' || retried, confidence, md5(answer), n_claims::VARCHAR || '/' || round(groundedness * 100)::INT, 'true']) AS data FROM done JOIN types USING (query_id)""")
 def stage_log(spark, d):
+    """The progress events of every query; what each tells, in short form."""
     q, search = S.queries(spark, d), C.Search(spark, d)
     first = search.passages(q)
     done = answer.synthesized(q, lambda asked: first if asked is q else search.passages(asked), written)
-    return answer.stages(done, first)
+    events = answer.stages(done, first)
+    get = lambda k: F.get_json_object("data", f"$.{k}")
+    kinds = F.array_join(F.from_json(get("categories"), "array<string>"), ",")
+    event = F.col("event")
+    told = F.when(event == "route", kinds).when(event == "retrieve", F.concat_ws("/", get("n_passages"), get("retried"))).when(event == "confidence", get("confidence"))
+    told = told.when(event == "answer", F.md5(get("answer").cast("binary"))).when(event == "verify", F.concat_ws("/", get("n_claims"), F.round(get("groundedness").cast("double") * 100).cast("int").cast("string"))).otherwise(get("done"))
+    return events.select("query_id", "seq", "event", told.alias("data"))
 
 
 def _level(k: int) -> str:

@@ -353,12 +353,18 @@ def contextualize(spark, d):
 
 
 _INQUIRY = "['work','mean','happen','tell','give','look','know','run','use','get','find','seem','occur','appear','take','make','need','want','see','show','say','call','come','state','exist','i','ii','iii','iv','v']"
-_GRADED = f"""top AS (SELECT query_id, string_agg(text, ' ' ORDER BY position) AS passages, arg_min(final_score, position) AS top_score FROM fused JOIN chunks USING (chunk_id) WHERE position <= 3 GROUP BY query_id),
-t AS MATERIALIZED (SELECT query_id, query, {O.tokens('query', True)} AS asked, list_distinct({O.tokens('passages', True)}) AS held, top_score FROM top JOIN q USING (query_id)),
-miss AS (SELECT *, list_filter(asked, lambda w: NOT list_contains(held, w)) AS missing FROM t),
-cov AS (SELECT *, round((len(asked) - len(missing)) / greatest(len(asked), 1), 6)::DOUBLE AS coverage, list_filter(missing, lambda w: NOT list_contains({_INQUIRY}, w) AND length(w) > 2) AS key FROM miss),
-lev AS (SELECT *, CASE WHEN len(asked) = 0 THEN 'medium' WHEN len(key) > 0 THEN CASE WHEN coverage >= 0.5 THEN 'medium' ELSE 'low' END WHEN coverage >= 0.75 AND top_score >= 0.5 THEN 'high' WHEN coverage >= 0.3 THEN 'medium' ELSE 'low' END AS confidence FROM cov),
-graded AS (SELECT query_id, query, coverage, confidence, confidence = 'low' AS should_retry, CASE WHEN len(key) > 0 THEN array_to_string(list_transform(key, lambda w: 'Specific documentation on ' || chr(39) || w || chr(39)), ' ') WHEN confidence = 'high' THEN '' ELSE array_to_string(missing, ' ') END AS missing FROM lev)"""
+def _graded_sql(passages: str, n: str = "") -> str:
+    """Tables that grade each query on the passages (query_id, position, final_score, text) of a table; the last is graded<n>."""
+    return f"""top{n} AS (SELECT query_id, string_agg(text, ' ' ORDER BY position) AS passages, arg_min(final_score, position) AS top_score FROM {passages} WHERE position <= 3 GROUP BY query_id),
+t{n} AS MATERIALIZED (SELECT query_id, query, {O.tokens('query', True)} AS asked, list_distinct({O.tokens('passages', True)}) AS held, top_score FROM top{n} JOIN q USING (query_id)),
+miss{n} AS (SELECT *, list_filter(asked, lambda w: NOT list_contains(held, w)) AS missing FROM t{n}),
+cov{n} AS (SELECT *, round((len(asked) - len(missing)) / greatest(len(asked), 1), 6)::DOUBLE AS coverage, list_filter(missing, lambda w: NOT list_contains({_INQUIRY}, w) AND length(w) > 2) AS key FROM miss{n}),
+lev{n} AS (SELECT *, CASE WHEN len(asked) = 0 THEN 'medium' WHEN len(key) > 0 THEN CASE WHEN coverage >= 0.5 THEN 'medium' ELSE 'low' END WHEN coverage >= 0.75 AND top_score >= 0.5 THEN 'high' WHEN coverage >= 0.3 THEN 'medium' ELSE 'low' END AS confidence FROM cov{n}),
+graded{n} AS (SELECT query_id, query, coverage, confidence, confidence = 'low' AS should_retry, CASE WHEN len(key) > 0 THEN array_to_string(list_transform(key, lambda w: 'Specific documentation on ' || chr(39) || w || chr(39)), ' ') WHEN confidence = 'high' THEN '' ELSE array_to_string(missing, ' ') END AS missing FROM lev{n})"""
+
+
+_PASSAGES = "found AS (SELECT query_id, position, final_score, text FROM fused JOIN chunks USING (chunk_id))"
+_GRADED = f"{_PASSAGES}, {_graded_sql('found')}"
 
 
 def _graded(spark, d):
@@ -401,14 +407,7 @@ a AS (SELECT n.doc_id AS answer_id, n.text AS own, o.text AS other, o.doc_id IS
 b AS (SELECT *, string_split_regex(line, '[.?!] ') AS parts FROM a),
 c AS (SELECT answer_id, claim_no, CAST(claim_no % 2 + 1 AS INT) AS passage_number, CASE WHEN claim_no % 2 = 0 THEN own WHEN has_other THEN other END AS text,
   trim(trim(regexp_replace(trim(CASE WHEN claim_no = 0 AND len(parts) = 1 THEN right(line, 200) ELSE parts[-1] END, ' ' || chr(9) || chr(13)), '^(?:[-*•]|\d+\.)\s+', ''), ' '), '"' || chr(39)) AS claim FROM b)"""
-_CHECKED = rf"""{_CLAIMS},
-k AS (SELECT answer_id, claim_no, passage_number, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, list_filter({O.tokens('claim', True)}, lambda w: length(w) > 2) AS toks FROM c),
-s AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(text, '([.!?\n])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 10) AS sentences FROM k),
-h AS (SELECT *, list_transform(sentences, lambda x: CASE WHEN len(toks) = 0 THEN 1.0 ELSE len(list_filter(toks, lambda w: contains(lower(x), w)))::DOUBLE / len(toks) END) AS scores FROM s),
-v AS (SELECT answer_id, claim_no, passage_number, text, toks, coalesce(list_max(scores), 0.0) AS best, sentences[list_position(scores, list_max(scores))] AS sentence FROM h),
-checked AS (SELECT answer_id, claim_no, passage_number, CASE WHEN text IS NULL THEN false ELSE len(toks) = 0 OR len(list_filter(toks, lambda w: contains(lower(text), w)))::DOUBLE / greatest(len(toks), 1) >= 0.30 OR best >= 0.25 END AS is_grounded,
-  coalesce(trim(regexp_replace(regexp_replace(CASE WHEN best > 0 THEN sentence ELSE left(text, 200) END, '^\s+|\s+$', '', 'g'), '^(?:[-*•]|\d+\.)\s+', ''), '"' || chr(39)), '') AS evidence, 'doc_' || CASE WHEN text IS NOT NULL THEN answer_id - passage_number + 1 END AS filename FROM v),
-ground AS (SELECT answer_id, round(avg(is_grounded::INT), 2)::DOUBLE AS groundedness, count(*) AS n_claims FROM checked GROUP BY answer_id)"""
+_CHECKED = f"{_CLAIMS}, {O.checked('c')}"
 
 
 def _answers(spark, d):
@@ -432,7 +431,7 @@ def claim_extract(spark, d):
     return synthesis.claims(_answers(spark, d)[0]).select("answer_id", F.col("claim_no").cast("long").alias("claim_no"), "passage_number", "claim")
 
 
-@query(f"WITH {_CHECKED} SELECT answer_id, claim_no, passage_number, is_grounded, CASE WHEN is_grounded THEN 'VERIFIED' ELSE 'UNSUPPORTED' END AS status, md5(evidence) AS evidence, filename FROM checked")
+@query(f"WITH {_CHECKED} SELECT answer_id, claim_no, passage_number, is_grounded, CASE WHEN is_grounded THEN 'VERIFIED' ELSE 'UNSUPPORTED' END AS status, md5(evidence) AS evidence, 'doc_' || CASE WHEN given THEN answer_id - passage_number + 1 END AS filename FROM checked")
 def claim_verify(spark, d):
     found = _checked(spark, d)
     return found.select("answer_id", F.col("claim_no").cast("long").alias("claim_no"), "passage_number", "is_grounded", "status", F.md5(F.col("evidence").cast("binary")).alias("evidence"), "filename")

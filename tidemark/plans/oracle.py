@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # Fixed values, written down once more, so that a list misread in the library shows: stop words (those of one letter or with
 # an apostrophe can't be tokens and are left out), and ordinals both ways.
 _STOP = """about above actually after again against all also am an and any are as ask asked at be because been before being below between
@@ -111,3 +113,22 @@ def levels(seed: str, depth: int) -> str:
         out.append(f"l{k} AS (SELECT DISTINCT b.other AS node FROM b JOIN l{k - 1} USING (node) WHERE b.other NOT IN ({seen}))")
     union = " UNION ALL ".join(f"SELECT node, {k} AS depth FROM l{k}" for k in range(depth + 1))
     return ", ".join(out) + f", reached AS ({union})"
+
+_SEARCHED = "q x qt ti base extra raw ranked sparse v dscored dranked dense up routed rw act hits concepts cw ct held cm r s p o scored fused".split()
+
+
+def again(text: str, suffix: str = "2") -> str:
+    """The tables of FUSED behind its queries once more, under other names, for the queries of q<suffix>."""
+    tail = text.split(QUERIES + ",\n", 1)[1]
+    return re.sub(r"(?<![\w\\'])(" + "|".join(_SEARCHED) + r")(?![\w'])", lambda m: m[1] + suffix, tail)
+
+
+def checked(claims: str, out: str = "checked") -> str:
+    """Tables that verify the claims (answer_id, claim_no, passage_number, text, claim) of the table ``claims``."""
+    return rf"""k AS (SELECT answer_id, claim_no, passage_number, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, list_filter({tokens('claim', True)}, lambda w: length(w) > 2) AS toks FROM {claims}),
+sen AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(text, '([.!?\n])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 10) AS sentences FROM k),
+sco AS (SELECT *, list_transform(sentences, lambda x: CASE WHEN len(toks) = 0 THEN 1.0 ELSE len(list_filter(toks, lambda w: contains(lower(x), w)))::DOUBLE / len(toks) END) AS scores FROM sen),
+ver AS (SELECT answer_id, claim_no, passage_number, text, toks, coalesce(list_max(scores), 0.0) AS best, sentences[list_position(scores, list_max(scores))] AS sentence FROM sco),
+{out} AS (SELECT answer_id, claim_no, passage_number, text IS NOT NULL AS given, CASE WHEN text IS NULL THEN false ELSE len(toks) = 0 OR len(list_filter(toks, lambda w: contains(lower(text), w)))::DOUBLE / greatest(len(toks), 1) >= 0.30 OR best >= 0.25 END AS is_grounded,
+  coalesce(trim(regexp_replace(regexp_replace(CASE WHEN best > 0 THEN sentence ELSE left(text, 200) END, '^\s+|\s+$', '', 'g'), '^(?:[-*•]|\d+\.)\s+', ''), '"' || chr(39)), '') AS evidence FROM ver),
+ground AS (SELECT answer_id, round(avg(is_grounded::INT), 2)::DOUBLE AS groundedness, count(*) AS n_claims FROM {out} GROUP BY answer_id)"""
