@@ -287,6 +287,8 @@ def test_media(docs, empty):
         want[r[0], len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:])] += 1
     assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
     assert all(r.media_bytes == r.payload_bytes + 44 and r.pairs for r in got)
+    told = Counter((r.doc_id, r.feature) for r in media.features(media.stored(docs), as_text=True).collect())
+    assert told == Counter((r.doc_id, ",".join(":".join(map(str, p)) for p in r.pairs)) for r in got)
     long_ = next(r for r in got if r.doc_id == 14)
     assert [p.t for p in long_.pairs] == sorted(p.t for p in long_.pairs)
     tone = (128 + 100 * np.sin(2 * np.pi * 32 * np.arange(256 * 16) / 256)).astype(np.uint8).tobytes()

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,8 @@ FRAME, HOP, PEAKS, FAN, ZONE, FLOOR = 256, 64, 4, 4, 16, 0.05
 _HANN = np.hanning(FRAME + 1)[:-1].astype(np.float32)
 PAIR = pa.struct([("t", pa.int32()), ("f1", pa.int32()), ("f2", pa.int32()), ("dt", pa.int32())])
 STORED = "doc_id long, n_bytes long, media binary"
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pairs array<struct<t:int,f1:int,f2:int,dt:int>>"
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+PAIRS = "pairs array<struct<t:int,f1:int,f2:int,dt:int>>"
 
 
 def to_wav(data: bytes, unit: int = UNIT, pad: bytes = b" ") -> bytes:
@@ -104,7 +106,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([ids, pa.array([len(x) for x in texts], pa.int64()), pa.array([to_wav(x) for x in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j in text_slices(batch.column(2)):
             part = batch.slice(i, j - i)
@@ -112,8 +114,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             payloads = [from_wav(x) for x in media]
             prints = [fingerprint(x) for x in payloads]
             flat = np.concatenate(prints).astype(np.int32)
-            pairs = pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(4)], fields=list(PAIR))
             offsets = pa.array(np.cumsum([0] + [len(x) for x in prints]), pa.int32())
+            if as_text:
+                pairs = pc.binary_join_element_wise(*[pc.cast(pa.array(flat[:, k]), pa.string()) for k in range(4)], ":")
+                found = pc.binary_join(pa.ListArray.from_arrays(offsets, pairs), ",")
+            else:
+                found = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(4)], fields=list(PAIR)))
             yield pa.record_batch(
                 [
                     part.column(0),
@@ -123,9 +129,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([zlib.crc32(x[-16:]) for x in payloads], pa.int64()),
                     pa.array([len(x) for x in media], pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in media]),
-                    pa.ListArray.from_arrays(offsets, pairs),
+                    found,
                 ],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "pairs"],
+                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature" if as_text else "pairs"],
             )
 
 
@@ -134,11 +140,7 @@ def stored(docs: DataFrame) -> DataFrame:
     return written(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_store, STORED))
 
 
-def features(media: DataFrame) -> DataFrame:
-    """Features of stored media, from the bytes read back."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_features, FEATURES)
-
-
-def feature_text(pairs):
-    """The pairs as text: t:f1:f2:dt, comma-joined."""
-    return F.array_join(F.transform(pairs, lambda p: F.concat_ws(":", p["t"], p["f1"], p["f2"], p["dt"])), ",")
+def features(media: DataFrame, as_text: bool = False) -> DataFrame:
+    """Features of stored media, from the bytes read back; as_text: the pairs as ``feature``, t:f1:f2:dt, comma-joined."""
+    rows = media.select("doc_id", "n_bytes", "media")
+    return rows.mapInArrow(lambda batches: _features(batches, as_text), f"{FEATURES}, " + ("feature string" if as_text else PAIRS))

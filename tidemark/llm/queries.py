@@ -58,8 +58,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media.features(media.stored(documents(spark, sf_dir)))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", media.feature_text("pairs").alias("feature"))
+    return media.features(media.stored(documents(spark, sf_dir)), as_text=True)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
