@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ TWINS = ORDINALS | {v: k for k, v in ORDINALS.items()}
 HONORIFICS = "mr mrs ms miss dr prof professor advisor lead director dept department".split()
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, where a lambda inside would compute it again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Lower-case ASCII words of two characters or more; words with other letters are dropped."""
     split = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+")

@@ -90,8 +90,7 @@ def cited(markers: DataFrame, checked: DataFrame) -> DataFrame:
     """
     words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\w\s]", " "), r"\s+"), lambda w: F.length(w) > 2)
     pairs = markers.join(checked.select("answer_id", "passage_number", "claim_no", "claim"), ["answer_id", "passage_number"])
-    pairs = pairs.withColumn("_said", words(F.col("said")))
-    shared = F.size(F.filter(words(F.coalesce("claim", F.lit(""))), lambda w: F.array_contains("_said", w)))
+    shared = T.let(words(F.col("said")), lambda a: F.size(F.filter(words(F.coalesce("claim", F.lit(""))), lambda w: F.array_contains(a, w))))
     own = F.when((shared == 0) & (F.col("claim_no") == F.col("occurrence")), 1).otherwise(0)
     best = pairs.groupBy("answer_id", "occurrence", "passage_number").agg(F.max(F.struct(shared.alias("n"), own.alias("own"), (-F.col("claim_no")).alias("back"))).alias("b"))
     return best.select("answer_id", "occurrence", "passage_number", (-F.col("b.back")).alias("claim_no"))

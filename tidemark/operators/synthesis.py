@@ -114,9 +114,8 @@ def graded(answers: DataFrame) -> DataFrame:
     """Critic of (query_id, query, passages text, top_score): coverage, confidence, should_retry, missing."""
     asked = T.tokens(F.col("query"), drop_stopwords=True)
     held = T.tokens(F.col("passages"), drop_stopwords=True)
-    rows = answers.withColumns({"asked": asked, "held": F.array_distinct(held)})
-    missing = F.filter("asked", lambda w: ~F.array_contains("held", w))
-    rows = rows.withColumn("missing", missing)
+    lacks = T.let(F.struct(asked.alias("asked"), F.array_distinct(held).alias("held")), lambda x: F.struct(x["asked"].alias("asked"), F.filter(x["asked"], lambda w: ~F.array_contains(x["held"], w)).alias("missing")))
+    rows = answers.withColumn("lacks", lacks).withColumns({"asked": F.col("lacks.asked"), "missing": F.col("lacks.missing")})
     rows = rows.withColumn("coverage", F.round((F.size("asked") - F.size("missing")) / F.greatest(F.size("asked"), F.lit(1)), 6))
     key = F.filter("missing", lambda w: ~w.isin(INQUIRY) & (F.length(w) > 2))
     c = F.col("coverage")
@@ -164,13 +163,14 @@ def verified(claimed: DataFrame, passages: DataFrame) -> DataFrame:
     rows = claimed.join(passages, ["answer_id", "passage_number"], "left").withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
     rows = rows.withColumn("toks", F.filter(T.tokens(F.col("claim"), drop_stopwords=True), lambda w: F.length(w) > 2))
     n = F.greatest(F.size("toks"), F.lit(1))
-    share = lambda low: F.when(F.size("toks") == 0, 1.0).otherwise(F.size(F.filter("toks", lambda w: F.contains(low, w))) / n)
+    held = lambda said: T.let(F.lower(said), lambda low: F.size(F.filter("toks", lambda w: F.contains(low, w))))
+    share = lambda said: F.when(F.size("toks") == 0, 1.0).otherwise(held(said) / n)
     sentences = F.filter(F.transform(F.split("text", r"(?<=[.!?\n])\s+"), lambda s: F.btrim(s)), lambda s: F.length(s) > 10)
     rows = rows.withColumn("sentences", sentences)
-    scored = F.transform("sentences", lambda s, i: F.struct(share(F.lower(s)).alias("score"), (-i).alias("back")))
+    scored = F.transform("sentences", lambda s, i: F.struct(share(s).alias("score"), (-i).alias("back")))
     rows = rows.withColumn("best", F.array_max(scored))
     score = F.coalesce(F.col("best.score"), F.lit(0.0))
-    rows = rows.withColumn("is_grounded", F.when(F.col("text").isNull(), False).otherwise((F.size("toks") == 0) | (share(F.lower("text")) >= IN_PASSAGE) | (score >= IN_SENTENCE)))
+    rows = rows.withColumn("is_grounded", F.when(F.col("text").isNull(), False).otherwise((F.size("toks") == 0) | (share(F.col("text")) >= IN_PASSAGE) | (score >= IN_SENTENCE)))
     quote = F.when(score > 0, F.get("sentences", -F.col("best.back"))).otherwise(F.left("text", F.lit(200)))
     quote = F.btrim(F.regexp_replace(F.regexp_replace(quote, r"^\s+|\s+$", ""), r"^(?:[-*•]|\d+\.)\s+", ""), F.lit("\"'"))
     rows = rows.withColumn("evidence", F.coalesce(quote, F.lit("")))
@@ -193,12 +193,13 @@ def windows(hits: DataFrame, size: int = 4) -> DataFrame:
     is tokenised once and reduced to the query's words.
     """
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(" \t\n\r"))), lambda x: F.length(x) > 3)
-    rows = hits.withColumns({"_asked": F.array_distinct(T.tokens(F.col("query"), drop_stopwords=True)), "_lines": lines}).where(F.size("_lines") > 0)
-    rows = rows.withColumn("_held", F.transform("_lines", lambda x: F.array_intersect("_asked", T.tokens(x, drop_stopwords=True))))
+    asked = F.array_distinct(T.tokens(F.col("query"), drop_stopwords=True))
+    rows = hits.withColumn("_lines", lines).where(F.size("_lines") > 0)
+    rows = rows.withColumn("_held", T.let(asked, lambda a: F.transform("_lines", lambda x: F.array_intersect(a, T.tokens(x, drop_stopwords=True)))))
     score = lambda i: F.size(F.array_distinct(F.flatten(F.slice("_held", i + 1, size))))
     scored = F.transform("_held", lambda _, i: F.struct(score(i).alias("score"), (-i).alias("back")))
     rows = rows.withColumn("_best", F.array_max(scored)).withColumn("start", -F.col("_best")["back"])
-    return rows.withColumns({"score": F.col("_best")["score"], "excerpt": F.array_join(F.slice("_lines", F.col("start") + 1, F.lit(size)), "\n")}).drop("_asked", "_lines", "_held", "_best")
+    return rows.withColumns({"score": F.col("_best")["score"], "excerpt": F.array_join(F.slice("_lines", F.col("start") + 1, F.lit(size)), "\n")}).drop("_lines", "_held", "_best")
 
 
 def names_entity(text: Column, entity: Column) -> Column:
