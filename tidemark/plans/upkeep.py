@@ -311,9 +311,11 @@ def small_talk_answer(spark, d):
     return S.table(spark, d, "conversations").select("conv_id", "turn", F.when(said == synthesis.GREETED, "greeted").otherwise(said).alias("answer"))
 
 
-@query("""SELECT o_orderkey AS answer_id, 'customer ' || o_custkey AS entity, 1 AS place FROM orders UNION ALL SELECT o_orderkey, 'order ' || o_orderkey, 2 FROM orders""")
+@query("""WITH k AS (SELECT *, CASE WHEN length(o_custkey::VARCHAR) >= 4 AND contains(o_orderkey::VARCHAR, o_custkey::VARCHAR) THEN 2 ELSE 1 END AS at_place FROM orders)
+SELECT o_orderkey AS answer_id, 'customer ' || o_custkey AS entity, at_place AS place FROM k UNION ALL SELECT o_orderkey, 'order ' || o_orderkey, 3 - at_place FROM k""")
 def hop_entities(spark, d):
-    """A customer whom only the query names comes before the order that the answer names and the graph has."""
+    """A customer whom only the query names comes before the order that the answer names and the graph has; where the order's digits
+    hold those of the customer, four at least, the answer names both and the graph's entity comes first."""
     o, c = F.concat(F.lit("order "), F.col("o_orderkey").cast("string")), F.concat(F.lit("customer "), F.col("o_custkey").cast("string"))
     rows = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("answer_id"), o.alias("o"), c.alias("c"))
     hops = rows.select("answer_id", F.lit(1).alias("seq"), F.col("c").alias("from_node"), F.col("o").alias("to_node"))
