@@ -68,6 +68,12 @@ def emitted(w: Column) -> Column:
     return F.array_compact(F.array(w, F.nullif(stem(w), w), twin(w)))
 
 
+def token_rows(words: DataFrame) -> DataFrame:
+    """The rows of :func:`word_rows`, one for each token of their word, as term; the same tokens as :func:`emitted`, in compiled code."""
+    w = F.col("word")
+    return words.withColumn("term", F.explode(F.array(w, F.nullif(stem(w), w), twin(w)))).where("term is not null")
+
+
 def tokens(text: Column, drop_stopwords: bool = False) -> Column:
     """Each word, then its stem if different, then its ordinal twin."""
     base = words(text)

@@ -28,8 +28,7 @@ class Index:
 def postings(chunks: DataFrame) -> DataFrame:
     """(conversation_id, chunk_id, term, tf, content); counts combine before the shuffle."""
     words = T.word_rows(chunks, ["conversation_id", "chunk_id"], "text").withColumn("content", ~F.col("word").isin(T.STOPWORDS))
-    rows = words.select("conversation_id", "chunk_id", "content", F.explode(T.emitted(F.col("word"))).alias("term"))
-    return rows.groupBy("conversation_id", "chunk_id", "term").agg(F.count("*").alias("tf"), F.max("content").alias("content"))
+    return T.token_rows(words).groupBy("conversation_id", "chunk_id", "term").agg(F.count("*").alias("tf"), F.max("content").alias("content"))
 
 
 def doc_stats(chunks: DataFrame, post: DataFrame) -> DataFrame:
@@ -103,7 +102,7 @@ def stub_vectors(chunks: DataFrame, size: int = 384) -> DataFrame:
     """(chunk_id, slot, value): unit vectors of hashed words in sparse form, in place of an embedding model."""
     slot = (F.conv(F.left(F.md5("word"), F.lit(8)), 16, 10).cast("long") % size).cast("int")
     words = T.word_rows(chunks, ["chunk_id"], "text")
-    counts = words.select("chunk_id", F.explode(T.emitted(F.col("word"))).alias("word")).groupBy("chunk_id", slot.alias("slot")).agg(F.count("*").alias("n"))
+    counts = T.token_rows(words).select("chunk_id", F.col("term").alias("word")).groupBy("chunk_id", slot.alias("slot")).agg(F.count("*").alias("n"))
     norms = counts.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     return counts.join(norms, "chunk_id").select("chunk_id", "slot", (F.col("n") / F.col("norm")).alias("value"))
 
