@@ -70,7 +70,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Memo:
     """Numbers of each word (ids), laid end to end; a word is computed once while there is room.
 
-    ``compute`` gives the numbers of a list of new words. Words beyond ``size``, and words of over ``longest``
+    ``compute`` gives the numbers of a list of new words: a list each, or all end to end and their counts. Words beyond ``size``, and words of over ``longest``
     characters, are computed again when they come again, so the bounds cost time only.
     """
 
@@ -86,8 +86,11 @@ class Memo:
         starts, lengths, flat = self.starts[slots], self.lengths[slots], self.flat
         if len(new):
             found = self.compute([words[k] for k in new.tolist()])
-            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            extra = np.fromiter((x for ids in found for x in ids), dtype=np.uint32, count=int(sizes.sum()))
+            if isinstance(found, tuple):
+                extra, sizes = found[0].astype(np.uint32), found[1]
+            else:
+                sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+                extra = np.fromiter((x for ids in found for x in ids), dtype=np.uint32, count=int(sizes.sum()))
             at = np.cumsum(sizes) - sizes
             fresh = [words[k] for k in new.tolist()]
             short = np.fromiter(map(len, fresh), dtype=np.int64, count=len(fresh)) <= self.longest
