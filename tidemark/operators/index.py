@@ -56,28 +56,6 @@ def built(chunks: DataFrame) -> Index:
     return Index(post, stats, corpus, written(idf(post, corpus)))
 
 
-def updated(index: Index, new: DataFrame, gone: DataFrame) -> Index:
-    """The index after new chunks (conversation_id, chunk_id, text) came and the chunks (chunk_id) of ``gone`` went.
-
-    Only new texts are tokenised; a new chunk takes the place of an old one with its id.
-    """
-    out = gone.select("chunk_id").union(new.select("chunk_id")).distinct()
-    post = written(index.postings.join(out, "chunk_id", "left_anti").unionByName(postings(new)))
-    stats = written(index.stats.join(out, "chunk_id", "left_anti").unionByName(doc_stats(new, postings(new))))
-    corpus = written(corpus_stats(stats))
-    return Index(post, stats, corpus, written(idf(post, corpus)))
-
-
-def reindexed(index: Index, chunks: DataFrame) -> Index:
-    """The index after the conversations of ``chunks`` were cleared and their chunks indexed anew; others stay as they are."""
-    out = chunks.select("conversation_id").distinct()
-    fresh = written(postings(chunks))
-    post = written(without_conversations(index.postings, out).unionByName(fresh))
-    stats = written(without_conversations(index.stats, out).unionByName(doc_stats(chunks, fresh)))
-    corpus = written(corpus_stats(stats))
-    return Index(post, stats, corpus, written(idf(post, corpus)))
-
-
 def add_new(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old chunks and those new ones whose id is not there yet."""
     return old.unionByName(new.join(old.select("chunk_id"), "chunk_id", "left_anti"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.plans.lineage import written
 
-from . import chunk, index, session
+from . import chunk, segments, session
 
 
 def decoded(raw: Column) -> Column:
@@ -83,8 +83,10 @@ def capped(text: Column, most: int = MOST_BYTES) -> Column:
     return F.when(F.octet_length(raw) > most, F.make_valid_utf8(F.substring(raw, 1, most).cast("string"))).otherwise(text)
 
 
-def extracted(files: DataFrame, extractors: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Files (file_id, conversation_id, filename, file_type, content) with extracted_text, status and extraction_error.
+def extracted(files: DataFrame, extractors: dict[str, Callable[[DataFrame], DataFrame]], most: int | None = MOST_BYTES) -> DataFrame:
+    """Files (file_id, conversation_id, filename, file_type, content) with extracted_text, status, extraction_error and is_cut.
+
+    A text of over ``most`` bytes is cut there, which is_cut tells; with None, texts stay whole.
 
     extractors: for each kind a function from (file_id, filename, content) to (file_id, text, error). The kinds are pdf, docx
     and text for documents, by their suffix, and image, audio and video; other types count as documents. A file ends as
@@ -102,7 +104,9 @@ def extracted(files: DataFrame, extractors: dict[str, Callable[[DataFrame], Data
     error = F.when(F.col("_got").isNull(), F.concat(F.lit("no extractor for "), "_kind")).otherwise(F.col("error"))
     got = got.withColumn("extraction_error", F.concat(F.lit("Extraction failed: "), error))
     failed = F.col("extraction_error").isNotNull()
-    return got.select(*files.columns, F.when(~failed, capped(F.coalesce("text", F.lit("")))).alias("extracted_text"), F.when(failed, "failed").otherwise("done").alias("status"), "extraction_error")
+    text = F.coalesce("text", F.lit(""))
+    long_ = F.lit(False) if most is None else ~failed & (F.octet_length(text) > most)
+    return got.select(*files.columns, F.when(~failed, text if most is None else capped(text, most)).alias("extracted_text"), F.when(failed, "failed").otherwise("done").alias("status"), "extraction_error", long_.alias("is_cut"))
 
 
 def plain_texts(rows: DataFrame) -> DataFrame:
@@ -110,17 +114,18 @@ def plain_texts(rows: DataFrame) -> DataFrame:
     return rows.select("file_id", decoded(F.col("content")).alias("text"), F.lit(None).cast("string").alias("error"))
 
 
-def ingested(files: DataFrame, extractors: dict[str, Callable[[DataFrame], DataFrame]], old: index.Index | None = None) -> tuple[DataFrame, DataFrame, index.Index]:
+def ingested(files: DataFrame, extractors: dict[str, Callable[[DataFrame], DataFrame]], path: str, most: int | None = MOST_BYTES) -> tuple[DataFrame, DataFrame, segments.Lexicon]:
     """(files with status and text, chunks, index): extraction, chunking and the lexical index of new files in one flow.
 
-    old: the index they come to; chunks of the same files in it are replaced.
+    The index under the path is made or changed; chunks of the same files in it are replaced.
     """
-    done = written(extracted(session.validated(files).where("valid").drop("valid", "error"), extractors))
+    done = written(extracted(session.validated(files).where("valid").drop("valid", "error"), extractors, most))
     parts = chunk.chunked(done.where("status = 'done'").select("file_id", "filename", F.col("extracted_text").alias("text")))
     owner = done.select("file_id", "conversation_id", "filename", "file_type")
     parts = written(parts.join(owner, "file_id"))
     rows = parts.select("conversation_id", "chunk_id", "text")
-    return done, parts, index.built(rows) if old is None else index.updated(old, rows, rows.select("chunk_id"))
+    spark = files.sparkSession
+    return done, parts, segments.changed(segments.opened(spark, path), rows) if segments.versions(spark, path) else segments.created(rows, path)
 
 
 def keyframes(duration: Column, step: int = 12, most: int = 6) -> Column:

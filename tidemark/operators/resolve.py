@@ -12,7 +12,7 @@ from tidemark.functions import text as T
 from tidemark.plans.lineage import cut
 
 from . import graph
-from .extract import clean_mention, relation_name
+from .extract import clean_mention
 
 # Relations whose target is a role of their source.
 ROLES = "HAS_ROLE HAS_TITLE EMPLOYED_AS HOLDS_POSITION".split()
@@ -126,24 +126,6 @@ def lookup(mentions: DataFrame, known: DataFrame) -> DataFrame:
     return exact.unionByName(near).unionByName(late)
 
 
-def resolved(triples: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Triples (seq, source, relation, target, ...) with source_id, target_id and relation in their normal forms.
-
-    Mentions of one canonical id are one entity; an entity takes the id of the earliest one whose first form is as
-    similar as ``least``. Loops and unknown ends go. One step of similarity, so the result does not depend on
-    the order in which triples arrive, only on their seq.
-    """
-    side = lambda c, n: triples.select(F.col(c).alias("mention"), (F.col("seq") * 2 + n).alias("at"))
-    seen = side("source", 0).unionAll(side("target", 1)).withColumn("id", T.canonical_id(F.col("mention")))
-    ids = seen.where("id <> 'ENTITY_UNKNOWN'").groupBy("id").agg(F.min_by("mention", "at").alias("name"), F.min("at").alias("at"))
-    near = similar_names(ids.select(F.col("name").alias("mention")).distinct(), ids.select("name").distinct(), least)
-    a, b = ids.select(F.col("id"), F.col("name").alias("mention"), F.col("at").alias("own_at")), ids.select(F.col("id").alias("other"), "name", "at")
-    chosen = near.join(a, "mention").join(b, "name").where("at <= own_at").groupBy("id").agg(F.min_by("other", "at").alias("entity_id"))
-    ends = triples.withColumns({"_s": T.canonical_id(F.col("source")), "_t": T.canonical_id(F.col("target"))})
-    ends = ends.join(chosen.select(F.col("id").alias("_s"), F.col("entity_id").alias("source_id")), "_s").join(chosen.select(F.col("id").alias("_t"), F.col("entity_id").alias("target_id")), "_t")
-    return ends.where("source_id <> target_id").withColumn("relation", relation_name(F.col("relation"))).drop("_s", "_t")
-
-
 def healed(edges: DataFrame, prefix: str, branches: list[str], owner: str, owned: list[str]) -> DataFrame:
     """Relations repaired: OFFERED_BY of a source with ``prefix`` to a target naming one of ``branches`` (a short list,
     lower case) becomes OPEN_TO_STUDENTS_OF, unless it is the owner; each of ``owned`` that occurs gets its

@@ -35,21 +35,26 @@ def bm25_topk(queries: DataFrame, own: index.Index, limit: int = 30, of_type: Da
     file types; other chunks go after the best score is taken.
     """
     terms = query_terms(queries).join(own.idf, ["conversation_id", "term"])
-    base = terms.groupBy("query_id", "conversation_id").agg(F.sum(F.col("mult") * F.col("idf") * DELTA).alias("base"))
     dl = own.stats.join(own.corpus, "conversation_id")
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     hits = terms.join(own.postings, ["conversation_id", "term"]).join(dl, ["conversation_id", "chunk_id"])
     hits = hits.groupBy("query_id", "conversation_id", "chunk_id").agg(F.sum(F.col("mult") * F.col("idf") * weight).alias("extra"))
-    stats = own.stats if of_type is None else own.stats.join(of_type.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    first = stats.withColumn("n", F.row_number().over(Window.partitionBy("conversation_id").orderBy("chunk_id"))).where(F.col("n") <= limit)
+    return ranked(terms, hits, own.stats, limit, of_type)
+
+
+def ranked(terms: DataFrame, hits: DataFrame, stats: DataFrame, limit: int, of_type: DataFrame | None = None) -> DataFrame:
+    """The end of :func:`bm25_topk`: hits (query_id, conversation_id, chunk_id, extra), with the terms of the queries and their idf."""
+    base = terms.groupBy("query_id", "conversation_id").agg(F.sum(F.col("mult") * F.col("idf") * DELTA).alias("base"))
+    wanted = stats if of_type is None else stats.join(of_type.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    first = wanted.withColumn("n", F.row_number().over(Window.partitionBy("conversation_id").orderBy("chunk_id"))).where(F.col("n") <= limit)
     plain = base.join(first.select("conversation_id", "chunk_id"), "conversation_id").select("query_id", "conversation_id", "chunk_id", F.lit(0.0).alias("extra"))
     both = hits.unionByName(plain).groupBy("query_id", "conversation_id", "chunk_id").agg(F.max("extra").alias("extra"))
     scored = both.join(base, ["query_id", "conversation_id"]).select("query_id", "chunk_id", F.round(F.col("base") + F.col("extra"), 6).alias("bm25_raw")).where("bm25_raw > 0")
     top = scored.groupBy("query_id").agg(F.max("bm25_raw").alias("top"))
     if of_type is not None:
         scored = scored.join(of_type.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    ranked = scored.withColumn("bm25_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25_raw"), "chunk_id"))).where(F.col("bm25_rank") <= limit)
-    return ranked.join(top, "query_id").select("query_id", "chunk_id", "bm25_raw", F.round(F.col("bm25_raw") / F.col("top"), 6).alias("bm25_score"), "bm25_rank")
+    best = scored.withColumn("bm25_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25_raw"), "chunk_id"))).where(F.col("bm25_rank") <= limit)
+    return best.join(top, "query_id").select("query_id", "chunk_id", "bm25_raw", F.round(F.col("bm25_raw") / F.col("top"), 6).alias("bm25_score"), "bm25_rank")
 
 
 def dense_topk(vectors: DataFrame, chunks: DataFrame, limit: int = 30, of_type: DataFrame | None = None, salts: int = 16) -> DataFrame:

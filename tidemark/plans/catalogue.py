@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import chunk, graph, index, ingest, resolve, retrieve, session, synthesis
+from tidemark.operators import chunk, graph, index, ingest, resolve, retrieve, segments, session, synthesis
 from tidemark.sources import tables as S
 
 from . import knowledge, oracle as O, passages  # noqa: F401 - the two modules register their queries
-from .lineage import written
+from .lineage import shared_base, shared_dir, written
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 
@@ -110,8 +110,14 @@ def graph_windows_plain(spark, d):
 
 # ---- index and retrieval
 
+def lexicon(spark, d):
+    """The stored index of the documents: opened if an earlier query or session left one of these very files, else built."""
+    path = f"{shared_base(spark)}/lexicon-{S.fingerprint(S.table(spark, d, 'documents'))}"
+    return segments.opened(spark, path) if segments.versions(spark, path) else segments.created(S.chunks(spark, d), path)
+
+
 def _index(spark, d):
-    return index.built(S.chunks(spark, d))
+    return lexicon(spark, d).opened()
 
 
 @query(f"WITH {O.INDEX} SELECT conversation_id, chunk_id, dl FROM stats")
@@ -126,7 +132,7 @@ def idf_table(spark, d):
 
 @query(f"WITH {O.BM25} SELECT * FROM sparse")
 def bm25_batch(spark, d):
-    return retrieve.bm25_topk(S.queries(spark, d), _index(spark, d))
+    return segments.every(S.queries(spark, d), lexicon(spark, d))
 
 
 @query(f"WITH {O.CHUNKS}, {O.QUERIES}, {O.DENSE} SELECT * FROM dense")
@@ -138,7 +144,8 @@ class Search:
     """One retrieval over the given tables: the index is built once, each ranking once, and their few rows are kept."""
 
     def __init__(self, spark, d):
-        self.spark, self.d, self.own = spark, d, _index(spark, d)
+        self.spark, self.d, self.lexicon = spark, d, lexicon(spark, d)
+        self.own = self.lexicon.opened()
         self.chunks, self.active = S.chunks(spark, d), written(S.active(spark, d))
         self.vectors = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
@@ -146,7 +153,7 @@ class Search:
         """(dense, sparse, hits) of the queries, less the chunks of files that are not active."""
         vectors = queries.select("query_id", "conversation_id").join(self.vectors, "query_id")
         dense = written(retrieve.still_active(retrieve.dense_topk(vectors, S.vectors(self.spark, self.d)), self.active))
-        sparse = written(retrieve.still_active(retrieve.bm25_topk(queries, self.own), self.active))
+        sparse = written(retrieve.still_active(segments.every(queries, self.lexicon), self.active))
         return dense, sparse, dense.select("query_id", "chunk_id").union(sparse.select("query_id", "chunk_id")).distinct()
 
     def weights(self, queries):
@@ -233,15 +240,24 @@ def dense_of_types(spark, d):
 
 @query(f"WITH {O.BM25}, top AS (SELECT query_id, max(bm25_raw) AS top FROM raw GROUP BY ALL), t AS (SELECT raw.*, row_number() OVER (PARTITION BY query_id ORDER BY bm25_raw DESC, chunk_id) AS n FROM raw JOIN chunks USING (chunk_id) WHERE bm25_raw > 0 AND file_type = 'image') SELECT query_id, chunk_id, bm25_raw, round(bm25_raw / top, 6) AS bm25_score, CAST(n AS INT) AS bm25_rank FROM t JOIN top USING (query_id) WHERE n <= 10")
 def bm25_of_types(spark, d):
-    return retrieve.bm25_topk(S.queries(spark, d), _index(spark, d), 10, S.chunks(spark, d).where("file_type = 'image'"))
+    return segments.every(S.queries(spark, d), lexicon(spark, d), 10, S.chunks(spark, d).where("file_type = 'image'"))
+
+
+@query(f"WITH {O.BM25} SELECT * FROM sparse")
+def bm25_pruned(spark, d):
+    """The same rows as bm25_batch, from the blocks that can matter alone."""
+    return segments.topk(S.queries(spark, d), lexicon(spark, d))
 
 
-@query(f"WITH {O.INDEX.replace('text FROM documents)', 'text FROM documents WHERE doc_id % 5 <> 0)')} SELECT conversation_id, term, df, round(idf, 6) AS idf FROM idf")
+@query(f"WITH {O.INDEX.replace('text FROM documents)', 'text FROM documents WHERE doc_id % 5 <> 0)')}, s AS (SELECT conversation_id, term, CAST(sum(tf) AS BIGINT) AS tf, CAST(sum(dl) AS BIGINT) AS dl FROM post JOIN stats USING (conversation_id, chunk_id) GROUP BY ALL) SELECT conversation_id, term, df, round(idf, 6) AS idf, tf, dl, round(avgdl, 6) AS avgdl FROM idf JOIN s USING (conversation_id, term) JOIN corpus USING (conversation_id)")
 def index_updated(spark, d):
-    """A stored index of three fifths of the chunks, after two more came, one fifth was written again, and one was removed."""
-    rows, k = S.chunks(spark, d), F.col("chunk_id") % 5
-    own = index.updated(index.built(rows.where(k.isin(0, 1, 2))), rows.where(k.isin(2, 3, 4)), rows.where(k == 0))
-    return own.idf.select("conversation_id", "term", "df", F.round("idf", 6).alias("idf"))
+    """A stored index of three fifths of the chunks, after two more came, one fifth was written again, and one was removed; opened anew."""
+    rows, k, path = S.chunks(spark, d), F.col("chunk_id") % 5, shared_dir(spark, "lexicon")
+    segments.created(rows.where(k.isin(0, 1, 2)), path)
+    segments.changed(segments.opened(spark, path), rows.where(k.isin(2, 3, 4)), rows.where(k == 0))
+    own = segments.opened(spark, path).opened()
+    held = own.postings.join(own.stats.drop("conversation_id"), "chunk_id").groupBy("conversation_id", "term").agg(F.sum("tf").alias("tf"), F.sum("dl").alias("dl"))
+    return own.idf.join(held, ["conversation_id", "term"]).join(own.corpus, "conversation_id").select("conversation_id", "term", "df", F.round("idf", 6).alias("idf"), "tf", "dl", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query("SELECT source AS conversation_id, (['document','image','audio','video'])[doc_id % 4 + 1] AS file_type, count(*) AS n FROM documents GROUP BY ALL")

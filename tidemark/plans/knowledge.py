@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import extract, graph, resolve
+from tidemark.operators import extract, graph, registry, resolve
 from tidemark.sources import tables as S
 
 from . import oracle as O
@@ -178,16 +178,25 @@ def resolve_entity_tiers(spark, d):
     return resolve.lookup(part.select(mention.alias("mention")), known)
 
 
-@query(f"""WITH t AS (SELECT p_partkey AS seq, CASE p_partkey % 3 WHEN 0 THEN p_name || 's' WHEN 1 THEN upper(p_name) ELSE p_name END AS source, split_part(p_name, ' ', 2) AS target FROM part),
-seen AS (SELECT source AS mention, seq * 2 AS pos FROM t UNION ALL SELECT target, seq * 2 + 1 FROM t), c AS (SELECT 'ENTITY_' || upper(replace(mention, ' ', '_')) AS id, mention, pos FROM seen),
-ids AS (SELECT id, arg_min(mention, pos) AS name, min(pos) AS pos FROM c GROUP BY id),
-chosen AS (SELECT a.id, arg_min(b.id, b.pos) AS entity FROM ids a JOIN ids b ON b.pos <= a.pos AND {_SIM.format(a='a.name', b='b.name')} >= 0.88 GROUP BY a.id)
-SELECT seq, s.entity AS source_id, 'MADE_AS' AS relation, g.entity AS target_id FROM t JOIN chosen s ON s.id = 'ENTITY_' || upper(replace(source, ' ', '_')) JOIN chosen g ON g.id = 'ENTITY_' || upper(replace(target, ' ', '_')) WHERE s.entity <> g.entity""")
+_OWN_ID = "('ENTITY_' || upper(replace({c}, ' ', '_')))"
+# the first name of the list that a mention is like: without regard to case, similar, or of the same words
+_LIKE = "(lower({c}) = lower(x) OR (length({c}) >= 4 AND length(x) >= 4 AND 1 - levenshtein(lower({c}), lower(x)) / greatest(length({c}), length(x)) >= 0.88) OR list_sort(list_distinct(string_split(lower({c}), ' '))) = list_sort(list_distinct(string_split(lower(x), ' '))))"
+_TOLD = f"CASE WHEN list_contains(ids, {_OWN_ID}) THEN {_OWN_ID} ELSE coalesce(ids[list_position(list_transform(names, lambda x: {_LIKE}), true)], {_OWN_ID}) END"
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT p_partkey AS seq, CASE p_partkey % 3 WHEN 0 THEN p_name || 's' WHEN 1 THEN upper(p_name) ELSE p_name END AS source, split_part(p_name, ' ', 2) AS target FROM part),
+n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY seq) AS i FROM t),
+r AS (SELECT 0::BIGINT AS i, 0::BIGINT AS seq, []::VARCHAR[] AS ids, []::VARCHAR[] AS names, '' AS source_id, '' AS target_id
+  UNION ALL SELECT i, seq, CASE WHEN t_new THEN list_append(ids, target_id) ELSE ids END, CASE WHEN t_new THEN list_append(names, target) ELSE names END, source_id, target_id
+  FROM (SELECT i, seq, target, source_id, target_id, source_id <> target_id AND NOT list_contains(ids, target_id) AS t_new, CASE WHEN s_new THEN list_append(ids, source_id) ELSE ids END AS ids, CASE WHEN s_new THEN list_append(names, source) ELSE names END AS names
+    FROM (SELECT *, source_id <> target_id AND NOT list_contains(ids, source_id) AS s_new FROM (SELECT n.i, n.seq, ids, names, source, target, {_TOLD.format(c='source')} AS source_id, {_TOLD.format(c='target')} AS target_id FROM r JOIN n ON n.i = r.i + 1))))
+SELECT seq, source_id, 'MADE_AS' AS relation, target_id FROM r WHERE i > 0 AND source_id <> target_id""")
 def resolve_triples(spark, d):
+    """Parts as triples told one after another to the running registry; the twin tells them in a recursion."""
     name, key = F.col("p_name"), F.col("p_partkey")
     source = F.when(key % 3 == 0, F.concat(name, F.lit("s"))).when(key % 3 == 1, F.upper(name)).otherwise(name)
     rows = S.table(spark, d, "part").select(key.alias("seq"), source.alias("source"), F.lit("made-as").alias("relation"), F.split_part(name, F.lit(" "), F.lit(2)).alias("target"))
-    return resolve.resolved(rows).select("seq", "source_id", "relation", "target_id")
+    return registry.registered(rows)[0].select("seq", "source_id", "relation", "target_id")
 
 
 @query(f"""WITH {O.EDGES}, p AS (SELECT o_orderkey AS chain_id, 1 AS hop_no, 'O:' || o_orderkey AS source, 'C:' || o_custkey AS target FROM orders

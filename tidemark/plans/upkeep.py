@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import answer, chunk, extract, graph, index, ingest, resolve, session, synthesis
+from tidemark.operators import answer, chunk, extract, graph, ingest, resolve, segments, session, synthesis
 from tidemark.sources import tables as S
 
 from . import catalogue as C, knowledge as K, oracle as O
@@ -180,13 +180,14 @@ def _ingested(spark, d):
         segments = rows.select("file_id", F.lit(5).alias("start"), F.lit(75).alias("end"), F.regexp_replace(said, r"^[ \n]+$", "").alias("text"))
         return ingest.transcripts(rows.select("file_id", "filename", F.lit("en").alias("language"), F.lit(75.4).alias("seconds")), segments).withColumn("error", none)
 
-    return ingest.ingested(files, {"text": ingest.plain_texts, "image": image, "audio": audio})
+    return ingest.ingested(files, {"text": ingest.plain_texts, "image": image, "audio": audio}, shared_dir(spark, "lexicon"))
 
 
 @query("SELECT source AS conversation_id, count(*) AS n FROM documents WHERE doc_id % 5 IN (1, 2) OR doc_id % 5 = 0 AND trim(coalesce(text, ''), ' ' || chr(10) || chr(9) || chr(13)) <> '' GROUP BY source")
 def ingest_indexed(spark, d):
     """The files of each conversation that the ingest flow's index holds."""
-    _, parts, own = _ingested(spark, d)
+    _, parts, stored = _ingested(spark, d)
+    own = stored.opened()
     held = own.stats.select("chunk_id").distinct()
     return parts.join(held, "chunk_id", "left_semi").groupBy("conversation_id").agg(F.countDistinct("file_id").alias("n"))
 
@@ -361,12 +362,17 @@ def file_results(spark, d):
     return session.with_results(files, results)
 
 
-@query(f"WITH {O.INDEX} SELECT conversation_id, term, df, round(idf, 6) AS idf FROM idf")
+@query(f"WITH {O.INDEX}, s AS (SELECT chunk_id, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS tf FROM post GROUP BY ALL), i AS (SELECT conversation_id, round(sum(idf), 4) AS all_idf, CAST(sum(df) AS BIGINT) AS all_df FROM idf GROUP BY ALL) SELECT conversation_id, chunk_id, dl, round(avgdl, 6) AS avgdl, coalesce(n_terms, 0) AS n_terms, coalesce(tf, 0) AS tf, all_idf, all_df FROM stats JOIN corpus USING (conversation_id) LEFT JOIN s USING (chunk_id) LEFT JOIN i USING (conversation_id)")
 def index_rebuilt(spark, d):
-    """An index of half of the chunks, after all conversations were indexed anew."""
-    rows = S.chunks(spark, d)
-    own = index.reindexed(index.built(rows.where("chunk_id % 2 = 0")), rows)
-    return own.idf.select("conversation_id", "term", "df", F.round("idf", 6).alias("idf"))
+    """An index of half of the chunks, after all conversations were indexed anew, opened by its path: lengths, averages, postings and sums."""
+    rows, path = S.chunks(spark, d), shared_dir(spark, "lexicon")
+    segments.recast(segments.created(rows.where("chunk_id % 2 = 0"), path), rows)
+    own = segments.opened(spark, path).opened()
+    post = own.postings.groupBy("chunk_id").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("tf"))
+    sums = own.idf.groupBy("conversation_id").agg(F.round(F.sum("idf"), 4).alias("all_idf"), F.sum("df").alias("all_df"))
+    rows = own.stats.join(own.corpus, "conversation_id").join(post, "chunk_id", "left").join(sums, "conversation_id", "left")
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return rows.select("conversation_id", "chunk_id", "dl", F.round("avgdl", 6).alias("avgdl"), none("n_terms"), none("tf"), "all_idf", "all_df")
 
 
 @query("SELECT o_custkey AS query_id, min(o_orderkey) AS hop_no, o_orderstatus AS relation FROM orders GROUP BY o_custkey, o_orderstatus")
