@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_automaton, hard_negatives, turn_repair
+from tidemark.llm import bpe_automaton, hard_negatives, toxicity, turn_repair
 from tidemark.llm import queries as Q
 
 WORD = re.compile(r"[^\x20\x09-\x0D]")
@@ -256,3 +256,24 @@ def test_search_stops_before_it_has_met_all_rows():
     assert [(-int(s), int(i)) for i, s in zip(ids, scores)] == full and sum(read) < 1500
     huge = hard_negatives.Block({"size": 2, "ids": np.array([1, 2]).tobytes(), "vectors": b"d" + np.array([[2.0**40], [2.0**40 + 1]]).tobytes(), "lists": np.array([[1, 0]], np.uint16).tobytes()})
     assert huge.scores(np.array([0, 1]), np.array([2.0**40])).tolist() == [2**80, 2**80 + 2**40] and hard_negatives._clipped(2**80) == 2**63 - 1
+
+
+def test_toxicity_finds_held_out_rows(spark):
+    """One offending word in a long text of plain ones, of which some are rare; held-out rows only count."""
+    rng = random.Random(12)
+    stock = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(3000)]
+    bad = ["zorx", "quavk", "wuzzy", "vexxit"]
+    rows, marks = [], []
+    for i in range(1500):
+        words = rng.choices(stock, k=rng.randrange(30, 300))
+        toxic = int(rng.random() < 0.15)
+        for _ in range(toxic * rng.randrange(1, 3)):
+            words.insert(rng.randrange(len(words)), rng.choice(bad))
+        rows.append((i, "".join(w + (". " if k % 14 == 13 else " ") for k, w in enumerate(words))))
+        marks.append((i, toxic))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, Q.fold(5) != 0)
+    truth = dict(marks)
+    got = [(truth[r.doc_id], r.predicted) for r in toxicity.score(docs.where(Q.fold(5) == 0), model).collect()]
+    hits = sum(a and b for a, b in got)
+    assert hits >= 0.9 * sum(a for a, _ in got) and hits >= 0.9 * sum(b for _, b in got)

@@ -177,7 +177,7 @@ def test_scores_by_plain_sums(models):
             if words:
                 z = weights.bias + sum(float(weights.weights[b]) for w in words for b in toxicity.word_bins(w))
                 miss *= 1 - 1 / (1 + math.exp(-z))
-        assert abs(weights.score(pa.array([text]))[0][0] - (1 - miss)) < 1e-6
+        assert abs(weights.score(pa.array([text]))[0][0] - weights.placed(1 - miss)) < 1e-6
 
 
 def test_added_spans_of_planted_texts(spark):
