@@ -87,18 +87,52 @@ def named_hops(hops: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.withColumns({**filled, **{f"{p}_type": F.coalesce(f"{p}_type", F.lit(STORED_TYPE)) for p in ("from", "to")}})
 
 
-def first_hops(hops: DataFrame, most: int, target_filename: str | None = None) -> DataFrame:
-    """The first ``most`` hops by (depth, seq, source, target), with hop_no; those of a target file, in its order, before the others."""
-    own = F.lit(0) if target_filename is None else F.when(F.lower("filename") == target_filename.lower(), 0).otherwise(1)
-    order = ["_own", "depth", "seq", "source", "target"]
-    first = hops.withColumn("_own", own).orderBy(*order).limit(most)
-    return first.withColumn("hop_no", F.row_number().over(Window.orderBy(*order))).drop("_own")  # ``most`` rows
+def searched(edges: DataFrame, seeds: list[str], depth: int = 3, most: int = 25, target_filename: str | None = None) -> DataFrame:
+    """(hop_no, level, seq, source, relation, target): the hops in the order in which a queue would walk them from the seeds.
 
-
-def around(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int = 3, most: int = 25, target_filename: str | None = None) -> DataFrame:
-    """The first ``most`` hops of the search around the seeds (node), with names and types and the columns of the edges."""
-    found = hops(edges, bfs(edges, seeds, depth), depth).join(edges, ["seq", "source", "relation", "target"])
-    return named_hops(first_hops(found, most, target_filename), nodes)
+    A node's edges come as outgoing ones by neighbour (in the order of its first edge) and seq, then incoming ones; each edge is walked from
+    the end that is visited first. The search ends with the node at which ``most`` hops are reached, and ``most`` stay, those of
+    a target file first. Nodes carry the number of their discovery. A level's first ``most`` hops are taken where they lie;
+    only if all were fewer does the search go on, so frontiers never exceed ``most`` nodes, however many edges a hub has.
+    """
+    spark = edges.sparkSession
+    pairs = edges.groupBy("source", "target").agg(F.min("seq").alias("nb"))
+    rows = edges.select("seq", "source", "relation", "target", *(["filename"] if target_filename else [])).join(pairs, ["source", "target"])
+    out = rows.select("*", F.col("source").alias("node"), F.col("target").alias("other"), F.lit(0).alias("way"))
+    both = cut(out.unionByName(rows.where("source <> target").select("*", F.col("target").alias("node"), F.col("source").alias("other"), F.lit(1).alias("way"))))
+    order = ["no", "way", "nb", "other", "seq", "relation"]
+    own = [F.when(F.lower("filename") == target_filename.lower(), 0).otherwise(1)] if target_filename else []
+    numbered = list(dict.fromkeys(seeds))
+    visited = front = spark.createDataFrame(list(zip(numbered, range(len(numbered)))), "node string, no long")
+    parts, left, last = None, most, len(numbered)
+    for level in range(depth):
+        # frontier and visited nodes are at most the seeds and ``most`` more
+        met = both.join(F.broadcast(front), "node").join(F.broadcast(visited.select(F.col("node").alias("other"), F.col("no").alias("other_no"))), "other", "left")
+        met = met.where("other_no is null or other_no >= no")
+        counts, reached = 0, None
+        for r in met.groupBy("no").agg(F.count("*").alias("n")).orderBy("no").collect():  # a row a frontier node
+            counts += r["n"]
+            if counts >= left:
+                reached = r["no"]
+                break
+        part = met if reached is None else met.where(F.col("no") <= reached)
+        part = cut(part.orderBy(*own, *order).limit(most if own else left).withColumn("level", F.lit(level)))
+        parts, left = part if parts is None else parts.unionByName(part), left - counts
+        if reached is not None or level == depth - 1:
+            break
+        new = part.where("other_no is null").groupBy("other").agg(F.min(F.struct(*order)).alias("o"))
+        front = cut(new.select(F.col("other").alias("node"), (F.row_number().over(Window.orderBy("o")) + last - 1).cast("long").alias("no")))
+        last += front.count()
+        visited = visited.unionByName(front)
+    every = [*own, "level", *order]
+    first = parts.orderBy(*every).limit(most)
+    return first.withColumn("hop_no", F.row_number().over(Window.orderBy(*every))).select("hop_no", "level", "seq", "source", "relation", "target")
+
+
+def around(edges: DataFrame, nodes: DataFrame, seeds: list[str], depth: int = 3, most: int = 25, target_filename: str | None = None) -> DataFrame:
+    """The hops of :func:`searched`, with names and types and the columns of the edges."""
+    found = searched(edges, seeds, depth, most, target_filename).join(edges, ["seq", "source", "relation", "target"])
+    return named_hops(found, nodes)
 
 
 def matching_nodes(ends: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -134,21 +168,34 @@ def hops(edges: DataFrame, reached: DataFrame, depth: int = 3) -> DataFrame:
     return touching.groupBy("seq", "source", "relation", "target").agg(F.min("depth").alias("depth"))
 
 
-def shortest_paths(edges: DataFrame, source: str, target: str) -> DataFrame:
+def shortest_paths(edges: DataFrame, source: str, target: str, log: list | None = None) -> DataFrame:
     """(path, length): the least node list among the shortest undirected paths, of any length; no row if there is none.
 
-    Each level keeps one path a node (the least), so the frontier never exceeds the nodes of the graph. A neighbour of a
-    level lies in it, in the one before or in the next, so two levels are all that a step is checked against.
+    The search runs from both ends, and the side from which fewer edges lead on grows. Each level keeps one path a node, the
+    least, so no frontier exceeds the nodes of the graph. A neighbour of a level lies in it, in the one before or in the next, so two levels are all
+    that a step is checked against. Once the frontiers share a node, every shortest path crosses them in one, and its
+    least path is the least way to it with the least way on. log: gets (side, nodes) for each step.
     """
     both = cut(ends(edges).select("node", "other").distinct())
     spark = edges.sparkSession
-    front = spark.createDataFrame([(source, [source])], "node string, path array<string>")
-    before = front.limit(0)
-    while not front.isEmpty() and front.where(F.col("node") == target).isEmpty():
-        step = both.join(front, "node").select(F.col("other").alias("node"), F.concat("path", F.array("other")).alias("path"))
-        seen = before.select("node").unionByName(front.select("node"))
-        before, front = front, cut(step.groupBy("node").agg(F.min("path").alias("path")).join(seen, "node", "left_anti"))
-    return front.where(F.col("node") == target).select("path", (F.size("path") - 1).alias("length"))
+    front = {s: spark.createDataFrame([(n, [n])], "node string, path array<string>") for s, n in (("source", source), ("target", target))}
+    before = {s: f.limit(0) for s, f in front.items()}
+    leading = lambda s: both.join(front[s].select("node"), "node").count()
+    size = {s: leading(s) for s in front}
+    met = None
+    while met is None or (met.isEmpty() and all(size.values())):
+        if met is not None:
+            s = "source" if size["source"] <= size["target"] else "target"
+            grown = F.concat("path", F.array("other")) if s == "source" else F.concat(F.array("other"), "path")
+            step = both.join(front[s].select("node", "path"), "node").select(F.col("other").alias("node"), grown.alias("path"))
+            seen = before[s].select("node").unionByName(front[s].select("node"))
+            before[s], front[s] = front[s], cut(step.groupBy("node").agg(F.min("path").alias("path")).join(seen, "node", "left_anti"))
+            size[s] = leading(s)
+            if log is not None:
+                log.append((s, front[s].count()))
+        met = cut(front["source"].join(front["target"].select("node", F.col("path").alias("rest")), "node"))
+    whole = met.select(F.concat("path", F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0)))).alias("path"))
+    return whole.agg(F.min("path").alias("path")).where("path is not null").select("path", (F.size("path") - 1).alias("length"))
 
 
 def bridges(nodes: DataFrame, edges: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

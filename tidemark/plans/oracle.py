@@ -114,6 +114,25 @@ def levels(seed: str, depth: int) -> str:
     union = " UNION ALL ".join(f"SELECT node, {k} AS depth FROM l{k}" for k in range(depth + 1))
     return ", ".join(out) + f", reached AS ({union})"
 
+
+def visits(edges: str, seeds: list[str], depth: int, most: int, first: str = "0") -> str:
+    """CTEs of a queue's walk over the edges (seq, source, relation, target, ...): ``walked`` has its first hops, ``hop_no`` their order.
+
+    A node's outgoing edges come before its incoming ones, each by the first edge of the neighbour. All levels are walked, as the order of
+    the first hops does not hang on where the walk ends. first: what puts the hops of a file in front.
+    """
+    out = [f"pr AS (SELECT source, target, min(seq) AS nb FROM {edges} GROUP BY ALL)"]
+    out.append(f"ad AS (SELECT x.*, nb, source AS node, target AS other, 0 AS way FROM {edges} x JOIN pr USING (source, target) UNION ALL SELECT x.*, nb, target, source, 1 FROM {edges} x JOIN pr USING (source, target) WHERE source <> target)")
+    out.append("v0 AS (" + " UNION ALL ".join(f"SELECT '{s}' AS node, {k} AS no" for k, s in enumerate(seeds)) + ")")
+    for k in range(depth):
+        seen = " UNION ALL ".join(f"FROM v{j}" for j in range(k + 1))
+        out.append(f"w{k} AS (SELECT ad.*, v.no, {k} AS level, s.no AS other_no FROM ad JOIN v{k} v USING (node) LEFT JOIN ({seen}) s ON s.node = other WHERE s.no IS NULL OR s.no >= v.no)")
+        out.append(f"v{k + 1} AS (SELECT other AS node, (SELECT max(no) + 1 FROM ({seen})) + row_number() OVER (ORDER BY min((no, way, nb, other, seq, relation))) AS no FROM w{k} WHERE other_no IS NULL GROUP BY other)")
+    every = " UNION ALL ".join(f"FROM w{k}" for k in range(depth))
+    out.append(f"walked AS (SELECT *, CAST(row_number() OVER (ORDER BY {first}, level, no, way, nb, other, seq, relation) AS INT) AS hop_no FROM ({every}) QUALIFY hop_no <= {most})")
+    return ", ".join(out)
+
+
 _SEARCHED = "q x qt ti base extra raw ranked sparse v dscored dranked dense up routed rw act hits concepts cw ct held cm r s p o scored fused".split()
 
 

@@ -67,17 +67,23 @@ def graph_round_trip(spark, d):
     return rows.unionByName(nodes.select(F.lit("node").alias("part"), F.col("node").alias("id"), F.col("type").alias("kind"), F.col("name").alias("said"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("long").alias("seq")))
 
 
-@query(f"""WITH {O.BOTH}, {_NODES}, {O.levels('SELECT ' + chr(39) + 'S:1' + chr(39) + ' AS node', 2)},
-u AS (SELECT min(seq) AS seq, source, relation, target, arg_min(file_id, seq) AS file_id FROM e GROUP BY source, relation, target),
-h AS (SELECT seq, source, relation, target, file_id, min(depth) AS depth FROM (SELECT u.*, depth FROM u JOIN reached ON node = source WHERE depth < 2 UNION ALL SELECT u.*, depth FROM u JOIN reached ON node = target WHERE depth < 2) GROUP BY ALL),
-o AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN file_id = 'supplier' THEN 0 ELSE 1 END, depth, seq, source, target) AS n FROM h)
-SELECT CAST(n AS INT) AS hop_no, seq, 'Name ' || source AS from_name, left(source, 1) AS from_type, relation, 'Name ' || target AS to_name, left(target, 1) AS to_type, source || ' ' || relation || ' ' || target AS evidence, file_id AS filename, CAST(seq % 9 + 1 AS INT) AS page_number FROM o WHERE n <= 15""")
+_ONCE = "u AS (SELECT min(seq) AS seq, source, relation, target, arg_min(file_id, seq) AS file_id FROM e WHERE source <> target GROUP BY source, relation, target)"
+
+
+@query(f"""WITH {O.EDGES}, {_ONCE}, {O.visits('u', ['S:1'], 1, 15, "CASE WHEN file_id = 'supplier' THEN 0 ELSE 1 END")}
+SELECT hop_no, seq, 'Name ' || source AS from_name, left(source, 1) AS from_type, relation, 'Name ' || target AS to_name, left(target, 1) AS to_type, source || ' ' || relation || ' ' || target AS evidence, file_id AS filename, CAST(seq % 9 + 1 AS INT) AS page_number FROM walked""")
 def entity_neighborhood(spark, d):
-    """The first fifteen hops around a supplier, those of a target file first."""
-    found = graph.around(_edges(spark, d), _nodes(spark, d), spark.createDataFrame([("S:1",)], "node string"), 2, 15, "Supplier")
+    """The first fifteen hops around a supplier, those of a target file first; its own edges are more, so the twin walks one level."""
+    found = graph.around(_edges(spark, d), _nodes(spark, d), ["S:1"], 2, 15, "Supplier")
     return found.select("hop_no", "seq", "from_name", "from_type", "relation", "to_name", "to_type", "evidence", "filename", "page_number")
 
 
+@query(f"""WITH {O.EDGES}, {_ONCE}, {O.visits('u', ['R:1', 'N:3'], 3, 400)} SELECT hop_no, level, seq, source, relation, target FROM walked""")
+def visiting_order(spark, d):
+    """The first four hundred hops from a region and a nation, in the order of a queue."""
+    return graph.searched(graph.dedup_edges(S.edges(spark, d)), ["R:1", "N:3"], 3, 400)
+
+
 @query(f"""WITH {O.BOTH}, p1 AS (SELECT other AS node, ['S:1', other] AS path FROM b WHERE node = 'S:1'),
 p2 AS (SELECT b.other AS node, list_append(path, b.other) AS path FROM p1 JOIN b USING (node) WHERE b.other <> 'S:1'),
 a AS (SELECT path FROM p1 WHERE node = 'S:2' UNION ALL SELECT path FROM p2 WHERE node = 'S:2'), p AS (SELECT path FROM a ORDER BY len(path), path LIMIT 1),
