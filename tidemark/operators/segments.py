@@ -145,6 +145,14 @@ def _committed(now: Lexicon, segments: list[Segment]) -> Lexicon:
     return Lexicon(now.spark, now.path, version, now.key, tuple(segments))
 
 
+def rolled_back(spark: SparkSession, path: str, version: int) -> None:
+    """Drops the versions after this one, which a writer left that was stopped before its own commit; for the only writer."""
+    for later in versions(spark, path):
+        if later > version:
+            fs, where = _files(spark, f"{path}/manifest/{later:08d}.json")
+            fs.delete(where, False)
+
+
 def swept(now: Lexicon) -> list[str]:
     """Deletes the folders and versions that this version does not need; returns their names. No one may be reading them."""
     fs, where = _files(now.spark, now.path)
@@ -221,7 +229,8 @@ def changed(now: Lexicon, new: DataFrame, gone: DataFrame | None = None) -> Lexi
     out = new.select("chunk_id") if gone is None else new.select("chunk_id").union(gone.select("chunk_id"))
     out = written(out.distinct())
     edge = out.agg(F.min("chunk_id").alias("a"), F.max("chunk_id").alias("b")).first()
-    near = now.table("docs").where(F.col("chunk_id").between(F.lit(edge["a"]), F.lit(edge["b"])))
+    # lets the reader skip what lies outside; with no id at all, nothing is removed
+    near = now.table("docs").where(F.col("chunk_id").between(F.lit(edge["a"]), F.lit(edge["b"])) if edge["a"] is not None else F.lit(False))
     removed = written(now.live(near).join(out, "chunk_id", "left_semi").select("conversation_id", "chunk_id", "dl", "terms"))
     summed = lambda parts, *keys: parts.groupBy("conversation_id", *keys)
     counts = lambda kept: summed(counts_of(kept).union(counts_of(removed, -1)), "term").agg(F.sum("df").alias("df")).where("df <> 0")

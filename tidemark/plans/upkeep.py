@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import answer, chunk, extract, graph, ingest, resolve, segments, session, synthesis
 from tidemark.sources import tables as S
+from tidemark.streaming import flow
 
 from . import catalogue as C, knowledge as K, oracle as O
 from .lineage import shared_dir
@@ -198,6 +199,28 @@ def ingest_indexed(spark, d):
     return parts.join(held, "chunk_id", "left_semi").groupBy("conversation_id").agg(F.countDistinct("file_id").alias("n"))
 
 
+@query("""WITH d AS (SELECT doc_id, doc_id % 4 AS k, text, CASE WHEN trim(coalesce(text, ''), ' ' || chr(10) || chr(9) || chr(13)) <> '' THEN 1 ELSE 0 END AS full_ FROM documents)
+SELECT doc_id AS file_id, CASE k WHEN 2 THEN 'failed' WHEN 3 THEN 'retry' ELSE 'done' END AS status, CASE k WHEN 2 THEN 2 WHEN 1 THEN 2 ELSE 1 END AS attempts, k < 2 AND full_ = 1 AS searchable, k < 2 AND full_ = 1 AS has_vector FROM d""")
+def ingest_status(spark, d):
+    """Two uploads of the documents: a fourth is done at once, one at the second try, one fails twice, one came late and failed once.
+
+    The text is told as the file's content; a picture has no extractor here and fails.
+    """
+    base = shared_dir(spark, "flow")
+    k, docs = F.col("doc_id") % 4, S.table(spark, d, "documents")
+    kind = lambda broken: F.when(broken, "image").otherwise("document")
+    rows = lambda broken: docs.select(F.col("doc_id").alias("file_id"), F.col("source").alias("conversation_id"), F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), kind(broken).alias("file_type"), F.col("text").cast("binary").alias("content"), k.alias("k"))
+    for part in (rows(k > 0).where("k < 3"), rows(k > 1).where("k > 0")):
+        part.drop("k").write.mode("append").parquet(f"{base}/in")
+        flow.ingest_files(spark, f"{base}/in", f"{base}/store", f"{base}/at", {"text": ingest.plain_texts}).awaitTermination()
+    store = flow.opened(spark, f"{base}/store")
+    held = store.lexicon().docs().select("chunk_id")
+    found = store.chunks().join(held, "chunk_id", "left_semi").select("file_id").distinct().withColumn("searchable", F.lit(True))
+    dense = store.chunks().join(store.vectors().select("chunk_id"), "chunk_id", "left_semi").select("file_id").distinct().withColumn("has_vector", F.lit(True))
+    false = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return store.status().join(found, "file_id", "left").join(dense, "file_id", "left").select("file_id", "status", "attempts", false("searchable"), false("has_vector"))
+
+
 @query(r"""WITH k AS (SELECT event_id, event_id % 4 AS k, event_type AS t FROM events)
 SELECT event_id, CASE k WHEN 0 THEN '[Image OCR Text - a.png]:' || chr(10) || repeat(t, 9) WHEN 1 THEN '[Detected Text Fragments]:' || chr(10) || t || chr(10) || chr(10) || '[Visual Description - a.png]:' || chr(10) || 'seen' WHEN 2 THEN '[Image OCR Text - a.png]:' || chr(10) || t ELSE '[Image File - a.png]: Image data recorded.' END AS text,
 '[00:' || lpad((event_id % 60)::VARCHAR, 2, '0') || ' - 02:00 (Speech)]: ' || t AS line FROM k""")
