@@ -30,6 +30,8 @@ from . import index, retrieve
 
 #: Postings of a block; chunks of a conversation whose postings of a term are sorted together; neighbours of a tier that are merged.
 BLOCK, GROUP, FANOUT = 16, 50_000, 4
+#: Part of the paths of indexes that are found by name; it changes with the tables' form.
+FORMAT = "f2"
 #: What rounding and the order of sums may change of a score.
 MARGIN = 1e-5
 

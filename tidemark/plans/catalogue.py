@@ -112,8 +112,13 @@ def graph_windows_plain(spark, d):
 
 def lexicon(spark, d):
     """The stored index of the documents: opened if an earlier query or session left one of these very files, else built."""
-    path = f"{shared_base(spark)}/lexicon-{S.fingerprint(S.table(spark, d, 'documents'))}"
-    return segments.opened(spark, path) if segments.versions(spark, path) else segments.created(S.chunks(spark, d), path)
+    path = f"{shared_base(spark)}/lexicon-{segments.FORMAT}-{S.fingerprint(S.table(spark, d, 'documents'))}"
+    if not segments.versions(spark, path):
+        try:
+            return segments.created(S.chunks(spark, d), path)
+        except RuntimeError:  # another session built it meanwhile
+            pass
+    return segments.opened(spark, path)
 
 
 def _index(spark, d):
