@@ -4,7 +4,7 @@ The automaton reads tokens and accepts exactly the sequences that BPE yields. It
 each byte, and takes the merges in order, one gadget each: for the merge a b -> ab, the state after ab is the state
 after b, ab is an arc wherever a is one, and the arc b goes from the state after a. A gadget changes the state after a
 alone, so tokens share a state until one of them is the left side of a merge, and share an arc class until one of them is the right
-side; the transition table is (states x arc classes) bits, about 8 MB for 50,000 merges. A merge whose arc b is gone already
+side; the transition table is (states x arc classes) bits, about 20 MB for 50,000 merges. A merge whose arc b is gone already
 can never apply; its token is dead.
 
 A pre-split word is encoded by running the trie of the arcs' labels over its bytes: at each place one token ends whose arc
