@@ -331,7 +331,8 @@ def test_toxicity_finds_sentences(spark, empty):
 def test_sql_twins(spark, name):
     data = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{data}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.sql(f"create view {table} as select * from '{data}/{table}.parquet'")
     out, ref = Q.QUERIES[name](spark, data), con.sql(Q.ORACLE_SQL[name])
     cols = sorted(out.columns)
     order = [ref.columns.index(c) for c in cols]
