@@ -1,10 +1,10 @@
 """Operator 9: drop lines that several documents share.
 
-Lines are exploded to 128-bit hashes of their normalised form; per hash the least and the greatest doc_id
-(combined before the shuffle) tell whether two documents hold it, which equals a distinct count of at
-least two without a set per hash. The hashes found twice are a table, joined back to the line rows, and each
-document gets the list of its lines that go. Nothing is gathered per line, and both sides of the join come
-straight from their exchanges, so a line that every document holds is dealt over several tasks.
+Lines are exploded to 128-bit hashes of their normalised form, in the JVM, so that no task holds more than a text and its
+lines. Per hash the least and the greatest doc_id (combined before the shuffle) tell whether two documents hold it,
+which equals a distinct count of at least two without a set per hash. The hashes found twice are a table, joined back
+to the line rows, and each document gets the list of its lines that go. Nothing is gathered per line, and both sides
+of the join come straight from their exchanges, so a line that every document holds is dealt over several tasks.
 
 Defined results: a null or empty text is one empty line; blank and short lines stay; in the smallest
 doc_id that holds a line all its repeats stay; rows with a null doc_id keep all lines and count for no
@@ -15,39 +15,26 @@ for n_lines and n_dropped, which are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, lists, renamed, text_key, text_slices, written
+from .common import BLANKS, renamed, text_key, written
 
-LINES = "doc_id long, row_key long, pos int, h1 long, h2 long"
 
-
-def _hashed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, keys, texts = batch.columns
-        for i, j in text_slices(texts):
-            offsets, lines = lists(pc.split_pattern(texts[i:j], "\n"))
-            norm = pc.ascii_lower(pc.ascii_trim(lines, characters=BLANKS))
-            at = np.flatnonzero(np.asarray(pc.greater_equal(pc.utf8_length(norm), least)))
-            digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in norm.take(pa.array(at)).to_pylist()]), dtype="<i8").reshape(-1, 2)
-            row = np.searchsorted(offsets, at, side="right") - 1
-            yield pa.record_batch(
-                [ids[i:j].take(pa.array(row)), keys[i:j].take(pa.array(row)), pa.array((at - offsets[row]).astype(np.int32)), pa.array(digests[:, 0]), pa.array(digests[:, 1])],
-                names=["doc_id", "row_key", "pos", "h1", "h2"],
-            )
+def line_key(line: Column) -> Column:
+    """A trimmed line with A-Z in lower case; lower() does just that where a line is ASCII, and is faster than a translation."""
+    return F.when(F.octet_length(line) == F.length(line), F.lower(line)).otherwise(F.translate(line, ascii_uppercase, ascii_lowercase))
 
 
 def shared_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     """(doc_id, row_key, drop): the positions of the lines that go, for documents that lose any."""
     slim = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("row_key"), "text")
-    lines = written(slim.mapInArrow(lambda batches: _hashed(batches, least), LINES))
+    split = slim.select("doc_id", "row_key", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    long = split.withColumn("line", F.btrim("line", F.lit(BLANKS))).where(F.length("line") >= least).withColumn("line", line_key(F.col("line")))
+    # two seeds, so that a clash of one half says nothing of the other
+    lines = written(long.select("doc_id", "row_key", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(9), "line").alias("h2")))
     shared = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id")
     gone = lines.join(written(shared.select("h1", "h2", "first_id")), ["h1", "h2"]).where("doc_id > first_id")
     return gone.groupBy("doc_id", "row_key").agg(F.collect_set("pos").alias("drop"))
