@@ -57,6 +57,11 @@ def ranked(terms: DataFrame, hits: DataFrame, stats: DataFrame, limit: int, of_t
     return best.join(top, "query_id").select("query_id", "chunk_id", "bm25_raw", F.round(F.col("bm25_raw") / F.col("top"), 6).alias("bm25_score"), "bm25_rank")
 
 
+def dot(a: str, b: str) -> Column:
+    """The inner product of two array columns, in double."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
 def dense_topk(vectors: DataFrame, chunks: DataFrame, limit: int = 30, of_type: DataFrame | None = None, salts: int = 16) -> DataFrame:
     """(query_id, chunk_id, dense_score, dense_rank) by cosine within the conversation.
 
@@ -66,10 +71,9 @@ def dense_topk(vectors: DataFrame, chunks: DataFrame, limit: int = 30, of_type:
     """
     if of_type is not None:
         chunks = chunks.join(of_type.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    dot = F.aggregate(F.zip_with("query_vector", "vector", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     asked = vectors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = chunks.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
-    scored = asked.join(salted, ["conversation_id", "salt"]).select("query_id", "salt", "chunk_id", F.round(dot, 6).alias("dense_score"))
+    scored = asked.join(salted, ["conversation_id", "salt"]).select("query_id", "salt", "chunk_id", F.round(dot("query_vector", "vector"), 6).alias("dense_score"))
     best = [F.desc("dense_score"), "chunk_id"]
     near = scored.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "salt").orderBy(*best))).where(F.col("n") <= limit)
     ranked = near.withColumn("dense_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best)))

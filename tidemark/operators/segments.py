@@ -110,13 +110,13 @@ SCHEMAS = {
 
 # ---- files
 
-def _files(spark: SparkSession, path: str):
+def shared_files(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
-    fs, where = _files(spark, f"{path}/manifest")
+    fs, where = shared_files(spark, f"{path}/manifest")
     if not fs.exists(where):
         return []
     return sorted(int(s.getPath().getName()[:-5]) for s in fs.listStatus(where) if s.getPath().getName().endswith(".json"))
@@ -136,8 +136,8 @@ def _committed(now: Lexicon, segments: list[Segment]) -> Lexicon:
     """The next version. It appears whole or not at all; if another writer was first, this change is refused."""
     version = now.version + 1
     told = json.dumps({"key": now.key, "segments": [asdict(s) for s in segments]})
-    fs, draft = _files(now.spark, f"{now.path}/manifest/_{uuid.uuid4().hex}")
-    final = _files(now.spark, f"{now.path}/manifest/{version:08d}.json")[1]
+    fs, draft = shared_files(now.spark, f"{now.path}/manifest/_{uuid.uuid4().hex}")
+    final = shared_files(now.spark, f"{now.path}/manifest/{version:08d}.json")[1]
     out = fs.create(draft)
     out.write(bytearray(told.encode()))
     out.close()
@@ -151,16 +151,16 @@ def rolled_back(spark: SparkSession, path: str, version: int) -> None:
     """Drops the versions after this one, which a writer left that was stopped before its own commit; for the only writer."""
     for later in versions(spark, path):
         if later > version:
-            fs, where = _files(spark, f"{path}/manifest/{later:08d}.json")
+            fs, where = shared_files(spark, f"{path}/manifest/{later:08d}.json")
             fs.delete(where, False)
 
 
 def swept(now: Lexicon) -> list[str]:
     """Deletes the folders and versions that this version does not need; returns their names. No one may be reading them."""
-    fs, where = _files(now.spark, now.path)
+    fs, where = shared_files(now.spark, now.path)
     kept = {s.name for s in now.segments} | {"manifest"}
     gone = [s.getPath() for s in fs.listStatus(where) if s.getPath().getName() not in kept]
-    gone += [s.getPath() for s in fs.listStatus(_files(now.spark, f"{now.path}/manifest")[1]) if s.getPath().getName() != f"{now.version:08d}.json"]
+    gone += [s.getPath() for s in fs.listStatus(shared_files(now.spark, f"{now.path}/manifest")[1]) if s.getPath().getName() != f"{now.version:08d}.json"]
     for p in gone:
         fs.delete(p, True)
     return sorted(p.getName() for p in gone)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import chunk, graph, index, ingest, resolve, retrieve, segments, session, synthesis
+from tidemark.operators import vectors as vector_lists
 from tidemark.sources import tables as S
 
 from . import knowledge, oracle as O, passages  # noqa: F401 - the two modules register their queries
@@ -145,6 +146,26 @@ def dense_topk(spark, d):
     return retrieve.dense_topk(S.query_vectors(spark, d), S.vectors(spark, d))
 
 
+def vector_index(spark, d, vectors, name):
+    """The stored index of the vectors of these very files: opened if one is there, else built."""
+    path = f"{shared_base(spark)}/vectors-{name}-{S.fingerprint(S.table(spark, d, 'embeddings'))}-{S.fingerprint(S.table(spark, d, 'documents'))}"
+    vector_lists.stored(vectors, path)
+    return path
+
+
+@query(f"WITH {O.CHUNKS}, {O.QUERIES}, {O.DENSE} SELECT * FROM dense")
+def dense_indexed(spark, d):
+    return vector_lists.searched(S.query_vectors(spark, d), vector_index(spark, d, S.vectors(spark, d), "own"))
+
+
+@query()
+def vector_recall(spark, d):
+    """Every 50th vector asks all vectors as one conversation: exact hits among 30, and those that the index finds."""
+    every = S.table(spark, d, "embeddings").select(F.lit("all").alias("conversation_id"), F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    asked = every.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "conversation_id", F.col("vector").alias("query_vector"))
+    return vector_lists.recall(vector_lists.searched(asked, vector_index(spark, d, every, "all")), retrieve.dense_topk(asked, every))
+
+
 class Search:
     """One retrieval over the given tables: the index is built once, each ranking once, and their few rows are kept."""
 
