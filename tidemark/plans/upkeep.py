@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import answer, chunk, extract, graph, ingest, resolve, segments, session, synthesis
+from tidemark.operators import answer, chunk, extract, graph, graph_store, ingest, resolve, segments, session, synthesis
 from tidemark.sources import tables as S
 from tidemark.streaming import flow
 
 from . import catalogue as C, knowledge as K, oracle as O
-from .lineage import shared_dir
+from .lineage import shared_dir, written
 from .registry import query
 
 
@@ -46,6 +46,28 @@ def graph_counts(spark, d):
     return graph.exported(_nodes(spark, d), graph.dedup_edges(S.edges(spark, d)))[1]
 
 
+@query(f"""WITH {O.EDGES}, r AS (SELECT seq, source, relation, target, CASE WHEN file_id = '' THEN '' ELSE file_id || '-' || (seq % 5) END AS file_id, 'g' || CASE WHEN seq % 7 = 0 THEN 2 ELSE seq % 2 END AS conversation_id FROM e),
+k AS (SELECT * FROM r WHERE conversation_id = 'g0' AND (file_id NOT LIKE '%-1' OR file_id = 'supplier-1') OR conversation_id = 'g1' AND file_id NOT LIKE '%-1' AND file_id NOT LIKE 'lineitem%'),
+n AS (SELECT conversation_id, node, count(*) AS n FROM (SELECT DISTINCT conversation_id, file_id, source, relation, target, unnest([source, target]) AS node FROM k WHERE source <> target) GROUP BY ALL)
+SELECT 'edge' AS part, conversation_id, source || ' ' || relation || ' ' || target AS id, min(seq) AS seq, arg_min(file_id, seq) AS file_id, count(*) AS n FROM k WHERE source <> target GROUP BY conversation_id, source, relation, target
+UNION ALL SELECT 'node', conversation_id, node, 0, '', n FROM n""")
+def graph_upkeep(spark, d):
+    """Graphs built on demand, files removed, one told again, two conversations pruned, a merge between: what is left."""
+    path, seq = shared_dir(spark, "graphs"), F.col("seq")
+    file = F.when(F.col("file_id") == "", "").otherwise(F.concat_ws("-", "file_id", (seq % 5).cast("string")))
+    rows = written(S.edges(spark, d).withColumns({"file_id": file, "conversation_id": F.concat(F.lit("g"), F.when(seq % 7 == 0, 2).otherwise(seq % 2).cast("string"))}))
+    told = rows.where("file_id <> ''").select("conversation_id", "file_id").distinct()
+    every = rows.select("conversation_id").distinct()
+    graph_store.ready(spark, path, every, told, rows)
+    graph_store.changed(spark, path, gone=told.where("file_id like '%-1'"))
+    graph_store.merged(spark, path)
+    graph_store.changed(spark, path, new=rows.where("file_id = 'supplier-1' and conversation_id = 'g0'"))
+    graph_store.ready(spark, path, every.where("conversation_id in ('g1', 'g2')"), told.where("conversation_id = 'g1' and file_id not like 'lineitem%'"), rows)
+    e = graph_store.edges(spark, path).select(F.lit("edge").alias("part"), "conversation_id", F.concat_ws(" ", "source", "relation", "target").alias("id"), "seq", "file_id", F.col("sightings").alias("n"))
+    none = {"seq": F.lit(0).cast("long"), "file_id": F.lit("")}
+    return e.unionByName(graph_store.nodes(spark, path).withColumns({"part": F.lit("node"), **none}).select("part", "conversation_id", F.col("node").alias("id"), "seq", "file_id", "n"))
+
+
 @query(f"WITH {O.EDGES}, {_NODES} SELECT type, count(*) AS n FROM nodes GROUP BY type")
 def node_types(spark, d):
     return graph.exported(_nodes(spark, d), S.edges(spark, d))[0].groupBy("type").agg(F.count("*").alias("n"))
