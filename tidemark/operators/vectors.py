@@ -33,6 +33,8 @@ from .segments import shared_files
 
 #: Vectors of a segment, about; centroids of a part of a residual, so that a code is one of 16 values; salts of a sampled conversation.
 SEGMENT, CODES, SALTS = 1024, 16, 64
+#: Part of the paths of indexes that are found by name; it changes with the form of the tables.
+FORMAT = "f2"
 
 
 @dataclass(frozen=True)

@@ -148,7 +148,7 @@ def dense_topk(spark, d):
 
 def vector_index(spark, d, vectors, name):
     """The stored index of the vectors of these very files: opened if one is there, else built."""
-    path = f"{shared_base(spark)}/vectors-{name}-{S.fingerprint(S.table(spark, d, 'embeddings'))}-{S.fingerprint(S.table(spark, d, 'documents'))}"
+    path = f"{shared_base(spark)}/vectors-{vector_lists.FORMAT}-{name}-{S.fingerprint(S.table(spark, d, 'embeddings'))}-{S.fingerprint(S.table(spark, d, 'documents'))}"
     vector_lists.stored(vectors, path)
     return path
 
