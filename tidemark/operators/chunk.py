@@ -1,30 +1,76 @@
-"""Chunkers: greedy packing of blocks as a fold over an array, inside one row; no shuffle."""
+"""Chunkers: greedy packing of blocks. Where a chunk begins follows from the lengths of the blocks alone, so only these leave the
+JVM (an Arrow function); texts are split and joined by expressions, each once, in work linear in the text. No shuffle, but for the
+numbers of a file's chunks in page mode.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 TARGET, PAGE_WHOLE, JOIN = 1800, 2400, 2
-_STATE = "struct<cur:string,out:array<string>>"
+_BLANK = " \t\n\x0b\f\r"
 
 
-def packed(blocks: Column, target: int, glue: str) -> Column:
-    """Blocks joined while the length with the next one, plus 2, stays within the target."""
-    start = F.struct(F.lit(None).cast("string").alias("cur"), F.array().cast("array<string>").alias("out"))
+def starts(sizes: list[np.ndarray], room: int, glue: int) -> list[list[int]]:
+    """Per row of block lengths, the places (from 0) where a chunk begins, and the row's length behind them.
+
+    The joined length of blocks i to j is a difference of prefix sums, so each block's next cut is found by search
+    in them, for all rows at once; the chunks of a row are then a walk from cut to cut.
+    """
+    counts = np.array([len(x) for x in sizes], dtype=np.int64)
+    ends = np.cumsum(counts)
+    flat = np.concatenate([*sizes, np.empty(0, dtype=np.int64)]).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(flat + glue)])
+    # block m still fits behind i while total[m + 1] - total[i] - 2 * glue + JOIN <= room
+    at = np.arange(len(flat))
+    after = np.maximum(at + 1, np.searchsorted(total, total[:-1] + room + 2 * glue - JOIN, side="right") - 1)
+    after = np.minimum(after, np.repeat(ends, counts)).tolist()
+    found = []
+    for end, n in zip(ends.tolist(), counts.tolist()):
+        first = i = end - n
+        own = []
+        while i < end:
+            own.append(i - first)
+            i = after[i]
+        found.append([*own, n])
+    return found
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _starts(sizes: pa.Array, room: pa.Array, glue: pa.Array) -> pa.Array:
+    rows = [x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.empty(0, dtype=np.int64) for x in sizes]
+    if not rows:
+        return pa.array([], pa.list_(pa.int32()))
+    return pa.array(starts(rows, room[0].as_py(), glue[0].as_py()), pa.list_(pa.int32()))
+
+
+def cut(rows: DataFrame, blocks: str, target: int, glue: str) -> DataFrame:
+    """Adds _starts, the cuts of the list ``blocks``: it is joined while the length with the next block, plus 2, stays within the target.
+
+    A block over the target is a chunk of its own; an empty or null list has none.
+    """
+    return rows.withColumn("_starts", _starts(F.transform(blocks, lambda x: F.length(x)), F.lit(target), F.lit(len(glue))))
+
+
+def joined(blocks: str, glue: str) -> Column:
+    """The chunks behind :func:`cut`. To be exploded as it is: of a named list, Spark computes the size once more, to filter by it."""
+    begin = F.slice("_starts", F.lit(1), F.size("_starts") - 1)
+    return F.transform(begin, lambda s, k: F.array_join(F.slice(blocks, s + 1, F.get("_starts", k + 1) - s), glue))
 
-    def step(s: Column, b: Column) -> Column:
-        fits = s["cur"].isNull() | (F.length(s["cur"]) + F.length(b) + JOIN <= target)
-        cur = F.when(s["cur"].isNull(), b).when(fits, F.concat(s["cur"], F.lit(glue), b)).otherwise(b)
-        out = F.when(fits, s["out"]).otherwise(F.concat(s["out"], F.array(s["cur"])))
-        return F.struct(cur.alias("cur"), out.alias("out")).cast(_STATE)
 
-    return F.aggregate(blocks, start, step, lambda s: F.when(s["cur"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["cur"]))))
+def packed(rows: DataFrame, blocks: str, target: int, glue: str, number: str, name: str) -> DataFrame:
+    """One row a chunk of the list ``blocks``, which its number and text replace."""
+    own = [c for c in rows.columns if c != blocks]
+    return cut(rows, blocks, target, glue).select(*own, F.posexplode(joined(blocks, glue)).alias(number, name))
 
 
 def filled(parts: Column) -> Column:
     """Trimmed parts that are not blank."""
-    trimmed = F.transform(parts, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    trimmed = F.transform(parts, lambda x: F.btrim(x, F.lit(_BLANK)))
     return F.filter(trimmed, lambda x: x != "")
 
 
@@ -45,7 +91,7 @@ def by_blocks(files: DataFrame, target: int = TARGET) -> DataFrame:
     stamped = text.rlike(r"\[\d{1,2}:\d{2}")
     parts = F.when(stamped, F.split(text, r"(?=\[\d{1,2}:\d{2})")).otherwise(F.split(text, r"\n\s*\n"))
     rows = files.select("file_id", "filename", filled(parts).alias("parts"))
-    rows = rows.select("file_id", "filename", F.posexplode(packed(F.col("parts"), target, "\n")).alias("chunk_index", "body"))
+    rows = packed(rows, "parts", target, "\n", "chunk_index", "body")
     return _labelled(rows, first_stamp(F.col("body")), page_number(F.col("body")), F.concat(F.lit("["), _label(), F.lit("]\n"), "body"))
 
 
@@ -60,12 +106,15 @@ def by_pages(files: DataFrame, target: int = TARGET, whole: int = PAGE_WHOLE) ->
     pages = filled(F.split(F.coalesce("text", F.lit("")), r"(?=\[Page\s*\d+)"))
     rows = files.select("file_id", "filename", F.posexplode(pages).alias("page_no", "page"))
     body = F.regexp_replace("page", r"^\[Page\s*\d+(?:\s*\(OCR\))?\]\s*", "")
-    rows = rows.select("file_id", "filename", "page_no", page_number(F.col("page")).alias("number"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("body"))
-    parts = F.when(F.length("body") <= whole, F.array("body")).otherwise(packed(filled(F.split("body", r"\n\s*\n")), target, "\n\n"))
-    rows = rows.where("body <> ''").select("file_id", "filename", "page_no", "number", F.posexplode(parts).alias("part_no", "body"))
-    # the running index of a file's chunks: its pages stay together in one group of bounded size, the file
-    listed = rows.groupBy("file_id", "filename").agg(F.array_sort(F.collect_list(F.struct("page_no", "part_no", "number", "body"))).alias("all"))
-    rows = listed.select("file_id", "filename", F.posexplode("all").alias("chunk_index", "c")).select("file_id", "filename", "chunk_index", "c.*")
+    rows = rows.select("file_id", "filename", "page_no", page_number(F.col("page")).alias("number"), F.btrim(body, F.lit(_BLANK)).alias("body")).where("body <> ''")
+    # a page that stays whole is the only block of its list
+    divided = F.when(F.length("body") > whole, filled(F.split("body", r"\n\s*\n"))).otherwise(F.array("body"))
+    rows = cut(rows.withColumn("parts", divided), "parts", target, "\n\n")
+    # a chunk's index in its file: the chunks of the pages before, and its place in its own page
+    before = Window.partitionBy("file_id", "filename").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("ahead", F.coalesce(F.sum(F.size("_starts") - 1).over(before), F.lit(0)))
+    rows = rows.select("file_id", "filename", "number", "ahead", F.posexplode(joined("parts", "\n\n")).alias("part_no", "body"))
+    rows = rows.withColumn("chunk_index", F.col("ahead") + F.col("part_no"))
     head = F.when(F.col("number").isNull(), F.concat(F.lit("["), _label(), F.lit("]\n"))).otherwise(F.concat(F.lit("["), _label(), F.lit(" | Page "), F.col("number").cast("string"), F.lit("]\n")))
     return _labelled(rows, F.lit(None).cast("string"), F.col("number"), F.concat(head, "body"))
 
@@ -95,6 +144,6 @@ def windows(files: DataFrame, before: str, size: int, least: int, glue: str = "\
     stamps), and short parts go; a window has the first page or stamp in it, with what stands in brackets behind.
     """
     parts = F.filter(filled(F.split(F.coalesce("text", F.lit("")), before)), lambda x: F.length(x) >= least)
-    rows = files.select("file_id", F.posexplode(packed(parts, size, glue)).alias("window_no", "text"))
+    rows = packed(files.select("file_id", parts.alias("parts")), "parts", size, glue, "window_no", "text")
     stamp = F.nullif(F.regexp_extract("text", r"\[(\d{1,2}:\d{2}(?:\s*-\s*\d{1,2}:\d{2})?(?:\s*\([^)]+\))?)\]", 1), F.lit(""))
     return rows.select("file_id", "window_no", "text", stamp.alias("timestamp"), page_number(F.col("text")).alias("page_number"))

@@ -73,9 +73,9 @@ def timeline_merge(spark, d):
 _PARAGRAPHS = r"replace(coalesce(text, ''), chr(10), chr(10) || chr(10))"
 
 
-def _packed_sql(blocks: str, target: int, glue: str) -> str:
+def _packed_sql(blocks: str, target: int, glue: str, source: str = "documents") -> str:
     """A recursive fold over the blocks of each document."""
-    return f"""WITH RECURSIVE b AS (SELECT doc_id, list_filter(list_transform({blocks}, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS parts FROM documents),
+    return f"""WITH RECURSIVE b AS (SELECT doc_id, list_filter(list_transform({blocks}, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS parts FROM {source}),
 p AS (SELECT doc_id, i, parts[i] AS t FROM b, unnest(range(1, len(parts) + 1)) AS r(i)),
 g AS (SELECT doc_id, i, 0 AS c, length(t) AS n FROM p WHERE i = 1
   UNION ALL SELECT p.doc_id, p.i, CASE WHEN g.n + length(p.t) + 2 <= {target} THEN g.c ELSE g.c + 1 END, CASE WHEN g.n + length(p.t) + 2 <= {target} THEN g.n + {len(glue)} + length(p.t) ELSE length(p.t) END
@@ -102,6 +102,17 @@ def chunk_pages(spark, d):
     return chunk.by_pages(rows).select("file_id", "chunk_index", "page_number", F.length(body).cast("long").alias("n_chars"))
 
 
+_ONE_PAGE = f"(SELECT doc_id, trim({_PARAGRAPHS}, ' ' || chr(9) || chr(10) || chr(13)) AS page FROM documents)"
+
+
+@query(_packed_sql(r"CASE WHEN length(page) <= 2400 THEN [page] ELSE string_split_regex(page, '\n\s*\n') END", 1800, "\n\n", _ONE_PAGE).replace("count(*) AS n_blocks, ", ""))
+def chunk_long_pages(spark, d):
+    """Every text is one page; those over 2,400 characters are packed by paragraph."""
+    rows = S.files(spark, d).withColumn("text", F.concat(F.lit("[Page 1]\n"), F.replace("text", F.lit("\n"), F.lit("\n\n"))))
+    body = F.regexp_replace("text", r"^\[[^\n]*\]\n", "")
+    return chunk.by_pages(rows).select("file_id", "chunk_index", "chunk_id", F.length(body).cast("long").alias("n_chars"), F.md5(body.cast("binary")).alias("body"))
+
+
 @query("""WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(0, length(text) - 401) + 1, 3100)) AS start FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id AS file_id, CAST(start AS BIGINT) AS start, trim(substr(text, CAST(start AS INT) + 1, 3500), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM s)
 SELECT file_id, start, CAST(length(t) AS BIGINT) AS n_chars FROM w WHERE length(t) >= 20""")
