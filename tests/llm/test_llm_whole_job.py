@@ -49,3 +49,25 @@ def test_language_of_very_long_texts():
     assert ((top[:, -1] - top[:, -2]) > 0.2 * np.abs(top[:, -1])).all()
     parts = list(langid.blocks(long_[0]))
     assert len(parts) > 1 and sum(len(p) - 3 for p in parts) + 3 == len(long_[0])
+
+
+def test_batched_products_are_those_of_single_texts():
+    """Rows of one sparse matrix against dense vectors, however many blocks are multiplied at once; empty and long texts among them."""
+    rng = random.Random(3)
+    texts = ["", "a", "ab cd", *("".join(rng.choices("abcdef \n", k=rng.choice([5, 80, 900]))) for _ in range(30)), "xyz " * 70_000]
+    matrix = np.random.default_rng(1).normal(size=(1 << 12, 3)).astype(np.float32)
+    want = []
+    for text in texts:
+        own = [langid.presence(block, 1 << 12) for block in langid.blocks(text)]
+        want.append(sum(matrix[codes].astype(float).sum(axis=0) / np.sqrt(max(1, len(codes))) for codes in own) / len(own))
+    rows = langid.Rows.of_texts(texts, 1 << 12)
+    for many in (1, 7, 100):
+        assert np.allclose(rows.product(matrix, many), want, atol=1e-4)
+    assert np.allclose(rows.dense(np.arange(len(texts)), 1 << 12).T.astype(float) @ matrix, want, atol=1e-4)
+    assert langid.Rows.of_texts([], 1 << 12).product(matrix).shape == (0, 3)
+
+
+def test_weights_stay_bounded(monkeypatch):
+    monkeypatch.setattr(langid, "WEIGHTS", 1 << 16)
+    model = langid.fit(["aaa bbb"] * 4 + ["ccc ddd"] * 4 + ["eee fff"] * 4, ["a"] * 4 + ["b"] * 4 + ["c"] * 4, landmarks=6)
+    assert model.weights.size <= 1 << 16 and model.scores(["aaa", "ccc", "eee"]).argmax(axis=1).tolist() == [0, 1, 2]

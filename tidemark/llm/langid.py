@@ -6,7 +6,7 @@ the list of the bins that hold a gram. A text of more than BLOCK characters is t
 with a norm of its own, so the bins never fill up, however long a text is; all of its blocks count.
 Landmarks are taken from the training rows (Nyström); one-versus-rest kernel ridge regression is solved in
 the landmark space, and since the kernel is a dot product, landmarks and weights fold into one matrix of
-bins by languages: a text is scored by a sparse product with it.
+bins by languages: the texts of a batch are the rows of one sparse matrix, and are scored by its product with that one.
 
 Training rows are a sample of bounded expected size, stratified by language and chosen by a hash of
 doc_id and text, equal rows once; ``train_rows`` is the bound. Everything else covers all rows.
@@ -19,7 +19,7 @@ empty; other columns stay, whatever their names, but for lang_pred and lang_scor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +31,7 @@ from .common import text_slices
 
 BINS, ORDERS = 1 << 18, (1, 2, 3, 4)
 BLOCK = 1 << 17
+WEIGHTS = 1 << 25
 _STEP = np.uint32(2654435761)
 
 
@@ -57,24 +58,51 @@ def blocks(text: str, size: int = BLOCK) -> Iterator[np.ndarray]:
         yield points[k * len(points) // n : (k + 1) * len(points) // n + (ORDERS[-1] - 1 if k < n - 1 else 0)]
 
 
-def product(text: str, matrix: np.ndarray) -> np.ndarray:
-    """The text's vector, the mean over its blocks of presence over norm, times a matrix of bins by columns."""
-    total, n = np.zeros(matrix.shape[1]), 0
-    for block in blocks(text):
-        codes = presence(block, len(matrix))
-        total += (np.ones(len(codes), dtype=np.float32) @ matrix[codes]) / np.sqrt(max(1, len(codes)))
-        n += 1
-    return total / n
-
-
-def dense(texts: list[str], bins: int = BINS) -> np.ndarray:
-    """The vectors of a few texts as columns: bins by texts."""
-    out = np.zeros((bins, len(texts)), dtype=np.float32)
-    for j, text in enumerate(texts):
-        parts = [presence(block, bins) for block in blocks(text)]
-        for codes in parts:
-            out[codes, j] += 1 / np.sqrt(max(1, len(codes))) / len(parts)
-    return out
+@dataclass(frozen=True)
+class Rows:
+    """The vectors of some texts, the mean over a text's blocks of presence over norm, as one sparse matrix by blocks."""
+
+    n: int
+    codes: np.ndarray  # the bins of all blocks, one behind the other
+    ends: np.ndarray  # where each block's bins end
+    of: np.ndarray  # each block's text
+    share: np.ndarray  # what a bin of the block counts
+
+    @classmethod
+    def of_texts(cls, texts: Sequence[str], bins: int = BINS) -> Rows:
+        codes, of, share = [], [], []
+        for i, text in enumerate(texts):
+            own = [presence(block, bins) for block in blocks(text)]
+            for found in own:
+                if len(found):
+                    codes.append(found)
+                    of.append(i)
+                    share.append(1 / np.sqrt(len(found)) / len(own))
+        ends = np.cumsum([len(c) for c in codes], dtype=np.int64)
+        return cls(len(texts), np.concatenate([*codes, np.empty(0, dtype=np.uint32)]), ends, np.array(of, dtype=np.int64), np.array(share))
+
+    def product(self, matrix: np.ndarray, many: int = 32) -> np.ndarray:
+        """Texts by columns: ``many`` blocks at once, dense over the bins that they hold, times these rows of the matrix."""
+        out, place = np.zeros((self.n, matrix.shape[1])), np.empty(len(matrix), dtype=np.int32)
+        for first in range(0, len(self.ends), many):
+            last = min(first + many, len(self.ends))
+            begin = int(self.ends[first - 1]) if first else 0
+            codes = self.codes[begin : self.ends[last - 1]]
+            row = np.repeat(np.arange(last - first), np.diff(self.ends[first:last], prepend=begin))
+            held = np.flatnonzero(np.bincount(codes, minlength=len(matrix)))
+            place[held] = np.arange(len(held), dtype=np.int32)
+            batch = np.zeros((last - first, len(held)), dtype=np.float32)
+            batch[row, place[codes]] = self.share[first:last][row]
+            np.add.at(out, self.of[first:last], batch @ matrix[held])
+        return out
+
+    def dense(self, picked: np.ndarray, bins: int) -> np.ndarray:
+        """The vectors of a few of the texts as columns: bins by texts."""
+        out = np.zeros((bins, len(picked)), dtype=np.float32)
+        for j, i in enumerate(picked):
+            for k in np.flatnonzero(self.of == i):
+                out[self.codes[self.ends[k - 1] if k else 0 : self.ends[k]], j] += self.share[k]
+        return out
 
 
 def has_letter(text: str | None) -> bool:
@@ -87,19 +115,23 @@ class Model:
     weights: np.ndarray  # bins x languages
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        return np.array([product(t, self.weights) for t in texts])
+        return Rows.of_texts(texts, len(self.weights)).product(self.weights)
 
 
 def fit(texts: list[str], langs: list[str], landmarks: int = 256, ridge: float = 1e-2, group: int = 64) -> Model:
-    """Nyström features on every k-th text as landmark, and ridge regression on them; ``group`` landmarks are dense at once."""
+    """Nyström features on every k-th text as landmark, and ridge regression on them; ``group`` landmarks are dense at once.
+
+    The weights, which every task gets, have at most WEIGHTS entries: with over 128 languages the bins halve until they do.
+    """
     names = tuple(sorted(set(langs)))
+    bins = min(BINS, 1 << (max(1, WEIGHTS // len(names)).bit_length() - 1))
+    rows = Rows.of_texts(texts, bins)
     order = np.argsort(np.array([names.index(x) for x in langs]), kind="stable")
     pick = order[np.unique(np.linspace(0, len(texts) - 1, min(landmarks, len(texts))).astype(int))]
     groups = [pick[i : i + group] for i in range(0, len(pick), group)]
     kernel = np.zeros((len(texts), len(pick)))
     for i, own in enumerate(groups):
-        marks = dense([texts[k] for k in own])
-        kernel[:, i * group : i * group + len(own)] = [product(t, marks) for t in texts]
+        kernel[:, i * group : i * group + len(own)] = rows.product(rows.dense(own, bins))
     values, vectors = np.linalg.eigh((kernel[pick] + kernel[pick].T) / 2)
     keep = values > 1e-6 * values[-1]
     root = vectors[:, keep] / np.sqrt(values[keep])
@@ -109,9 +141,9 @@ def fit(texts: list[str], langs: list[str], landmarks: int = 256, ridge: float =
     weight = (1 / share)[y.argmax(axis=1)] * len(y) / len(names)  # languages count alike
     solved = np.linalg.solve((phi * weight[:, None]).T @ phi + ridge * len(y) * np.eye(phi.shape[1]), (phi * weight[:, None]).T @ y)
     folded = (root @ solved).astype(np.float32)
-    weights = np.zeros((BINS, len(names)), dtype=np.float32)
+    weights = np.zeros((bins, len(names)), dtype=np.float32)
     for i, own in enumerate(groups):
-        weights += dense([texts[k] for k in own]) @ folded[i * group : i * group + len(own)]
+        weights += rows.dense(own, bins) @ folded[i * group : i * group + len(own)]
     return Model(names, weights)
 
 
