@@ -120,7 +120,7 @@ def vector_upsert(spark, d):
 def ingest_stream(spark, d):
     """The documents as files in a folder, ingested by the stream; what it wrote equals the batch chunks."""
     base = shared_dir(spark, "ingest")
-    rows = S.files(spark, d).select("file_id", "filename", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    rows = S.texts(spark, d).select("file_id", "filename", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     rows.write.parquet(f"{base}/in")
     ingest.ingest(spark, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
     found = spark.read.parquet(f"{base}/out")

@@ -85,7 +85,7 @@ SELECT doc_id AS file_id, CAST(c AS BIGINT) AS chunk_index, doc_id || '_chunk_'
 
 @query(_packed_sql(rf"string_split_regex({_PARAGRAPHS}, '\n\s*\n')", 1800, "\n").replace("count(*) AS n_blocks", "CAST(count(*) AS BIGINT) AS n_blocks"))
 def chunk_blocks(spark, d):
-    rows = S.files(spark, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    rows = S.texts(spark, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
     found = chunk.by_blocks(rows)
     body = F.regexp_replace("text", r"^\[[^\n]*\]\n", "")
     return found.select("file_id", "chunk_index", "chunk_id", F.length(body).cast("long").alias("n_chars"), F.size(F.split(body, "\n")).cast("long").alias("n_blocks"), F.md5(body.cast("binary")).alias("body"))
@@ -96,7 +96,7 @@ p AS (SELECT doc_id, i, trim(lines[i], ' ' || chr(9) || chr(10) || chr(13)) AS b
 SELECT doc_id AS file_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS BIGINT) AS chunk_index, CAST(i AS INT) AS page_number, CAST(length(body) AS BIGINT) AS n_chars FROM p WHERE body <> ''""")
 def chunk_pages(spark, d):
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("[Page "), (i + 1).cast("string"), F.lit("]\n"), x))
-    rows = S.files(spark, d).withColumn("text", F.array_join(lines, "\n\n"))
+    rows = S.texts(spark, d).withColumn("text", F.array_join(lines, "\n\n"))
     body = F.regexp_replace("text", r"^\[[^\n]*\]\n", "")
     # a line without paragraphs inside is never divided
     return chunk.by_pages(rows).select("file_id", "chunk_index", "page_number", F.length(body).cast("long").alias("n_chars"))
@@ -108,7 +108,7 @@ _ONE_PAGE = f"(SELECT doc_id, trim({_PARAGRAPHS}, ' ' || chr(9) || chr(10) || ch
 @query(_packed_sql(r"CASE WHEN length(page) <= 2400 THEN [page] ELSE string_split_regex(page, '\n\s*\n') END", 1800, "\n\n", _ONE_PAGE).replace("count(*) AS n_blocks, ", ""))
 def chunk_long_pages(spark, d):
     """Every text is one page; those over 2,400 characters are packed by paragraph."""
-    rows = S.files(spark, d).withColumn("text", F.concat(F.lit("[Page 1]\n"), F.replace("text", F.lit("\n"), F.lit("\n\n"))))
+    rows = S.texts(spark, d).withColumn("text", F.concat(F.lit("[Page 1]\n"), F.replace("text", F.lit("\n"), F.lit("\n\n"))))
     body = F.regexp_replace("text", r"^\[[^\n]*\]\n", "")
     return chunk.by_pages(rows).select("file_id", "chunk_index", "chunk_id", F.length(body).cast("long").alias("n_chars"), F.md5(body.cast("binary")).alias("body"))
 
@@ -117,7 +117,7 @@ def chunk_long_pages(spark, d):
 w AS (SELECT doc_id AS file_id, CAST(start AS BIGINT) AS start, trim(substr(text, CAST(start AS INT) + 1, 3500), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM s)
 SELECT file_id, start, CAST(length(t) AS BIGINT) AS n_chars FROM w WHERE length(t) >= 20""")
 def graph_windows_plain(spark, d):
-    return chunk.sliding(S.files(spark, d)).select("file_id", "start", F.length("text").cast("long").alias("n_chars"))
+    return chunk.sliding(S.texts(spark, d)).select("file_id", "start", F.length("text").cast("long").alias("n_chars"))
 
 
 # ---- index and retrieval

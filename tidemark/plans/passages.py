@@ -58,7 +58,7 @@ g AS (SELECT doc_id, i, 0 AS c, length(t) AS n FROM p WHERE i = 1
 def _stamped(spark, d):
     two = lambda i: F.lpad((i % 60).cast("string"), 2, "0")
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.concat(F.lit("["), two(i + 1), F.lit(":"), two(i + 1), F.lit("] "), x))
-    return S.files(spark, d).withColumn("text", F.array_join(lines, "\n"))
+    return S.texts(spark, d).withColumn("text", F.array_join(lines, "\n"))
 
 
 @query(_STAMPED.format(size=1800, glue=1) + "SELECT doc_id AS file_id, CAST(c AS BIGINT) AS chunk_index, lpad((min(i) % 60)::VARCHAR, 2, '0') || ':' || lpad((min(i) % 60)::VARCHAR, 2, '0') AS timestamp, CAST(sum(length(t)) + count(*) - 1 AS BIGINT) AS n_chars FROM g JOIN p USING (doc_id, i) GROUP BY doc_id, c")
@@ -75,7 +75,7 @@ g AS (SELECT doc_id, i, 0 AS c, length(t) AS n FROM p WHERE i = 1
 SELECT doc_id AS file_id, CAST(c AS INT) AS window_no, CAST(min(page) AS INT) AS page_number, CAST(sum(length(t)) + 2 * (count(*) - 1) AS BIGINT) AS n_chars FROM g JOIN p USING (doc_id, i) GROUP BY doc_id, c""")
 def graph_windows_pages(spark, d):
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.concat(F.lit("[Page "), (i + 1).cast("string"), F.lit("] "), x))
-    found = chunk.windows(S.files(spark, d).withColumn("text", F.array_join(lines, "\n")), r"(?=\[Page\s*\d+)", 4200, 20)
+    found = chunk.windows(S.texts(spark, d).withColumn("text", F.array_join(lines, "\n")), r"(?=\[Page\s*\d+)", 4200, 20)
     return found.select("file_id", "window_no", "page_number", F.length("text").cast("long").alias("n_chars"))
 
 

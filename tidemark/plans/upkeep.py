@@ -266,7 +266,7 @@ def capped_bytes(spark, d):
 def chunk_dispatch(spark, d):
     """Every second text has page tags, a page a line, and is chunked by pages; the others by blocks."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.concat(F.lit("[Page "), (i + 1).cast("string"), F.lit("]\n"), x))
-    rows = S.files(spark, d).withColumn("text", F.when(F.col("file_id") % 2 == 0, F.array_join(lines, "\n\n")).otherwise(F.regexp_replace("text", r"\[Page ", "[")))
+    rows = S.texts(spark, d).withColumn("text", F.when(F.col("file_id") % 2 == 0, F.array_join(lines, "\n\n")).otherwise(F.regexp_replace("text", r"\[Page ", "[")))
     found = chunk.chunked(rows)
     return found.groupBy("file_id").agg(F.nullif(F.countDistinct("page_number"), F.lit(0)).alias("pages"))
 
@@ -276,7 +276,7 @@ SELECT doc_id AS file_id, 0 AS window_no, '00:01 - 00:02 (Speech)' AS timestamp
 def graph_windows_stamps(spark, d):
     """The first window of each text, its lines stamped as speech."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.concat(F.lit("[00:"), F.lpad((i % 50 + 1).cast("string"), 2, "0"), F.lit(" - 00:"), F.lpad((i % 50 + 2).cast("string"), 2, "0"), F.lit(" (Speech)]: "), x))
-    found = chunk.windows(S.files(spark, d).withColumn("text", F.array_join(lines, "\n")), r"(?=\[\d{1,2}:\d{2})", 3000, 15, "\n")
+    found = chunk.windows(S.texts(spark, d).withColumn("text", F.array_join(lines, "\n")), r"(?=\[\d{1,2}:\d{2})", 3000, 15, "\n")
     return found.where("window_no = 0").select("file_id", "window_no", "timestamp")
 
 

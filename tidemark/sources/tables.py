@@ -23,12 +23,17 @@ def file_type(key):
     return F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.pmod(key, F.lit(4)) + 1).cast("int"))
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file_id, conversation_id, filename, file_type, file_size_bytes, text, status): a document is a file."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "done").otherwise("failed").alias("status"))
-    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, conversation_id, filename, file_type, file_size_bytes, text): a document is a file."""
+    docs = table(spark, sf_dir, "documents")
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.element_at(F.array(*[F.lit(x) for x in (".txt", ".png", ".mp3", ".mkv", ".exe")]), (F.pmod("doc_id", F.lit(5)) + 1).cast("int")))
-    return docs.select(F.col("doc_id").alias("file_id"), F.col("source").alias("conversation_id"), name.alias("filename"), file_type(F.col("doc_id")).alias("file_type"), F.col("n_chars").alias("file_size_bytes"), "text", "status")
+    return docs.select(F.col("doc_id").alias("file_id"), F.col("source").alias("conversation_id"), name.alias("filename"), file_type(F.col("doc_id")).alias("file_type"), F.col("n_chars").alias("file_size_bytes"), "text")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of :func:`texts` with their status, which a join brings."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("file_id"), F.when(F.col("quality") == 1, "done").otherwise("failed").alias("status"))
+    return texts(spark, sf_dir).join(labels, "file_id", "left")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
