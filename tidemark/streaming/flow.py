@@ -68,18 +68,18 @@ class Store:
 
 def opened(spark: SparkSession, path: str) -> Store:
     """The store under the path, as of its last commit."""
-    fs, where = segments._files(spark, f"{path}/commits")
+    fs, where = segments.shared_files(spark, f"{path}/commits")
     names = sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
     told = [json.loads(spark.read.text(f"{path}/commits/{n}", wholetext=True).first()[0]) for n in names if n.endswith(".json")]
     return Store(spark, path, tuple(sorted(told, key=lambda c: c["batch"])))
 
 
 def _marked(spark: SparkSession, path: str, commit: dict) -> None:
-    fs, draft = segments._files(spark, f"{path}/commits/_{uuid.uuid4().hex}")
+    fs, draft = segments.shared_files(spark, f"{path}/commits/_{uuid.uuid4().hex}")
     out = fs.create(draft)
     out.write(bytearray(json.dumps(commit).encode()))
     out.close()
-    fs.rename(draft, segments._files(spark, f"{path}/commits/{commit['batch']:012d}.json")[1])
+    fs.rename(draft, segments.shared_files(spark, f"{path}/commits/{commit['batch']:012d}.json")[1])
 
 
 def applied(batch: DataFrame, number: int, path: str, extractors: dict[str, Callable[[DataFrame], DataFrame]], attempts: int = 2) -> Store:
