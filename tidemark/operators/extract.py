@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
+
 # Words that are no entities.
 STOP_ENTITIES = (
     "this,that,these,those,it,they,them,he,she,we,you,i,me,my,there,here,what,which,who,whom,whose,why,how,all,any,each,"
@@ -79,11 +81,19 @@ def clean_mention(text: Column) -> Column:
 
 def clean_name(raw: Column) -> Column:
     """An entity name, or null where the text cannot be one: too short or long, a stop word, a loose preposition."""
-    text = F.btrim(raw, F.lit(" \n\t\r"))
+    return T.let(F.btrim(raw, F.lit(" \n\t\r")), lambda text: T.let(_bare_name(text), lambda x: _named(text, x)))
+
+
+def _bare_name(text: Column) -> Column:
+    """A name without tags, marks at its ends, an article before it and a joining word behind it."""
     x = F.regexp_replace(text, TAGS, "")
     x = F.regexp_replace(x, _EDGES, "")
     x = F.btrim(F.regexp_replace(x, ARTICLES, ""), F.lit(" \n\t\r"))
-    x = F.btrim(F.regexp_replace(x, LOOSE_END, ""), F.lit(" \n\t\r"))
+    return F.btrim(F.regexp_replace(x, LOOSE_END, ""), F.lit(" \n\t\r"))
+
+
+def _named(text: Column, x: Column) -> Column:
+    """The end of :func:`clean_name`, from the trimmed text and the bare name."""
     low, words = F.lower(x), F.size(F.split(x, r"\s+"))
     bad = ~F.length(x).between(*NAME_LENGTHS) | (words > NAME_WORDS) | low.isin(STOP_ENTITIES) | low.rlike(f"^(?:{'|'.join(LEADS)}) ")
     month = x.rlike(rf"(?i)^(?:{MONTHS})\s+\d{{4}}$")
@@ -104,9 +114,21 @@ def _triple(source, relation, target, source_type, target_type, evidence) -> Col
     return F.struct(*[lit(v).alias(k) for k, v in parts.items()]).cast(_TRIPLE)
 
 
+def _dealt(chunks: DataFrame) -> DataFrame:
+    """The chunks over all tasks by their id, as a small file is read by one; the triples are told apart where they are found."""
+    return chunks.select("chunk_id", "text").repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
+
+
+def _once(rows: DataFrame, **values: Column) -> DataFrame:
+    """The rows with the values, each computed once a row: filters on them are not moved below the generator with a copy of the expressions."""
+    kept = [c for c in rows.columns if c not in values]
+    one = F.explode(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))).alias("_once")
+    return rows.select(*kept, one).select(*kept, "_once.*")
+
+
 def _kept(rows: DataFrame, order: list[str]) -> DataFrame:
     """Cleaned triples, the first of each (chunk, source, relation, target) without regard to case."""
-    rows = rows.withColumns({"source": clean_name(F.col("source")), "target": clean_name(F.col("target"))})
+    rows = _once(rows, source=clean_name(F.col("source")), target=clean_name(F.col("target")))
     rows = rows.where("source is not null and target is not null and lower(source) <> lower(target)")
     keys = [F.col("chunk_id"), F.lower("source").alias("_s"), F.col("relation"), F.lower("target").alias("_t")]
     first = rows.groupBy(*keys).agg(F.min_by(F.struct("source", "target", "source_type", "target_type", F.left("evidence", F.lit(220)).alias("evidence")), F.struct(*order)).alias("e"))
@@ -116,10 +138,12 @@ def _kept(rows: DataFrame, order: list[str]) -> DataFrame:
 def sentence_triples(chunks: DataFrame) -> DataFrame:
     """Triples of the verb patterns in sentences of 15 characters or more of (chunk_id, text)."""
     parts = F.transform(F.split("text", r"[.\n;]+"), lambda s: F.btrim(s, F.lit(" \n\t\r")))
-    s = chunks.select("chunk_id", F.posexplode(parts).alias("sentence_no", "s")).where(F.length("s") >= 15)
+    s = _dealt(chunks).select("chunk_id", F.posexplode(parts).alias("sentence_no", "s")).where(F.length("s") >= 15)
 
     def hits(no: int, pattern: str, relation: str, source_type: str, target_type: str) -> Column:
-        group = lambda n: F.regexp_extract_all("s", F.lit(pattern), F.lit(n))
+        # a match holds one of the verbs between blanks, which is found in one pass
+        held = F.col("s").rlike(rf"(?i)\s(?:{VERBS[no][0]})\s")
+        group = lambda n: F.when(held, F.regexp_extract_all("s", F.lit(pattern), F.lit(n))).otherwise(F.array().cast("array<string>"))
         ends = F.zip_with(group(1), group(2), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
         return F.transform(ends, lambda e, i: F.struct(F.lit(no).alias("pattern_no"), i.alias("hit_no"), _triple(e["x"], relation, e["y"], source_type, target_type, F.col("s")).alias("t")))
 
