@@ -155,7 +155,7 @@ def curriculum_triples(chunks: DataFrame) -> DataFrame:
     """Triples of department and minor headers, advisors with e-mail addresses, and course rows."""
     every = lambda p, g=1: F.regexp_extract_all("text", F.lit(p), F.lit(g))
     course = F.zip_with(F.zip_with(every(COURSE, 1), every(COURSE, 2), lambda a, b: F.struct(F.upper(a).alias("code"), b.alias("credits"))), F.zip_with(every(COURSE, 3), every(COURSE, 4), lambda a, b: F.struct(a.alias("before"), b.alias("term"))), lambda a, b: F.struct(a["code"].alias("code"), a["credits"].alias("credits"), b["before"].alias("before"), b["term"].alias("term")))
-    rows = chunks.where("text is not null").select("chunk_id", every(DEPARTMENT).alias("d"), every(MINOR).alias("m"), every(ADVISOR).alias("a"), F.slice(every(EMAIL), 1, 2).alias("e"), course.alias("c"))
+    rows = _once(_dealt(chunks.where("text is not null")), d=every(DEPARTMENT), m=every(MINOR), a=every(ADVISOR), e=F.slice(every(EMAIL), 1, 2), c=course).drop("text")
     rows = rows.where("size(d) + size(m) + size(c) > 0")
     dept, minor = F.concat(F.lit(DEPARTMENT_NAME), F.btrim(F.get("d", F.lit(0)))), F.concat(F.lit(MINOR_NAME), F.btrim(F.get("m", F.lit(0))))
     single = (F.size("d") == 1) & (F.size("m") == 1)
