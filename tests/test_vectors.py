@@ -51,6 +51,17 @@ def test_small_conversations_and_full_reading_are_exact(spark, tmp_path):
         assert got == {tuple(r) for r in retrieve.dense_topk(asked, every, 12).collect()}
 
 
+def test_large_conversations_are_exact_without_codes(spark, tmp_path, monkeypatch):
+    """More vectors than are read in full anyway, nearly random, so that a share of the lists would miss some of the best."""
+    monkeypatch.setattr(vectors, "SEGMENT", 200)
+    every, asked = frames(spark, clustered(5000, 24, 3000, 20.0), lambda i: "c")
+    path = str(tmp_path / "v")
+    vectors.stored(every, path, sample=1000)
+    got = {tuple(r) for r in vectors.searched(asked, path, rerank=None, share=1.0).collect()}
+    assert got == {tuple(r) for r in retrieve.dense_topk(asked, every).collect()} and len(got) == 125 * 30
+    assert got != {tuple(r) for r in vectors.searched(asked, path, rerank=100).collect()}
+
+
 def test_odd_rows(spark, tmp_path):
     rows = [("c", 1, [1.0, 0.0, 0.5]), ("c", 2, None), ("c", 3, []), ("c", 4, [1.0, None, 0.0]), ("c", 5, [float("nan"), 0.0, 0.0]), ("c", 6, [1.0, 2.0]), ("c", 7, [0.0, 1.0, 0.0]), ("c", 7, [0.0, 1.0, 0.0]), ("d", 8, [1.0, 1.0, 1.0]), ("c", 9, [0.0, 1.0, 0.0])]
     asked = spark.createDataFrame([(1, "c", [0.0, 2.0, 0.0]), (2, "c", None), (3, "none", [1.0, 0.0, 0.0]), (4, "c", [1.0])], ASKED)

@@ -212,10 +212,11 @@ def _scored(batches: Iterator[pa.RecordBatch], parts: int, keep: int) -> Iterato
             yield pa.record_batch([queries.take(pa.array(np.full(len(best), i))), ids[i].values.take(pa.array(best)), pa.array(score[best].astype(np.float64))], names=["query_id", "chunk_id", "about"])
 
 
-def searched(queries: DataFrame, path: str, limit: int = 30, rerank: int = 300, share: float | None = None, least: int = 2_000) -> DataFrame:
+def searched(queries: DataFrame, path: str, limit: int = 30, rerank: int | None = 300, share: float | None = None, least: int = 2_000) -> DataFrame:
     """(query_id, chunk_id, dense_score, dense_rank) as ``retrieve.dense_topk`` gives them, for queries (query_id, conversation_id, query_vector).
 
-    share: of the conversation, in place of the model's; 1 reads all lists.
+    share: of the conversation, in place of the model's; 1 reads all lists. rerank: None computes every vector that is read exactly, without its
+    code, where its segment lies, and passes on the ``limit`` best of each; with share 1, the result is exact at any size.
     """
     model, vectors, segments, counts = opened(queries.sparkSession, path)
     id_type, query_type = vectors.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
@@ -230,12 +231,23 @@ def searched(queries: DataFrame, path: str, limit: int = 30, rerank: int = 300,
     total = F.sum("n").over(Window.partitionBy("query_id"))
     read = lists.withColumns({"before": before, "total": total}).where(F.col("before") < F.greatest(F.col("total") * (model.share if share is None else share), F.lit(least)))
     read = read.select("query_id", "conversation_id", "list_no", "base", "scores", F.explode(F.sequence(F.lit(0), F.col("segments") - 1)).alias("segment"))
-    met = read.join(segments, ["conversation_id", "list_no", "segment"]).select("query_id", "base", "scores", "ids", "codes")
+    keys = ["conversation_id", "list_no", "segment"]
+    if rerank is None:
+        whole = read.select("query_id", *keys).join(asked.drop("conversation_id"), "query_id").join(vectors, keys)
+        each = whole.select("query_id", "list_no", "segment", "chunk_id", F.round(retrieve.dot("query_vector", "vector"), 6).alias("dense_score")).groupBy("query_id", "list_no", "segment", "chunk_id").agg(F.max("dense_score").alias("dense_score"))
+        own = Window.partitionBy("query_id", "list_no", "segment").orderBy(F.desc("dense_score"), "chunk_id")
+        return _first(each.withColumn("n", F.row_number().over(own)).where(F.col("n") <= limit), limit)
+    met = read.join(segments, keys).select("query_id", "base", "scores", "ids", "codes")
     parts = len(model.books)
     rough = met.mapInArrow(lambda batches: _scored(batches, parts, rerank), f"query_id {query_type}, chunk_id {id_type}, about double")
     first = rough.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("about"), "chunk_id"))).where(F.col("n") <= rerank)
     exact = first.select("query_id", "chunk_id").distinct().join(asked, "query_id").join(vectors.select("conversation_id", "chunk_id", "vector"), ["conversation_id", "chunk_id"])
-    hits = exact.groupBy("query_id", "chunk_id").agg(F.max(F.round(retrieve.dot("query_vector", "vector"), 6)).alias("dense_score"))
+    return _first(exact.select("query_id", "chunk_id", F.round(retrieve.dot("query_vector", "vector"), 6).alias("dense_score")), limit)
+
+
+def _first(scored: DataFrame, limit: int) -> DataFrame:
+    """The best chunks of each query by (query_id, chunk_id, dense_score), each once."""
+    hits = scored.groupBy("query_id", "chunk_id").agg(F.max("dense_score").alias("dense_score"))
     ranked = hits.withColumn("dense_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("dense_score"), "chunk_id")))
     return ranked.where(F.col("dense_rank") <= limit)
 
