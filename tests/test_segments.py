@@ -92,3 +92,14 @@ def test_long_lists_are_not_read_whole(spark, tmp_path, monkeypatch):
     split = segments.created(chunks, f"file://{tmp_path}/split")
     assert split.table("blocks").select((F.col("no") / 1_000_000).cast("int")).distinct().count() == 6
     assert plain(segments.topk(asked, split, 5)) == plain(segments.topk(asked, now, 5))
+
+
+def test_counts_without_an_index(spark, tmp_path):
+    """The same statistics as those of an index, with repeated chunks and odd rows, and no row of a posting after the texts were dealt."""
+    rows = [("a", 1, "The gears and gear, first"), ("a", 1, "gears again"), ("a", 2, "1st boxes"), ("a", 3, None), ("b", 4, "été gears"), ("b", 5, ""), (None, 6, "lost gears")]
+    chunks = spark.createDataFrame(rows, "conversation_id string, chunk_id long, text string")
+    counted = segments.term_counts(chunks)
+    told = lambda df: sorted((r.conversation_id, r.term, r.df, round(r.idf, 9)) for r in df.collect())
+    assert told(counted) == told(segments.created(chunks, str(tmp_path / "x")).idf())
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and not [x for x in plan.split("Exchange hashpartitioning(")[1:] if x.startswith("conversation_id") and "term" in x.split(",")[2]]

@@ -181,6 +181,17 @@ def docs_of(chunks: DataFrame) -> DataFrame:
     return ids.join(held.drop("conversation_id"), "chunk_id", "left").select("conversation_id", "chunk_id", F.coalesce("dl", F.lit(0).cast("long")).alias("dl"), F.coalesce("terms", none).alias("terms"))
 
 
+def term_counts(chunks: DataFrame) -> DataFrame:
+    """(conversation_id, term, df, idf) of the chunks, as an index of them tells it, by counting alone: no lists are sorted or written.
+
+    Texts are dealt by chunk once; where they land, each term of a chunk becomes one row, and rows are summed before they go on.
+    """
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    post = index.postings(chunks.select("conversation_id", "chunk_id", "text").repartition(n, "chunk_id"))
+    sizes = chunks.select("conversation_id", "chunk_id").distinct().groupBy("conversation_id").agg(F.count("*").alias("n"))
+    return index.idf(post, sizes).select("conversation_id", "term", "df", "idf")
+
+
 def blocks_of(docs: DataFrame) -> DataFrame:
     """(conversation_id, term, no, size, max_tf, min_dl, entries): postings in groups of bounded size, each sorted by contribution."""
     groups = docs.groupBy("conversation_id").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
