@@ -103,3 +103,17 @@ def test_counts_without_an_index(spark, tmp_path):
     assert told(counted) == told(segments.created(chunks, str(tmp_path / "x")).idf())
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and not [x for x in plan.split("Exchange hashpartitioning(")[1:] if x.startswith("conversation_id") and "term" in x.split(",")[2]]
+
+
+def test_no_posting_moves(spark, tmp_path):
+    """Lists are made where their chunks are dealt, and a search sums a chunk's postings before a row moves; odd words as the text functions tell them."""
+    rng = random.Random(6)
+    odd = ["_Gears_ İstanbul 2nd first dies boxes classes", "x __ été_gear naïve\n\tTESTED-minings", "²nd ٣ tests", "KKing ſing"]
+    rows = [(f"c{i % 2}" if i % 7 else None, i, rng.choice(odd) + " " + " ".join(rng.choices(WORDS, k=rng.randrange(40)))) for i in range(300)]
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    same(segments.created(chunks, f"file://{tmp_path}/lexicon").opened(), index.built(chunks))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan(segments.blocks_of(segments.docs_of(chunks))) and "Generate" not in plan(segments.blocks_of(segments.docs_of(chunks)))
+    now = segments.opened(spark, f"file://{tmp_path}/lexicon")
+    hits = plan(segments.matched(retrieve.query_terms(spark.createDataFrame([(1, "c0", "word1 word5")], "query_id int, conversation_id string, query string")), now)[1])
+    assert "partial_sum" in hits and hits.count("Exchange hashpartitioning(") == 1

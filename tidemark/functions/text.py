@@ -1,4 +1,4 @@
-"""Column expressions: tokens, stems, names, media times. No Python runs on the executors."""
+"""Column expressions: tokens, stems, names, media times; and the tokens of a word, for tasks that count words as arrays."""
 
 from __future__ import annotations
 
@@ -20,6 +20,7 @@ STOPWORDS = (
     "simply basically exactly like just query document doc docs file files information detail details mention mentioned "
     "contain contains say says said ask asked please help"
 ).split()
+STOPWORD_SET = frozenset(STOPWORDS)
 # Ordinals and their words, both ways.
 ORDINALS = dict(zip("1st 2nd 3rd 4th 5th 6th 7th 8th 9th 10th".split(), "first second third fourth fifth sixth seventh eighth ninth tenth".split()))
 TWINS = ORDINALS | {v: k for k, v in ORDINALS.items()}
@@ -74,6 +75,31 @@ def token_rows(words: DataFrame) -> DataFrame:
     return words.withColumn("term", F.explode(F.array(w, F.nullif(stem(w), w), twin(w)))).where("term is not null")
 
 
+def separated(text: Column) -> Column:
+    """The lower-case text with one blank for all between two words; :func:`tokens_of` tells what each of them emits."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", " ")
+
+
+def tokens_of(word: str) -> list[str]:
+    """The tokens of a word of :func:`separated`, as :func:`token_rows` gives them, itself first; none for a word that is dropped."""
+    w = word.strip("_")
+    if not word.isascii() or len(w) < 2:
+        return []
+    s, n = w, len(w)
+    if n > 3 and w[-1] in "sgd":
+        if w.endswith("ies") and n > 4:
+            s = w[:-3] + "y"
+        elif w[-1] == "s" and w[-2] != "s":
+            s = w[:-1]
+        elif w.endswith("ing") and n > 4:
+            s = w[:-3]
+        elif w.endswith("ed") and n > 4:
+            s = w[:-2]
+    if s is w and w not in TWINS:
+        return [w]
+    return list(dict.fromkeys((w, s, TWINS.get(w, w))))
+
+
 def tokens(text: Column, drop_stopwords: bool = False) -> Column:
     """Each word, then its stem if different, then its ordinal twin."""
     base = words(text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -16,13 +17,18 @@ class Index:
     """Stored tables that searches read in place of the texts.
 
     postings: (conversation_id, term, chunk_id, tf, content), content where a word that is no stop word gave the term;
-    stats: (conversation_id, chunk_id, dl); corpus: (conversation_id, n, avgdl); idf: (conversation_id, term, df, idf).
+    near: the postings without most chunks that lack an id (chunk_id); stats: (conversation_id, chunk_id, dl); corpus: (conversation_id, n, avgdl); idf: (conversation_id, term, df, idf).
     """
 
     postings: DataFrame
     stats: DataFrame
     corpus: DataFrame
     idf: DataFrame
+    near: Callable[[DataFrame], DataFrame] | None = None
+
+    def postings_of(self, ids: DataFrame) -> DataFrame:
+        """The postings of the chunks (chunk_id), and perhaps of more: chunks are left out before they become rows where the tables allow it."""
+        return self.near(ids) if self.near else self.postings
 
 
 def postings(chunks: DataFrame) -> DataFrame:

@@ -93,7 +93,7 @@ def coordination(queries: DataFrame, hits: DataFrame, own: index.Index) -> DataF
     total = weighed.groupBy("query_id").agg(F.sum("w").alias("total"))
     forms = weighed.withColumn("form", F.explode(F.array_compact(F.array("term", T.twin(F.col("term"))))))
     wanted = hits.select("query_id", "chunk_id").join(forms, "query_id")
-    held = own.postings.where("content").select("conversation_id", "chunk_id", F.col("term").alias("form"))
+    held = own.postings_of(hits).where("content").select("conversation_id", "chunk_id", F.col("term").alias("form"))
     matched = wanted.join(held, ["conversation_id", "chunk_id", "form"]).select("query_id", "chunk_id", "term", "w").distinct()
     matched = matched.groupBy("query_id", "chunk_id").agg(F.sum("w").alias("matched"))
     joined = hits.select("query_id", "chunk_id").join(total, "query_id", "left").join(matched, ["query_id", "chunk_id"], "left")

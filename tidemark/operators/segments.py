@@ -18,8 +18,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +34,9 @@ from tidemark.plans.lineage import cut, written
 from . import index, retrieve
 
 #: Postings of a block; chunks of a conversation whose postings of a term are sorted together; neighbours of a tier that are merged.
-BLOCK, GROUP, FANOUT = 16, 50_000, 4
+BLOCK, GROUP, FANOUT = 16, 4096, 4
+#: Postings of a conversation that are sorted together, in memory; texts counted together, in bytes; query terms sent to all tasks at once.
+POSTINGS, PIECE, ASKED = 1 << 20, 8 << 20, 200_000
 #: Part of the paths of indexes that are found by name; it changes with the tables' form.
 FORMAT = "f2"
 #: What rounding and the order of sums may change of a score.
@@ -92,11 +99,15 @@ class Lexicon:
         sums = self.table("counts").groupBy("conversation_id", "term").agg(F.sum("df").alias("df")).where("df > 0")
         return sums.join(self.corpus(), "conversation_id").select("conversation_id", "term", "df", F.log((F.col("n") + 1) / F.col("df")).alias("idf"))
 
+    def near(self, ids: DataFrame) -> DataFrame:
+        """The docs, less those without an id (chunk_id) where the ids are few enough to be sent to all tasks."""
+        once = ids.select("chunk_id").distinct()
+        return self.docs().join(F.broadcast(once), "chunk_id", "left_semi") if once.count() <= ASKED else self.docs()
+
     def opened(self) -> index.Index:
         """The tables that the searches of :mod:`retrieve` read."""
-        entries = self.live(self.table("docs").select("ord", "conversation_id", "chunk_id", F.explode("terms").alias("t")))
-        post = entries.select("conversation_id", "chunk_id", "t.term", "t.tf", "t.content")
-        return index.Index(post, self.docs().select("conversation_id", "chunk_id", "dl"), self.corpus(), self.idf())
+        entries = lambda docs: docs.select("conversation_id", "chunk_id", F.explode("terms").alias("t")).select("conversation_id", "chunk_id", "t.term", "t.tf", "t.content")
+        return index.Index(entries(self.docs()), self.docs().select("conversation_id", "chunk_id", "dl"), self.corpus(), self.idf(), lambda ids: entries(self.near(ids)))
 
 
 SCHEMAS = {
@@ -168,17 +179,45 @@ def swept(now: Lexicon) -> list[str]:
 
 # ---- segments
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(conversation_id, chunk_id, dl, terms) of chunks whose text is split into words by blanks, a piece of bounded size at a time."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False))
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + 1, PIECE), "left")) if len(ends) else []
+        for k, at in enumerate(cuts):
+            rows = batch.slice(at, (cuts[k + 1] if k + 1 < len(cuts) else batch.num_rows) - at)
+            lists = pc.split_pattern(rows["text"], " ")
+            words = lists.flatten().dictionary_encode()
+            terms: dict[str, int] = {}
+            emitted = np.full((len(words.dictionary), 3), -1, np.int64)
+            content = np.zeros(len(words.dictionary), np.int64)
+            for i, word in enumerate(words.dictionary.to_pylist()):
+                tokens = T.tokens_of(word)
+                emitted[i, : len(tokens)] = [terms.setdefault(t, len(terms)) for t in tokens]
+                content[i] = bool(tokens) and tokens[0] not in T.STOPWORD_SET
+            word, doc = words.indices.to_numpy(), np.repeat(np.arange(rows.num_rows), np.diff(lists.offsets.to_numpy()))
+            held = [(own >= 0, own) for own in emitted[word].T]
+            # sorted by (chunk, term, content), so that a run's last row tells whether any word of it is content
+            keys = np.sort(np.concatenate([(doc[m] * len(terms) + own[m]) * 2 + content[word][m] for m, own in held]))
+            first = np.flatnonzero(np.diff(keys >> 1, prepend=-1))
+            tf = np.diff(first, append=len(keys))
+            doc, term = np.divmod(keys[first] >> 1, max(len(terms), 1))
+            found = pa.StructArray.from_arrays([pa.array(list(terms), pa.string()).take(pa.array(term)), pa.array(tf), pa.array(keys[first + tf - 1] % 2 == 1)], ["term", "tf", "content"])
+            offsets = pa.array(np.searchsorted(doc, np.arange(rows.num_rows + 1)).astype(np.int32))
+            dl = np.bincount(doc, tf, rows.num_rows).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([rows["conversation_id"], rows["chunk_id"], pa.array(dl), pa.ListArray.from_arrays(offsets, found)], ["conversation_id", "chunk_id", "dl", "terms"])
+
+
 def docs_of(chunks: DataFrame) -> DataFrame:
     """(conversation_id, chunk_id, dl, terms) of (conversation_id, chunk_id, text).
 
-    Texts are dealt by chunk once; their words are counted where they land, as both aggregations are by that key.
+    Texts are dealt by chunk once; their words are counted where they land, as arrays of a piece's word numbers.
     """
     n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = chunks.select("conversation_id", "chunk_id", "text").repartition(n, "chunk_id")
-    held = index.postings(dealt).groupBy("conversation_id", "chunk_id").agg(F.sum("tf").alias("dl"), F.collect_list(F.struct("term", "tf", "content")).alias("terms"))
-    ids = dealt.select("conversation_id", "chunk_id").distinct()
-    none = F.array().cast("array<struct<term:string,tf:bigint,content:boolean>>")
-    return ids.join(held.drop("conversation_id"), "chunk_id", "left").select("conversation_id", "chunk_id", F.coalesce("dl", F.lit(0).cast("long")).alias("dl"), F.coalesce("terms", none).alias("terms"))
+    whole = dealt.groupBy("conversation_id", "chunk_id").agg(F.coalesce(F.listagg("text", F.lit(" ")), F.lit("")).alias("text"))
+    key = chunks.schema["chunk_id"].dataType.simpleString()
+    return whole.withColumn("text", T.separated(F.col("text"))).mapInArrow(_counted, f"conversation_id string, {SCHEMAS['docs'].replace('KEY', key)}")
 
 
 def term_counts(chunks: DataFrame) -> DataFrame:
@@ -186,35 +225,91 @@ def term_counts(chunks: DataFrame) -> DataFrame:
 
     Texts are dealt by chunk once; where they land, each term of a chunk becomes one row, and rows are summed before they go on.
     """
-    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    post = index.postings(chunks.select("conversation_id", "chunk_id", "text").repartition(n, "chunk_id"))
     sizes = chunks.select("conversation_id", "chunk_id").distinct().groupBy("conversation_id").agg(F.count("*").alias("n"))
-    return index.idf(post, sizes).select("conversation_id", "term", "df", "idf")
+    df = counts_of(docs_of(chunks))
+    return df.join(sizes, "conversation_id").select("conversation_id", "term", "df", F.log((F.col("n") + 1) / F.col("df")).alias("idf"))
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of groups that come one after another, each by chunk_id; some groups at a time."""
+    def blocks(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        group, counts, dl = _places(rows), _one(rows, "tf"), _one(rows, "dl").to_numpy()
+        row = np.repeat(np.arange(len(counts)), np.diff(counts.offsets.to_numpy()))
+        term, tf = pc.split_pattern(_one(rows, "terms"), " ").flatten().dictionary_encode(), counts.flatten().to_numpy()
+        key = group[row] * max(len(term.dictionary), 1) + term.indices.to_numpy()
+        order = np.lexsort((((1 << 31) - tf << 32) + dl[row], key))  # stable, so equal ones stay by chunk_id
+        key, row, tf = key[order], row[order], tf[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        place = np.arange(len(key)) - np.repeat(first, np.diff(first, append=len(key)))
+        at = np.flatnonzero(place % BLOCK == 0)
+        entries = pa.StructArray.from_arrays([_one(rows, "chunk_id").take(pa.array(row)), pa.array(tf), pa.array(dl[row])], ["chunk_id", "tf", "dl"])
+        least = np.minimum.reduceat(dl[row], at) if len(at) else dl[:0]
+        no = _one(rows, "g").to_numpy()[row[at]] * 1_000_000 + place[at] // BLOCK
+        size = np.diff(at, append=len(key)).astype(np.int32)
+        columns = [_one(rows, "conversation_id").take(pa.array(row[at])), term.dictionary.take(pa.array(term.indices.to_numpy()[order][at])), pa.array(no), pa.array(size), pa.array(tf[at]), pa.array(least), pa.ListArray.from_arrays(pa.array(np.append(at, len(key)).astype(np.int32)), entries)]
+        return pa.RecordBatch.from_arrays(columns, ["conversation_id", "term", "no", "size", "max_tf", "min_dl", "entries"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch["tf"].flatten())
+        if n >= POSTINGS:
+            rows = pa.Table.from_batches(held)
+            place = _places(rows)
+            whole = int(np.searchsorted(place, place[-1]))  # the last group may go on
+            if whole:
+                yield blocks(rows.slice(0, whole))
+                held = rows.slice(whole).to_batches()
+                n = sum(len(b["tf"].flatten()) for b in held)
+    if held:
+        yield blocks(pa.Table.from_batches(held))
+
+
+def _one(rows: pa.Table, name: str) -> pa.Array:
+    parts = rows[name].chunks
+    return parts[0] if len(parts) == 1 else pa.concat_arrays(parts) if parts else pa.array([], rows.schema.field(name).type)
+
+
+def _places(rows: pa.Table) -> np.ndarray:
+    """The number of each row's group (conversation_id, g), in order."""
+    own = _one(rows, "conversation_id").dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    return np.cumsum((np.diff(own, prepend=own[:1]) != 0) | (np.diff(g := _one(rows, "g").to_numpy(), prepend=g[:1]) != 0))
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
-    """(conversation_id, term, no, size, max_tf, min_dl, entries): postings in groups of bounded size, each sorted by contribution."""
-    groups = docs.groupBy("conversation_id").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    rows = docs.join(groups, docs["conversation_id"].eqNullSafe(groups["conversation_id"])).drop(groups["conversation_id"])
-    rows = rows.select("conversation_id", "chunk_id", "dl", F.pmod(F.xxhash64("chunk_id"), F.col("groups")).alias("g"), F.explode("terms").alias("t"))
-    rows = rows.select("conversation_id", "t.term", "g", "chunk_id", "t.tf", "dl")
-    place = F.row_number().over(Window.partitionBy("conversation_id", "term", "g").orderBy(F.desc("tf"), "dl", "chunk_id")) - 1
-    cutted = rows.withColumn("i", F.floor(place / BLOCK)).groupBy("conversation_id", "term", "g", "i").agg(
-        F.count("*").cast("int").alias("size"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(F.struct("chunk_id", "tf", "dl")).alias("entries"),
-    )
-    return cutted.select("conversation_id", "term", (F.col("g") * 1_000_000 + F.col("i")).cast("long").alias("no"), "size", "max_tf", "min_dl", "entries")
+    """(conversation_id, term, no, size, max_tf, min_dl, entries): postings in groups of bounded size, each sorted by contribution.
+
+    Chunks are dealt by group, not postings by term: all lists of a group are made in its task, and what a search finds of a chunk lies together.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = F.greatest(F.count("*") / GROUP, F.sum(F.size("terms")) / POSTINGS)
+    # only conversations of several groups: at most one for so many chunks or postings
+    large = docs.groupBy(F.col("conversation_id").alias("_conversation")).agg(F.ceil(most).alias("groups")).where("groups > 1")
+    rows = docs.where(F.size("terms") > 0).join(F.broadcast(large), F.col("conversation_id").eqNullSafe(F.col("_conversation")), "left")
+    group = F.coalesce(F.pmod(F.xxhash64("chunk_id"), F.col("groups")), F.lit(0).cast("long"))
+    # terms hold no blanks; as one text they are fewer bytes than an array
+    rows = rows.select("conversation_id", group.alias("g"), "chunk_id", "dl", F.array_join("terms.term", " ").alias("terms"), F.col("terms.tf").alias("tf"))
+    dealt = rows.repartition(n, "conversation_id", "g").sortWithinPartitions("conversation_id", "g", "chunk_id")
+    key = docs.schema["chunk_id"].dataType.simpleString()
+    return dealt.mapInArrow(_listed, f"conversation_id string, {SCHEMAS['blocks'].replace('KEY', key)}")
 
 
 def counts_of(docs: DataFrame, sign: int = 1) -> DataFrame:
     return docs.select("conversation_id", F.explode("terms.term").alias("term")).groupBy("conversation_id", "term").agg((sign * F.count("*")).alias("df"))
 
 
+def counts_in(blocks: DataFrame) -> DataFrame:
+    """The counts of the chunks from their lists."""
+    return blocks.groupBy("conversation_id", "term").agg(F.sum("size").alias("df"))
+
+
 def sizes_of(docs: DataFrame, sign: int = 1) -> DataFrame:
     return docs.groupBy("conversation_id").agg((sign * F.count("*")).alias("n"), (sign * F.sum("dl")).alias("dl"))
 
 
 def _saved(now: Lexicon, ord_: int, docs: DataFrame, gone: DataFrame | None, counts=None, sizes=None) -> Segment:
-    """Writes a segment. counts, sizes: what makes its sums of its stored docs, by default their own."""
+    """Writes a segment. counts, sizes: what makes its sums of its stored blocks and docs, by default their own."""
     name = f"s{ord_:08d}-{uuid.uuid4().hex[:8]}"
 
     def put(df: DataFrame, table: str, order: list[str]) -> DataFrame:
@@ -224,8 +319,8 @@ def _saved(now: Lexicon, ord_: int, docs: DataFrame, gone: DataFrame | None, cou
         return now.spark.read.schema(df.schema).parquet(where)
 
     kept = put(docs, "docs", [])
-    put(blocks_of(kept), "blocks", ["conversation_id", "term", "no"])
-    put((counts or counts_of)(kept), "counts", ["conversation_id", "term"])
+    lists = put(blocks_of(kept), "blocks", [])
+    put((counts or counts_in)(lists), "counts", ["conversation_id", "term"])
     put((sizes or sizes_of)(kept), "sizes", [])
     went = put(gone if gone is not None else now.spark.createDataFrame([], f"chunk_id {now.key}"), "gone", [])
     return Segment(name, ord_, kept.count(), went.count())
@@ -246,7 +341,7 @@ def changed(now: Lexicon, new: DataFrame, gone: DataFrame | None = None) -> Lexi
     near = now.table("docs").where(F.col("chunk_id").between(F.lit(edge["a"]), F.lit(edge["b"])) if edge["a"] is not None else F.lit(False))
     removed = written(now.live(near).join(out, "chunk_id", "left_semi").select("conversation_id", "chunk_id", "dl", "terms"))
     summed = lambda parts, *keys: parts.groupBy("conversation_id", *keys)
-    counts = lambda kept: summed(counts_of(kept).union(counts_of(removed, -1)), "term").agg(F.sum("df").alias("df")).where("df <> 0")
+    counts = lambda lists: summed(counts_in(lists).union(counts_of(removed, -1)), "term").agg(F.sum("df").alias("df")).where("df <> 0")
     sizes = lambda kept: summed(sizes_of(kept).union(sizes_of(removed, -1))).agg(F.sum("n").alias("n"), F.sum("dl").alias("dl")).where("n <> 0 or dl <> 0")
     added = _saved(now, 1 + max((s.ord for s in now.segments), default=0), docs_of(new), removed.select("chunk_id"), counts, sizes)
     return tidied(_committed(now, [*now.segments, added]))
@@ -296,71 +391,94 @@ class Found:
     read: DataFrame
 
 
+def _asked(terms: DataFrame, own: Lexicon) -> DataFrame:
+    """The query terms (query_id, conversation_id, term, mult) that the index knows, with idf and avgdl, written."""
+    counts = own.table("counts").join(terms.select("conversation_id", "term").distinct(), ["conversation_id", "term"], "left_semi")
+    known = counts.groupBy("conversation_id", "term").agg(F.sum("df").alias("df")).where("df > 0")
+    rows = terms.join(known, ["conversation_id", "term"]).join(own.corpus(), "conversation_id")
+    return cut(rows.select("query_id", "conversation_id", "term", "mult", F.log((F.col("n") + 1) / F.col("df")).alias("idf"), "avgdl"))
+
+
+def _parts(queries: DataFrame) -> list[DataFrame]:
+    """The terms of the queries, in as many parts as let each be sent to all tasks."""
+    terms = cut(retrieve.query_terms(queries))
+    n = -(-terms.count() // ASKED)
+    return [terms.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [terms]
+
+
+def _scores(own: Lexicon, terms: DataFrame, kept: Column | None = None, *more: str) -> DataFrame:
+    """(query_id, conversation_id, chunk_id, score) from the blocks of the terms (query_id, conversation_id, term, w, avgdl), or those kept of them.
+
+    The terms go to the blocks. A chunk's postings lie in one file, so they are summed before any row moves.
+    """
+    key = ["conversation_id", "term", *more]
+    rows = own.table("blocks").select("ord", "conversation_id", "term", "no", "max_tf", "min_dl", "entries").join(F.broadcast(terms), key)
+    rows = rows if kept is None else rows.where(kept)
+    rows = own.live(rows.select("ord", "query_id", "conversation_id", "w", "avgdl", F.explode("entries").alias("e")).select("*", "e.*"))
+    return rows.groupBy("query_id", "conversation_id", "chunk_id").agg(F.sum(F.col("w") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
+
+
 def found(queries: DataFrame, own: Lexicon, limit: int = 30) -> Found:
     """The chunks that can be among the ``limit`` best of each query (query_id, conversation_id, query) by their matches."""
-    asked = cut(retrieve.query_terms(queries))
-    counts = own.table("counts").join(asked.select("conversation_id", "term").distinct(), ["conversation_id", "term"], "left_semi")
-    known = counts.groupBy("conversation_id", "term").agg(F.sum("df").alias("df")).where("df > 0")
-    terms = asked.join(known, ["conversation_id", "term"]).join(own.corpus(), "conversation_id").withColumn("idf", F.log((F.col("n") + 1) / F.col("df")))
-    terms = cut(terms.select("query_id", "conversation_id", "term", "mult", "idf", "avgdl", (F.col("mult") * F.col("idf")).alias("w")))
-    key = ["conversation_id", "term", "ord", "no"]
-    slim = own.table("blocks").select(*key, "size", "max_tf", "min_dl").join(terms.drop("mult", "idf"), ["conversation_id", "term"])
-    bound = F.col("w") * weight(F.col("max_tf"), F.col("min_dl"), F.col("avgdl"))
-    each = Window.partitionBy("query_id", "term").orderBy(F.desc("bound"), "ord", "no")
-    slim = cut(slim.select("query_id", *key, "size", bound.alias("bound")).withColumn("n", F.row_number().over(each)))
+    return _found(retrieve.query_terms(queries), own, limit)
 
-    def scores(wanted: DataFrame) -> DataFrame:
-        """(query_id, conversation_id, chunk_id, score) from the wanted blocks (query_id, *key); a block is read once for all its queries."""
-        once = own.table("blocks").select(*key, "entries").join(wanted.select(*key).distinct(), key, "left_semi")
-        rows = own.live(once.select(*key, F.explode("entries").alias("e")).select(*key, "e.*"))
-        rows = rows.join(wanted.select("query_id", *key), key).join(terms.select("query_id", "term", "w", "avgdl"), ["query_id", "term"])
-        score = F.col("w") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
-        return rows.groupBy("query_id", "conversation_id", "chunk_id").agg(F.sum(score).alias("score"))
+
+def _found(asked: DataFrame, own: Lexicon, limit: int) -> Found:
+    terms = _asked(asked, own).withColumn("w", F.col("mult") * F.col("idf"))
+    bound = F.col("w") * weight(F.col("max_tf"), F.col("min_dl"), F.col("avgdl"))
+    sizes = own.table("blocks").select("ord", "conversation_id", "term", "no", "size", "max_tf", "min_dl").join(F.broadcast(terms), ["conversation_id", "term"])
+    sizes = sizes.select("query_id", "conversation_id", "term", "ord", "no", "size", "w", "avgdl", bound.alias("bound"))
+    # the best block of each term, and the postings of all its blocks
+    best = F.max_by(F.struct("ord", "no", "size"), F.struct("bound", -F.col("ord"), -F.col("no"))).alias("b")
+    best = cut(sizes.groupBy("query_id", "conversation_id", "term", "w", "avgdl").agg(best, F.max("bound").alias("most"), F.sum("size").alias("all_sizes")).select("*", "b.*").drop("b"))
 
     # the k-th score can't be below the k-th of what the best blocks alone give
-    first = scores(slim.where("n = 1")).withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"))))
+    first = _scores(own, best.select("query_id", "conversation_id", "term", "w", "avgdl", "ord", "no"), None, "ord", "no")
+    first = first.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"))))
     floor = first.where(F.col("n") == limit).select("query_id", (F.col("score") - MARGIN).alias("floor"))
-    most = slim.where("n = 1").select("query_id", "term", F.col("bound").alias("most")).join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    most = best.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
     whole = Window.partitionBy("query_id")
     most = most.withColumn("needed", F.sum("most").over(whole.orderBy("most", "term")) >= F.col("floor"))
     most = cut(most.withColumns({"all": F.sum("most").over(whole), "rest": F.sum(F.when(~F.col("needed"), F.col("most")).otherwise(0.0)).over(whole)}))
-    wanted = slim.join(most.where("needed"), ["query_id", "term"]).where(F.col("bound") + F.col("all") - F.col("most") >= F.col("floor"))
-    wanted = cut(wanted.select("query_id", *key, "size"))
-    others = most.groupBy("query_id", "floor", "rest").agg(F.collect_list(F.when(~F.col("needed"), F.col("term"))).alias("others"))
-    good = cut(scores(wanted).join(others, "query_id").where(F.col("score") + F.col("rest") >= F.col("floor")))
-
-    asks = good.where(F.size("others") > 0)
-    held = own.live(own.table("docs").select("ord", "chunk_id", "dl", "terms")).join(asks.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    rows = asks.join(held, "chunk_id").select("query_id", "chunk_id", "dl", F.explode(F.filter("terms", lambda t: F.array_contains("others", t["term"]))).alias("t"))
-    rows = rows.select("query_id", "chunk_id", "dl", "t.term", "t.tf").join(terms.select("query_id", "term", "w", "avgdl"), ["query_id", "term"])
+    wanted = F.col("bound") + F.col("all") - F.col("most") >= F.col("floor")
+    needed = most.where("needed").select("query_id", "conversation_id", "term", "w", "avgdl", "all", "most", "floor")
+    rest = most.groupBy("query_id", "floor", "rest").agg(F.count_if(~F.col("needed")).alias("others"))
+    hits = _scores(own, needed, bound + F.col("all") - F.col("most") >= F.col("floor")).join(F.broadcast(rest), "query_id").where(F.col("score") + F.col("rest") >= F.col("floor"))
+    good = cut(hits.select("query_id", "conversation_id", "chunk_id", "score", "others"))
+
+    # the chunks found ask their own terms for the rest; these are summed in the chunk's task as well
+    asks = good.where("others > 0")
+    others = most.where("not needed").select("query_id", F.col("conversation_id").alias("_conversation"), F.col("term").alias("_term"), "w", "avgdl")
+    held = own.near(asks)
+    rows = held.select("conversation_id", "chunk_id", "dl", F.explode("terms").alias("t")).select("*", "t.term", "t.tf")
+    rows = rows.join(F.broadcast(others), (F.col("conversation_id") == F.col("_conversation")) & (F.col("term") == F.col("_term")))
     more = rows.groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("more"))
-    hits = good.join(more, ["query_id", "chunk_id"], "left").select("query_id", "conversation_id", "chunk_id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("extra"))
+    out = good.join(more, ["query_id", "chunk_id"], "left").select("query_id", "conversation_id", "chunk_id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("extra"))
 
-    every = slim.groupBy("query_id").agg(F.sum("size").alias("postings"), F.sum(F.when(F.col("n") == 1, F.col("size"))).alias("first"))
-    scored = wanted.join(slim.where("n = 1").select("query_id", *key), ["query_id", *key], "left_anti").groupBy("query_id").agg(F.sum("size").alias("later"))
+    every = best.groupBy("query_id").agg(F.sum("all_sizes").alias("postings"), F.sum("size").alias("first"))
+    others_read = sizes.drop("w", "avgdl").join(F.broadcast(most.select("query_id", "conversation_id", "term", "needed", "all", "most", "floor", F.col("ord").alias("_ord"), F.col("no").alias("_no"))), ["query_id", "conversation_id", "term"])
+    others_read = others_read.where(F.col("needed") & wanted & ((F.col("ord") != F.col("_ord")) | (F.col("no") != F.col("_no")))).groupBy("query_id").agg(F.sum("size").alias("later"))
     looked = asks.groupBy("query_id").agg(F.count("*").alias("looked_up"))
-    read = every.join(scored, "query_id", "left").join(looked, "query_id", "left")
+    read = every.join(others_read, "query_id", "left").join(looked, "query_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    return Found(terms, hits, read.select("query_id", "postings", (F.col("first") + zero("later")).alias("scored"), zero("looked_up").alias("looked_up")))
+    return Found(terms, out, read.select("query_id", "postings", (F.col("first") + zero("later")).alias("scored"), zero("looked_up").alias("looked_up")))
 
 
-def matched(queries: DataFrame, own: Lexicon) -> tuple[DataFrame, DataFrame]:
-    """(terms, hits) as of :func:`found`, with every chunk that holds a term of its query: blocks carry all that a score needs."""
-    asked = retrieve.query_terms(queries)
-    terms = cut(asked.join(own.idf(), ["conversation_id", "term"]).join(own.corpus().select("conversation_id", "avgdl"), "conversation_id"))
-    rows = own.table("blocks").select("ord", "conversation_id", "term", "entries").join(terms, ["conversation_id", "term"])
-    rows = own.live(rows.select("ord", "query_id", "conversation_id", "mult", "idf", "avgdl", F.explode("entries").alias("e")).select("*", "e.*"))
-    score = F.col("mult") * F.col("idf") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    return terms, rows.groupBy("query_id", "conversation_id", "chunk_id").agg(F.sum(score).alias("extra"))
+def matched(asked: DataFrame, own: Lexicon) -> tuple[DataFrame, DataFrame]:
+    """(terms, hits) as of :func:`found`, with every chunk that holds one of the terms asked: blocks carry all that a score needs."""
+    terms = _asked(asked, own)
+    hits = _scores(own, terms.select("query_id", "conversation_id", "term", (F.col("mult") * F.col("idf")).alias("w"), "avgdl"))
+    return terms, hits.withColumnRenamed("score", "extra")
 
 
 def every(queries: DataFrame, own: Lexicon, limit: int = 30, of_type: DataFrame | None = None) -> DataFrame:
     """The rows of :func:`retrieve.bm25_topk`, from the blocks of the queries' terms alone; the better way where lists are short."""
-    terms, hits = matched(queries, own)
-    return retrieve.ranked(terms, hits, own.docs().select("conversation_id", "chunk_id"), limit, of_type)
+    stats = own.docs().select("conversation_id", "chunk_id")
+    return reduce(DataFrame.union, [retrieve.ranked(*matched(part, own), stats, limit, of_type) for part in _parts(queries)])
 
 
 def topk(queries: DataFrame, own: Lexicon, limit: int = 30) -> DataFrame:
     """The same rows by :func:`found`."""
-    got = found(queries, own, limit)
-    return retrieve.ranked(got.terms, got.hits, own.docs().select("conversation_id", "chunk_id"), limit)
+    stats = own.docs().select("conversation_id", "chunk_id")
+    got = [_found(part, own, limit) for part in _parts(queries)]
+    return reduce(DataFrame.union, [retrieve.ranked(g.terms, g.hits, stats, limit) for g in got])
