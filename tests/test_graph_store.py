@@ -76,3 +76,17 @@ def test_an_empty_store_and_a_taken_number(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(graph_store, "folders", lambda *_: [])
     with pytest.raises(RuntimeError):
         graph_store.changed(spark, path, new=none)
+
+
+def test_a_large_file_is_dealt_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(graph_store, "PIECE", 200)
+    path, rng = str(tmp_path / "g"), random.Random(3)
+    rows = [("a", i, f"n{rng.randrange(900)}", "R", f"m{rng.randrange(900)}", "f") for i in range(6_000)] + [("a", 9_000, "x", "R", "y", "g")]
+    graph_store.changed(spark, path, new=spark.createDataFrame(rows, ROWS))
+    graph_store.changed(spark, path, gone=spark.createDataFrame([("a", "g")], FILES))
+    graph_store.merged(spark, path)
+    files = [spark.read.parquet(str(f)).count() for f in (tmp_path / "g").glob("*/edges/*/*.parquet")]
+    assert max(files) < 300 and len(files) > 40
+    held = graph_store.edges(spark, path)
+    assert held.rdd.getNumPartitions() > 20 and graph_store.nodes(spark, path).rdd.getNumPartitions() > 5
+    agrees(spark, path, {("a", "f"): rows[:-1]})

@@ -14,15 +14,21 @@ many sightings, and other columns are ignored. An empty store has no rows.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans.lineage import cut
+
 from .segments import shared_files
 
 #: Folders that the rows of a change are dealt over by their file, so that a change reads a part of them.
 BUCKETS = 64
+#: About so many rows are a task's work, and a file, however large a file's graph is; keys of joins up to KEYS are sent to the rows.
+PIECE, KEYS = 1 << 18, 200_000
 EDGES = "conversation_id string, file_id string, source string, relation string, target string, seq long, n long, sign int, bucket int"
 NODES, FILES = "conversation_id string, node string, n long", "conversation_id string, file_id string, n long"
 _OWN = ["conversation_id", "file_id", "source", "relation", "target", "seq", "n", "bucket"]
@@ -32,6 +38,24 @@ def _bucket() -> Column:
     return F.pmod(F.hash("conversation_id", "file_id"), F.lit(BUCKETS)).cast("int")
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by the keys over as many tasks as they need. A task that reads files has as many rows as fit its bytes, too many to group."""
+    n = -(-rows.count() // PIECE)
+    return rows.repartition(n, *keys) if n > 1 else rows
+
+
+def _pieces(rows: DataFrame) -> DataFrame:
+    """Rows with their bucket, in pieces of about PIECE rows, each a task; a bucket lies in as few as its rows fill. The rows are read twice, once to be counted."""
+    sizes = sorted((r["bucket"], r["count"]) for r in rows.groupBy("bucket").count().collect())  # at most BUCKETS numbers
+    if not sizes:
+        return rows.withColumn("piece", F.lit(0))
+    before = dict(zip((b for b, _ in sizes), itertools.accumulate((n for _, n in sizes), initial=0)))
+    of = lambda told: F.element_at(F.create_map(*[F.lit(x) for pair in told for x in pair]), F.col("bucket"))
+    place = of(before.items()) + F.pmod(F.xxhash64("source", "relation", "target"), of(sizes))
+    pieces = -(-sum(n for _, n in sizes) // PIECE)
+    return rows.withColumn("piece", F.floor(place / PIECE).cast("int")).repartitionById(pieces, F.col("piece"))
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
     """The folders that count, oldest first."""
     fs, where = shared_files(spark, path)
@@ -41,19 +65,18 @@ def folders(spark: SparkSession, path: str) -> list[str]:
 
 
 def _table(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    rows = spark.createDataFrame([], schema)
-    for f in folders(spark, path):  # each on its own, as its buckets are folders below it
-        rows = rows.unionByName(spark.read.schema(schema).parquet(f"{path}/{f}/{name}"))
-    return rows
+    # each on its own, as its buckets are folders below it
+    parts = [spark.read.schema(schema).parquet(f"{path}/{f}/{name}") for f in folders(spark, path)]
+    return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
-def _living(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*_OWN).agg(F.sum("sign").cast("int").alias("sign")).where("sign > 0")
+def _living(rows: DataFrame, *dealt_by: str) -> DataFrame:
+    return rows.groupBy(*_OWN, *dealt_by).agg(F.sum("sign").cast("int").alias("sign")).where("sign > 0")
 
 
 def nodes(spark: SparkSession, path: str) -> DataFrame:
     """(conversation_id, node, n): the nodes that some row touches, from the counts alone."""
-    return _table(spark, path, "nodes", NODES).groupBy("conversation_id", "node").agg(F.sum("n").alias("n")).where("n > 0")
+    return _dealt(_table(spark, path, "nodes", NODES), "conversation_id", "node").groupBy("conversation_id", "node").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -63,8 +86,9 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 def edges(spark: SparkSession, path: str) -> DataFrame:
     """(conversation_id, source, relation, target, seq, file_id, sightings): each edge once, by its first sighting in a file that is still there."""
-    rows = _living(_table(spark, path, "edges", EDGES))
-    return rows.groupBy("conversation_id", "source", "relation", "target").agg(F.min(F.struct("seq", "file_id")).alias("e"), F.sum(F.col("n") * F.col("sign")).alias("sightings")).select("conversation_id", "source", "relation", "target", "e.seq", "e.file_id", "sightings")
+    edge = ["conversation_id", "source", "relation", "target"]
+    rows = _living(_dealt(_table(spark, path, "edges", EDGES), *edge))
+    return rows.groupBy(*edge).agg(F.min(F.struct("seq", "file_id")).alias("e"), F.sum(F.col("n") * F.col("sign")).alias("sightings")).select("conversation_id", "source", "relation", "target", "e.seq", "e.file_id", "sightings")
 
 
 def changed(spark: SparkSession, path: str, gone: DataFrame | None = None, new: DataFrame | None = None) -> str:
@@ -72,32 +96,31 @@ def changed(spark: SparkSession, path: str, gone: DataFrame | None = None, new:
     parts = []
     if new is not None:
         kept = new.where("source <> '' and target <> '' and source <> target").withColumn("file_id", F.coalesce("file_id", F.lit("")))
-        parts.append(kept.groupBy("conversation_id", "file_id", "source", "relation", "target").agg(F.min("seq").cast("long").alias("seq"), F.count("*").alias("n")).withColumns({"sign": F.lit(1), "bucket": _bucket()}))
+        kept = _pieces(kept.select("conversation_id", "file_id", "source", "relation", "target", "seq", _bucket().alias("bucket")))
+        parts.append(kept.groupBy("conversation_id", "file_id", "source", "relation", "target", "bucket", "piece").agg(F.min("seq").cast("long").alias("seq"), F.count("*").alias("n")).withColumn("sign", F.lit(1)))
     if gone is not None:
-        gone = gone.select("conversation_id", F.coalesce("file_id", F.lit("")).alias("file_id")).distinct().withColumn("bucket", _bucket())
+        gone = cut(gone.select("conversation_id", F.coalesce("file_id", F.lit("")).alias("file_id")).distinct().withColumn("bucket", _bucket()))
         read = [r[0] for r in gone.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-        held = _living(_table(spark, path, "edges", EDGES).where(F.col("bucket").isin(read))) if read else spark.createDataFrame([], EDGES)
-        parts.append(_met(held, gone, "left_semi", "conversation_id", "file_id").withColumn("sign", -F.col("sign")))
-    rows = spark.createDataFrame([], EDGES)
-    for part in parts:
-        rows = rows.unionByName(part)
+        if read:
+            held = _met(_table(spark, path, "edges", EDGES).where(F.col("bucket").isin(read)), gone, "left_semi", "conversation_id", "file_id")
+            parts.append(_living(_pieces(held), "piece").withColumn("sign", -F.col("sign")))
+    rows = functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], EDGES)
     return _added(spark, path, "d", rows)
 
 
 def merged(spark: SparkSession, path: str) -> str:
     """One folder with the living rows in place of all before it; those stay until they are deleted, as a reader may use them."""
-    return _added(spark, path, "b", _living(_table(spark, path, "edges", EDGES)))
+    return _added(spark, path, "b", _living(_pieces(_table(spark, path, "edges", EDGES)), "piece"))
 
 
 def _added(spark: SparkSession, path: str, kind: str, rows: DataFrame) -> str:
     known = folders(spark, path)
     number = int(known[-1][1:]) + 1 if known else 1
     draft = f"{path}/_{uuid.uuid4().hex}"
-    # few files a bucket, and a bucket with a large file in several tasks
-    rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{draft}/edges")
+    rows.drop("piece").write.partitionBy("bucket").parquet(f"{draft}/edges")
     own = spark.read.schema(EDGES).parquet(f"{draft}/edges")
     own.groupBy("conversation_id", "file_id").agg(F.sum("sign").alias("n")).write.parquet(f"{draft}/files")
-    ends = own.select("conversation_id", F.explode(F.array("source", "target")).alias("node"), "sign")
+    ends = _dealt(own.select("conversation_id", "source", "target", "sign"), "conversation_id", "source", "target").select("conversation_id", F.explode(F.array("source", "target")).alias("node"), "sign")
     ends.groupBy("conversation_id", "node").agg(F.sum("sign").alias("n")).where("n <> 0").write.parquet(f"{draft}/nodes")
     fs, made = shared_files(spark, draft)
     taken = any(fs.exists(shared_files(spark, f"{path}/{k}{number:08d}")[1]) for k in "bd")
@@ -109,7 +132,8 @@ def _added(spark: SparkSession, path: str, kind: str, rows: DataFrame) -> str:
 
 def _met(rows: DataFrame, other: DataFrame, how: str, *keys: str) -> DataFrame:
     """Rows that meet a row of the other frame (left_semi) or none (left_anti); null equals null."""
-    told = other.select(*[F.col(k).alias(f"other_{k}") for k in keys]).distinct()
+    told = cut(other.select(*[F.col(k).alias(f"other_{k}") for k in keys]).distinct())
+    told = F.broadcast(told) if told.count() <= KEYS else told  # few keys would deal all rows to as few tasks
     on = [F.col(k).eqNullSafe(F.col(f"other_{k}")) for k in keys]
     return rows.join(told, on, how)
 

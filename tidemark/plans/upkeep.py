@@ -56,8 +56,8 @@ def graph_upkeep(spark, d):
     path, seq = shared_dir(spark, "graphs"), F.col("seq")
     file = F.when(F.col("file_id") == "", "").otherwise(F.concat_ws("-", "file_id", (seq % 5).cast("string")))
     rows = written(S.edges(spark, d).withColumns({"file_id": file, "conversation_id": F.concat(F.lit("g"), F.when(seq % 7 == 0, 2).otherwise(seq % 2).cast("string"))}))
-    told = rows.where("file_id <> ''").select("conversation_id", "file_id").distinct()
-    every = rows.select("conversation_id").distinct()
+    told = written(rows.where("file_id <> ''").select("conversation_id", "file_id").distinct())
+    every = written(rows.select("conversation_id").distinct())
     graph_store.ready(spark, path, every, told, rows)
     graph_store.changed(spark, path, gone=told.where("file_id like '%-1'"))
     graph_store.merged(spark, path)
