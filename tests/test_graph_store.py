@@ -90,3 +90,13 @@ def test_a_large_file_is_dealt_in_pieces(spark, tmp_path, monkeypatch):
     held = graph_store.edges(spark, path)
     assert held.rdd.getNumPartitions() > 20 and graph_store.nodes(spark, path).rdd.getNumPartitions() > 5
     agrees(spark, path, {("a", "f"): rows[:-1]})
+
+
+def test_a_saved_graph_is_packed_and_reads_back(spark, tmp_path):
+    rows = [(i, f"n{i}", "R", f"m{i}", "f", f"n{i} R m{i}") for i in range(2_000)]
+    edges = spark.createDataFrame(rows, "seq long, source string, relation string, target string, file_id string, evidence string")
+    graph.saved(spark.createDataFrame([("n1", "Näme")], "id string, name string"), edges, str(tmp_path / "g"))
+    plain = sum(len(r) for r in edges.toJSON().collect())
+    assert sum(f.stat().st_size for f in (tmp_path / "g/edges").glob("part-*")) < plain / 4
+    nodes, back = graph.loaded(spark, str(tmp_path / "g"))
+    assert sorted(tuple(r) for r in back.select(*edges.columns).collect()) == rows and [(r.node, r.name) for r in nodes.collect()] == [("n1", "Näme")]
