@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than its whole job."""
 
 from tidemark.operators import graph, resolve
+from tidemark.plans.answers import traverse
 from tidemark.plans.catalogue import shortest_path
 from tidemark.plans.upkeep import path_hops_metadata
 
@@ -29,3 +30,8 @@ def test_supplier_path_of_more_than_two_steps(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert [tuple(r) for r in shortest_path(spark, str(tmp_path)).collect()] == [("S:1>N:1>R:0>N:2>S:2", 4)]
     assert path_hops_metadata(spark, str(tmp_path)).count() == 4
+
+
+def test_edges_of_a_walk_are_made_once(spark):
+    """What follows the walk reads the edges as they were written, not the line items again."""
+    assert not [f for f in traverse(spark, "/root/testdata/sf0.001").inputFiles() if "lineitem" in f]

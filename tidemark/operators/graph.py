@@ -152,7 +152,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     The edge side and each level are checkpointed, so a level's plan does not contain the earlier ones.
     """
     both = cut(ends(edges).select("node", "other").distinct())
-    seen = front = seeds.select("node").distinct().withColumn("depth", F.lit(0))
+    seen = front = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     for level in range(1, depth + 1):
         step = both.join(front.select("node"), "node").select(F.col("other").alias("node")).distinct()
         front = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)))
@@ -178,7 +178,8 @@ def shortest_paths(edges: DataFrame, source: str, target: str, log: list | None
     """
     both = cut(ends(edges).select("node", "other").distinct())
     spark = edges.sparkSession
-    front = {s: spark.createDataFrame([(n, [n])], "node string, path array<string>") for s, n in (("source", source), ("target", target))}
+    # as tables their size is known, so the edges are not shuffled to meet them
+    front = {s: cut(spark.createDataFrame([(n, [n])], "node string, path array<string>")) for s, n in (("source", source), ("target", target))}
     before = {s: f.limit(0) for s, f in front.items()}
     leading = lambda s: both.join(front[s].select("node"), "node").count()
     size = {s: leading(s) for s in front}

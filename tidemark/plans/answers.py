@@ -202,5 +202,5 @@ k AS (SELECT source, relation, target, min(struct_pack(part := part, place := pl
 SELECT CAST(row_number() OVER (ORDER BY o) AS INT) AS hop_no, source, relation, target, o.part AS part FROM k""")
 def traverse(spark, d):
     """From customer 1 to supplier 1: the hops of the shortest path, then of the search around both, each once."""
-    e = graph.dedup_edges(S.edges(spark, d))
+    e = written(graph.dedup_edges(S.edges(spark, d)))
     return resolve.traversed(e, "C:1", "S:1")
