@@ -116,7 +116,7 @@ SELECT CAST(hop_no AS INT) AS hop_no, 'Name ' || f.source AS from_name, left(f.s
 FROM f JOIN (SELECT DISTINCT * FROM e) e ON e.seq = coalesce(fore, back) AND ((e.source = f.source AND e.target = f.target) OR (e.source = f.target AND e.target = f.source))""")
 def path_hops_metadata(spark, d):
     """The hops of the shortest path between two suppliers, with names, types, evidence, file and page."""
-    edges = _edges(spark, d)
+    edges = written(_edges(spark, d))
     hops = resolve.path_hops(graph.shortest_paths(edges, "S:1", "S:2").withColumn("chain_id", F.lit(1)), edges)
     return resolve.hops_told(hops, edges, _nodes(spark, d)).select("hop_no", "from_name", "from_type", "relation", "to_name", "to_type", "is_reverse", "evidence", "filename", "page_number")
 
