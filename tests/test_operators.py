@@ -127,3 +127,37 @@ def test_pruning_takes_lonely_nodes(spark):
     kept, left = graph.pruned(nodes, edges, spark.createDataFrame([("f",)], "file_id string"))
     assert sorted(r.node for r in kept.collect()) == ["a", "b"] and left.count() == 1
     assert [x.count() for x in graph.pruned(nodes, edges, spark.createDataFrame([], "file_id string"))] == [0, 0]
+
+
+def test_claims_meet_their_passage_in_one_row(spark, monkeypatch):
+    """Many claims on one text: the joined rows are as many as passages, and each claim gets what a plain comparison gives, whatever fits in memory at once."""
+    import re
+
+    from tidemark.functions import text as T
+
+    passage = "Pumps raised 12 units in Q3. Short. The KKelvin reactor_pump needs cafés!  Voltages were raised twice \nRaised voltages twice again? _x9_ tail words here"
+    said = ["raised voltage twice", "kelvin pump", "pump, pump and unknown things", "", "the of and", "caf needs", "nothing matches zebra", "tail words x9 here", "12th unit"]
+    claimed = spark.createDataFrame([(1, i, 1 + i % 2, c) for i, c in enumerate(said)] + [(2, 0, 1, "pump")], "answer_id long, claim_no int, passage_number int, claim string")
+    passages = spark.createDataFrame([(1, 1, passage), (1, 2, passage), (2, 2, "x")], "answer_id long, passage_number int, text string")
+
+    def words(c):
+        base = [w for w in re.split(r"[^\w]+", c.lower()) if w]
+        return [t for w in base for t in T.tokens_of(w) if T.tokens_of(w)[0] not in T.STOPWORD_SET and len(t) > 2]
+
+    sentences = [s.strip(" ") for s in re.split(r"(?<=[.!?\n])\s+", passage) if len(s.strip(" ")) > 10]
+    want = {}
+    for i, c in enumerate(said):
+        w = words(c)
+        score = [sum(t in s.lower() for t in w) / max(len(w), 1) if w else 1.0 for s in sentences]
+        best = max(score)
+        grounded = not w or sum(t in passage.lower() for t in w) / len(w) >= synthesis.IN_PASSAGE or best >= synthesis.IN_SENTENCE
+        want[1, i] = (grounded, (sentences[score.index(best)] if best > 0 else passage[:200]).strip())
+    want[2, 0] = (False, "")
+    checked = synthesis.verified(claimed, passages)
+    assert {(r.answer_id, r.claim_no): (r.is_grounded, r.evidence) for r in checked.collect()} == want
+    assert "collect_list" in checked._jdf.queryExecution().executedPlan().toString()
+    lower, usable = [s.lower() for s in sentences], synthesis.np.arange(len(sentences))
+    texts = [" ".join(re.split(r"\W+", c.lower())) for c in said]
+    whole = [c.tolist() for c in synthesis._held(texts, lower, usable)]
+    monkeypatch.setattr(synthesis, "CELLS", 1)
+    assert [c.tolist() for c in synthesis._held(texts, lower, usable)] == whole

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +47,8 @@ ASPECT = ("Specific documentation on '", "'")
 # How a sentence or an item before a claim ends, and the shares of words that ground a claim.
 BOUNDARY = r"(?:[.?!] |\.\n|\n\n|\n[-*] )"
 IN_PASSAGE, IN_SENTENCE = 0.30, 0.25
+#: Places of tokens by sentences that are in memory at once, about; what is told of a claim; what a token can lie in.
+CELLS, MET, _RUN = 1 << 24, ("n", "in_text", "in_sentence", "at"), re.compile("[a-z0-9_]+")
 
 
 def any_of(text: Column, patterns: tuple[str, ...]) -> Column:
@@ -157,25 +166,95 @@ def verified(claimed: DataFrame, passages: DataFrame) -> DataFrame:
     A word counts where it occurs anywhere in the passage. The evidence is the first sentence with most of the claim's
     words, or else the passage's first 200 characters; a stamp in it takes the place of the passage's ``timestamp``. A
     missing passage is unsupported and has no evidence. Other columns of the passages stay.
+
+    The claims on a passage meet it in one row, so its text is divided once and not for each claim.
     """
     more = [c for c in passages.columns if c not in ("answer_id", "passage_number", "text", "timestamp")]
     stamp = F.col("timestamp") if "timestamp" in passages.columns else F.lit(None).cast("string")
-    rows = claimed.join(passages, ["answer_id", "passage_number"], "left").withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
-    rows = rows.withColumn("toks", F.filter(T.tokens(F.col("claim"), drop_stopwords=True), lambda w: F.length(w) > 2))
-    n = F.greatest(F.size("toks"), F.lit(1))
-    held = lambda said: T.let(F.lower(said), lambda low: F.size(F.filter("toks", lambda w: F.contains(low, w))))
-    share = lambda said: F.when(F.size("toks") == 0, 1.0).otherwise(held(said) / n)
-    sentences = F.filter(F.transform(F.split("text", r"(?<=[.!?\n])\s+"), lambda s: F.btrim(s)), lambda s: F.length(s) > 10)
-    rows = rows.withColumn("sentences", sentences)
-    scored = F.transform("sentences", lambda s, i: F.struct(share(s).alias("score"), (-i).alias("back")))
-    rows = rows.withColumn("best", F.array_max(scored))
-    score = F.coalesce(F.col("best.score"), F.lit(0.0))
-    rows = rows.withColumn("is_grounded", F.when(F.col("text").isNull(), False).otherwise((F.size("toks") == 0) | (share(F.col("text")) >= IN_PASSAGE) | (score >= IN_SENTENCE)))
-    quote = F.when(score > 0, F.get("sentences", -F.col("best.back"))).otherwise(F.left("text", F.lit(200)))
+    per = claimed.groupBy("answer_id", "passage_number").agg(F.collect_list(F.struct("claim_no", "claim", T.separated(F.col("claim")).alias("said"))).alias("claims"))
+    rows = per.join(passages, ["answer_id", "passage_number"], "left").withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
+    rows = rows.withColumn("sentences", F.transform(F.split("text", r"(?<=[.!?\n])\s+"), lambda s: F.btrim(s)))
+    found = F.arrow_udf(_met, f"array<struct<{','.join(f'{c}:int' for c in MET)}>>")
+    rows = rows.withColumn("met", found(F.col("claims.said"), F.transform("sentences", lambda s: F.lower(s)), F.transform("sentences", lambda s: F.length(s) > 10)))
+    # of the texts, only what a claim quotes goes on
+    quoted = F.transform("met", lambda m: F.get("sentences", F.nullif(m["at"], F.lit(-1))))
+    rows = rows.withColumns({"quoted": quoted, "start": F.left("text", F.lit(200)), "there": F.col("text").isNotNull()})
+    pair = F.explode(F.arrays_zip(F.col("claims"), F.col("met"), F.col("quoted"))).alias("c")
+    rows = rows.select("answer_id", "passage_number", "start", "there", stamp.alias("timestamp"), *more, pair).select("*", "c.claims.claim_no", "c.claims.claim", "c.met", "c.quoted")
+    share = lambda c: F.when(F.col("met.n") == 0, 1.0).otherwise(F.col(c) / F.col("met.n"))
+    score = F.when(F.col("met.at") >= 0, share("met.in_sentence")).otherwise(0.0)
+    rows = rows.withColumn("is_grounded", F.when(~F.col("there"), False).otherwise((F.col("met.n") == 0) | (share("met.in_text") >= IN_PASSAGE) | (score >= IN_SENTENCE)))
+    quote = F.when(score > 0, F.col("quoted")).otherwise(F.col("start"))
     quote = F.btrim(F.regexp_replace(F.regexp_replace(quote, r"^\s+|\s+$", ""), r"^(?:[-*•]|\d+\.)\s+", ""), F.lit("\"'"))
     rows = rows.withColumn("evidence", F.coalesce(quote, F.lit("")))
     status = F.when(F.col("is_grounded"), "VERIFIED").otherwise("UNSUPPORTED")
-    return rows.select("answer_id", "claim_no", "passage_number", "claim", "is_grounded", status.alias("status"), "evidence", F.coalesce(T.evidence_span(F.col("evidence")), stamp).alias("timestamp"), *more)
+    return rows.select("answer_id", "claim_no", "passage_number", "claim", "is_grounded", status.alias("status"), "evidence", F.coalesce(T.evidence_span(F.col("evidence")), F.col("timestamp")).alias("timestamp"), *more)
+
+
+def _met(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """For each claim of a row (claims as texts of :func:`T.separated`, the passage's lower-case sentences, whether a sentence can be evidence): how many words it has,
+    how many occur in the passage, how many in the first sentence that holds most, and that sentence's place or -1."""
+    for said, sentences, usable in batches:
+        found = [_held(c or [], s or [], np.flatnonzero(u or [])) for c, s, u in zip(said.to_pylist(), sentences.to_pylist(), usable.to_pylist())]
+        columns = [np.concatenate([np.zeros(0, np.int32), *c]).astype(np.int32) for c in zip(*found)]
+        ends = np.cumsum([0, *(len(c[0]) for c in found)]).astype(np.int32)
+        yield pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(c) for c in columns], list(MET)))
+
+
+@functools.lru_cache(1 << 16)
+def _words(word: str) -> tuple[str, ...]:
+    """The tokens of a word of a claim that count."""
+    tokens = T.tokens_of(word)
+    return tuple(t for t in tokens if len(t) > 2) if tokens and tokens[0] not in T.STOPWORD_SET else ()
+
+
+def _held(said: list[str], sentences: list[str], usable: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(words, those in the text, those in the best sentence, its place or -1) of each claim.
+
+    A token is ASCII letters, digits and ``_``, so where it occurs it lies inside a run of these. Each different token is looked for once, in the passage's different runs.
+    """
+    claims = [[t for w in c.split(" ") for t in _words(w)] for c in said]
+    n = np.array([len(c) for c in claims], np.int64)
+    at = np.full(len(claims), usable[0] if len(usable) else -1, np.int64)
+    in_text, best = np.zeros_like(n), np.zeros_like(n)
+    words = [_RUN.findall(s) for s in sentences]
+    runs = {r: k for k, r in enumerate(dict.fromkeys(itertools.chain.from_iterable(words)))}
+    tokens: dict[str, int] = {}
+    flat = np.array([tokens.setdefault(t, len(tokens)) for c in claims for t in c], np.int64)
+    if not len(flat) or not runs:
+        return n, in_text, best, at
+    joined = "\n".join(runs)
+    ends = np.cumsum([len(r) + 1 for r in runs])
+    token, place = [], []
+    for t, k in tokens.items():
+        p = joined.find(t)
+        while p >= 0:
+            token.append(k)
+            place.append(p)
+            p = joined.find(t, p + 1)
+    if not token:
+        return n, in_text, best, at
+    run = np.searchsorted(ends, place, "right")
+    token = np.array(token)
+    known = np.unique(token)
+    some = np.flatnonzero(n)
+    first = (np.cumsum(n) - n)[some]
+    in_text[some] = np.add.reduceat(np.isin(flat, known), first, dtype=np.int64)
+    starts = np.searchsorted(token, known)  # tokens were looked for in order
+    wide = max(1, CELLS // (len(runs) + len(run) + len(tokens) + 5 * len(flat)))
+    for k in range(0, len(usable), wide):
+        part = usable[k : k + wide]
+        own = [words[i] for i in part.tolist()]
+        there = np.zeros((len(runs), len(part)), bool)
+        there[[runs[r] for w in own for r in w], np.repeat(np.arange(len(part)), [len(w) for w in own])] = True
+        held = np.zeros((len(tokens), len(part)), bool)
+        held[known] = np.logical_or.reduceat(there[run], starts)
+        counts = np.add.reduceat(held[flat], first, dtype=np.int32)
+        most = counts.max(axis=1)
+        better = most > best[some]
+        at[some[better]] = part[counts.argmax(axis=1)[better]]
+        best[some[better]] = most[better]
+    return n, in_text, best, at
 
 
 def groundedness(checked: DataFrame) -> DataFrame:
