@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import retrieve, vectors
 
@@ -80,3 +81,18 @@ def test_every_part_has_16_codes_and_lists_are_deterministic(spark, tmp_path):
     a, b = (vectors.fitted(every.repartition(n), sample=200, parts=4) for n in (2, 5))
     assert a.books.shape == (4, 16, 3) and np.array_equal(a.centroids, b.centroids) and a.share == b.share
     assert np.allclose(a.books[3, :, 1:], 0)  # components past the tenth
+
+
+def test_all_products_in_cells(spark, monkeypatch):
+    """Equal to dense_topk with copies, ties and several conversations, from cells of a few vectors; rows without a usable vector are no hits."""
+    monkeypatch.setattr(vectors, "CELL", (3, 20))
+    data = np.repeat(unit(np.random.default_rng(5).normal(size=(60, 8))), 5, axis=0)
+    every, asked = frames(spark, data, lambda i: f"c{i % 7 // 3}", every=11)
+    odd = spark.createDataFrame([("c0", 900, None), ("c0", 901, [float("nan")] * 8), ("c1", 902, [1.0]), ("none", 903, [1.0] * 8)], ROWS)
+    found = vectors.exact(asked, every.union(odd), 12)
+    want = {tuple(r) for r in retrieve.dense_topk(asked, every, 12).collect()}
+    assert {tuple(r) for r in found.collect()} == want and len(want) == 28 * 12
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    same = every.select(F.col("chunk_id").alias("query_id"), "conversation_id", F.col("vector").alias("query_vector")).where("query_id % 11 = 0")  # queries and vectors of one table
+    assert {tuple(r) for r in vectors.exact(same, every, 12).collect()} == want
+    assert vectors.exact(asked.where("query_id = 0"), every.where("chunk_id < 20"), 12).count() == every.where("chunk_id < 20 and conversation_id = 'c0'").count()

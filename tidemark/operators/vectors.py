@@ -9,7 +9,7 @@ The model is fitted on a bounded sample (``sample`` vectors at most, dealt over
 vector is indexed. A list of a conversation is cut into segments of about ``SEGMENT`` vectors by a hash of the id, so a row stays small however large a
 conversation is, and a search of it is the work of many tasks. A query reads the lists nearest to it until these hold a share of its
 conversation, which the fit measures on its sample for a target recall, and at least ``least`` vectors, scores their codes with one table of ``parts`` times 16 numbers, and computes the best ``rerank`` exactly.
-So small conversations are searched in full. :func:`recall` compares with every vector; ``retrieve.dense_topk`` stays the exact way.
+So small conversations are searched in full. :func:`recall` compares with every vector; ``retrieve.dense_topk`` and, for many queries, :func:`exact` stay the exact ways.
 
 Vectors that are null or empty, hold a null or a component that is not finite, or have another length than the first of the sample, have no place in the
 index, and queries with such vectors find nothing. A chunk_id names one vector of its conversation; rows that
@@ -33,6 +33,8 @@ from .segments import shared_files
 
 #: Vectors of a segment, about; centroids of a part of a residual, so that a code is one of 16 values; salts of a sampled conversation.
 SEGMENT, CODES, SALTS = 1024, 16, 64
+#: Queries and vectors of a cell of all products, about.
+CELL = (2048, 16_384)
 #: Part of the paths of indexes that are found by name; it changes with the form of the tables.
 FORMAT = "f2"
 
@@ -252,6 +254,53 @@ def _first(scored: DataFrame, limit: int) -> DataFrame:
     return ranked.where(F.col("dense_rank") <= limit)
 
 
+def exact(queries: DataFrame, vectors: DataFrame, limit: int = 30) -> DataFrame:
+    """The rows of ``retrieve.dense_topk`` by matrix products, for many queries; vectors and queries without a place in the index have none here either.
+
+    The products are as many as queries times vectors. They are dealt in cells of about ``CELL`` queries and vectors of a conversation, so a task's memory is
+    bounded, and each cell passes on the ``limit`` best of its queries only.
+    """
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = ["conversation_id", "size"]
+    sized = lambda rows, key, vector: rows.where(_usable(vector)).select(F.col("conversation_id").alias("conversation_id"), F.size(vector).alias("size"), key, F.col(vector).cast("array<double>").alias("vector"))
+    parts = lambda rows, most, name: rows.groupBy(*own).agg(F.ceil(F.count("*") / most).alias(name))
+    asked, rows = sized(queries, "query_id", "query_vector"), sized(vectors, "chunk_id", "vector")
+    cells = parts(asked, CELL[0], "q").join(parts(rows, CELL[1], "v"), own)
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    asked = asked.join(cells, own).select(*own, F.pmod(F.xxhash64("query_id"), F.col("q")).alias("i"), every("v").alias("j"), "query_id", "vector")
+    rows = rows.join(cells, own).select(*own, every("q").alias("i"), F.pmod(F.xxhash64("chunk_id", "vector"), F.col("v")).alias("j"), "chunk_id", "vector")
+    dealt = [df.repartition(n, *own, "i", "j").groupBy(*own, "i", "j") for df in (asked, rows)]
+    types = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (vectors, "chunk_id"))}
+    near = dealt[0].cogroup(dealt[1]).applyInArrow(lambda a, b: _nearest(a, b, limit), f"query_id {types['query_id']}, chunk_id {types['chunk_id']}, dense_score double")
+    ranked = near.withColumn("dense_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("dense_score"), "chunk_id")))
+    return ranked.where(F.col("dense_rank") <= limit)
+
+
+def _nearest(asked: pa.Table, rows: pa.Table, limit: int) -> pa.Table:
+    """The ``limit`` best rows of each query of a cell, equal ones by chunk_id."""
+    rows, found = rows.sort_by("chunk_id"), []
+    vectors = _rows(rows)
+    for k in range(0, len(asked) if len(rows) else 0, 64):
+        part = asked.slice(k, 64)
+        score = _rows(part) @ vectors.T
+        score = np.copysign(np.floor(np.abs(score) * 1e6 + 0.5) / 1e6, score)
+        if len(rows) > limit:
+            query, row = np.nonzero(score >= -np.partition(-score, limit - 1, axis=1)[:, limit - 1 : limit])
+        else:
+            query, row = (x.ravel() for x in np.indices(score.shape))
+        order = np.lexsort((row, -score[query, row], query))
+        query, row = query[order], row[order]
+        first = np.arange(len(query)) - np.searchsorted(query, query) < limit
+        query, row = query[first], row[first]
+        found.append(pa.table([part["query_id"].take(pa.array(query)), rows["chunk_id"].take(pa.array(row)), pa.array(score[query, row])], ["query_id", "chunk_id", "dense_score"]))
+    none = pa.table([asked["query_id"].slice(0, 0), rows["chunk_id"].slice(0, 0), pa.array([], pa.float64())], ["query_id", "chunk_id", "dense_score"])
+    return pa.concat_tables([none, *found])
+
+
+def _rows(table: pa.Table) -> np.ndarray:
+    return _matrix(table["vector"].combine_chunks(), table["size"][0].as_py())
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """(query_id, wanted, found): how many of the exact hits (query_id, chunk_id) a search has."""
     both = exact.select("query_id", "chunk_id").join(found.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
