@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import index, retrieve, segments
+from tidemark.sources import tables
 
 CHUNKS = "conversation_id string, chunk_id long, text string"
 WORDS = [f"word{i}" for i in range(120)] + ["1st", "second", "the", "minings", "tested"]
@@ -117,3 +118,26 @@ def test_no_posting_moves(spark, tmp_path):
     now = segments.opened(spark, f"file://{tmp_path}/lexicon")
     hits = plan(segments.matched(retrieve.query_terms(spark.createDataFrame([(1, "c0", "word1 word5")], "query_id int, conversation_id string, query string")), now)[1])
     assert "partial_sum" in hits and hits.count("Exchange hashpartitioning(") == 1
+
+
+def test_weights_of_the_terms_asked(spark, tmp_path):
+    """A search for the weights of a few terms joins the counts before they are summed."""
+    own = segments.created(spark.createDataFrame([("c", 1, "pump voltage"), ("c", 2, "pump"), ("d", 3, "pump valve")], "conversation_id string, chunk_id long, text string"), str(tmp_path / "i"))
+    asked = spark.createDataFrame([("c", "pump"), ("c", "pump"), ("c", "none"), ("d", "valve")], "conversation_id string, term string")
+    few = own.opened().idf_of(asked)
+    assert {tuple(r) for r in few.collect()} == {tuple(r) for r in own.idf().collect() if (r.conversation_id, r.term) in {("c", "pump"), ("d", "valve")}}
+    assert few.count() == 2 and index.Index(None, None, None, own.idf()).idf_of(asked).count() == own.idf().count()
+    queries = spark.createDataFrame([(1, "c", "pump voltage?")], "query_id long, conversation_id string, query string")
+    hits = spark.createDataFrame([(1, 1), (1, 2)], "query_id long, chunk_id long")
+    plan = retrieve.coordination(queries, hits, own.opened())._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan[: plan.index("/counts")] if "/counts" in plan else "LeftSemi" in plan
+
+
+def test_active_files_are_told_without_their_texts(spark):
+    """The rows as by the files' statuses; what is joined to the labels holds no text."""
+    d = "/root/testdata/sf0.01"
+    done = F.coalesce(F.col("status") == "done", F.length("text") > 0)
+    assert {r[0] for r in tables.active(spark, d).collect()} == {r[0] for r in tables.files(spark, d).where(done).select("file_id").collect()}
+    plan = tables.active(spark, d)._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join")
+    assert "text" not in plan[:join].replace("has_text", "") and "has_text" in plan[join:]

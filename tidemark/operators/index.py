@@ -17,7 +17,8 @@ class Index:
     """Stored tables that searches read in place of the texts.
 
     postings: (conversation_id, term, chunk_id, tf, content), content where a word that is no stop word gave the term;
-    near: the postings without most chunks that lack an id (chunk_id); stats: (conversation_id, chunk_id, dl); corpus: (conversation_id, n, avgdl); idf: (conversation_id, term, df, idf).
+    near: the postings without most chunks that lack an id (chunk_id); stats: (conversation_id, chunk_id, dl); corpus: (conversation_id, n, avgdl); idf: (conversation_id, term, df, idf);
+    weighed: the idf of some terms (conversation_id, term).
     """
 
     postings: DataFrame
@@ -25,11 +26,16 @@ class Index:
     corpus: DataFrame
     idf: DataFrame
     near: Callable[[DataFrame], DataFrame] | None = None
+    weighed: Callable[[DataFrame], DataFrame] | None = None
 
     def postings_of(self, ids: DataFrame) -> DataFrame:
         """The postings of the chunks (chunk_id), and perhaps of more: chunks are left out before they become rows where the tables allow it."""
         return self.near(ids) if self.near else self.postings
 
+    def idf_of(self, terms: DataFrame) -> DataFrame:
+        """The idf of the terms (conversation_id, term), and perhaps of more."""
+        return self.weighed(terms) if self.weighed else self.idf
+
 
 def postings(chunks: DataFrame) -> DataFrame:
     """(conversation_id, chunk_id, term, tf, content); counts combine before the shuffle."""

@@ -88,7 +88,7 @@ def coordination(queries: DataFrame, hits: DataFrame, own: index.Index) -> DataF
     """
     concepts = F.array_distinct(T.tokens(F.col("query"), drop_stopwords=True))
     asked = queries.select("query_id", "conversation_id", F.explode(concepts).alias("term"))
-    weighed = asked.join(own.idf.select("conversation_id", "term", "idf"), ["conversation_id", "term"], "left")
+    weighed = asked.join(own.idf_of(asked).select("conversation_id", "term", "idf"), ["conversation_id", "term"], "left")
     weighed = weighed.select("query_id", "conversation_id", "term", F.greatest(F.lit(0.05), F.coalesce("idf", F.lit(1.0))).alias("w"))
     total = weighed.groupBy("query_id").agg(F.sum("w").alias("total"))
     forms = weighed.withColumn("form", F.explode(F.array_compact(F.array("term", T.twin(F.col("term"))))))

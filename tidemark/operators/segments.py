@@ -94,9 +94,10 @@ class Lexicon:
         sums = self.table("sizes").groupBy("conversation_id").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl"))
         return sums.where("n > 0").select("conversation_id", "n", (F.col("dl") / F.col("n")).alias("avgdl"))
 
-    def idf(self) -> DataFrame:
-        """(conversation_id, term, df, idf)."""
-        sums = self.table("counts").groupBy("conversation_id", "term").agg(F.sum("df").alias("df")).where("df > 0")
+    def idf(self, of: DataFrame | None = None) -> DataFrame:
+        """(conversation_id, term, df, idf), or those of the terms asked (conversation_id, term)."""
+        sums = self.table("counts") if of is None else self.table("counts").join(of.select("conversation_id", "term").distinct(), ["conversation_id", "term"], "left_semi")
+        sums = sums.groupBy("conversation_id", "term").agg(F.sum("df").alias("df")).where("df > 0")
         return sums.join(self.corpus(), "conversation_id").select("conversation_id", "term", "df", F.log((F.col("n") + 1) / F.col("df")).alias("idf"))
 
     def near(self, ids: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ class Lexicon:
     def opened(self) -> index.Index:
         """The tables that the searches of :mod:`retrieve` read."""
         entries = lambda docs: docs.select("conversation_id", "chunk_id", F.explode("terms").alias("t")).select("conversation_id", "chunk_id", "t.term", "t.tf", "t.content")
-        return index.Index(entries(self.docs()), self.docs().select("conversation_id", "chunk_id", "dl"), self.corpus(), self.idf(), lambda ids: entries(self.near(ids)))
+        return index.Index(entries(self.docs()), self.docs().select("conversation_id", "chunk_id", "dl"), self.corpus(), self.idf(), lambda ids: entries(self.near(ids)), self.idf)
 
 
 SCHEMAS = {

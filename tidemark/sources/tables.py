@@ -81,8 +81,10 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def active(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chunk_id) of the files that are done: by their status, or by their text where they have none."""
-    done = F.coalesce(F.col("status") == "done", F.length("text") > 0)
-    return files(spark, sf_dir).where(done).select(F.col("file_id").alias("chunk_id"))
+    # told before the join, so that it moves no text
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), (F.length("text") > 0).alias("has_text"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("done"))
+    return rows.join(labels, "chunk_id", "left").where(F.coalesce("done", "has_text")).select("chunk_id")
 
 
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
